@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, chat, mixing
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,55 @@ def tokenizer(name: str) -> str:
 @query
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
+
+
+PROBE = "</s>[INST] ok [/INST]"
+
+
+@query
+def op2_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    return chat.digests(turns.unionByName(probe))
+
+
+# The characters of escape(x): one more for each backslash and control string.
+_ESC = r"(length({0}) + len(regexp_extract_all({0}, '\\|</?s>|\[/?INST\]|\[/?ROLE\]')))"
+ORACLE_SQL["op2_chat_template"] = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  CAST(3 + sum(13 + {_ESC.format("role")} + {_ESC.format("text")} + CASE WHEN role = 'assistant' THEN 4 ELSE 13 END) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+@query
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(read(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op4_source_mix"] = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w, 3.0::DOUBLE * sum(size)::DOUBLE AS cap FROM d GROUP BY source),
+l AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+    row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS k FROM s),
+f AS (SELECT level FROM l WHERE cap >= level * w ORDER BY k LIMIT 1),
+t AS (
+  SELECT source, source_size, CASE WHEN source_size > 0 THEN least(w * f.level, cap) ELSE 0.0 END AS target,
+    ('0x' || substr(md5('20|' || coalesce('s' || source, 'n')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM l, f),
+p AS (
+  SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY size, substr(md5(doc_id::VARCHAR), 1, 2), doc_id)::DOUBLE AS place FROM d)
+SELECT doc_id, size, source_size, target,
+  CAST(CASE WHEN source_size > 0 THEN floor(place * (target / source_size::DOUBLE) + u) - floor((place - 1) * (target / source_size::DOUBLE) + u) ELSE 0 END AS BIGINT) * size AS taken
+FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+"""
