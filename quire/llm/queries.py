@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing
+from . import bpe, chat, licenses, mixing, threshold
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,28 @@ SELECT doc_id, size, source_size, target,
   CAST(CASE WHEN source_size > 0 THEN floor(place * (target / source_size::DOUBLE) + u) - floor((place - 1) * (target / source_size::DOUBLE) + u) ELSE 0 END AS BIGINT) * size AS taken
 FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
 """
+
+
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(read(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op1_license_scan"] = licenses.oracle_sql()
+
+
+@query
+def op10_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold.nearest(read(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op10_threshold_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
