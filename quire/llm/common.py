@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,7 +36,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
         n = len(col)
         if not n:
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
         group = np.cumsum(sizes) // SLICE_BYTES
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         for a, b in zip(starts, [*starts[1:], n], strict=True):
