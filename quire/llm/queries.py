@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, licenses, mixing, threshold, toxicity
+from . import bpe, chat, imatch, langid, licenses, mixing, threshold, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edit_report(read(spark, sf_dir, "documents").select("doc_id", "text"))
