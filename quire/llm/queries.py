@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, imatch, langid, licenses, mixing, threshold, toxicity
+from . import bpe, chat, imatch, langid, licenses, mixing, rlz, threshold, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,20 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edit_report(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op5_rlz_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz.digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE_SQL["op5_rlz_substrings"] = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20),
+h AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM s),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM h) WHERE n > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM r),
+g AS (SELECT doc_id, list(p) AS p FROM c GROUP BY doc_id),
+e AS (SELECT d.doc_id, len(w) AS n_words, list_filter(w, lambda x, i: p IS NULL OR NOT list_contains(p, i)) AS kept FROM d LEFT JOIN g ON d.doc_id = g.doc_id)
+SELECT doc_id, n_words, n_words - len(kept) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM e
+"""
