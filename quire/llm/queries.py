@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, imatch, langid, licenses, mixing, rlz, threshold, toxicity
+from . import bpe, chat, imatch, langid, licenses, mixing, probminhash, rlz, threshold, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,8 @@ g AS (SELECT doc_id, list(p) AS p FROM c GROUP BY doc_id),
 e AS (SELECT d.doc_id, len(w) AS n_words, list_filter(w, lambda x, i: p IS NULL OR NOT list_contains(p, i)) AS kept FROM d LEFT JOIN g ON d.doc_id = g.doc_id)
 SELECT doc_id, n_words, n_words - len(kept) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM e
 """
+
+
+@query
+def op6_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.report(read(spark, sf_dir, "documents"))

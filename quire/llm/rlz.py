@@ -31,10 +31,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, HashCache, checkpoint_dir, grams, signed, slices
+from .common import U64, HashCache, checkpoint_dir, grams, numbered, signed, slices
 
 WIDTH, GRAM = 20, 6
 _HASHES = HashCache()
@@ -135,21 +135,6 @@ def _window_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
             )
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """docs with the column row, in order of doc_id, and whether it is unique. Where doc_ids are unique it is the doc_id;
-    else a dense rank by doc_id and text, from counts per range of ids and ranks within the ranges."""
-    seen = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"), F.bool_or(F.col("doc_id").isNull()).alias("null")).first()
-    if (seen["n"] or 1) == 1 and not seen["null"]:
-        return docs.withColumn("row", F.col("doc_id")), True
-    held = docs.withColumn("_range", F.coalesce(F.shiftright("doc_id", 12), F.lit(-(1 << 62)))).withColumn("_digest", F.md5("text"))
-    inside = Window.partitionBy("_range").orderBy(F.col("doc_id").asc_nulls_first(), "_digest")
-    sizes = held.groupBy("_range").agg(F.count_distinct(F.struct("doc_id", "_digest")).alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row per range of ids
-    ranked = held.withColumn("_rank", F.dense_rank().over(inside)).join(starts, "_range")
-    return ranked.withColumn("row", F.col("_before") + F.col("_rank")).drop("_range", "_digest", "_before", "_rank"), False
-
-
 def packed(rows: DataFrame) -> DataFrame:
     """(row, z): texts deflated before they are shuffled."""
 
