@@ -245,22 +245,25 @@ def decode(tokens: DataFrame, path: str, ids: str = "token_ids", out: str = "dec
     return tokens.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", ids: str | None = None) -> DataFrame:
     """One row per document: id, n_tokens, ids_sha256, decoded_sha256; encodes, then decodes the ids.
 
-    Both steps share a worker so that the id lists, larger than the text, never leave it."""
-    schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    Both steps share a worker; the id lists leave it only as the column `ids`, if that is named."""
+    schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *([T.StructField(ids, T.ArrayType(T.IntegerType()))] if ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in slices(batches, text):
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            n, a, b = [], [], []
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            n, a, b, lists = [], [], [], []
             for pieces in pretokens(texts):
-                ids = enc.ids(pieces)
-                n.append(len(ids))
-                a.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
-                b.append(hashlib.sha256(enc.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(id_col)), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=schema.fieldNames())
-
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
+                coded = enc.ids(pieces)
+                packed = np.array(coded, "<u4")
+                n.append(len(coded))
+                a.append(hashlib.sha256(packed.tobytes()).hexdigest())
+                b.append(hashlib.sha256(enc.decode(coded)).hexdigest())
+                lists.append(packed.view(np.int32))
+            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+            yield pa.RecordBatch.from_arrays([*cols, *([pa.array(lists, pa.list_(pa.int32()))] if ids else [])], names=schema.fieldNames())
+
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").alias(text)).mapInArrow(run, schema)

@@ -63,31 +63,32 @@ def mix(docs: DataFrame, seed: int = 20, weights: tuple[int, ...] = (1, 2, 3), m
     docs has doc_id and source, and the text or, where the caller has counted them already, its words in _size."""
     sized = docs if "_size" in docs.columns else docs.withColumn("_size", words(F.col(text)))
     sized = sized.withColumn("_salt", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, salt_digits))
-    narrow = sized.select("source", "_size", "_salt")
-    counts = narrow.groupBy("source", "_size", "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    per_size = counts.groupBy("source", "_size").agg(F.sum("_n").alias("_n"))
-    shares = targets(per_size.groupBy("source").agg(F.sum(F.col("_n") * F.col("_size")).alias("source_size")), weights, most)
-    before = Window.partitionBy("source").orderBy("_size").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = per_size.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    salted = Window.partitionBy("source", "_size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_salted", F.coalesce(F.sum("_n").over(salted), F.lit(0))).drop("_n")
-    null_safe = lambda a, b, *keys: [a[k].eqNullSafe(b[k]) for k in keys]
-    s, z = starts.alias("s"), sizes.alias("z")
-    starts = s.join(z, null_safe(starts, sizes, "source", "_size")).select("s.source", "s._size", "s._salt", (F.col("_before") + F.col("_salted")).alias("_start"))
-    s, h = starts.alias("s"), shares.alias("h")
-    starts = s.join(h, null_safe(starts, shares, "source")).select("s.*", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    rest = [c for c in sized.columns if c not in ("_size", "_salt", "source")]
-    ties = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(set(rest) & {"text", "lang", "doc_id"})])
-    in_salt = Window.partitionBy("source", "_size", "_salt").orderBy(F.col("doc_id").asc_nulls_first(), ties)
-    ranked = sized.withColumn("_row", F.row_number().over(in_salt)).alias("d")
-    s = starts.alias("s")
-    on = [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in ("source", "_size", "_salt")]
-    joined = ranked.join(s, on, "left").select("d.*", "_start", "_source_size", "_target")
+    sized = sized.withColumn("_src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))  # never null, so all joins below are plain
+    counts = sized.groupBy("_src", "_size", "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    per_size = counts.groupBy("_src", "_size").agg(F.sum("_n").alias("_n"))
+    totals = per_size.groupBy("_src").agg(F.sum(F.col("_n") * F.col("_size")).alias("source_size"))
+    named = totals.withColumn("source", F.when(F.col("_src") != "n", F.expr("substring(_src, 2)")))
+    shares = targets(named.select("source", "source_size"), weights, most)
+    shares = shares.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_src"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    before = Window.partitionBy("_src").orderBy("_size").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = per_size.select("_src", "_size", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    salted = Window.partitionBy("_src", "_size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_src", "_size", "_salt", F.coalesce(F.sum("_n").over(salted), F.lit(0)).alias("_salted"))
+    starts = starts.join(sizes, ["_src", "_size"]).join(shares, "_src").withColumn("_start", F.col("_before") + F.col("_salted")).drop("_before", "_salted")
+    ties = F.xxhash64(*[F.col(f"`{c}`") for c in sorted({"text", "lang", "doc_id"} & set(docs.columns))])
+    in_salt = Window.partitionBy("_src", "_size", "_salt").orderBy(F.col("doc_id").asc_nulls_first(), ties)
+    joined = sized.withColumn("_row", F.row_number().over(in_salt)).join(starts, ["_src", "_size", "_salt"])
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
-    offset = unit(F.lit(f"{seed}|"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+    offset = unit(F.lit(f"{seed}|"), F.col("_src"))
     place = F.col("_start") + F.col("_row")
     copies = F.floor(place * rate + offset) - F.floor((place - 1) * rate + offset)
-    return joined.withColumn("_copies", copies.cast("long")).drop("_start", "_row", "_salt")
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns if c != "_size"), "_size", "_source_size", "_target", copies.cast("long").alias("_copies"))
+
+
+def sample(docs: DataFrame, seed: int = 20) -> DataFrame:
+    """The mix itself: docs with each row as often as it is emitted."""
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
+    return mix(docs, seed).where(F.col("_copies") > 0).withColumn("_copy", copies).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def taken(docs: DataFrame, seed: int = 20) -> DataFrame:
