@@ -38,7 +38,7 @@ SUBSETS = 64
 #: A document with fewer lexicon terms is fingerprinted by all its terms.
 FEW = 4
 #: Documents whose ids share all but the last bits stand in one window.
-BUCKET_BITS = 12
+BUCKET_BITS = 10
 _TERM = re.compile(r"\w+")
 
 
@@ -85,7 +85,8 @@ def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAN
     return np.sort(rows["term"].to_numpy().view(U64)) if rows.num_rows else np.empty(0, U64)
 
 
-_SEEDS = mix(np.arange(1, SUBSETS + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
+#: Odd multipliers; the highest bits of a term's hash times one of them are the term's random bits for a sub-lexicon.
+_ODD = mix(np.arange(1, SUBSETS + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
 class Print:
@@ -104,13 +105,15 @@ class Print:
             h = np.array([int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest())], U64)
         self.whole = hashlib.blake2b(h.tobytes(), digest_size=8).hexdigest()
         self.level = len(h).bit_length()  # a sub-lexicon keeps a half to one term on average
-        z = mix(h[:, None] ^ _SEEDS[None, :])
+        z = h[:, None] * _ODD[None, :]
         rows = []
         for level in (self.level, self.level + 1):
-            kept = z >> U64(64 - level) == 0
+            term, subset = np.nonzero(z >> U64(64 - level) == 0)
             # The terms are sorted and distinct, so a sum of well mixed values stands for their sequence.
-            sums = np.where(kept, mix(z + U64(0x632BE59BD9B4E019)), U64(0)).sum(0, dtype=np.uint64)
-            rows.append(np.where(kept.any(0), (sums >> U64(48)) | U64(1), U64(0)))
+            sums, some = np.zeros(SUBSETS, U64), np.zeros(SUBSETS, bool)
+            np.add.at(sums, subset, mix(z[term, subset] + U64(0x632BE59BD9B4E019)))
+            some[subset] = True
+            rows.append(np.where(some, (sums >> U64(48)) | U64(1), U64(0)))
         self.rows = rows
 
     def text(self) -> str:
@@ -138,11 +141,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     Neighbours are found within buckets of doc_ids; only the first row of each bucket is compared across buckets."""
     order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("bucket", F.coalesce(F.shiftright("doc_id", BUCKET_BITS), F.lit(-(1 << 62))))
-    first = rows.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text")).alias("head"))
+    heads = rows.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text")).alias("head")).select("bucket", F.col("head.text").alias("after"))
+    # This window sees one number per bucket of 2**BUCKET_BITS ids; texts are joined to it afterwards.
     line = Window.orderBy("bucket")
-    # One row per bucket of 2**BUCKET_BITS ids, so this window sees a small share of the rows.
-    heads = first.select("bucket", F.col("head.text").alias("head_text"))
-    following = heads.select("bucket", F.coalesce(F.lead("head_text").over(line), F.first_value("head_text").over(line)).alias("after"))
+    chain = rows.select("bucket").distinct().select("bucket", F.coalesce(F.lead("bucket").over(line), F.first_value("bucket").over(line)).alias("next"))
+    following = chain.join(heads.withColumnRenamed("bucket", "next"), "next").select("bucket", "after")
     inside = Window.partitionBy("bucket").orderBy(*order)
     rows = rows.withColumn("next_text", F.lead("text").over(inside))
     return rows.join(following, "bucket", "left").select("doc_id", "text", F.coalesce("next_text", "after").alias("next_text"))
@@ -174,11 +177,15 @@ def edit_report(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(lex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = (None, None)  # rows come in order, so the next text is often the next row's own
         for batch in slices(batches, "text"):
             out = []
             for t, following in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 e = edited(t, following)
-                a, b, c = (Print(x, shared.value) for x in (t, e, following))
+                a = last[1] if last[0] == t else Print(t, shared.value)
+                b = a if e == t else Print(e, shared.value)
+                c = a if following == t else Print(following, shared.value)
+                last = (following, c)
                 out.append((len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), a.text(), b.text(), likeness(a, b), likeness(a, c)))
             kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
