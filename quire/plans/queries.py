@@ -482,8 +482,8 @@ def covered_span(spark, sf_dir):
 # ---- rasters, leaks, annotations, forms, model ---------------------------------------------------------------------
 
 
-@query("SELECT doc_id, CAST(1 AS BIGINT) AS page, CAST(0 AS INTEGER) AS box, CAST(2 + doc_id % 5 AS INTEGER) AS x, CAST(4 AS INTEGER) AS y, CAST(60 + doc_id % 7 AS INTEGER) AS w, CAST(20 AS INTEGER) AS h,
-  CASE WHEN doc_id % 3 = 0 THEN ((60 + doc_id % 7) * 20 - 90) / ((60 + doc_id % 7) * 20)::DOUBLE ELSE 1.0::DOUBLE END AS solidity FROM documents WHERE doc_id % 4 <> 0 AND text IS NOT NULL")
+@query("""SELECT doc_id, CAST(1 AS BIGINT) AS page, CAST(0 AS INTEGER) AS box, CAST(2 + doc_id % 5 AS INTEGER) AS x, CAST(4 AS INTEGER) AS y, CAST(60 + doc_id % 7 AS INTEGER) AS w, CAST(20 AS INTEGER) AS h,
+  CASE WHEN doc_id % 3 = 0 THEN ((60 + doc_id % 7) * 20 - 90) / ((60 + doc_id % 7) * 20)::DOUBLE ELSE 1.0::DOUBLE END AS solidity FROM documents WHERE doc_id % 4 <> 0 AND text IS NOT NULL""")
 def solid_boxes(spark, sf_dir):
     """AGG13 and RW19 on painted rasters, specks and strokes included."""
     return leaks.solid_boxes(fixtures.rasters(docs(spark, sf_dir)))
