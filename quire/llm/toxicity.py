@@ -38,6 +38,8 @@ CACHE = 300_000
 # What a sign may stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "¢": "c", "£": "l", "(": "c", "<": "c", "*": "aeiou"}
 EDGE = " "
+#: Stands for all letters from here on, so that the alphabet is bounded.
+OTHER = "\u0250"
 #: Cost of a look-alike (a natural logarithm), of reading a doubled letter as one, and of an optional word end.
 SWAP, SINGLE, SPLIT = 0.5, 1.5, 2.5
 
@@ -46,14 +48,36 @@ _LETTER = r"[^\W\d_]"
 #: A stretched letter, or a sign that a letter stands next to.
 _ODD = re.compile(rf"({_LETTER})\1\1|{_LETTER}[{_SIGNS}]+{_LETTER}|^[{_SIGNS}]+{_LETTER}|{_LETTER}[{_SIGNS}]+$|({_LETTER})\2.*\d")
 #: Four or more single signs or letters with the same kind of gap.
-_SPACED = re.compile(rf"(?<![\w{_SIGNS}])(?:[\w{_SIGNS}]([ .\-_*~]))(?:[\w{_SIGNS}]\1){{2,}}[\w{_SIGNS}](?![\w{_SIGNS}])")
+_SPACED = re.compile(rf"(?<![\w{_SIGNS}])(?:[\w{_SIGNS}]([ .\-_*~]))(?:[\w{_SIGNS}]\1){{2,}}[\w{_SIGNS}](?![.\-_*~]?[\w{_SIGNS}])")
+_TRIPLE = re.compile(rf"({_LETTER})\1\1")
+_TRIPLES = tuple(c * 3 for c in "abcdefghijklmnopqrstuvwxyz")
 _WORDS = re.compile(rf"{_LETTER}+")
+#: Ordinary punctuation around a word.
+_AROUND = ".,;:?!\"'()[]{}«»„“”‚‘’¿¡…-–—"
 _TRIM = re.compile(r"^[^\w@$!|+€¢£(<*]+|[^\w@$|+€¢£*]+$")
 
 
 def shape(c: str) -> str:
     """The model's alphabet: Latin letters as they are, other letters as one, anything else as an edge."""
-    return (c if c < "ɐ" else "ɐ") if c.isalpha() else EDGE
+    return min(c, OTHER) if c.isalpha() else EDGE
+
+
+def trigrams(words: dict[str, int]) -> pa.RecordBatch:
+    """(gram, count) over counted words, each between two edges before and one after it."""
+    sizes = np.array([len(w) + 3 for w in words])
+    text = "".join(f"{EDGE}{EDGE}{w}{EDGE}" for w in words)
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    c[c >= ord(OTHER)] = ord(OTHER)
+    code = c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+    within = np.ones(len(c), bool)
+    ends = np.cumsum(sizes)
+    within[ends - 1] = within[ends - 2] = False  # these windows reach into the next word
+    keys, which = np.unique(code[within[:-2]], return_inverse=True)
+    weights = np.repeat(np.fromiter(words.values(), float, len(words)), sizes)[:-2][within[:-2]]
+    count = np.bincount(which, weights, len(keys)).astype(np.int64)
+    low = (1 << 21) - 1
+    grams = [chr(k >> 42) + chr(k >> 21 & low) + chr(k & low) for k in keys.tolist()]
+    return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(count)], names=["gram", "count"])
 
 
 def char_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -61,24 +85,15 @@ def char_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            grams: Counter = Counter()
-            for w, c in tokens.items():
-                s = EDGE * 2 + "".join(map(shape, w)) + EDGE
-                for i in range(len(s) - 2):
-                    grams[s[i : i + 3]] += c
-            tokens.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["gram", "count"])
-
         for batch in slices(batches, "text"):
             for t in batch.column(0).to_pylist():
                 if t:
                     tokens.update(_WORDS.findall(t.lower()))
             if len(tokens) > CACHE:
-                yield flush()
+                yield trigrams(tokens)
+                tokens = Counter()
         if tokens:
-            yield flush()
+            yield trigrams(tokens)
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "gram string, count long").groupBy("gram").agg(F.sum("count").alias("count"))
 
@@ -169,7 +184,8 @@ class Restorer:
     def token(self, token: str) -> tuple[str, ...]:
         got = self._seen.get(token)
         if got is None:
-            plain = _TRIM.sub("", token)
+            plain = token.strip(_AROUND)
+            plain = plain if plain.isalpha() else _TRIM.sub("", token)
             read = _WORDS.findall(plain)
             if _ODD.search(plain) and len(plain) <= 60:
                 read = [*_WORDS.findall(decode(plain.rstrip("!"), self.model)), *(read if len(read) == 1 else ())]
@@ -195,12 +211,26 @@ class Restorer:
         return " ".join(w for t, read in self.pieces(text) for w in (read or (t,)))
 
     def words(self, text: str | None) -> set[str]:
+        """Distinct words of a text as they are read. Plain words, nearly all, are told by cheap string methods; only the
+        others are looked at closely."""
+        if not text:
+            return set()
+        low = text.lower()
+        parts = low.split()
         out: set[str] = set()
-        if text and _SPACED.search(text):
+        if list(map(len, parts)).count(1) >= 4 and _SPACED.search(low):
             for _, read in self.pieces(text):
                 out.update(read)
-        elif text:
-            for t in set(text.lower().split()):
+            return out
+        stretched = any(t in low for t in _TRIPLES) or not low.isascii() and _TRIPLE.search(low) is not None
+        for t in set(parts):
+            word = t if t.isalpha() else t.strip(_AROUND)
+            if word.isalpha() and not (stretched and _TRIPLE.search(word)):
+                out.add(word)
+            elif t[1:-1].count(t[1:2]) >= 3 and _SPACED.search(t):  # s.p.a.c.e.d
+                for _, read in self.pieces(t):
+                    out.update(read)
+            else:
                 out.update(self.token(t))
         return out
 
@@ -223,17 +253,17 @@ class Classifier:
 
     def score(self, text: str | None) -> float:
         if self._ready is None:
-            self._ready = Restorer(CharModel(self.grams)), {}
-        restore, known = self._ready
-        found: set[str] = set()
-        for w in restore.words(text):
-            got = known.get(w)
-            if got is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                got = known[w] = tuple(f for f in features(w) if f in self.weights)
-            found.update(got)
-        x = self.bias + sum(self.weights[f] for f in sorted(found))
+            self._ready = Restorer(CharModel(self.grams))
+        weights, found = self.weights, set()
+        for w in self._ready.words(text):
+            if w in weights:
+                found.add(w)
+            for n in (4, 5, 6):
+                if len(w) <= n:
+                    break
+                if (f := w[:n] + "~") in weights:
+                    found.add(f)
+        x = self.bias + sum(weights[f] for f in sorted(found))
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, x))))
 
 
@@ -294,7 +324,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int | None = 2
     return Classifier(grams, dict(zip(names, w.tolist(), strict=True)), bias)
 
 
-def regress(rows: list[list[int]], y: np.ndarray, n: int, ridge: float = 0.05, steps: int = 400) -> tuple[np.ndarray, float]:
+def regress(rows: list[list[int]], y: np.ndarray, n: int, ridge: float = 0.05, steps: int = 1500) -> tuple[np.ndarray, float]:
     """Logistic regression with a ridge, by accelerated gradient steps over sparse rows."""
     where = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     cols = np.array([c for r in rows for c in r], np.int64)
