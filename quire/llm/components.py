@@ -11,18 +11,22 @@ from .common import checkpoint_dir
 def components(edges: DataFrame) -> DataFrame:
     """(v, label) for every vertex of edges (a, b): label is the smallest vertex of v's component.
 
-    Each round a vertex takes its neighbours' smallest label, then that label's own label; the edges are rewritten to join
-    labels, and those within one label go. Rounds end when no edge is left; labels are checkpointed, so that a lost
+    Each round every label hooks onto its smallest neighbour, chains of hooks are shortened by pointer jumping, and the
+    edges are rewritten to join labels; those within one label go. Rounds end when no edge is left; labels are checkpointed, so that a lost
     executor costs one round."""
     checkpoint_dir(edges.sparkSession)
     left = edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
     vertices = left.select(F.col("a").alias("v")).union(left.select(F.col("b").alias("v"))).distinct()
     labels = vertices.withColumn("label", F.col("v")).checkpoint()
     while not left.isEmpty():
-        # Each label hooks onto the smallest label next to it; smaller ones never hook, so there are no cycles.
-        hooks = left.groupBy(F.col("b").alias("old")).agg(F.min("a").alias("new"))
-        up = hooks.select(F.col("old").alias("new"), F.col("new").alias("above"))
-        hooks = hooks.join(up, "new", "left").select("old", F.coalesce("above", "new").alias("new")).checkpoint()
+        # Each label hooks onto the smallest label next to it; labels only go down, so there are no cycles.
+        hooks = left.groupBy(F.col("b").alias("old")).agg(F.min("a").alias("new")).checkpoint()
+        while True:  # and follows its hook's hooks to their end, twice as far each time
+            up = hooks.select(F.col("old").alias("new"), F.col("new").alias("above"))
+            jumped = hooks.join(up, "new", "left").select("old", F.coalesce("above", "new").alias("new"), F.col("above").isNotNull().alias("moved")).checkpoint()
+            hooks = jumped.select("old", "new")
+            if jumped.where("moved").isEmpty():
+                break
         labels = labels.join(hooks, labels["label"] == hooks["old"], "left").select("v", F.coalesce("new", "label").alias("label")).checkpoint()
         ha, hb = hooks.select(F.col("old").alias("a"), F.col("new").alias("na")), hooks.select(F.col("old").alias("b"), F.col("new").alias("nb"))
         moved = left.join(ha, "a", "left").join(hb, "b", "left").select(F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"))
