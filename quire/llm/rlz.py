@@ -152,6 +152,7 @@ def factors(rows: DataFrame, texts: DataFrame, width: int = WIDTH, gram: int = G
     checkpoint_dir(rows.sparkSession)
     found = _scan(rows, width, gram)
     repeated = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    repeated = repeated.checkpoint()  # so that the join below deals out both its sides, and a hot anchor's rows can be split
     held = found.join(repeated, "anchor").checkpoint()  # the segments with company, a small part; read more than once
     kinds = held.groupBy("anchor", "body").agg(F.min("row").alias("row0"))
     placed = held.join(kinds, ["anchor", "body"])
