@@ -15,7 +15,6 @@ rows give repeated results and count as often as they stand there; other columns
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -25,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import U64, slices
 
 MARK = "▁"
 UNDETERMINED = "und"
 #: Added to each piece's expected count.
 SMOOTHING = 0.1
-#: Distinct words that a worker holds before it hands on or forgets what it has.
+#: Distinct words that a worker counts before it hands on what it has.
 CACHE = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -48,85 +47,158 @@ def load_pieces(path: str) -> dict[str, int]:
     return {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))}
 
 
-_PIECES: dict[str, tuple[dict[str, int], int]] = {}
-
-
-def pieces(path: str) -> tuple[dict[str, int], int]:
-    """The vocabulary and its longest piece."""
-    if path not in _PIECES:
-        got = load_pieces(path)
-        _PIECES[path] = got, max(map(len, got))
-    return _PIECES[path]
-
-
-def arcs(word: str, vocab: dict[str, int], longest: int) -> list[list[tuple[int, int]]]:
-    """For each end position the pieces that end there: (start, piece). A letter that is no piece has piece -1."""
-    marked = MARK + word
-    n = len(marked)
-    out: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-    for i in range(n):
-        for j in range(i + 1, min(n, i + longest) + 1):
-            if (p := vocab.get(marked[i:j])) is not None:
-                out[j].append((i, p))
-        if not any(a == i for a, _ in out[i + 1]):
-            out[i + 1].append((i, -1))
-    return out
-
-
-def expected(word: str, vocab: dict[str, int], longest: int) -> list[tuple[int, float]]:
-    """Expected counts of pieces in a word, all pieces being as likely: forward-backward over its segmentations."""
-    into = arcs(word, vocab, longest)
-    n, p = len(into) - 1, 1.0 / len(vocab)
-    # Scaled by p per position, numbers stay near 1 for words of any length.
-    fwd, bwd = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-    scale_f, scale_b = [0.0] * (n + 1), [0.0] * (n + 1)  # logarithms taken out of fwd and bwd
-    lp = math.log(p)
-    for j in range(1, n + 1):
-        top = max(scale_f[i] for i, _ in into[j])
-        s = sum(fwd[i] * math.exp(scale_f[i] - top) for i, _ in into[j])
-        scale_f[j] = top + lp + math.log(s)
-        fwd[j] = 1.0
-    onward: list[list[int]] = [[] for _ in range(n + 1)]
-    for j in range(1, n + 1):
-        for i, _ in into[j]:
-            onward[i].append(j)
-    for i in range(n - 1, -1, -1):
-        top = max(scale_b[j] for j in onward[i])
-        scale_b[i] = top + lp + math.log(sum(bwd[j] * math.exp(scale_b[j] - top) for j in onward[i]))
-        bwd[i] = 1.0
-    whole = scale_f[n]
-    return [(q, math.exp(scale_f[i] + lp + scale_b[j] - whole)) for j in range(1, n + 1) for i, q in into[j] if q >= 0]
+class Lattices:
+    """Looks up all pieces in many words at once, and sums over segmentations with numpy.
+
+    Words of one length are a matrix of code points. Substrings are hashed by extending them letter by letter; two
+    tables of piece numbers, the second for pieces whose place in the first is taken, answer which of them are pieces."""
+
+    BITS, BASE, SPREAD = 21, U64(0x9E3779B97F4A7C15), (U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB))
+
+    def __init__(self, vocab: dict[str, int]):
+        self.size = max(vocab.values()) + 1
+        self.unknown, self.none = self.size, self.size + 1  # a letter that is no piece; no piece
+        self.longest = max(map(len, vocab))
+        self.keys = np.zeros(self.size + 2, U64)
+        for piece, number in vocab.items():
+            h = 0
+            for c in piece:
+                h = (h * int(self.BASE) + ord(c)) & 0xFFFFFFFFFFFFFFFF
+            self.keys[number] = h
+        self.tables = [np.full(1 << self.BITS, self.none, np.int32) for _ in self.SPREAD]
+        for number in vocab.values():
+            for table, spread in zip(self.tables, self.SPREAD, strict=True):
+                slot = (int(self.keys[number]) * int(spread) & 0xFFFFFFFFFFFFFFFF) >> (64 - self.BITS)
+                if table[slot] == self.none:
+                    table[slot] = number
+                    break
+            else:
+                raise ValueError("both places of a piece are taken")
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        out = self.tables[0][h * self.SPREAD[0] >> U64(64 - self.BITS)]
+        taken = np.flatnonzero(out != self.none)  # by the piece in question or another one
+        wrong = taken[self.keys[out[taken]] != h[taken]]
+        second = self.tables[1][h[wrong] * self.SPREAD[1] >> U64(64 - self.BITS)]
+        out[wrong] = np.where(self.keys[second] == h[wrong], second, self.none)
+        return out
+
+    def arcs(self, words: list[str]) -> list[np.ndarray]:
+        """For words of one length: by piece length k, the piece that starts at each position (words x positions)."""
+        n = len(words[0]) + 1
+        letters = np.frombuffer((MARK + MARK.join(words)).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n).astype(U64)
+        out, h = [], letters
+        for k in range(1, min(n, self.longest) + 1):
+            if k > 1:
+                h = h[:, : n - k + 1] * self.BASE + letters[:, k - 1 :]
+            found = self.find(np.ascontiguousarray(h).reshape(-1)).reshape(h.shape)
+            if k == 1:
+                found[found == self.none] = self.unknown
+            out.append(found)
+        return out
+
+    def likelihoods(self, words: list[str], probs: np.ndarray) -> np.ndarray:
+        """log P(word) by language (words x languages), by the forward algorithm. probs: pieces x languages, with rows
+        for an unknown letter and for no piece."""
+        arcs = self.arcs(words)
+        n = arcs[0].shape[1]
+        alpha, logs = [np.ones((len(words), probs.shape[1]))], np.zeros((len(words), probs.shape[1]))
+        for j in range(1, n + 1):
+            a = alpha[j - 1] * probs[arcs[0][:, j - 1]]
+            for k in range(2, min(j, len(arcs)) + 1):
+                piece = arcs[k - 1][:, j - k]
+                here = np.flatnonzero(piece != self.none)  # long pieces are rare
+                if len(here):
+                    a[here] += alpha[j - k][here] * probs[piece[here]]
+            alpha.append(a)
+            if j > len(arcs):
+                alpha[j - len(arcs) - 1] = None
+            if j % 16 == 0:  # keep the numbers in range: only the last few are read again
+                top = a.max(1, keepdims=True)
+                for i in range(max(0, j - len(arcs) + 1), j + 1):
+                    alpha[i] = alpha[i] / top
+                logs += np.log(top)
+        return logs + np.log(alpha[n])
+
+    def expectations(self, words: list[str], weights: np.ndarray, counts: np.ndarray) -> None:
+        """Adds each piece's expected count, all pieces being as likely, times the words' weights (words x languages) to
+        counts (pieces x languages): forward and backward sums over the segmentations."""
+        arcs = self.arcs(words)
+        n, p = arcs[0].shape[1], 1.0 / self.size
+        here = [[np.flatnonzero(a[:, i] != self.none) for i in range(a.shape[1])] for a in arcs]
+        # Logarithms of the sums, so that words of any length stay in range.
+        up, down = np.full((n + 1, len(words)), -np.inf), np.full((n + 1, len(words)), -np.inf)
+        up[0] = down[n] = 0.0
+        lp = np.log(p)
+        for j in range(1, n + 1):
+            total = np.ones(len(words))  # relative to the one letter before, which is always a step
+            for k in range(2, min(j, len(arcs)) + 1):
+                at = here[k - 1][j - k]
+                total[at] += np.exp(up[j - k][at] - up[j - 1][at])
+            up[j] = up[j - 1] + lp + np.log(total)
+        for i in range(n - 1, -1, -1):
+            total = np.ones(len(words))
+            for k in range(2, min(n - i, len(arcs)) + 1):
+                at = here[k - 1][i]
+                total[at] += np.exp(down[i + k][at] - down[i + 1][at])
+            down[i] = down[i + 1] + lp + np.log(total)
+        pieces, shares, rows = [], [], []
+        for k in range(1, len(arcs) + 1):
+            for i in range(n - k + 1):
+                at = here[k - 1][i]
+                if len(at):
+                    pieces.append(arcs[k - 1][at, i])
+                    shares.append(np.exp(up[i][at] + down[i + k][at] - up[n][at] + lp))
+                    rows.append(at)
+        pieces, shares, rows = np.concatenate(pieces), np.concatenate(shares), np.concatenate(rows)
+        for lang in range(counts.shape[1]):
+            counts[:, lang] += np.bincount(pieces, shares * weights[rows, lang], len(counts))
+
+    def by_length(self, words: list[str]) -> Iterator[np.ndarray]:
+        """Indexes of words of one length, a bounded number of letters at a time."""
+        if not words:
+            return
+        sizes = np.array([len(w) for w in words])
+        order = np.argsort(sizes, kind="stable")
+        for block in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
+            step = max(1, 200_000 // (int(sizes[block[0]]) + 1))
+            for at in range(0, len(block), step):
+                yield block[at : at + step]
+
+
+_LATTICES: dict[str, Lattices] = {}
+
+
+def lattices(path: str) -> Lattices:
+    if path not in _LATTICES:
+        _LATTICES[path] = Lattices(load_pieces(path))
+    return _LATTICES[path]
 
 
 def piece_counts(docs: DataFrame, path: str, lang: str = "lang", text: str = "text") -> DataFrame:
     """(lang, piece, count): expected piece counts over all documents whose language is known."""
 
-    def flush(counts: dict[str, Counter], vocab: dict[str, int], longest: int) -> pa.RecordBatch:
-        by_word: dict[str, list[tuple[str, int]]] = defaultdict(list)
-        for name, words_ in counts.items():
-            for w, c in words_.items():
-                by_word[w].append((name, c))
-        sums: dict[str, defaultdict] = {name: defaultdict(float) for name in counts}
-        for w, where in by_word.items():
-            got = expected(w, vocab, longest)
-            for name, c in where:
-                into = sums[name]
-                for q, e in got:
-                    into[q] += e * c
-        rows = [(name, q, c) for name, into in sums.items() for q, c in into.items()]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.float64()))], names=["lang", "piece", "count"])
+    def flush(counts: dict[str, Counter], lat: Lattices) -> pa.RecordBatch:
+        names = sorted(counts)
+        every = list(set().union(*counts.values()))
+        weights = np.array([[counts[n][w] for n in names] for w in every], float)
+        sums = np.zeros((lat.size + 2, len(names)))
+        for block in lat.by_length(every):
+            lat.expectations([every[i] for i in block], weights[block], sums)
+        piece, name = np.nonzero(sums[: lat.size])
+        return pa.RecordBatch.from_arrays([pa.array([names[k] for k in name], pa.string()), pa.array(piece.astype(np.int32)), pa.array(sums[piece, name])], names=["lang", "piece", "count"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, longest = pieces(path)
+        lat = lattices(path)
         counts: dict[str, Counter] = defaultdict(Counter)
         for batch in slices(batches, "text"):
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts[name].update(words(t))
             if sum(map(len, counts.values())) > CACHE:
-                yield flush(counts, vocab, longest)
+                yield flush(counts, lat)
                 counts = defaultdict(Counter)
-        if counts:
-            yield flush(counts, vocab, longest)
+        if any(counts.values()):
+            yield flush(counts, lat)
 
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     return known.mapInArrow(run, "lang string, piece int, count double").groupBy("lang", "piece").agg(F.sum("count").alias("count"))
@@ -137,66 +209,43 @@ class Model:
 
     def __init__(self, names: list[str], probs: np.ndarray, path: str):
         self.names, self.probs, self.path = names, probs, path
-        self._seen: dict[str, tuple[float, ...]] = {}
-
-    def __getstate__(self) -> dict:
-        return {"names": self.names, "probs": self.probs, "path": self.path, "_seen": {}}
-
-    def word(self, word: str) -> tuple[float, ...]:
-        """The word's log likelihood in each language, all segmentations summed."""
-        got = self._seen.get(word)
-        if got is None:
-            if len(self._seen) >= CACHE:
-                self._seen.clear()
-            got = self._seen[word] = tuple(self.forward(word))
-        return got
-
-    def forward(self, word: str) -> list[float]:
-        vocab, longest = pieces(self.path)
-        into = arcs(word, vocab, longest)
-        rows = getattr(self, "_rows", None)
-        if rows is None:
-            rows = self._rows = self.probs.tolist()
+
+    def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and posterior of each text; distinct words are scored once for all of them."""
+        cut = [words(t) for t in texts]
+        if not self.names:
+            return [(UNDETERMINED, 0.0)] * len(texts)
+        every = list(set().union(*cut))
+        lat, table = lattices(self.path), np.zeros((len(every), len(self.names)))
+        for block in lat.by_length(every):
+            table[block] = lat.likelihoods([every[i] for i in block], self.probs)
+        at = {w: k for k, w in enumerate(every)}
         out = []
-        for p in rows:  # p[-1] is the probability of an unknown letter
-            alpha, logs = [1.0], 0.0
-            for j in range(1, len(into)):
-                a = 0.0
-                for i, q in into[j]:
-                    a += alpha[i] * p[q]
-                alpha.append(a)
-                if a < 1e-200 and a > 0 and j < len(into) - 1:  # only the last `longest` values matter from here on
-                    top = max(alpha[-longest:])
-                    alpha = [x / top for x in alpha]
-                    logs += math.log(top)
-            out.append(logs + math.log(alpha[-1]))
+        for found in cut:
+            if not found:
+                out.append((UNDETERMINED, 0.0))
+                continue
+            total = table[[at[w] for w in found]].sum(0)
+            best = int(total.argmax())
+            out.append((self.names[best], float(1.0 / np.exp(total - total[best]).sum())))
         return out
 
     def text(self, text: str | None) -> tuple[str, float]:
-        found = Counter(words(text))
-        if not found or not self.names:
-            return UNDETERMINED, 0.0
-        total = [0.0] * len(self.names)
-        for w, c in found.items():
-            for k, x in enumerate(self.word(w)):
-                total[k] += c * x
-        top = max(total)
-        best = total.index(top)
-        return self.names[best], 1.0 / sum(math.exp(x - top) for x in total)
+        return self.texts([text])[0]
 
 
 def fit(docs: DataFrame, path: str, lang: str = "lang", text: str = "text") -> Model:
     """The model of all documents of known language. Collects languages * pieces sums, whatever the corpus's size."""
-    vocab, _ = pieces(path)
+    lat = lattices(path)
     rows = piece_counts(docs, path, lang, text).toArrow()
     names = sorted(set(rows["lang"].to_pylist()))
-    size = max(vocab.values()) + 2  # the last is an unknown letter
-    counts = np.zeros((len(names), size))
+    counts = np.zeros((lat.size + 2, len(names)))
     at = {n: k for k, n in enumerate(names)}
     if rows.num_rows:
-        np.add.at(counts, (np.array([at[n] for n in rows["lang"].to_pylist()]), rows["piece"].to_numpy()), rows["count"].to_numpy())
+        np.add.at(counts, (rows["piece"].to_numpy(), np.array([at[n] for n in rows["lang"].to_pylist()])), rows["count"].to_numpy())
     counts += SMOOTHING
-    return Model(names, counts / counts.sum(1, keepdims=True), path)
+    counts[lat.none] = 0.0
+    return Model(names, counts / counts.sum(0, keepdims=True), path)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -207,7 +256,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in slices(batches, "text"):
-            got = [m.text(t) for t in batch.column(1).to_pylist()]
+            got = m.texts(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[id_col, "lang_pred", "score"])
 
     return docs.select(F.col(id_col), F.col(text).alias("text")).mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double")
