@@ -19,6 +19,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -179,7 +180,7 @@ class Restorer:
     """Restored words of a text; readings of tokens are remembered."""
 
     def __init__(self, model: CharModel):
-        self.model, self._seen = model, {}
+        self.model, self._seen, self._alone = model, {}, {}
 
     def token(self, token: str) -> tuple[str, ...]:
         got = self._seen.get(token)
@@ -210,15 +211,26 @@ class Restorer:
         """The whole text, lower-cased, each token as it is read; tokens without letters stay."""
         return " ".join(w for t, read in self.pieces(text) for w in (read or (t,)))
 
+    def alone(self, token: str) -> tuple[str, ...]:
+        """Words of a token in which letters may be spaced by signs: s.p.a.c.e.d."""
+        got = self._alone.get(token)
+        if got is None:
+            if len(self._alone) >= CACHE:
+                self._alone.clear()
+            got = self._alone[token] = tuple(w for _, read in self.pieces(token) for w in read)
+        return got
+
     def words(self, text: str | None) -> set[str]:
-        """Distinct words of a text as they are read. Plain words, nearly all, are told by cheap string methods; only the
-        others are looked at closely."""
+        """Distinct words of a text as they are read, those of pieces(). Plain words, nearly all, are told by cheap string
+        methods; only the others are looked at closely. Letters spaced by blanks have two single signs in a row among
+        them, whatever stands around the first and the last; letters spaced by other signs are within a token."""
         if not text:
             return set()
         low = text.lower()
         parts = low.split()
         out: set[str] = set()
-        if list(map(len, parts)).count(1) >= 4 and _SPACED.search(low):
+        sizes = list(map(len, parts))
+        if sizes.count(1) >= 2 and 1 in map(mul, sizes, sizes[1:]) and _SPACED.search(low):
             for _, read in self.pieces(text):
                 out.update(read)
             return out
@@ -227,11 +239,8 @@ class Restorer:
             word = t if t.isalpha() else t.strip(_AROUND)
             if word.isalpha() and not (stretched and _TRIPLE.search(word)):
                 out.add(word)
-            elif t[1:-1].count(t[1:2]) >= 3 and _SPACED.search(t):  # s.p.a.c.e.d
-                for _, read in self.pieces(t):
-                    out.update(read)
             else:
-                out.update(self.token(t))
+                out.update(self.alone(t))
         return out
 
 

@@ -60,3 +60,19 @@ def test_held_labels_are_not_learned(spark):
     flipped = l.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     score = lambda x: sorted((str(r.doc_id), r.score) for r in toxicity.held_out_report(d, x).collect())
     assert score(l) == score(flipped)
+
+
+def restorer():
+    grams = toxicity.trigrams({w: 20 for w in [*BAD, *WORDS, "scum", "well", "he", "is", "really"]})
+    return toxicity.Restorer(toxicity.CharModel(dict(zip(grams.column(0).to_pylist(), grams.column(1).to_pylist(), strict=True))))
+
+
+def test_spaced_words_are_found_wherever_they_stand():
+    forms = ['he is s c u m, really', "s c u m.", '"m o r o n"', '"m.o.r.o.n"', "well\u2014m.o.r.o.n", "-m-o-r-o-n-", "[m_o_r_o_n]", "m*o*r*o*n,", "s.c.u.m", "well s~c~u~m, is", "[s c u m]"]
+    restore = restorer()
+    for text in forms:
+        assert {"scum", "moron"} & restore.words(text), text
+    rng = random.Random(8)
+    signs = "amo1!*._-~,\"( \u2014\u00e9"
+    for text in [*forms, *("".join(rng.choices(signs, [3, 3, 3, 1, 1, 1, 3, 1, 2, 1, 1, 1, 1, 9, 1, 1], k=rng.randint(1, 30))) for _ in range(20_000))]:
+        assert restore.words(text) == {w for _, read in restore.pieces(text) for w in read}, text
