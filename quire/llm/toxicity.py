@@ -188,7 +188,7 @@ class Restorer:
             plain = token.strip(_AROUND)
             plain = plain if plain.isalpha() else _TRIM.sub("", token)
             read = _WORDS.findall(plain)
-            if _ODD.search(plain) and len(plain) <= 60:
+            if _ODD.search(plain):
                 read = [*_WORDS.findall(decode(plain.rstrip("!"), self.model)), *(read if len(read) == 1 else ())]
             if len(self._seen) >= CACHE:
                 self._seen.clear()

@@ -76,3 +76,12 @@ def test_spaced_words_are_found_wherever_they_stand():
     signs = "amo1!*._-~,\"( \u2014\u00e9"
     for text in [*forms, *("".join(rng.choices(signs, [3, 3, 3, 1, 1, 1, 3, 1, 2, 1, 1, 1, 1, 9, 1, 1], k=rng.randint(1, 30))) for _ in range(20_000))]:
         assert restore.words(text) == {w for _, read in restore.pieces(text) for w in read}, text
+
+
+def test_long_tokens_are_restored():
+    restore = restorer()
+    for token in ("m" + "o" * 60 + "ron", "m" + "o" * 700 + "ron", "m" + "0" * 60 + "r0n", "m" + "0" * 500 + "r" * 300 + "0n", "$" * 400 + "tup1d", "m0r0n/" * 80 + "1d10t"):
+        assert {"moron", "stupid"} & restore.words(token), token
+    assert {"moron", "idiot"} <= restore.words("m0r0n-" * 80 + "1d10t")
+    assert len(toxicity.lattice("m" + "0" * 500 + "r0n", False)) == 5
+    assert len(restore.words("ab1c" * 50_000)) >= 1
