@@ -3,15 +3,17 @@
 Similarity: Jaccard of the sets of five-word shingles (lower-cased words between ASCII white space; a shorter text is one
 shingle), at least THRESHOLD. A class is a connected component of these links together with exact copies.
 
-Sketch: every shingle is a Poisson process whose rate is its weight, 1 + log of its count. Its arrivals hit registers
-at random, each register keeps the shingle that arrives first, and a shingle stops once its next arrival is later than
-the latest register. Two documents agree in a register with their probability Jaccard similarity, which for even weights
-is the plain one. The arrivals of all documents of a slice advance together in numpy.
+Sketch: every shingle is a Poisson process whose rate is its weight. Its arrivals hit registers at random, each register
+keeps the shingle that arrives first, and a shingle stops once its next arrival is later than the latest register. Two
+documents agree in a register with their probability Jaccard similarity, which for even weights is the plain one. The
+arrivals of all documents of a slice advance together in numpy.
+Each document has a sketch with even weights, whose agreement is the similarity of the links, and one weighted by
+1 + log of the shingle's count. They are the same unless some shingles repeat more often than others.
 
 From sketches to classes, never over all pairs:
 1. Exact copies: texts are counted by a 128-bit hash; only the first document of a text goes on.
-2. Bands of ROWS registers name buckets. Each member of a bucket is linked to the bucket's first member if their sketches
-   agree in RELATED of the registers or more: families are the components of these links.
+2. Bands of ROWS registers of either sketch name buckets. Each member of a bucket is linked to the bucket's first member if
+   their even or their weighted sketches agree in RELATED of the registers or more: families are the components of these links.
 3. A family is dealt into blocks of bounded size, each with the family's first LEADERS documents. A block's shingle sets are
    compared exactly, as a product of incidence matrices; it returns the links that hold it together.
 4. In families of several blocks, whatever is not yet in the family's largest class is compared with all other blocks,
@@ -36,7 +38,8 @@ from .common import U64, HashCache, checkpoint_dir, grams, mix, numbered, signed
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Bands of ROWS registers each: a pair at the threshold shares no band with probability (1 - 0.8**5)**25, 5 in 100,000.
+#: Bands of ROWS registers each: a pair at the threshold shares no band of the even sketches with probability
+#: (1 - 0.8**5)**25, 5 in 100,000, however often shingles repeat.
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 RELATED = 0.4
@@ -78,24 +81,32 @@ def sketch(sets: list[tuple[np.ndarray, np.ndarray]], registers: int = REGISTERS
 
 
 def _scan(rows: DataFrame) -> DataFrame:
-    """(row, ta, tb, bands, sketch): hash of the text, bucket keys, the registers' lowest bytes. Null bands: no words."""
+    """(row, ta, tb, bands, sketch): hash of the text, bucket keys, the lowest bytes of the registers of the even and the
+    weighted sketch. Null bands: no words."""
     seeds = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
+    def keys(kept: np.ndarray) -> np.ndarray:
+        parts = kept.reshape(len(kept), BANDS, ROWS)
+        key = np.broadcast_to(seeds, (len(kept), BANDS)).copy()
+        for r in range(ROWS):
+            key = mix(key * U64(0xD1342543DE82EF95) + parts[:, :, r])
+        return key
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts = batch.column(1).to_pylist()
-            sets = []
-            for t in texts:
-                h, c = np.unique(shingles(t), return_counts=True)
-                sets.append((h, 1.0 + np.log(c)))
-            kept = sketch(sets)
-            parts = kept.reshape(len(sets), BANDS, ROWS)
-            key = np.broadcast_to(seeds, (len(sets), BANDS)).copy()
-            for r in range(ROWS):
-                key = mix(key * U64(0xD1342543DE82EF95) + parts[:, :, r])
+            sets = [np.unique(shingles(t), return_counts=True) for t in texts]
+            even = sketch([(h, np.ones(len(h))) for h, _ in sets])
+            uneven = np.array([len(h) > 0 and c.min() != c.max() for h, c in sets])
+            weighted = even.copy()
+            weighted[uneven] = sketch([(h, 1.0 + np.log(c)) for (h, c), u in zip(sets, uneven, strict=True) if u])
+            named = list(keys(even))
+            for k, more in zip(np.flatnonzero(uneven).tolist(), keys(weighted[uneven]), strict=True):
+                named[k] = np.union1d(named[k], more)
             full = np.array([len(h) > 0 for h, _ in sets])
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(signed(key).reshape(-1)), mask=pa.array(~full))
-            low = (kept & U64(255)).astype(np.uint8)
+            ends = np.cumsum([0, *map(len, named)]).astype(np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate(named))), mask=pa.array(~full))
+            low = (np.hstack([even, weighted]) & U64(255)).astype(np.uint8)
             digests = [xxhash.xxh3_128_intdigest((t or "").encode("utf-8", "surrogatepass")) for t in texts]
             halves = [np.array([(d >> s) & 0xFFFFFFFFFFFFFFFF for d in digests], U64).view(np.int64) for s in (64, 0)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, halves), bands, pa.array([x.tobytes() for x in low], pa.binary())], names=["row", "ta", "tb", "bands", "sketch"])
@@ -104,12 +115,12 @@ def _scan(rows: DataFrame) -> DataFrame:
 
 
 def _agreement(pairs: DataFrame) -> DataFrame:
-    """(a, b) of the pairs (a, b, x, y) whose sketches x and y agree in RELATED of the registers or more."""
+    """(a, b) of the pairs (a, b, x, y) whose even or weighted sketches in x and y agree in RELATED of the registers or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, REGISTERS) for k in (2, 3))
-            ok = (x == y).mean(1) >= RELATED
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, 2, REGISTERS) for k in (2, 3))
+            ok = ((x == y).mean(2) >= RELATED).any(1)
             yield batch.select([0, 1]).filter(pa.array(ok))
 
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")

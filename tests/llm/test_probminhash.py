@@ -100,3 +100,16 @@ def test_components(spark):
         p, q = sorted((find(a), find(b)))
         parent[q] = p
     assert got == {v: find(v) for e in edges if e[0] != e[1] for v in e}
+
+
+def test_copies_that_repeat_a_line_more_often(spark):
+    """Plain Jaccard of a pair is (common + 10) / (common + 14), but one repeats a line of ten words 1,000 times."""
+    rows = []
+    for k in range(120):
+        body = [f"b{k}x{i}" for i in range((60, 80, 100)[k % 3])]
+        line = [f"l{k}x{i}" for i in range(10)]
+        rows += [(2 * k, " ".join(body + line)), (2 * k + 1, " ".join(body + line * 1000))]
+    want = brute(rows)
+    assert all(want[2 * k + 1] == 2 * k for k in range(120))
+    got = {r.doc_id: r.class_id for r in probminhash.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == want
