@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into arrays at once; a longer text is a slice of its own.
@@ -87,16 +87,26 @@ def signed(a: np.ndarray) -> np.ndarray:
     return a.astype(U64).view(np.int64)
 
 
+def many_to_one(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """many with the columns of one, an aggregate with a row for each value of the keys (longs).
+
+    The complements of the keys stand for them: what one is partitioned by is no use to the join then, so it is dealt out
+    again like many, and adaptive execution can split the rows of a hot key."""
+    other = one.select(*(F.bitwise_not(k).alias(f"_{k}") for k in keys), *(c for c in one.columns if c not in keys))
+    return many.join(other, [F.bitwise_not(many[k]) == other[f"_{k}"] for k in keys], how).drop(*(f"_{k}" for k in keys))
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """docs with the column row, in order of doc_id, and whether it is unique. Where doc_ids are unique it is the doc_id;
-    else a dense rank by doc_id and text, from counts per range of ids and ranks within the ranges."""
+    """docs with the column row, in order of doc_id (nulls first), and whether it is unique. Where doc_ids are unique it is
+    the doc_id; else rows are numbered by doc_id and a digest of the text, equal ones alike: their distinct keys are
+    dealt out by ranges and numbered within, so no task sees all of them."""
     seen = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"), F.bool_or(F.col("doc_id").isNull()).alias("null")).first()
     if (seen["n"] or 1) == 1 and not seen["null"]:
         return docs.withColumn("row", F.col("doc_id")), True
-    held = docs.withColumn("_range", F.coalesce(F.shiftright("doc_id", 12), F.lit(-(1 << 62)))).withColumn("_digest", F.md5("text"))
-    inside = Window.partitionBy("_range").orderBy(F.col("doc_id").asc_nulls_first(), "_digest")
-    sizes = held.groupBy("_range").agg(F.count_distinct(F.struct("doc_id", "_digest")).alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row per range of ids
-    ranked = held.withColumn("_rank", F.dense_rank().over(inside)).join(starts, "_range")
-    return ranked.withColumn("row", F.col("_before") + F.col("_rank")).drop("_range", "_digest", "_before", "_rank"), False
+    checkpoint_dir(docs.sparkSession)
+    held = docs.withColumn("_digest", F.coalesce(F.md5("text"), F.lit("")))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_digest")]
+    keys = held.select("doc_id", "_digest").distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    # The number of the range, then the place within it; written, since another run could draw other ranges.
+    keys = keys.select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_of"), F.monotonically_increasing_id().alias("row")).checkpoint()
+    return held.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of"))).drop("_digest", "_id", "_of"), False

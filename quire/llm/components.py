@@ -2,33 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import checkpoint_dir
 
 
+def _held(edges: DataFrame, a: Column, b: Column) -> tuple[DataFrame, int]:
+    """The distinct edges between different ends, smaller end first, written to the shared folder; and their number,
+    which the same job counts."""
+    seen = Observation()
+    rows = edges.select(a.alias("x"), b.alias("y")).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint()
+    return rows, seen.get["n"]
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(v, label) for every vertex of edges (a, b): label is the smallest vertex of v's component.
+    """(v, label) for every vertex of edges (a, b) but those with a loop only: label is the smallest vertex of v's component.
 
-    Each round every label hooks onto its smallest neighbour, chains of hooks are shortened by pointer jumping, and the
-    edges are rewritten to join labels; those within one label go. Rounds end when no edge is left; labels are checkpointed, so that a lost
-    executor costs one round."""
+    Each round every vertex hooks onto its smallest smaller neighbour and follows up to three hooks more; then the edges are
+    rewritten to join what their ends hook onto. Hooks are edges, too, so a chain too long for this round is followed
+    four times as far in the next. Ends of edges only go down, so rounds end. A round is two jobs, whose results are written to
+    the shared folder: a lost executor costs one round."""
     checkpoint_dir(edges.sparkSession)
-    left = edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
-    vertices = left.select(F.col("a").alias("v")).union(left.select(F.col("b").alias("v"))).distinct()
-    labels = vertices.withColumn("label", F.col("v")).checkpoint()
-    while not left.isEmpty():
-        # Each label hooks onto the smallest label next to it; labels only go down, so there are no cycles.
-        hooks = left.groupBy(F.col("b").alias("old")).agg(F.min("a").alias("new")).checkpoint()
-        while True:  # and follows its hook's hooks to their end, twice as far each time
-            up = hooks.select(F.col("old").alias("new"), F.col("new").alias("above"))
-            jumped = hooks.join(up, "new", "left").select("old", F.coalesce("above", "new").alias("new"), F.col("above").isNotNull().alias("moved")).checkpoint()
-            hooks = jumped.select("old", "new")
-            if jumped.where("moved").isEmpty():
-                break
-        labels = labels.join(hooks, labels["label"] == hooks["old"], "left").select("v", F.coalesce("new", "label").alias("label")).checkpoint()
-        ha, hb = hooks.select(F.col("old").alias("a"), F.col("new").alias("na")), hooks.select(F.col("old").alias("b"), F.col("new").alias("nb"))
-        moved = left.join(ha, "a", "left").join(hb, "b", "left").select(F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"))
-        left = moved.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
-    return labels
+    left, n = _held(edges, F.col("a"), F.col("b"))
+    labels = left.select(F.col("a").alias("v"), F.col("b").alias("label")).limit(0)
+    while n:
+        hooks = left.groupBy(F.col("b").alias("old")).agg(F.min("a").alias("new"))
+        for _ in range(2):
+            up = hooks.select(F.col("old").alias("via"), F.col("new").alias("above"))
+            hooks = hooks.join(up, F.col("new") == F.col("via"), "left").select("old", F.coalesce("above", "new").alias("new"))
+        hooks = hooks.checkpoint()
+        to = lambda end: hooks.select(F.col("old").alias(end), F.col("new").alias(f"{end}_"))
+        both = left.unionByName(hooks.select(F.col("new").alias("a"), F.col("old").alias("b")))
+        left, n = _held(both.join(to("b"), "b").join(to("a"), "a", "left"), F.coalesce("a_", "a"), F.col("b_"))
+        moved = labels.join(hooks, F.col("label") == F.col("old"), "left").select("v", F.coalesce("new", "label").alias("label"))
+        first = hooks.select(F.col("old").alias("v"), F.col("new").alias("label"))
+        labels = moved.unionByName(first)
+    # A vertex within a long chain has a row for each round that it hooked in; all of them have come to one label.
+    return labels.unionByName(labels.select(F.col("label").alias("v"), "label")).distinct()

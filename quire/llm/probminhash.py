@@ -14,11 +14,14 @@ From sketches to classes, never over all pairs:
 1. Exact copies: texts are counted by a 128-bit hash; only the first document of a text goes on.
 2. Bands of ROWS registers of either sketch name buckets. Each member of a bucket is linked to the bucket's first member if
    their even or their weighted sketches agree in RELATED of the registers or more: families are the components of these links.
-3. A family is dealt into blocks of bounded size, each with the family's first LEADERS documents. A block's shingle sets are
-   compared exactly, as a product of incidence matrices; it returns the links that hold it together.
+3. A family is dealt into blocks of bounded size, in documents and in shingles, each with the family's first LEADERS documents. A
+   block's shingle sets are compared exactly, as a product of incidence matrices; it returns the links that hold it together.
 4. In families of several blocks, whatever is not yet in the family's largest class is compared with all other blocks,
    block by block, so that no link between different classes stays unseen.
 
+A text, bucket or family with a third of all documents is joined as many rows to one: the one is aggregated first and joined by
+the complement of its key, so that both sides are dealt out anew and adaptive execution can split the many.
+
 Defined results: null texts are empty, empty texts are copies of each other; rows with one doc_id and text are one
 document, rows with one doc_id and different texts are different ones; null doc_ids sort first; extra columns are not
 read by classes() and kept by dedup().
@@ -31,10 +34,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .common import U64, HashCache, checkpoint_dir, grams, mix, numbered, signed, slices
+from .common import U64, HashCache, checkpoint_dir, grams, many_to_one, mix, numbered, signed, slices
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -43,7 +46,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 RELATED = 0.4
-BLOCK, LEADERS = 2048, 4
+#: Documents and shingles of a block, about.
+BLOCK, BLOCK_SHINGLES, LEADERS = 2048, 2_000_000, 4
 _HASHES = HashCache()
 
 
@@ -81,8 +85,8 @@ def sketch(sets: list[tuple[np.ndarray, np.ndarray]], registers: int = REGISTERS
 
 
 def _scan(rows: DataFrame) -> DataFrame:
-    """(row, ta, tb, bands, sketch): hash of the text, bucket keys, the lowest bytes of the registers of the even and the
-    weighted sketch. Null bands: no words."""
+    """(row, n, ta, tb, bands, sketch): number of distinct shingles, hash of the text, bucket keys, the lowest bytes of the
+    registers of the even and the weighted sketch. Null bands: no words."""
     seeds = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
     def keys(kept: np.ndarray) -> np.ndarray:
@@ -109,9 +113,10 @@ def _scan(rows: DataFrame) -> DataFrame:
             low = (np.hstack([even, weighted]) & U64(255)).astype(np.uint8)
             digests = [xxhash.xxh3_128_intdigest((t or "").encode("utf-8", "surrogatepass")) for t in texts]
             halves = [np.array([(d >> s) & 0xFFFFFFFFFFFFFFFF for d in digests], U64).view(np.int64) for s in (64, 0)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, halves), bands, pa.array([x.tobytes() for x in low], pa.binary())], names=["row", "ta", "tb", "bands", "sketch"])
+            counts = pa.array([len(h) for h, _ in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), counts, *map(pa.array, halves), bands, pa.array([x.tobytes() for x in low], pa.binary())], names=["row", "n", "ta", "tb", "bands", "sketch"])
 
-    return rows.select("row", "text").mapInArrow(run, "row long, ta long, tb long, bands array<long>, sketch binary")
+    return rows.select("row", "text").mapInArrow(run, "row long, n long, ta long, tb long, bands array<long>, sketch binary")
 
 
 def _agreement(pairs: DataFrame) -> DataFrame:
@@ -153,9 +158,10 @@ def similar(sets: list[np.ndarray], others: list[np.ndarray] | None = None, thre
 
 
 def _links(table: pa.Table, crossing: bool) -> pa.Table:
-    """Links that hold a cell's classes together: (a, b) of a spanning forest over verified pairs.
+    """Links that hold a cell's classes together: (a, b) of a spanning forest over verified pairs of rows.
 
-    crossing: rows with side 1 are compared with rows of side 0 that have another label; else all with all."""
+    crossing: rows with side 1 are compared with rows of side 0 that have another label, and the links are between
+    labels; else all with all."""
     rows, side, label = table["row"].to_numpy(), table["side"].to_numpy(), table["label"].to_numpy()
     sets = [np.frombuffer(s, U64) for s in table["shingles"].to_pylist()]
     parent: dict[int, int] = {}
@@ -179,68 +185,72 @@ def _links(table: pa.Table, crossing: bool) -> pa.Table:
             other = label[a] != label[b]
             a, b = a[other], b[other]
         for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            p, q = (int(label[x]), int(label[y])) if crossing else (x, y)
-            p, q = find(p), find(q)
+            ends = (int(label[x]), int(label[y])) if crossing else (int(rows[x]), int(rows[y]))
+            p, q = map(find, ends)
             if p != q:
                 parent[max(p, q)] = min(p, q)
-                out.append((int(rows[x]), int(rows[y])))
+                out.append(ends)
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
 def _sets(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """(row, family, size, shingles): the distinct shingles of the families' members."""
+    """(row, family, blocks, shingles): the distinct shingles of the families' members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             packed = pa.array([np.unique(shingles(t)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), packed], names=["row", "family", "size", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), packed], names=["row", "family", "blocks", "shingles"])
 
-    return rows.select("row", "text").join(members, "row").select("row", "text", "family", "size").mapInArrow(run, "row long, family long, size long, shingles binary")
+    return rows.select("row", "text").join(members, "row").select("row", "text", "family", "blocks").mapInArrow(run, "row long, family long, blocks long, shingles binary")
 
 
-def _across(n) -> F.Column:
+def _across(n: Column) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
 
 
+def _blocks(size: Column, weight: Column) -> Column:
+    return F.greatest(F.ceil(size / BLOCK), F.ceil(weight / BLOCK_SHINGLES))
+
+
 def classes(rows: DataFrame, unique: bool = True) -> DataFrame:
     """(row, class): class is the smallest row of the document's class. rows: (row, text); unique: is row?"""
     checkpoint_dir(rows.sparkSession)
-    scanned = _scan(rows)
-    scanned = (scanned if unique else scanned.dropDuplicates(["row"])).checkpoint()
-    heads = scanned.groupBy("ta", "tb").agg(F.min("row").alias("head"))
-    texts = scanned.select("row", "ta", "tb").join(heads, ["ta", "tb"]).select("row", "head")
-    alone = scanned.join(heads.select(F.col("head").alias("row")), "row", "left_semi").where(F.col("bands").isNotNull())
-    buckets = alone.select(F.explode("bands").alias("key"), "row")
-    centres = buckets.groupBy("key").agg(F.min("row").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
-    near = buckets.join(centres, "key").where(F.col("row") != F.col("a")).select("a", F.col("row").alias("b")).distinct()
-    drawn = alone.select("row", "sketch")
+    rows = rows if unique else rows.dropDuplicates(["row"])
+    scanned = _scan(rows).checkpoint()
+    copied = scanned.groupBy("ta", "tb").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    placed = many_to_one(scanned, copied, ["ta", "tb"], "left").withColumn("head", F.coalesce("first", "row"))
+    buckets = placed.where(F.col("row") == F.col("head")).select(F.explode("bands").alias("key"), "row")
+    centres = buckets.groupBy("key").agg(F.min("row").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    near = many_to_one(buckets, centres, ["key"]).where(F.col("row") != F.col("a")).select("a", F.col("row").alias("b")).distinct()
+    drawn = scanned.select("row", "sketch")
     pairs = near.join(drawn.select(F.col("row").alias("a"), F.col("sketch").alias("x")), "a").join(drawn.select(F.col("row").alias("b"), F.col("sketch").alias("y")), "b")
     families = components(_agreement(pairs)).select(F.col("v").alias("row"), F.col("label").alias("family"))
-    counts = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    members = _sets(rows if unique else rows.dropDuplicates(["row"]), families.join(counts, "family")).checkpoint()
-    blocks = F.ceil(F.col("size") / BLOCK)
-    own = members.withColumn("block", F.pmod(F.xxhash64("row"), blocks))
+    sizes = families.join(scanned.select("row", "n"), "row").groupBy("family").agg(_blocks(F.count(F.lit(1)), F.sum("n")).alias("blocks"))
+    seen = Observation()  # at the top of the plan, where no optimisation can drop it
+    members = _sets(rows, many_to_one(families, sizes, ["family"])).observe(seen, F.max("blocks").alias("most")).checkpoint()
+    own = members.withColumn("block", F.pmod(F.xxhash64("row"), "blocks"))
     # The first documents of a family of several blocks stand in each of them.
     rank = F.row_number().over(Window.partitionBy("family").orderBy(F.xxhash64("row")))
-    leaders = members.where(F.col("size") > BLOCK).withColumn("k", rank).where(F.col("k") <= LEADERS).drop("k").withColumn("home", F.pmod(F.xxhash64("row"), blocks)).withColumn("block", _across(blocks))
-    dealt = own.unionByName(leaders.where(F.col("block") != F.col("home")).drop("home")).withColumn("side", F.lit(0)).withColumn("label", F.col("row"))
+    leaders = members.where(F.col("blocks") > 1).withColumn("k", rank).where(F.col("k") <= LEADERS).drop("k").withColumn("home", F.pmod(F.xxhash64("row"), "blocks")).withColumn("block", _across(F.col("blocks")))
+    wide = (seen.get["most"] or 0) > 1
+    dealt = (own.unionByName(leaders.where(F.col("block") != F.col("home")).drop("home")) if wide else own).withColumn("side", F.lit(0)).withColumn("label", F.col("row"))
     cell = ["row", "label", "side", "shingles"]
-    links = dealt.select("family", "block", *cell).groupBy("family", "block").applyInArrow(lambda t: _links(t, False), "a long, b long").checkpoint()
+    links = dealt.select("family", "block", *cell).groupBy("family", "block").applyInArrow(lambda t: _links(t, False), "a long, b long")
     labels = components(links)
-    wide = members.where(F.col("size") > BLOCK)
-    if not wide.isEmpty():
-        placed = wide.join(labels, wide["row"] == labels["v"], "left").drop("v").withColumn("label", F.coalesce("label", "row"))
-        parts = placed.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
-        largest = parts.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-        placed = placed.join(largest, "family").withColumn("block", F.pmod(F.xxhash64("row"), blocks))
-        rest = placed.where(F.col("label") != F.col("main"))
-        shares = rest.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("shares"))
-        rest = rest.join(shares, "family").withColumn("share", F.pmod(F.xxhash64("row", F.lit(1)), F.col("shares"))).withColumn("block", _across(blocks)).withColumn("side", F.lit(1))
-        facing = placed.join(shares, "family").withColumn("share", _across(F.col("shares"))).withColumn("side", F.lit(0))
+    if wide:
+        placed_in = members.where(F.col("blocks") > 1).join(labels.withColumnRenamed("v", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+        parts = placed_in.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles") / 8).alias("w"))
+        rest_of = lambda c: F.sum(c) - F.max_by(c, F.struct("n", "label"))  # noqa: E731  what is not in the family's largest class
+        shares = parts.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), _blocks(rest_of("n"), rest_of("w")).alias("shares")).where("shares > 0")
+        facing = many_to_one(placed_in, shares, ["family"]).withColumn("block", F.pmod(F.xxhash64("row"), "blocks"))
+        rest = facing.where(F.col("label") != F.col("main")).withColumn("share", F.pmod(F.xxhash64("row", F.lit(1)), "shares")).withColumn("block", _across(F.col("blocks"))).withColumn("side", F.lit(1))
+        facing = facing.withColumn("share", _across(F.col("shares"))).withColumn("side", F.lit(0))
         both = rest.select("family", "block", "share", *cell).unionByName(facing.select("family", "block", "share", *cell))
-        crossing = both.groupBy("family", "block", "share").applyInArrow(lambda t: _links(t, True), "a long, b long")
-        labels = components(links.unionByName(crossing))
-    return texts.join(labels, texts["head"] == labels["v"], "left").select("row", F.coalesce("label", "head").alias("class"))
+        joined = components(both.groupBy("family", "block", "share").applyInArrow(lambda t: _links(t, True), "a long, b long"))
+        joined = joined.select(F.col("v").alias("label"), F.col("label").alias("lower"))
+        # Rows that stand alone in their family have no label of their own yet.
+        labels = labels.unionByName(joined.select(F.col("label").alias("v"), "label")).distinct().join(joined, "label", "left").select("v", F.coalesce("lower", "label").alias("label"))
+    return placed.select("row", "head").join(labels, F.col("head") == F.col("v"), "left").select("row", F.coalesce("label", "head").alias("class"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -250,7 +260,7 @@ def report(docs: DataFrame) -> DataFrame:
     found = found.select(F.col("row").alias("doc_id"), F.col("class")) if unique else rows.select("row", "doc_id").join(found, "row").drop("row")
     found = found.checkpoint()
     sizes = found.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return found.join(sizes, "class").select("doc_id", "class_id", "class_size")
+    return many_to_one(found, sizes, ["class"]).select("doc_id", "class_id", "class_size")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
