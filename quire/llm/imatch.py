@@ -1,21 +1,24 @@
 """I-Match fingerprints over randomised lexicons.
 
-Lexicon: the terms whose document frequency lies in a band of shares of all documents. The lower share bounds the
-lexicon: terms in at least a share p of the documents number at most (distinct terms per document) / p, whatever
-the corpus's size, so it can be broadcast.
-
-Fingerprint: a document's distinct terms in the lexicon, sorted, are hashed once whole and once for each of SUBSETS random
-sub-lexicons. A sub-lexicon keeps a term by the term's own random bits, one in 2**level, with the level chosen by the document so
-that about one of its terms is kept: keeping more, one edit would change nearly every hash; keeping fewer, most would be
-empty. A fingerprint has the hashes at that level and the next, so documents of somewhat different lengths share a level.
-Likeness is the share of equal hashes among the sub-lexicons that either document has terms in, at the shared level that has
-most of these; equal fingerprints have likeness 1, and 0 stands for documents that share no level.
-
-A document with FEW or no lexicon terms is fingerprinted by all its terms, one without terms by its whole text.
-
-Defined results: a null text is empty; documents stand in order of doc_id (nulls first), then of text; a single
-document is its own next one; repeated rows stand next to each other as rows of their own; other columns are not read;
-an empty table gives no rows.
+Terms: runs of characters that are no ASCII sign or blank, A-Z lower-cased. Lexicon: the terms whose document frequency lies
+in a band of shares of all documents.
+
+Sub-lexicons are fixed by the lexicon's terms alone: each of SEEDS random numberings gives every term a level, which it reaches
+with probability 2**-level (the leading zero bits of a digest of seed and term). A numbering has a sub-lexicon for each of
+LEVELS: the terms that reach it. All documents are fingerprinted over the same SEEDS * len(LEVELS) sub-lexicons, from one in 4
+terms to one in 4,096, so that texts of any length have some that catch about one of their terms.
+
+Fingerprint: a digest of the document's distinct lexicon terms, sorted, and one of those in each sub-lexicon (nothing if it has
+none). A document without lexicon terms has a digest of its whole text only.
+Likeness: 1 for equal sets of lexicon terms; else the share of equal digests among the sub-lexicons of one level that
+catch a term of either document: the highest level at which half of the sub-lexicons or more do so, or else the first.
+
+Driver and broadcast hold the lexicon: at most (mean number of distinct terms in a document) / (lower share) terms, whatever
+the corpus's size. It is counted before it is fetched, and refused beyond LEXICON terms.
+
+Defined results: a null text is empty; documents stand in order of doc_id (nulls first), then of a digest of their text; a
+single document is its own next one; repeated rows stand next to each other as rows of their own; other columns are not
+read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,128 +30,151 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, HashCache, mix, signed, slices
+from .common import numbered, slices
 
 #: The band: shares of all documents that a term is in, at least and at most.
 BAND = (0.0005, 0.05)
-SUBSETS = 64
-#: A document with fewer lexicon terms is fingerprinted by all its terms.
-FEW = 4
-#: Documents whose ids share all but the last bits stand in one window.
-BUCKET_BITS = 10
-_TERM = re.compile(r"\w+")
+SEEDS, LEVELS = 24, (2, 4, 6, 8, 10, 12)
+#: The most terms that a lexicon may have, to be held in every worker.
+LEXICON = 4_000_000
+#: Distinct terms that a worker counts before it hands on what it has.
+CACHE = 1_000_000
+#: Ranges of documents, and the most of them that a range should have.
+RANGES, RANGE_ROWS = 4096, 4096
+_TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_LOWER = {c: c + 32 for c in range(65, 91)}
+_NONE = "...."
 
 
 def terms(text: str) -> set[str]:
-    return set(_TERM.findall(text.lower()))
-
-
-_HASHES = HashCache()
-
-
-def hashed(words: set[str]) -> np.ndarray:
-    return np.fromiter((_HASHES[w.encode()] for w in words), U64, len(words))
+    return set(_TERM.findall(text.translate(_LOWER)))
 
 
 def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, df): hashed terms and the number of documents they are in, counted before the shuffle."""
+    """(term, df): terms and the number of documents they are in, counted before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            t, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(signed(t)), pa.array(n)], names=["term", "df"])
-
+        counts: Counter = Counter()
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(counts, pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "df"])
         for batch in slices(batches, "text"):
             for t in batch.column(0).to_pylist():
                 if t:
-                    held.append(hashed(terms(t)))
-                    size += len(held[-1])
-            if size > 4_000_000:
+                    counts.update(terms(t))
+            if len(counts) > CACHE:
                 yield flush()
-                held, size = [], 0
-        if held:
+                counts = Counter()
+        if counts:
             yield flush()
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAND) -> np.ndarray:
-    """The sorted hashes of the terms within the band; at most (distinct terms per document) / band[0] of them."""
+def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAND) -> list[str]:
+    """The terms within the band, sorted."""
     n = docs.count()
     df = F.col("df")
-    rows = frequencies(docs, text).where((df >= band[0] * n) & (df <= band[1] * n) & (df > 1)).select("term").toArrow()
-    return np.sort(rows["term"].to_numpy().view(U64)) if rows.num_rows else np.empty(0, U64)
-
-
-#: Odd multipliers; the highest bits of a term's hash times one of them are the term's random bits for a sub-lexicon.
-_ODD = mix(np.arange(1, SUBSETS + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)) | U64(1)
-
-
-class Print:
-    """A fingerprint: the hash of all terms, a level, and the sub-lexicons' hashes at it and the next (0: no terms)."""
-
-    __slots__ = ("whole", "level", "rows")
-
-    def __init__(self, text: str, lex: np.ndarray):
-        words = terms(text)
-        h = np.sort(hashed(words))
-        if len(lex) and len(h):
-            at = np.searchsorted(lex, h)
-            inside = h[lex[np.minimum(at, len(lex) - 1)] == h]
-            h = inside if len(inside) >= FEW else h
-        if not len(h):
-            h = np.array([int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest())], U64)
-        self.whole = hashlib.blake2b(h.tobytes(), digest_size=8).hexdigest()
-        self.level = len(h).bit_length()  # a sub-lexicon keeps a half to one term on average
-        z = h[:, None] * _ODD[None, :]
-        rows = []
-        for level in (self.level, self.level + 1):
-            term, subset = np.nonzero(z >> U64(64 - level) == 0)
-            # The terms are sorted and distinct, so a sum of well mixed values stands for their sequence.
-            sums, some = np.zeros(SUBSETS, U64), np.zeros(SUBSETS, bool)
-            np.add.at(sums, subset, mix(z[term, subset] + U64(0x632BE59BD9B4E019)))
-            some[subset] = True
-            rows.append(np.where(some, (sums >> U64(48)) | U64(1), U64(0)))
-        self.rows = rows
-
-    def text(self) -> str:
-        return f"{self.whole}:{self.level}:" + "".join(f"{x:04x}" for r in self.rows for x in r.tolist())
-
-
-def likeness(a: Print, b: Print) -> float:
-    if a.whole == b.whole:
+    rows = frequencies(docs, text).where((df >= band[0] * n) & (df <= band[1] * n) & (df > 1)).select("term").persist()
+    size = rows.count()
+    if size > LEXICON:
+        rows.unpersist()
+        raise ValueError(f"{size} terms are within {band}, more than {LEXICON}: raise the lower share")
+    found = rows.toArrow()["term"].to_pylist()
+    rows.unpersist()
+    return sorted(found)
+
+
+def levels(term: str) -> np.ndarray:
+    """The highest of LEVELS that a term reaches in each numbering, as a count of levels."""
+    out = np.zeros(SEEDS, np.int8)
+    for seed in range(SEEDS):
+        bits = int(hashlib.md5(f"{seed} {term}".encode()).hexdigest()[:13], 16)
+        zeros = 52 - bits.bit_length()
+        out[seed] = sum(zeros >= level for level in LEVELS)
+    return out
+
+
+class Lexicon:
+    """Numbers and levels of the terms; levels are worked out where they are first asked for."""
+
+    def __init__(self, found: list[str]):
+        self.terms, self._at, self._levels = found, None, None
+
+    def __getstate__(self) -> dict:
+        return {"terms": self.terms, "_at": None, "_levels": None}
+
+    def fingerprint(self, text: str) -> str:
+        """The digest of all terms, then the digests of the sub-lexicons' terms, level by level."""
+        if self._at is None:
+            self._at = {t: k for k, t in enumerate(self.terms)}
+            self._levels = np.full((len(self.terms), SEEDS), -1, np.int8)
+        at = self._at
+        found = sorted(at[t] for t in terms(text) if t in at)
+        digest = lambda words: hashlib.md5(" ".join(words).encode()).hexdigest()
+        if not found:
+            return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()[:16] + _NONE * (SEEDS * len(LEVELS))
+        for k in found:
+            if self._levels[k, 0] < 0:
+                self._levels[k] = levels(self.terms[k])
+        words, reached = [self.terms[k] for k in found], self._levels[found]
+        out = [digest(words)[:16]]
+        for level in range(1, len(LEVELS) + 1):
+            seed, term = np.nonzero(reached.T >= level)
+            caught: list[list[str]] = [[] for _ in range(SEEDS)]
+            for s, t in zip(seed.tolist(), term.tolist(), strict=True):
+                caught[s].append(words[t])
+            out += [digest(c)[:4] if c else _NONE for c in caught]
+        return "".join(out)
+
+
+def likeness(a: str, b: str) -> float:
+    if a[:16] == b[:16]:
         return 1.0
-    best = (0, 0.0)
-    for i, x in enumerate(a.rows):
-        j = a.level + i - b.level
-        if 0 <= j < len(b.rows):
-            y = b.rows[j]
-            some = (x | y) != 0
-            n = int(some.sum())
-            if n > best[0]:
-                best = (n, float(((x == y) & some).sum()) / n)
-    return best[1]
-
-
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and next_text of each row, by ascending doc_id (after the last: the first), null texts empty.
-
-    Neighbours are found within buckets of doc_ids; only the first row of each bucket is compared across buckets."""
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("bucket", F.coalesce(F.shiftright("doc_id", BUCKET_BITS), F.lit(-(1 << 62))))
-    heads = rows.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text")).alias("head")).select("bucket", F.col("head.text").alias("after"))
-    # This window sees one number per bucket of 2**BUCKET_BITS ids; texts are joined to it afterwards.
-    line = Window.orderBy("bucket")
-    chain = rows.select("bucket").distinct().select("bucket", F.coalesce(F.lead("bucket").over(line), F.first_value("bucket").over(line)).alias("next"))
-    following = chain.join(heads.withColumnRenamed("bucket", "next"), "next").select("bucket", "after")
-    inside = Window.partitionBy("bucket").orderBy(*order)
-    rows = rows.withColumn("next_text", F.lead("text").over(inside))
-    return rows.join(following, "bucket", "left").select("doc_id", "text", F.coalesce("next_text", "after").alias("next_text"))
+    share = 0.0
+    for level in range(len(LEVELS)):
+        at = range(16 + 4 * SEEDS * level, 16 + 4 * SEEDS * (level + 1), 4)
+        pairs = [(a[i : i + 4], b[i : i + 4]) for i in at]
+        some = sum(x != _NONE or y != _NONE for x, y in pairs)
+        if level and 2 * some < SEEDS:
+            break
+        share = sum(x == y != _NONE for x, y in pairs) / some if some else 0.0
+    return share
+
+
+def _range_of(value: Column, bounds: list[int]) -> Column:
+    """How many bounds are at or below the value; of sorted bounds, a root of them is looked at twice."""
+    step = max(1, int(len(bounds) ** 0.5))
+    parts = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    below = lambda arr: F.size(F.filter(arr, lambda x: x <= value))
+    array = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
+    part = below(array([p[0] for p in parts]))
+    table = F.from_json(F.lit(str(parts)), F.lit("array<array<bigint>>"))
+    return F.when(part == 0, 0).otherwise((part - 1) * step + below(F.element_at(table, F.greatest(part, F.lit(1)))))
+
+
+def in_ranges(docs: DataFrame) -> DataFrame:
+    """doc_id, text, range, tail, dealt and sorted by range and order of documents; a row with tail 1 repeats the first
+    document of the next range (behind the last: of the first) at the end of a range.
+
+    The bounds of the ranges are estimated shares of the ids, so each has about as many documents, however the ids lie;
+    there are RANGES of them at most, which bounds what the driver and the broadcast of their first documents' ids hold."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows, _ = numbered(rows)
+    n = rows.count()
+    if not n:
+        return rows.select("doc_id", "text", F.lit(0).alias("range"), F.lit(0).alias("tail"))
+    parts = min(RANGES, -(-n // RANGE_ROWS))
+    shares = [k / parts for k in range(1, parts)]
+    bounds = sorted(set(rows.agg(F.percentile_approx("row", shares, 20 * parts).alias("q")).first()["q"])) if shares else []
+    rows = rows.withColumn("range", _range_of(F.col("row"), bounds).cast("int"))
+    firsts = rows.groupBy("range").agg(F.min("row").alias("row")).toArrow().sort_by("range")  # a row for each range
+    numbers, ids = firsts["range"].to_pylist(), firsts["row"].to_pylist()
+    before = pa.table({"row": pa.array(ids, pa.int64()), "_to": pa.array([numbers[-1], *numbers[:-1]], pa.int32())})
+    heads = rows.join(F.broadcast(docs.sparkSession.createDataFrame(before)), "row").dropDuplicates(["row"]).select("doc_id", "text", "row", F.col("_to").alias("range"), F.lit(1).alias("tail"))
+    both = rows.select("doc_id", "text", "row", "range", F.lit(0).alias("tail")).unionByName(heads)
+    return both.repartition("range").sortWithinPartitions("range", "tail", "row").drop("row")
 
 
 def edited(text: str, following: str) -> str:
@@ -157,15 +183,15 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def fingerprints(docs: DataFrame, lex: np.ndarray, text: str = "text", out: str = "fingerprint") -> DataFrame:
+def fingerprints(docs: DataFrame, lex: list[str], text: str = "text", out: str = "fingerprint") -> DataFrame:
     """docs with the column `out`, each text's fingerprint. A column of that name is replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(lex)
+    shared = docs.sparkSession.sparkContext.broadcast(Lexicon(lex))
     names = [c for c in docs.columns if c != out]
     rows = docs.select(*(F.col(f"`{c}`") for c in names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            got = [Print(t or "", shared.value).text() for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            got = [shared.value.fingerprint(t or "") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.string())], names=[*names, out])
 
     return rows.mapInArrow(run, rows.withColumn(out, F.lit("")).schema)
@@ -173,21 +199,56 @@ def fingerprints(docs: DataFrame, lex: np.ndarray, text: str = "text", out: str
 
 def edit_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    lex = lexicon(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(lex)
+    shared = docs.sparkSession.sparkContext.broadcast(Lexicon(lexicon(docs)))
+    kinds = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = (None, None)  # rows come in order, so the next text is often the next row's own
+        lex, held = shared.value, None  # a row waits for the next one
         for batch in slices(batches, "text"):
             out = []
-            for t, following in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                e = edited(t, following)
-                a = last[1] if last[0] == t else Print(t, shared.value)
-                b = a if e == t else Print(e, shared.value)
-                c = a if following == t else Print(following, shared.value)
-                last = (following, c)
-                out.append((len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), a.text(), b.text(), likeness(a, b), likeness(a, c)))
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-
-    return with_next(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+            for i, t, at, tail in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mark = lex.fingerprint(t)
+                if held and held[2] == at:
+                    e = edited(held[1], t)
+                    changed = held[3] if e == held[1] else lex.fingerprint(e)
+                    out.append((held[0], len(held[1]), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), held[3], changed, likeness(held[3], changed), likeness(held[3], mark)))
+                held = None if tail else (i, t, at, mark)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+    return in_ranges(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def oracle_sql() -> str:
+    """The same report as DuckDB SQL."""
+    none, width = f"'{_NONE}'", 4 * SEEDS
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(length(text), 0) AS n FROM documents),
+o AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS following,
+  coalesce(lead(doc_id) OVER (ORDER BY doc_id), first_value(doc_id) OVER (ORDER BY doc_id)) AS next_id FROM d),
+e AS (SELECT *, left(text, n - n // 4) || CASE WHEN n < 4 THEN '' ELSE left(following, n // 4) END AS edited FROM o),
+v AS (SELECT doc_id, 0 AS kind, text FROM e UNION ALL SELECT doc_id, 1, edited FROM e),
+t AS (SELECT doc_id, kind, text, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'))) AS term FROM v),
+lex AS (SELECT term FROM t WHERE kind = 0 GROUP BY term
+  HAVING count(*) >= {BAND[0]} * (SELECT count(*) FROM d) AND count(*) <= {BAND[1]} * (SELECT count(*) FROM d) AND count(*) > 1),
+seeds AS (SELECT range AS seed FROM range({SEEDS})),
+levels AS (SELECT unnest([{", ".join(map(str, range(len(LEVELS))))}]) AS level, unnest([{", ".join(str(1 << (52 - x)) for x in LEVELS)}]::BIGINT[]) AS most),
+s AS (SELECT term, seed, level FROM (SELECT term, seed, ('0x' || substr(md5(seed::VARCHAR || ' ' || term), 1, 13))::BIGINT AS bits FROM lex, seeds) x JOIN levels ON bits < most),
+inside AS (SELECT t.doc_id, t.kind, t.term FROM t JOIN lex ON t.term = lex.term),
+whole AS (SELECT doc_id, kind, md5(string_agg(term, ' ' ORDER BY term)) AS h FROM inside GROUP BY doc_id, kind),
+part AS (SELECT doc_id, kind, level, seed, substr(md5(string_agg(i.term, ' ' ORDER BY i.term)), 1, 4) AS h FROM inside i JOIN s ON i.term = s.term GROUP BY doc_id, kind, level, seed),
+grid AS (SELECT doc_id, kind, level, seed FROM v, levels, seeds),
+full_ AS (SELECT g.doc_id, g.kind, g.level, g.seed, coalesce(h, {none}) AS h FROM grid g LEFT JOIN part p ON g.doc_id = p.doc_id AND g.kind = p.kind AND g.level = p.level AND g.seed = p.seed),
+marks AS (SELECT doc_id, kind, string_agg(h, '' ORDER BY level, seed) AS marks FROM full_ GROUP BY doc_id, kind),
+f AS (SELECT v.doc_id, v.kind, substr(coalesce(w.h, md5(v.text)), 1, 16) || m.marks AS f FROM v JOIN marks m ON v.doc_id = m.doc_id AND v.kind = m.kind LEFT JOIN whole w ON v.doc_id = w.doc_id AND v.kind = w.kind),
+pairs AS (SELECT e.doc_id, 0 AS what, a.f AS x, b.f AS y FROM e JOIN f a ON e.doc_id = a.doc_id AND a.kind = 0 JOIN f b ON e.doc_id = b.doc_id AND b.kind = 1
+  UNION ALL SELECT e.doc_id, 1, a.f, b.f FROM e JOIN f a ON e.doc_id = a.doc_id AND a.kind = 0 JOIN f b ON e.next_id = b.doc_id AND b.kind = 0),
+cells AS (SELECT doc_id, what, x, y, level, substr(x, 17 + {width} * level + 4 * seed, 4) AS p, substr(y, 17 + {width} * level + 4 * seed, 4) AS q FROM pairs, (SELECT level FROM levels) l, seeds),
+sums AS (SELECT doc_id, what, level, left(any_value(x), 16) = left(any_value(y), 16) AS same,
+  count(*) FILTER (WHERE p <> {none} OR q <> {none}) AS n_some, count(*) FILTER (WHERE p = q AND p <> {none}) AS n_equal FROM cells GROUP BY doc_id, what, level),
+open_ AS (SELECT *, coalesce(min(CASE WHEN level > 0 AND 2 * n_some < {SEEDS} THEN level END) OVER (PARTITION BY doc_id, what), {len(LEVELS)}) AS stop FROM sums),
+likes AS (SELECT doc_id, what, CASE WHEN same THEN 1.0::DOUBLE WHEN n_some = 0 THEN 0.0::DOUBLE ELSE n_equal::DOUBLE / n_some END AS likeness FROM open_ WHERE level = stop - 1)
+SELECT e.doc_id, e.n AS n_chars, sha256(e.edited) AS edited_sha256, a.f AS fingerprint, b.f AS edited_fingerprint, p.likeness AS near_edited, q.likeness AS near_next
+FROM e JOIN f a ON e.doc_id = a.doc_id AND a.kind = 0 JOIN f b ON e.doc_id = b.doc_id AND b.kind = 1
+JOIN likes p ON e.doc_id = p.doc_id AND p.what = 0 JOIN likes q ON e.doc_id = q.doc_id AND q.what = 1
+"""

@@ -122,6 +122,9 @@ def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edit_report(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+ORACLE_SQL["op3_imatch"] = imatch.oracle_sql()
+
+
 @query
 def op5_rlz_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
