@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir
+from .common import checkpoint_dir, many_to_one
 
 
 def _held(edges: DataFrame, a: Column, b: Column) -> tuple[DataFrame, int]:
@@ -30,8 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     while n:
         hooks = left.groupBy(F.col("b").alias("old")).agg(F.min("a").alias("new"))
         for _ in range(2):
-            up = hooks.select(F.col("old").alias("via"), F.col("new").alias("above"))
-            hooks = hooks.join(up, F.col("new") == F.col("via"), "left").select("old", F.coalesce("above", "new").alias("new"))
+            up = hooks.select(F.col("old").alias("new"), F.col("new").alias("above"))
+            hooks = many_to_one(hooks, up, ["new"], "left").select("old", F.coalesce("above", "new").alias("new"))
         hooks = hooks.checkpoint()
         to = lambda end: hooks.select(F.col("old").alias(end), F.col("new").alias(f"{end}_"))
         both = left.unionByName(hooks.select(F.col("new").alias("a"), F.col("old").alias("b")))
