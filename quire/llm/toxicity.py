@@ -5,11 +5,12 @@ A suspicious token becomes a lattice whose positions hold the letters it may sta
 copies, a spaced run optional word ends between its letters. A Viterbi search finds the likeliest reading under a
 character trigram model counted over all documents. Other tokens stand for themselves.
 
-Scoring: a logistic regression over the restored words of a document and their first 4, 5 and 6 letters. Its
-features are the most telling ones of a bounded sample of the labelled rows (SAMPLE documents, by hash).
+Scoring: a logistic regression over the restored words of a document and their first 4, 5 and 6 letters. It is fitted on
+a bounded sample of the labelled rows (SAMPLE documents, by hash), with all features that tell more about their labels than
+chance would; so their number is bounded by the sample's.
 
 Defined results: null and empty texts have no words and get the score of a document without features (the intercept);
-without usable labels every score is 0; labels of one document that contradict each other count as toxic; a null
+without usable labels of documents that are there every score is 0; labels of one document that contradict each other count as toxic; a null
 doc_id is never held out and never learned from; repeated rows give repeated results; other columns are not read.
 """
 
@@ -28,13 +29,15 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Labelled documents that the classifier is fitted on, at most, and features it has, at most.
-SAMPLE, FEATURES = 20_000, 2_000
+#: Labelled documents that the classifier is fitted on, at most.
+SAMPLE = 20_000
 #: Documents of the sample that a feature is in, at least.
 SUPPORT = 4
 #: A feature's log likelihood ratio is above the logarithm of the number of features by this much, at least.
 CHANCE = 1.0
 CACHE = 300_000
+#: In counts of features: all documents. No word is empty.
+ALL = ""
 
 # What a sign may stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "¢": "c", "£": "l", "(": "c", "<": "c", "*": "aeiou"}
@@ -48,8 +51,8 @@ _SIGNS = re.escape("".join(LOOKS))
 _LETTER = r"[^\W\d_]"
 #: A stretched letter, or a sign that a letter stands next to.
 _ODD = re.compile(rf"({_LETTER})\1\1|{_LETTER}[{_SIGNS}]+{_LETTER}|^[{_SIGNS}]+{_LETTER}|{_LETTER}[{_SIGNS}]+$|({_LETTER})\2.*\d")
-#: Four or more single signs or letters with the same kind of gap.
-_SPACED = re.compile(rf"(?<![\w{_SIGNS}])(?:[\w{_SIGNS}]([ .\-_*~]))(?:[\w{_SIGNS}]\1){{2,}}[\w{_SIGNS}](?![.\-_*~]?[\w{_SIGNS}])")
+#: Four or more single signs or letters with the same gap. Brackets and exclamation marks may stand around them.
+_SPACED = re.compile(rf"(?<![\w@$€¢£])[\w{_SIGNS}](?P<gap>[ .\-_*~]{{1,3}})(?:[\w{_SIGNS}](?P=gap)){{2,}}[\w{_SIGNS}](?![.\-_*~]?[\w@$€¢£])")
 _TRIPLE = re.compile(rf"({_LETTER})\1\1")
 _TRIPLES = tuple(c * 3 for c in "abcdefghijklmnopqrstuvwxyz")
 _WORDS = re.compile(rf"{_LETTER}+")
@@ -199,7 +202,7 @@ class Restorer:
         """Each token of the lower-cased text, or run of spaced letters, with the words that it is read as."""
         low, at = text.lower(), 0
         for m in _SPACED.finditer(low):
-            letters = m[0][0::2]
+            letters = m[0][:: 1 + len(m["gap"])]
             if sum(map(str.isalpha, letters)) * 2 >= len(letters):
                 yield from ((t, self.token(t)) for t in low[at : m.start()].split())
                 apart, whole = decode(letters, self.model, spaced=True).split(), decode(letters, self.model)
@@ -288,9 +291,6 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int | None = 2
         usable = usable.where(_fold(folds) != held)
     picked = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     picked = {r["doc_id"]: r["toxic"] for r in picked.toLocalIterator()}
-    classes = set(picked.values())
-    if classes != {0, 1}:
-        return Classifier(grams, {}, 60.0 if classes == {1} else -60.0)
     shared = spark.sparkContext.broadcast((grams, picked))
     ids = F.broadcast(spark.createDataFrame(pa.table({"doc_id": pa.array(list(picked), pa.int64())})))
     chosen = docs.select("doc_id", "text").join(ids, "doc_id")
@@ -302,24 +302,28 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int | None = 2
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for toxic, sets in found(batches):
-            pos, neg = Counter(), Counter()
+            pos, neg = Counter({ALL: sum(toxic)}), Counter({ALL: len(toxic) - sum(toxic)})
             for y, s in zip(toxic, sets, strict=True):
                 (pos if y else neg).update(s)
             names = list(pos.keys() | neg.keys())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([pos[n] for n in names], pa.int64()), pa.array([neg[n] for n in names], pa.int64())], names=["f", "pos", "neg"])
 
-    n_pos = sum(picked.values())
-    n_neg = len(picked) - n_pos
+    counted = chosen.mapInArrow(tally, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counted = counted.where((F.col("pos") + F.col("neg") >= SUPPORT) | (F.col("f") == ALL)).persist()
+    every = counted.where(F.col("f") == ALL).first()
+    n_pos, n_neg = (every["pos"], every["neg"]) if every else (0, 0)
+    if not n_pos or not n_neg:
+        counted.unpersist()
+        return Classifier(grams, {}, 60.0 if n_pos else -60.0)
     # Log likelihood ratio of a feature and the label, from counts of documents with the feature.
     part = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
-    a, b, n = F.col("pos").cast("double"), F.col("neg").cast("double"), float(len(picked))
+    a, b, n = F.col("pos").cast("double"), F.col("neg").cast("double"), float(n_pos + n_neg)
     gain = part(a, (a + b) * n_pos / n) + part(b, (a + b) * n_neg / n) + part(n_pos - a, (n - a - b) * n_pos / n) + part(n_neg - b, (n - a - b) * n_neg / n)
-    counted = chosen.mapInArrow(tally, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    counted = counted.where(F.col("pos") + F.col("neg") >= SUPPORT).select("f", gain.alias("gain")).persist()
     # Among n features without any bearing on the label, some gain log n by chance.
-    least = math.log(max(1, counted.count())) + CHANCE
-    names = [r["f"] for r in counted.where(F.col("gain") >= least).orderBy(F.desc("gain"), "f").limit(FEATURES).toLocalIterator()]
+    least = math.log(max(1, counted.count() - 1)) + CHANCE
+    telling = counted.where((F.col("f") != ALL) & (gain >= least)).select("f", gain.alias("gain")).toArrow().to_pylist()
     counted.unpersist()
+    names = [r["f"] for r in sorted(telling, key=lambda r: (-r["gain"], r["f"]))]
     if not names:
         return Classifier(grams, {}, math.log(n_pos / n_neg))
     at = spark.sparkContext.broadcast({f: k for k, f in enumerate(names)})
@@ -328,8 +332,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int | None = 2
         for toxic, sets in found(batches):
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array([sorted(at.value[f] for f in s if f in at.value) for s in sets], pa.list_(pa.int32()))], names=["y", "x"])
 
-    rows = chosen.mapInArrow(encode, "y int, x array<int>").orderBy("y", "x").toArrow()
-    w, bias = regress(rows["x"].to_pylist(), np.array(rows["y"].to_pylist(), float), len(names))
+    rows = chosen.mapInArrow(encode, "y int, x array<int>").toArrow()
+    rows = sorted(zip(rows["y"].to_pylist(), rows["x"].to_pylist(), strict=True))  # so that reruns add up in one order
+    w, bias = regress([x for _, x in rows], np.array([y for y, _ in rows], float), len(names))
     return Classifier(grams, dict(zip(names, w.tolist(), strict=True)), bias)
 
 
