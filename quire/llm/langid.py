@@ -15,12 +15,14 @@ rows give repeated results and count as often as they stand there; other columns
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +34,19 @@ UNDETERMINED = "und"
 SMOOTHING = 0.1
 #: Distinct words that a worker counts before it hands on what it has.
 CACHE = 150_000
+#: From this many letters on a word is scored by itself, in bounded memory.
+LONG = 2_000
+CHUNK = 20_000
 _WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters (Unicode's categories L), lower-cased."""
+    found = _WORD.findall(text.lower()) if text else []
+    if "".join(found).isalpha():
+        return found
+    return [w for f in found for w in ([f] if f.isalpha() else _LETTERS.findall(f))]  # numerals that are no digits go
 
 
 def load_pieces(path: str) -> dict[str, int]:
@@ -87,7 +97,10 @@ class Lattices:
         """For words of one length: by piece length k, the piece that starts at each position (words x positions)."""
         n = len(words[0]) + 1
         letters = np.frombuffer((MARK + MARK.join(words)).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n).astype(U64)
-        out, h = [], letters
+        return self.pieces(letters)
+
+    def pieces(self, letters: np.ndarray) -> list[np.ndarray]:
+        out, h, n = [], letters, letters.shape[1]
         for k in range(1, min(n, self.longest) + 1):
             if k > 1:
                 h = h[:, : n - k + 1] * self.BASE + letters[:, k - 1 :]
@@ -100,6 +113,8 @@ class Lattices:
     def likelihoods(self, words: list[str], probs: np.ndarray) -> np.ndarray:
         """log P(word) by language (words x languages), by the forward algorithm. probs: pieces x languages, with rows
         for an unknown letter and for no piece."""
+        if len(words[0]) >= LONG:
+            return np.stack([self.long_likelihood(w, probs) for w in words])
         arcs = self.arcs(words)
         n = arcs[0].shape[1]
         alpha, logs = [np.ones((len(words), probs.shape[1]))], np.zeros((len(words), probs.shape[1]))
@@ -123,6 +138,10 @@ class Lattices:
     def expectations(self, words: list[str], weights: np.ndarray, counts: np.ndarray) -> None:
         """Adds each piece's expected count, all pieces being as likely, times the words' weights (words x languages) to
         counts (pieces x languages): forward and backward sums over the segmentations."""
+        if len(words[0]) >= LONG:
+            for w, weight in zip(words, weights, strict=True):
+                self.long_expectations(w, weight, counts)
+            return
         arcs = self.arcs(words)
         n, p = arcs[0].shape[1], 1.0 / self.size
         here = [[np.flatnonzero(a[:, i] != self.none) for i in range(a.shape[1])] for a in arcs]
@@ -154,6 +173,70 @@ class Lattices:
         for lang in range(counts.shape[1]):
             counts[:, lang] += np.bincount(pieces, shares * weights[rows, lang], len(counts))
 
+    def steps(self, word: str, backwards: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(start, length, piece) of the pieces in one word, by start, some letters at a time."""
+        letters = np.frombuffer((MARK + word).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)[None, :]
+        chunks = range(0, letters.shape[1], CHUNK)
+        for lo in reversed(chunks) if backwards else chunks:
+            arcs = self.pieces(letters[:, lo : lo + CHUNK + self.longest - 1])
+            at = [np.flatnonzero(a[0, :CHUNK] != self.none) for a in arcs]
+            start = np.concatenate(at)
+            order = np.argsort(start, kind="stable")
+            length = np.repeat(np.arange(1, len(arcs) + 1), [len(x) for x in at])
+            piece = np.concatenate([a[0, x] for a, x in zip(arcs, at, strict=True)])
+            yield start[order] + lo, length[order], piece[order]
+
+    def long_likelihood(self, word: str, probs: np.ndarray) -> np.ndarray:
+        """log P(word) by language; holds as many sums as the longest piece has letters."""
+        size = self.longest + 1
+        ahead, logs = np.zeros((size, probs.shape[1])), np.zeros(probs.shape[1])
+        ahead[0], now, here = 1.0, 0, np.ones(probs.shape[1])
+        for starts, lengths, pieces in self.steps(word):
+            for i, k, p in zip(starts.tolist(), lengths.tolist(), probs[pieces], strict=True):
+                if i != now:  # the first piece from here: what led here is complete
+                    ahead[now % size] = 0.0
+                    now, here = i, ahead[i % size]
+                    if i % 16 == 0:
+                        top = here.copy()
+                        ahead /= top
+                        logs += np.log(top)
+                ahead[(i + k) % size] += here * p
+        return logs + np.log(ahead[(len(word) + 1) % size])
+
+    def sums(self, word: str, backwards: bool) -> np.ndarray:
+        """Logarithms of the sums over segmentations of what stands before (backwards: from) each place, all pieces being
+        as likely."""
+        n, size, p = len(word) + 1, self.longest + 1, 1.0 / self.size
+        out, ring, scale = np.zeros(n + 1), [0.0] * size, 0.0
+        ring[n % size if backwards else 0] = 1.0
+        for starts, lengths, _ in self.steps(word, backwards):
+            ends = np.flatnonzero(np.r_[True, starts[1:] != starts[:-1]]).tolist()
+            spans = list(zip(ends, [*ends[1:], len(starts)], strict=True))
+            starts, lengths = starts.tolist(), lengths.tolist()
+            for a, b in reversed(spans) if backwards else spans:
+                i = starts[a]
+                if backwards:
+                    value = ring[i % size] = p * sum(ring[(i + k) % size] for k in lengths[a:b])
+                else:
+                    value = ring[i % size]
+                    ring[i % size] = 0.0
+                    for k in lengths[a:b]:
+                        ring[(i + k) % size] += value * p
+                out[i] = math.log(value) + scale
+                if not 1e-100 < value < 1e100:
+                    ring = [x / value for x in ring]
+                    scale += math.log(value)
+        if not backwards:
+            out[n] = math.log(ring[n % size]) + scale
+        return out
+
+    def long_expectations(self, word: str, weights: np.ndarray, counts: np.ndarray) -> None:
+        """expectations() of one word; holds two numbers a letter."""
+        up, down, lp = self.sums(word, False), self.sums(word, True), -math.log(self.size)
+        for starts, lengths, pieces in self.steps(word):
+            shares = np.exp(up[starts] + down[starts + lengths] - up[-1] + lp)
+            counts += np.bincount(pieces, shares, len(counts))[:, None] * weights[None, :]
+
     def by_length(self, words: list[str]) -> Iterator[np.ndarray]:
         """Indexes of words of one length, a bounded number of letters at a time."""
         if not words:
