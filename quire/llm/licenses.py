@@ -29,7 +29,7 @@ BASE_CONFIDENCE = 0.9
 
 # Label, keywords, name as a regular expression over words, SPDX identifiers as words.
 FAMILIES = [
-    ("gpl-1.0", "gnu", r"gnu (?:general public license|gpl) (?:version |v)?1(?: 0)?", r"gpl 1 0(?: only| or later)?"),
+    ("gpl-1.0", "gnu|gpl*", r"gnu (?:general public license|gpl) (?:version |v)?1(?: 0)?", r"gpl 1 0(?: only| or later)?"),
     ("gpl-2.0", "gnu|gpl*", r"(?:gnu general public license |gnu gpl ?|gpl ?)(?:version |v )?v?2(?: 0)?", r"gpl 2 0(?: only| or later)?"),
     ("gpl-3.0", "gnu|gpl*", r"(?:gnu general public license |gnu gpl ?|gpl ?)(?:version |v )?v?3(?: 0)?", r"gpl 3 0(?: only| or later)?"),
     ("lgpl-2.0", "library general|lgpl*", r"(?:gnu )?(?:library general public license|lgpl) (?:version |v )?v?2(?: 0)?", r"lgpl 2 0(?: only| or later)?"),
@@ -49,7 +49,7 @@ FAMILIES = [
     ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|bsd 3 clause|3 clause bsd) licen[sc]e", r"bsd 3 clause"),
     ("bsd-4-clause", "bsd", r"(?:original bsd|bsd 4 clause|4 clause bsd) licen[sc]e", r"bsd 4 clause"),
     ("bsd", "bsd", r"bsd (?:style )?licen[sc]e", r"bsd"),
-    ("0bsd", "0bsd", r"(?:zero clause bsd|0bsd) licen[sc]e", r"0bsd"),
+    ("0bsd", "0bsd|zero clause", r"(?:zero clause bsd|0bsd) licen[sc]e", r"0bsd"),
     ("mpl-1.0", "mozilla|mpl", r"(?:mozilla public license|mpl) (?:version )?1 0", r"mpl 1 0"),
     ("mpl-1.1", "mozilla|mpl", r"(?:mozilla public license|mpl) (?:version )?1 1", r"mpl 1 1"),
     ("mpl-2.0", "mozilla|mpl", r"(?:mozilla public license|mpl) (?:version |v )?2(?: 0)?", r"mpl 2 0"),
@@ -90,7 +90,7 @@ FAMILIES = [
     ("cc-by-nd", "creative commons|cc by", r"(?:creative commons attribution no ?deriv(?:ative)?s|cc by nd)(?: license)?(?: [1234] 0)?", r"cc by nd [1234] 0"),
     ("cc-by-nc-sa", "creative commons|cc by", r"(?:creative commons attribution non ?commercial share ?alike|cc by nc sa)(?: license)?(?: [1234] 0)?", r"cc by nc sa [1234] 0"),
     ("cc-by-nc-nd", "creative commons|cc by", r"(?:creative commons attribution non ?commercial no ?deriv(?:ative)?s|cc by nc nd)(?: license)?(?: [1234] 0)?", r"cc by nc nd [1234] 0"),
-    ("gpl", "gnu", r"gnu (?:general public licen[sc]e|gpl)", r"gpl"),
+    ("gpl", "gnu|gpl*", r"gnu (?:general public licen[sc]e|gpl)", r"gpl"),
     ("lgpl", "gnu|lgpl", r"(?:gnu (?:lesser|library) general public licen[sc]e|gnu lgpl)", r"lgpl"),
     ("apache", "apache", r"apache licen[sc]e", r"apache"),
 ]
