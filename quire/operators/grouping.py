@@ -1,176 +1,188 @@
 """Four ways of putting positioned text together into lines; they differ on purpose and are never merged.
 
-compare_lines is relational. The other three are greedy folds over the items of one page in a given order, so each page
-is one group of an applyInPandas; a page is bounded by what fits on it, not by the corpus."""
+All of them take a page as one row that holds its items (`nested`, or `text_documents.page_words` without a shuffle).
+compare_lines is a column expression. The others place items in an order that matters; they turn a page's items into arrays and
+give a row at a time what belongs to it. A page is bounded by what fits on it, not by the corpus."""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.strings import collapse, half_up
 from ..schema import CELLS, GROUPED_LINES, OCR_LINES
 
 
+def nested(items: DataFrame) -> DataFrame:
+    """(doc_id, page, items): flat items gathered by page, in input order (seq)."""
+    own = [c for c in items.columns if c not in ("doc_id", "page")]
+    rows = items.select("doc_id", "page", F.struct("seq", *(c for c in own if c != "seq")).alias("i"))
+    return rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list("i")).alias("items"))
+
+
+def _pages(items: DataFrame) -> DataFrame:
+    return items.select("doc_id", "page", "items") if "items" in items.columns else nested(items)
+
+
 def compare_lines(items: DataFrame) -> DataFrame:
     """(doc_id, page, y, text): items whose baselines round to the same even number, left to right, joined by a blank."""
-    usable = items.where((F.trim("str") != "") & (F.col("w") > 0))
-    bucket = half_up(F.col("y") / 2) * 2
-    ordered = F.array_sort(F.collect_list(F.struct("x", "seq", "str")))
-    rows = usable.groupBy("doc_id", "page", bucket.cast("bigint").alias("y")).agg(ordered.alias("i"))
-    text = collapse(F.array_join(F.transform("i", lambda s: s["str"]), " "))
+    level = lambda i: (half_up(i["y"] / 2) * 2).cast("bigint")
+    usable = F.filter("items", lambda i: (F.trim(i["str"]) != "") & (i["w"] > 0))
+    rows = _pages(items).select("doc_id", "page", usable.alias("i")).withColumn("y", F.explode(F.array_distinct(F.transform("i", level))))
+    own = F.array_sort(F.transform(F.filter("i", lambda i: level(i) == F.col("y")), lambda i: F.struct(i["x"].alias("x"), i["seq"].alias("seq"), i["str"].alias("str"))))
+    text = collapse(F.array_join(F.transform(own, lambda s: s["str"]), " "))
     return rows.select("doc_id", "page", "y", text.alias("text")).where(F.col("text") != "")
 
 
-def _fold(items: DataFrame, fold, schema) -> DataFrame:
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(fold(pdf), columns=schema.fieldNames()[2:])
-        out.insert(0, "page", key[1])
-        out.insert(0, "doc_id", key[0])
-        return out
+Arrays = dict[str, np.ndarray]
 
-    return items.groupBy("doc_id", "page").applyInPandas(run, schema)
 
+def _by_page(items: DataFrame, make: Callable[[Arrays], list[tuple]], schema: T.StructType) -> DataFrame:
+    """make's rows for each page; it gets the items' fields as arrays, texts as objects."""
+    arrow = to_arrow_schema(schema)
 
-def baseline_lines(items: DataFrame) -> DataFrame:
-    """Lines of items within 2 points of the baseline of the line's first item, in input order; top to bottom, joined
-    without blanks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, rows = batch.column(2), []
+            ends, flat = np.asarray(lists.offsets), lists.values
+            fields = {f.name: flat.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(flat.type)}
+            for k, (doc, page) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                own = {n: v[ends[k] : ends[k + 1]] for n, v in fields.items()}
+                rows += [(doc, page, *r) for r in make(own)]
+            columns = zip(*rows, strict=True) if rows else [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    def fold(pdf: pd.DataFrame) -> list[tuple]:
-        rows: list[tuple[float, list]] = []
-        for it in pdf.sort_values("seq").itertuples():
-            if not it.str:
-                continue
-            home = next((r for r in rows if abs(r[0] - it.y) <= 2), None)
-            if home is None:
-                rows.append(home := (it.y, []))
-            home[1].append(it)
-        out = []
-        for n, (y, line) in enumerate(sorted(rows, key=lambda r: -r[0]), 1):
-            line.sort(key=lambda i: i.x)
-            out.append((n, "".join(i.str for i in line), line[0].x, y))
-        return out
-
-    return _fold(items, fold, GROUPED_LINES)
-
-
-def _key(x: float) -> float:
-    """Column starts are compared in half points."""
-    return math.floor(x * 2 + 0.5) / 2
+    return _pages(items).mapInArrow(run, schema)
 
 
-class _Run:
-    """A piece of text on a row; piece marks part of a run that was cut at a column."""
+def _take(a: Arrays, which: np.ndarray) -> Arrays:
+    return {n: v[which] for n, v in a.items()}
 
-    __slots__ = ("str", "x", "y", "w", "size", "piece")
 
-    def __init__(self, text: str, x: float, y: float, w: float, size: float, piece: bool = False):
-        self.str, self.x, self.y, self.w, self.size, self.piece = text, x, y, w, size, piece
+def baseline_lines(items: DataFrame) -> DataFrame:
+    """Lines of items within 2 points of the baseline of the line's first item, in input order; top to bottom, joined
+    without blanks."""
 
-    @property
-    def right(self) -> float:
-        return self.x + self.w
+    def make(a: Arrays) -> list[tuple]:
+        left = _take(a, np.flatnonzero(a["str"] != ""))
+        lines = []
+        while len(left["y"]):  # the first item left opens a line, and all that is near enough goes with it
+            near = np.abs(left["y"] - left["y"][0]) <= 2
+            line, left = _take(left, near), _take(left, ~near)
+            lines.append((line["y"][0], _take(line, np.argsort(line["x"], kind="stable"))))
+        lines.sort(key=lambda r: -r[0])
+        return [(n, "".join(line["str"]), line["x"][0], y) for n, (y, line) in enumerate(lines, 1)]
 
+    return _by_page(items, make, GROUPED_LINES)
 
-class _Row:
-    def __init__(self, first: _Run):
-        self.runs, self.y, self.size, self.right = [first], first.y, first.size, first.right
 
-    def takes(self, run: _Run) -> bool:
-        near = abs(self.y - run.y) < max(2, max(self.size, run.size) * 0.45)
-        return near and run.x >= self.right - max(2, self.right * 0.25, run.size * 2)
+# Fixed values of the table grouping, in points or shares of the text's size.
+ROW, BACK, WIDE, COLUMN, BLANK, STEP, LEAST_GAP, MOST_BLANKS, SNAP = 0.45, (0.25, 2.0), 1.6, 0.9, 0.12, 0.3, 8.0, 4, 4
 
-    def add(self, run: _Run) -> None:
-        self.runs.append(run)
-        self.y = (self.y + run.y) / 2
-        self.size, self.right = max(self.size, run.size), max(self.right, run.right)
 
+def _start(x: np.ndarray) -> np.ndarray:
+    """Column starts are compared in half points."""
+    return np.floor(x * 2 + 0.5) / 2
+
+
+def _rows(a: Arrays) -> np.ndarray:
+    """The number of each run's row, for runs from left to right. A row that a run fits is about on its baseline and does not
+    reach far beyond its start; of several the one that reaches furthest takes it."""
+    y, size, reach = np.empty(0), np.empty(0), np.empty(0)
+    out = np.empty(len(a["x"]), np.int64)
+    for k, (x1, y1, s1, r1) in enumerate(zip(a["x"], a["y"], a["size"], a["x"] + a["w"], strict=True)):
+        fits = (np.abs(y - y1) < np.maximum(2, np.maximum(size, s1) * ROW)) & (x1 >= reach - np.maximum(max(2, s1 * BACK[1]), reach * BACK[0]))
+        if fits.any():
+            at = out[k] = int(np.where(fits, reach, -np.inf).argmax())
+            y[at], size[at], reach[at] = (y[at] + y1) / 2, max(size[at], s1), max(reach[at], r1)
+        else:
+            out[k] = len(y)
+            y, size, reach = np.append(y, y1), np.append(size, s1), np.append(reach, r1)
+    return out
 
-def _cut(run: _Run, column: float) -> tuple[_Run, _Run] | None:
-    """Two pieces of a run that reaches over a column's start; text goes by its share of the width, at a blank if one is
-    within four characters."""
-    if not run.x + 0.5 < column < run.right - 0.5 or len(run.str) < 2:
-        return None
-    last = len(run.str) - 1
-    at = min(max(math.floor(len(run.str) * (column - run.x) / run.w + 0.5), 1), last)
-    blanks = [p for d in range(5) for p in (at - d, at + d) if 0 <= p <= last and run.str[p] == " "]
-    at = min(max(blanks[0] if blanks else at, 1), last)
-    left, right = run.str[:at].rstrip(" "), run.str[at:].lstrip(" ")
-    if not left or not right:
+
+def _cut_at(text: str, x: float, w: float, column: float) -> int | None:
+    """Where a run that reaches over a column's start is cut: by the share of the width, or at the nearest blank within SNAP
+    characters of that; None if the column is at an edge or a side would be blank."""
+    if not x + 0.5 < column < x + w - 0.5 or len(text) < 2:
         return None
-    return _Run(left, run.x, run.y, max(1, column - run.x), run.size, True), _Run(right, column, run.y, max(1, run.right - column), run.size, True)
-
-
-def _pieces(run: _Run, columns: list[float]) -> list[_Run]:
-    for c in columns:
-        if halves := _cut(run, c):
-            return _pieces(halves[0], columns) + _pieces(halves[1], columns)
-    return [run]
-
-
-def _cell(runs: list[_Run]) -> tuple:
-    """text, x, y, w, h, size of adjoining runs; gaps become one to four blanks."""
-    x, size = min(r.x for r in runs), max(r.size for r in runs)
-    text, edge = "", x
-    for r in runs:
-        gap = r.x - edge
-        if text and gap > max(1, r.size * 0.12):
-            text += " " * min(4, max(1, math.floor(gap / max(1, r.size * 0.3) + 0.5)))
-        text += r.str
-        edge = max(edge, r.right)
-    return text, x, min(r.y for r in runs) - size * 0.3, max(r.right for r in runs) - x, size * 1.2, size
-
-
-def _cells_of_page(runs: list[_Run]) -> list[tuple]:
-    rows: list[_Row] = []
-    for run in sorted(runs, key=lambda r: r.x):
-        fits = [r for r in rows if r.takes(run)]
-        if fits:
-            max(fits, key=lambda r: r.right).add(run)  # the row that reaches furthest right
+    last = len(text) - 1
+    middle = int(np.clip(np.floor(len(text) * (column - x) / w + 0.5), 1, last))
+    blanks = [(abs(p - middle), p) for p in range(max(0, middle - SNAP), min(last, middle + SNAP) + 1) if text[p] == " "]
+    at = max(1, min(blanks)[1]) if blanks else middle
+    return at if text[:at].rstrip(" ") and text[at:].lstrip(" ") else None
+
+
+def _pieces(text: str, x: float, y: float, w: float, size: float, columns: np.ndarray) -> list[tuple]:
+    """(text, x, y, w, size, is a piece) of a run, cut at the columns that it reaches over."""
+    todo, out = [(text, x, w, False)], []
+    while todo:
+        t, x0, w0, piece = todo.pop()
+        cut = next(((c, at) for c in columns if (at := _cut_at(t, x0, w0, c)) is not None), None)
+        if cut is None:
+            out.append((t, x0, y, w0, size, piece))
         else:
-            rows.append(_Row(run))
-    seen: dict[float, set[int]] = {}
-    for n, row in enumerate(rows):
-        for run in row.runs:
-            seen.setdefault(_key(run.x), set()).add(n)
-    columns = {k for k, where in seen.items() if len(where) >= (3 if len(rows) >= 3 else 2)}
+            c, at = cut
+            todo += [(t[at:].lstrip(" "), c, max(1.0, x0 + w0 - c), True), (t[:at].rstrip(" "), x0, max(1.0, c - x0), True)]
+    return out
+
+
+def _cell_text(text: np.ndarray, x: np.ndarray, right: np.ndarray, size: np.ndarray) -> str:
+    """Adjoining runs as one text; gaps become one to four blanks."""
+    edge = np.maximum(np.r_[x.min(), np.maximum.accumulate(right)[:-1]], x.min())
+    gap = x - edge
+    blanks = np.clip(np.floor(gap / np.maximum(1, size * STEP) + 0.5), 1, MOST_BLANKS).astype(int)
+    blanks[gap <= np.maximum(1, size * BLANK)] = 0
+    return "".join(" " * b * bool(k) + t for k, (b, t) in enumerate(zip(blanks.tolist(), text, strict=True)))
+
+
+def _cells(a: Arrays) -> list[tuple]:
+    a = _take(a, np.array([bool(s.strip()) for s in a["str"]], bool) & (a["w"] > 0))
+    a = _take(a, np.argsort(a["x"], kind="stable"))
+    if not len(a["x"]):
+        return []
+    row = _rows(a)
+    starts = _start(a["x"])
+    keys, counts = np.unique(np.unique(np.stack([starts, row], 1), axis=0)[:, 0], return_counts=True)
+    columns = keys[counts >= (3 if row.max() >= 2 else 2)]
     out = []
-    for n, row in enumerate(rows):
-        own = sorted(columns & {_key(r.x) for r in row.runs})
-        ordered = sorted((p for r in row.runs for p in _pieces(r, own)), key=lambda r: r.x)
-        groups: list[tuple[list[_Run], bool, float]] = []
-        edge = 0.0
-        for run in ordered:
-            starts = _key(run.x) in columns or run.piece
-            gap = run.x - edge
-            wide = gap > max(8, run.size * 1.6)
-            column = starts and gap > max(8, run.size * 0.9)
-            beside = bool(groups) and (run.piece or groups[-1][0][-1].piece) and gap < max(8, run.size * 1.6)
-            if not groups:
-                groups.append(([run], False, 0.0))
-                edge = run.right
-            elif wide or column or beside:
-                groups.append(([run], starts, max(0.0, gap)))
-                edge = run.right
+    for n in range(int(row.max()) + 1):
+        own = np.flatnonzero(row == n)
+        here = np.intersect1d(columns, starts[own])
+        parts = [p for k in own for p in _pieces(*(a[c][k] for c in ("str", "x", "y", "w", "size")), here)]
+        parts.sort(key=lambda p: p[1])
+        text, (x, y, w, size) = np.array([p[0] for p in parts], object), np.array([p[1:5] for p in parts], float).T
+        piece, right = np.array([p[5] for p in parts], bool), x + w
+        known = np.isin(_start(x), columns) | piece
+        breaks, gaps, edge = [0], [0.0], right[0]
+        for k in range(1, len(parts)):
+            gap = x[k] - edge
+            near = max(LEAST_GAP, size[k] * WIDE)
+            if gap > near or known[k] and gap > max(LEAST_GAP, size[k] * COLUMN) or (piece[k] or piece[k - 1]) and gap < near:
+                breaks.append(k)
+                gaps.append(max(0.0, gap))
+                edge = right[k]
             else:
-                groups[-1][0].append(run)
-                edge = max(edge, run.right)
-        for k, (members, cell, gap) in enumerate(groups, 1):
-            out.append((n + 1, k, *_cell(members), cell, gap))
+                edge = max(edge, right[k])
+        least = lambda v: np.minimum.reduceat(v, breaks)
+        most = lambda v: np.maximum.reduceat(v, breaks)
+        x0, tall = least(x), most(size)
+        boxes = np.stack([x0, least(y) - tall * 0.3, most(right) - x0, tall * 1.2, tall], 1).tolist()
+        for k, (lo, hi) in enumerate(zip(breaks, [*breaks[1:], len(parts)], strict=True)):
+            out.append((n + 1, k + 1, _cell_text(text[lo:hi], x[lo:hi], right[lo:hi], size[lo:hi]), *boxes[k], bool(k and known[lo]), float(gaps[k])))
     return out
 
 
 def table_cells(items: DataFrame) -> DataFrame:
     """Lines and table cells: rows of items with about one baseline, split at column starts that recur down the page
     and at wide gaps; runs painted over several columns are cut."""
-
-    def fold(pdf: pd.DataFrame) -> list[tuple]:
-        return _cells_of_page([_Run(i.str, i.x, i.y, i.w, i.size) for i in pdf.sort_values("seq").itertuples() if i.str.strip() and i.w > 0])
-
-    return _fold(items, fold, CELLS)
+    return _by_page(items, _cells, CELLS)
 
 
 def recurring_columns(items: DataFrame, rows: str = "y") -> DataFrame:
@@ -182,36 +194,42 @@ def recurring_columns(items: DataFrame, rows: str = "y") -> DataFrame:
     return per.join(total, ["doc_id", "page"]).where(F.col("n") >= F.when(F.col("rows") >= 3, 3).otherwise(2)).select("doc_id", "page", "column", "n")
 
 
+#: How near the middles of a row's words are, and how wide a gap a blank stands for, in word heights.
+OCR_ROW, OCR_BLANK = 0.6, 0.18
+
+
 def ocr_lines(words: DataFrame, least: float = 45.0) -> DataFrame:
     """Recognised words as lines: rows by the middles of the words' boxes, words left to right, a blank where the gap
     is over 0.18 of the row's median word height; a line is as sure as its least sure word and goes below `least`."""
 
-    def fold(pdf: pd.DataFrame) -> list[tuple]:
-        rows: list[dict] = []
-        for w in sorted(pdf.sort_values("seq").itertuples(), key=lambda w: (w.y0 + w.y1, w.x0)):
-            middle, tall = (w.y0 + w.y1) / 2, max(1.0, w.y1 - w.y0)
-            row = next((r for r in rows if abs(middle - r["middle"]) < max(r["tall"], tall) * 0.6), None)
-            if row is None:
-                rows.append(row := {"middle": middle, "tall": tall, "words": []})
-            row["words"].append(w)
-            row["middle"] += (middle - row["middle"]) / len(row["words"])
-            row["tall"] = max(row["tall"], tall)
-        out = []
-        for row in rows:
-            line = sorted(row["words"], key=lambda w: w.x0)
-            heights = sorted(w.y1 - w.y0 for w in line)
-            blank = (heights[len(heights) // 2] or 10) * 0.18
-            text, edge = "", -math.inf
-            for w in line:
-                text += (" " if text and w.x0 - edge > blank else "") + w.text
-                edge = max(edge, w.x1)
-            box = min(w.x0 for w in line), min(w.y0 for w in line), edge, max(w.y1 for w in line)
-            sure = min(w.confidence for w in line)
-            if sure >= least and text.strip():
-                out.append((text, *box, sure))
-        return [(n, *line) for n, line in enumerate(sorted(out, key=lambda r: r[2]), 1)]
-
-    return _fold(words, fold, OCR_LINES)
+    def make(a: Arrays) -> list[tuple]:
+        left = _take(a, np.lexsort((a["x0"], a["y0"] + a["y1"])))
+        lines = []
+        while len(left["x0"]):  # one row at a time: its mean middle and its height grow with the words that it takes
+            middles, heights = (left["y0"] + left["y1"]) / 2, np.maximum(1.0, left["y1"] - left["y0"])
+            tallest = np.maximum.accumulate(heights[::-1])[::-1]
+            took = np.zeros(len(middles), bool)
+            middle, tall, n = middles[0], heights[0], 0
+            for k in range(len(middles)):
+                if middles[k] - middle >= max(tall, tallest[k]) * OCR_ROW:
+                    break  # words come from the top down, and none of the rest is tall enough
+                if abs(middles[k] - middle) < max(tall, heights[k]) * OCR_ROW:
+                    took[k] = True
+                    n += 1
+                    middle, tall = middle + (middles[k] - middle) / n, max(tall, heights[k])
+            line, left = _take(left, took), _take(left, ~took)
+            line = _take(line, np.argsort(line["x0"], kind="stable"))
+            blank = (np.sort(line["y1"] - line["y0"])[n // 2] or 10.0) * OCR_BLANK
+            edge = np.maximum.accumulate(line["x1"])
+            apart = np.r_[False, line["x0"][1:] - edge[:-1] > blank]
+            text = ""
+            for word, gap in zip(line["text"], apart.tolist(), strict=True):
+                text += " " * bool(gap and text) + word
+            lines.append((text, line["x0"].min(), line["y0"].min(), edge[-1], line["y1"].max(), line["confidence"].min()))
+        kept = sorted((r for r in lines if r[5] >= least and r[0].strip()), key=lambda r: r[2])
+        return [(k, *r) for k, r in enumerate(kept, 1)]
+
+    return _by_page(words, make, OCR_LINES)
 
 
 def median_height(words: DataFrame) -> DataFrame:

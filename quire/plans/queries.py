@@ -365,31 +365,42 @@ def keyword_lists(spark, sf_dir):
 
 @query(f"""WITH {LINES} SELECT doc_id, page, CAST(floor(y / 2 + 0.5) * 2 AS BIGINT) AS y, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS text FROM lines WHERE trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') <> ''""")
 def group_lines_compare(spark, sf_dir):
-    """WIN3: words put together again."""
-    return grouping.compare_lines(src.words(docs(spark, sf_dir)))
+    """WIN3: words put together again, from baselines that go up and down within a line."""
+    return grouping.compare_lines(fixtures.jittered(src.page_words(docs(spark, sf_dir))))
 
 
-@query(f"""WITH {LINES}, t AS (SELECT doc_id, page, y, replace(text, ' ', '') AS text, 50.0::DOUBLE + 7.0 * (length(text) - length(ltrim(text, ' '))) AS x FROM lines WHERE replace(text, ' ', '') <> '')
-SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY y DESC) AS line_no, text, x, y FROM t""")
+@query(f"""WITH {LINES}, t AS (SELECT doc_id, page, y, replace(text, ' ', '') AS text, length(text) - length(ltrim(text, ' ')) AS k FROM lines WHERE replace(text, ' ', '') <> '')
+SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY y DESC) AS line_no, text, 50.0::DOUBLE + 7.0::DOUBLE * k AS x, y + (k % 3 - 1)::DOUBLE * 0.9::DOUBLE AS y FROM t""")
 def group_lines_core(spark, sf_dir):
-    """WIN2: baselines 20 points apart never meet, so each line's words come back joined without blanks."""
-    return grouping.baseline_lines(src.words(docs(spark, sf_dir)))
+    """WIN2: words up to 1.8 points off their line's first one come back joined without blanks."""
+    return grouping.baseline_lines(fixtures.jittered(src.page_words(docs(spark, sf_dir))))
 
 
-@query()
+WORDS_SQL = f"""{LINES}, q AS (SELECT doc_id, page, line_no, y, string_split(text, ' ') AS parts FROM lines), k AS (SELECT *, unnest(parts) AS str, unnest(range(len(parts))) AS k FROM q),
+words AS (SELECT doc_id, page, line_no, k, y, str, 7.0::DOUBLE * length(str) AS w, 50.0::DOUBLE + 7.0::DOUBLE * (CASE WHEN k = 0 THEN 0 ELSE length(array_to_string(parts[1:k], ' ')) + 1 END) AS x FROM k WHERE str <> '')"""
+
+
+@query(f"""WITH {WORDS_SQL}, starts AS (SELECT doc_id, page, x FROM words GROUP BY doc_id, page, x
+  HAVING count(DISTINCT line_no) >= (SELECT CASE WHEN count(DISTINCT v.line_no) >= 3 THEN 3 ELSE 2 END FROM words v WHERE v.doc_id = words.doc_id AND v.page = words.page)),
+a AS (SELECT w.*, s.x IS NOT NULL AS known, w.x - lag(w.x + w.w) OVER l AS gap, min(w.x) OVER (PARTITION BY w.doc_id, w.page, w.line_no) AS least
+  FROM words w LEFT JOIN starts s ON w.doc_id = s.doc_id AND w.page = s.page AND w.x = s.x WINDOW l AS (PARTITION BY w.doc_id, w.page, w.line_no ORDER BY w.k)),
+b AS (SELECT *, CAST(gap IS NULL OR gap > 22.4::DOUBLE OR known AND gap > 12.6::DOUBLE AS INTEGER) AS opens FROM a),
+c AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, page, line_no ORDER BY k) AS cell_seq, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY least, line_no) AS row_seq FROM b)
+SELECT doc_id, page, row_seq, CAST(cell_seq AS BIGINT) AS cell_seq, string_agg(CASE WHEN opens = 1 THEN '' ELSE repeat(' ', least(4, CAST(floor(gap / 4.2::DOUBLE + 0.5::DOUBLE) AS INTEGER))) END || str, '' ORDER BY k) AS text,
+  min(x) AS x, any_value(y) - 14.0::DOUBLE * 0.3::DOUBLE AS y, max(x + w) - min(x) AS w, 14.0::DOUBLE * 1.2::DOUBLE AS h, 14.0::DOUBLE AS size,
+  arg_min(known, k) AND cell_seq > 1 AS cell, CASE WHEN cell_seq > 1 THEN arg_min(gap, k) ELSE 0.0::DOUBLE END AS gap_before
+FROM c GROUP BY doc_id, page, row_seq, cell_seq""")
 def group_cells(spark, sf_dir):
-    """WIN4 and WIN5."""
-    return grouping.table_cells(src.words(docs(spark, sf_dir)))
+    """WIN4, WIN5 and WIN7: cells start at wide gaps, and past a gap of 0.9 sizes at columns that recur."""
+    return grouping.table_cells(src.page_words(docs(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH {WORDS_SQL}, o AS (SELECT *, (line_no * 4294967296 + k) % 17 = 0 AS unsure, (k % 3)::DOUBLE AS bump FROM words),
+t AS (SELECT doc_id, page, line_no, string_agg(str, ' ' ORDER BY k) AS text, min(x) AS x0, min(800::DOUBLE - y - 10::DOUBLE + bump * 1.5::DOUBLE) AS y0, max(x + w) AS x1, max(800::DOUBLE - y + bump / 2) AS y1, bool_or(unsure) AS unsure FROM o GROUP BY doc_id, page, line_no)
+SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0) AS line_no, text, x0, y0, x1, y1, 90.0::DOUBLE AS confidence FROM t WHERE NOT unsure""")
 def group_lines_ocr(spark, sf_dir):
-    """WIN6 over words as a recogniser would give them."""
-    return grouping.ocr_lines(fixtures.ocr_words(src.words(docs(spark, sf_dir))))
-
-
-WORDS_SQL = f"""{LINES}, q AS (SELECT doc_id, page, line_no, y, string_split(text, ' ') AS parts FROM lines), k AS (SELECT *, unnest(parts) AS str, unnest(range(len(parts))) AS k FROM q),
-words AS (SELECT doc_id, page, y, str, 50.0::DOUBLE + 7.0 * (CASE WHEN k = 0 THEN 0 ELSE length(array_to_string(parts[1:k], ' ')) + 1 END) AS x FROM k WHERE str <> '')"""
+    """WIN6, AGG8 and AGG9 over words as a recogniser would give them, their middles up to 2 points apart in a line."""
+    return grouping.ocr_lines(fixtures.ocr_words(src.page_words(docs(spark, sf_dir))))
 
 
 @query(f"""WITH {WORDS_SQL}, n AS (SELECT doc_id, page, floor(x * 2 + 0.5) / 2 AS "column", count(DISTINCT y) AS n FROM words GROUP BY ALL), r AS (SELECT doc_id, page, count(DISTINCT y) AS rows FROM words GROUP BY ALL)

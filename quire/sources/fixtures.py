@@ -7,18 +7,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import RASTERS
+from .text_documents import WORDS_A_LINE
 
 RASTER_W, RASTER_H = 96, 48
 
 
-def ocr_words(items: DataFrame) -> DataFrame:
-    """Text items as recognised words, y down, with heights that differ by word and every 17th word unsure."""
-    bump = F.col("seq") % 3
-    return items.select("doc_id", "page", "seq", F.col("str").alias("text"), F.col("x").alias("x0"), (F.col("x") + F.col("w")).alias("x1"), (800 - F.col("y") - 10 + bump).alias("y0"), (800 - F.col("y") + bump / 2).alias("y1"), F.when(F.col("seq") % 17 == 0, 30.0).otherwise(90.0).alias("confidence"))
+def _word_no(item: Column) -> Column:
+    return item["seq"] % WORDS_A_LINE
+
+
+def jittered(pages: DataFrame) -> DataFrame:
+    """Pages of items whose baselines go up and down by 0.9 points from word to word."""
+    return pages.withColumn("items", F.transform("items", lambda i: i.withField("y", i["y"] + (_word_no(i) % 3 - 1) * F.lit(0.9))))
+
+
+def ocr_words(pages: DataFrame) -> DataFrame:
+    """Items as recognised words, y down, with heights and places that differ by word and every 17th word unsure."""
+    bump = lambda i: (_word_no(i) % 3).cast("double")
+    word = lambda i: F.struct(
+        i["seq"].alias("seq"), i["str"].alias("text"), i["x"].alias("x0"), (i["x"] + i["w"]).alias("x1"), (800 - i["y"] - 10 + bump(i) * 1.5).alias("y0"), (800 - i["y"] + bump(i) / 2).alias("y1"),
+        F.when(i["seq"] % 17 == 0, 30.0).otherwise(90.0).alias("confidence"),
+    )
+    return pages.select("doc_id", "page", F.transform("items", word).alias("items"))
 
 
 def pdf_items(lines: DataFrame) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +35,54 @@ def page_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.where(F.col(text).isNotNull()).select("doc_id", F.posexplode(pages).alias("pos", "text")).select("doc_id", (F.col("pos") + 1).cast("bigint").alias("page"), "text")
 
 
+def _word_pages(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(doc_id, page, items) of (doc_id, text), by array operations over all texts of a batch."""
+    at = lambda lists: np.asarray(lists.offsets).astype(np.int64)
+    lines = pc.split_pattern(batch.column(1), "\n")
+    words = pc.split_pattern(lines.flatten(), " ")
+    ends = at(lines)
+    doc = np.repeat(np.arange(len(lines)), np.diff(ends))
+    pos = np.arange(len(doc)) - ends[doc]
+    first = at(words)
+    line = np.repeat(np.arange(len(words)), np.diff(first))
+    flat = words.flatten()
+    size = pc.utf8_length(flat).to_numpy().astype(np.int64)
+    before = np.cumsum(size + 1) - (size + 1)  # characters of all words further left, with a blank behind each
+    place, k = before - before[np.minimum(first[line], max(0, len(before) - 1))], np.arange(len(line)) - first[line]
+    used = np.flatnonzero(size > 0)
+    line, place, k, size = line[used], place[used], k[used], size[used]
+    page_no = pos // PAGE_LINES
+    opens = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (page_no[1:] != page_no[:-1])]) if len(doc) else np.empty(0, np.int64)
+    offsets = np.searchsorted(line, np.r_[opens, len(doc)]).astype(np.int32)
+    row = pos % PAGE_LINES
+    columns = [
+        pa.array((row[line] + 1) * WORDS_A_LINE + k), flat.take(pa.array(used)), pa.array(LEFT + ADVANCE * place), pa.array(TOP - LEADING * row[line]), pa.array(ADVANCE * size), pa.array(np.full(len(line), SIZE)),
+    ]
+    items = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, names=["seq", "str", "x", "y", "w", "size"]))
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[opens])), pa.array(page_no[opens] + 1), items], names=["doc_id", "page", "items"])
+
+
+#: seq counts the words of a page's lines from this many times the line's number on.
+WORDS_A_LINE = 1 << 32
+#: Characters of text that are turned into arrays at once; a longer text by itself.
+SLICE = 2_000_000
+
+
+def page_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, page, items): the text items of each page, one per word of each line, placed by its character offset. A
+    document's pages come out of its own row: no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64)) // SLICE
+            cuts = np.flatnonzero(np.r_[True, sizes[1:] != sizes[:-1]]) if len(sizes) else []
+            for a, b in zip(cuts, [*cuts[1:], len(sizes)], strict=True):
+                yield _word_pages(batch.slice(a, b - a))
+
+    rows = docs.where(F.col(text).isNotNull()).select("doc_id", F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, page bigint, items array<struct<seq:bigint,str:string,x:double,y:double,w:double,size:double>>")
+
+
 def words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """A text item per word of each line, placed by its character offset."""
-    row = lines(docs, text)
-    parts = F.split("text", " ")
-    item = row.select("*", F.posexplode(parts).alias("k", "str"), parts.alias("parts"))
-    before = F.coalesce(F.length(F.array_join(F.slice("parts", F.lit(1), F.col("k")), " ")), F.lit(0)) + F.when(F.col("k") > 0, 1).otherwise(0)
-    out = item.withColumn("at", before).where(F.col("str") != "")
-    return out.select("doc_id", "page", (F.col("line_no") * 10_000 + F.col("k")).alias("seq"), "str", (F.col("x") + F.col("at") * F.lit(ADVANCE)).alias("x"), "y", (F.length("str") * F.lit(ADVANCE)).alias("w"), "size")
+    """The items of page_words as rows."""
+    return page_words(docs, text).select("doc_id", "page", F.inline("items"))
