@@ -60,6 +60,18 @@ def overlaps(ax: Column, ay: Column, aw: Column, ah: Column, bx: Column, by: Col
     return (ax < bx + bw) & (ax + aw > bx) & (ay < by + bh) & (ay + ah > by)
 
 
+def advance(text: Column, widths: Column, size: Column, missing: float = 500.0) -> Column:
+    """How far a line moves on: its characters' widths in thousandths of the size, from a map."""
+    each = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.coalesce(F.try_element_at(widths, c), F.lit(missing)))
+    return F.aggregate(each, F.lit(0.0), lambda a, w: a + w) / 1000 * size
+
+
+def placed(x: Column, w: Column, h: Column, width: Column, most: Column) -> tuple[Column, Column, Column]:
+    """(x, w, h) of something put on a page: at most `most` wide, in its own proportions, within the page's width."""
+    own = F.least(w, most)
+    return F.greatest(F.lit(0.0), F.least(width - own, x)), own, F.when(w == 0, F.lit(0.0)).otherwise(own * h / w)
+
+
 def luminance(r: Column, g: Column, b: Column) -> Column:
     """Rec. 709 luminance."""
     return 0.2126 * r + 0.7152 * g + 0.0722 * b

@@ -100,6 +100,18 @@ def fill_fields(fields: DataFrame, values: DataFrame) -> DataFrame:
     return joined.select("doc_id", "name", "kind", F.when(bad | new.isNull(), F.col("value")).otherwise(new).alias("value"), F.when(bad, F.concat(F.lit("not a value of "), "name")).alias("error"))
 
 
+def from_ocr(lines: DataFrame, pw: float, ph: float, scale: float) -> DataFrame:
+    """Recognised lines (pixels, y down) as editable texts on a page of pw by ph points; texts of under 3 points either way
+    are left out, sizes go from 5 to 40."""
+    zero = F.lit(0.0)
+    x = F.greatest(zero, F.least("x0", "x1") / scale)
+    y = F.greatest(zero, ph - F.greatest("y0", "y1") / scale)
+    w, h = F.least(pw - x, F.abs(F.col("x1") - F.col("x0")) / scale), F.least(ph - y, F.abs(F.col("y1") - F.col("y0")) / scale)
+    rest = [c for c in lines.columns if c not in ("x0", "y0", "x1", "y1")]
+    out = lines.select(*rest, F.lit("edit").alias("type"), x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"), F.greatest(F.lit(5.0), F.least(F.lit(40.0), h * 0.85)).alias("size"))
+    return out.where("w >= 3 AND h >= 3")
+
+
 def unique_names(fields: DataFrame) -> DataFrame:
     """New widgets' names: the second and later of a name get _2, _3 and so on."""
     nth = F.row_number().over(Window.partitionBy("doc_id", "name").orderBy("seq"))

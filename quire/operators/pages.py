@@ -55,6 +55,18 @@ def rotate(pages: DataFrame, angle: int, spec: str = "") -> DataFrame:
     return with_count(pages).withColumn("rot", F.when(selected(F.col("page"), F.col("n"), spec), turned).otherwise(F.col("rot"))).drop("n")
 
 
+def of_sources(pages: DataFrame, sources: DataFrame) -> DataFrame:
+    """pages with the columns of their source (doc_id, src, ...); pages of a source that is not there are left out."""
+    return pages.join(sources, ["doc_id", "src"])
+
+
+def one_per_file(pages: DataFrame, stem: Column) -> DataFrame:
+    """Each page as a document of its own, with the name of its file: <stem>-p<page>.pdf, three digits at least."""
+    number = F.col("page").cast("string")
+    number = F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)
+    return pages.withColumn("file", F.concat(stem, F.lit("-p"), number, F.lit(".pdf"))).withColumn("pos", F.lit(1).cast("bigint"))
+
+
 def delete(pages: DataFrame, spec: str) -> DataFrame:
     """What is left without the selected pages, renumbered in pos."""
     left = with_count(pages).where(~F.array_contains(parse_ranges(F.lit(spec), F.col("n")), F.col("page") - 1)).drop("n")

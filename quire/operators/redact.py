@@ -47,13 +47,14 @@ def coverage(lines: DataFrame, rects: list[Rect]) -> DataFrame:
 
 def coverage_by(lines: DataFrame, rects: DataFrame) -> DataFrame:
     """The same against a table of rectangles (doc_id, page, rx, ry, rw, rh): an equi-join on the page with the
-    ranges as its residue, then the strongest class of each line."""
-    here = lines.join(rects, ["doc_id", "page"], "left")
+    ranges as its residue, then the strongest class of each line. What cannot be compared counts as covered."""
+    here = lines.join(rects.withColumn("_there", F.lit(True)), ["doc_id", "page"], "left")
     left, right = F.col("x"), F.col("x") + F.col("w")
     low, high = F.col("y") - F.col("size") * 0.25, F.col("y") + F.col("size") * 0.85
     x0, y0, x1, y1 = F.col("rx"), F.col("ry"), F.col("rx") + F.col("rw"), F.col("ry") + F.col("rh")
-    touch = (left < x1) & (right > x0) & (low < y1) & (high > y0)
-    full = touch & (left >= x0 - SLACK) & (right <= x1 + SLACK) & (low >= y0 - SLACK) & (high <= y1 + SLACK)
+    sure = lambda c: F.coalesce(c, F.lit(True))
+    touch = F.col("_there").isNotNull() & sure((left < x1) & (right > x0) & (low < y1) & (high > y0))
+    full = touch & sure((left >= x0 - SLACK) & (right <= x1 + SLACK) & (low >= y0 - SLACK) & (high <= y1 + SLACK))
     strength = F.when(full, 2).when(touch, 1).otherwise(0)
     best = here.groupBy("doc_id", "page", "line_no").agg(F.max(strength).alias("s"))
     return best.select("doc_id", "page", "line_no", F.element_at(F.array(F.lit("none"), F.lit("partial"), F.lit("full")), F.col("s") + 1).alias("coverage"))
@@ -76,11 +77,12 @@ def covered_report(marked: DataFrame, on_partial: str = "refuse") -> DataFrame:
 
 
 def redacted_pages(marked: DataFrame, report: DataFrame | None = None) -> DataFrame:
-    """(doc_id, page, text) of what is left; with a report only of documents that passed or had nothing to redact."""
-    left = marked.where(F.col("coverage") != "full")
+    """(doc_id, page, text) of what is left, a page without any line left being empty; with a report only of documents
+    that passed or had nothing to redact."""
+    left = marked
     if report is not None:
-        left = left.join(report.where(F.col("exit_code") != 3).select("doc_id"), "doc_id", "left_semi")
-    lines = F.array_sort(F.collect_list(F.struct("line_no", "text")))
+        left = left.join(report.where(F.col("exit_code").isin(0, 2)).select("doc_id"), "doc_id", "left_semi")
+    lines = F.array_sort(F.collect_list(F.when(F.col("coverage") != "full", F.struct("line_no", "text"))))
     return left.groupBy("doc_id", "page").agg(F.array_join(F.transform(lines, lambda s: s["text"]), "\n").alias("text"))
 
 
@@ -114,9 +116,76 @@ def verification(checks: DataFrame) -> DataFrame:
     return out.select("doc_id", "strings", word("b").alias("byte_scan"), word("e").alias("extraction"), (~F.col("b") & ~F.col("e")).alias("pass"))
 
 
-def gate(output: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Output of documents whose verification did not fail; the one table that may be written."""
-    return output.join(verdicts.where(~F.col("pass")).select("doc_id"), "doc_id", "left_anti")
+def gate(output: DataFrame, verdicts: DataFrame, report: DataFrame) -> DataFrame:
+    """The one table that may be written: output of documents that the report lets pass (exit code 0) and whose
+    verification passed, and of those with nothing to redact (2). A document without a report, or without the verdict
+    that it needs, is not written."""
+    proved = report.where(F.col("exit_code") == 0).select("doc_id").join(verdicts.where("pass").select("doc_id"), "doc_id", "left_semi")
+    return output.join(proved.unionByName(report.where(F.col("exit_code") == 2).select("doc_id")), "doc_id", "left_semi")
+
+
+def recoverable(output: DataFrame, covered: DataFrame) -> DataFrame:
+    """(doc_id, covered, recoverable): is a covered string still to be found in a document's output (doc_id, text)?
+
+    Strings are compared with white space collapsed. One of four characters or more counts wherever it stands: in the
+    text, in it without blanks or collapsed, in any byte form, in a form's hexadecimal digits, or behind backslash escapes. A
+    shorter one counts as a whole word or as a whole string of the file, '(...)' or '<...>'. A missing document
+    is empty, an unreadable one is no proof."""
+    strings = covered.select("doc_id", collapse(F.col("covered")).alias("covered")).where(F.col("covered") != "").distinct()
+    both = strings.join(output.withColumn("_there", F.lit(True)), "doc_id", "left")
+    body, s = F.when(F.col("_there").isNull(), F.lit("")).otherwise(F.col("text")), F.col("covered")
+    plain, hay = collapse(body), F.encode(body, "UTF-8")
+    digits = F.lower(body)
+    unescaped = F.regexp_replace(F.regexp_replace(body, r"\\\r?\n", ""), r"\\(.)", "$1")
+    long = F.contains(body, s) | F.contains(plain, s) | F.contains(F.regexp_replace(body, r"\s+", ""), s) | F.contains(unescaped, s)
+    for form in encoded(s).values():
+        long = long | F.coalesce(F.contains(hay, form) | F.contains(digits, F.lower(F.hex(form))), F.lit(False))
+    word = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), s, F.lit(r"\E(?![\p{L}\p{N}_])"))
+    short = F.regexp_count(body, word) + F.regexp_count(plain, word) > 0
+    short = short | F.contains(body, F.concat(F.lit("("), s, F.lit(")"))) | F.contains(digits, F.concat(F.lit("<"), F.lower(F.hex(F.encode(s, "UTF-8"))), F.lit(">")))
+    return both.select("doc_id", "covered", F.coalesce(F.when(F.length(s) >= 4, long).otherwise(short), F.lit(True)).alias("recoverable"))
+
+
+# Why a page is refused. Three of them name what was met.
+REFUSALS = {
+    "bad_fonts": "page uses Type0/Type3 font(s) ({}); text set in these fonts cannot be decoded, so complete removal cannot be verified",
+    "inline_images": "page contains inline images (BI…EI operators); inline image pixels cannot be losslessly edited, so complete removal cannot be verified",
+    "patterns": "page uses /Pattern resources; pattern content can carry text the engine does not parse, so complete removal cannot be verified",
+    "unrecognized": "page contains text the engine cannot decode (missing font or undecodable bytes); complete removal cannot be verified",
+    "nested_images": "image XObject nested inside a Form XObject; pixel redaction is implemented for page-level image XObjects only, so complete removal cannot be verified",
+    "image_problem": "image XObject could not be pixel-redacted ({}); complete removal cannot be verified",
+    "form_problem": "Form XObject text could not be recursively verified and redacted (possible causes: nesting deeper than 8 levels, a reference cycle, an image XObject inside the Form, or a non-invertible font inside the Form); complete removal cannot be verified",
+}
+NO_CONTENT, NO_COVERAGE = "no content streams on page", "no fully-covered invertible text lines (partially covered lines are left intact by design)"
+
+
+def page_refusals(features: DataFrame, covered: DataFrame) -> DataFrame:
+    """(doc_id, page, reason, unprovable): the first of the stages, in the order of REFUSALS, that a page does not pass; pages that
+    pass have no row.
+
+    features: a row per page with has_content and one column per stage, booleans or, for bad_fonts and image_problem, what was
+    met (null or empty: nothing). A null boolean is unknown and refuses. covered: (doc_id, page, covered_lines). A page
+    without content, or with nothing to delete, is skipped: not redacted, but nothing unprovable about it."""
+
+    def stage(name: str, text: str) -> Column:
+        c = F.col(name)
+        if "{}" in text:
+            before, after = text.split("{}")
+            return F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(before), c, F.lit(after)))
+        return F.when(F.coalesce(c, F.lit(True)), F.lit(text))
+
+    first = F.coalesce(*(stage(n, t) for n, t in REFUSALS.items()))
+    rows = features.join(covered, ["doc_id", "page"], "left").withColumn("_refusal", F.when(F.coalesce("has_content", F.lit(True)), first))
+    nothing = F.when(~F.coalesce("has_content", F.lit(True)), NO_CONTENT).when(F.coalesce("covered_lines", F.lit(0)) == 0, NO_COVERAGE)
+    return rows.select("doc_id", "page", F.coalesce("_refusal", nothing).alias("reason"), F.col("_refusal").isNotNull().alias("unprovable")).where(F.col("reason").isNotNull())
+
+
+def refused_report(report: DataFrame, refusals: DataFrame) -> DataFrame:
+    """covered_report's rows, refused (exit code 3) where a page of the document is unprovable, for the first such
+    page's reason."""
+    bad = refusals.where("unprovable").groupBy("doc_id").agg(F.min_by("reason", "page").alias("_reason"))
+    both, hit = report.join(bad, "doc_id", "left"), F.col("_reason").isNotNull()
+    return both.withColumns({"exit_code": F.when(hit, 3).otherwise(F.col("exit_code")), "pass": F.col("pass") & ~hit, "refusal": F.coalesce("_reason", "refusal")}).drop("_reason")
 
 
 def find_or_rects(lines: DataFrame, query: str, rects: list[Rect]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.strings import occurrences, snippet
+from ..functions.strings import half_up, occurrences, snippet
 from ..sources import text_documents as src
 
 
@@ -45,6 +45,27 @@ def framed(docs: DataFrame, head: str, most: int | None = None, blank: str = "")
     return docs.where(F.col("text").isNotNull()).select("doc_id", (F.substring(whole, 1, most) if most else whole).alias("text"))
 
 
+def plain(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, text) of pages that hold their items: the items' texts in input order, joined by blanks."""
+    return pages.select("doc_id", "page", F.array_join(F.transform("items", lambda i: i["str"]), " ").alias("text"))
+
+
+def info_text(infos: DataFrame) -> DataFrame:
+    """(doc_id, info): document information in lines; sizes in whole points, halves up; no title, no line."""
+    size = F.concat(half_up(F.col("width")).cast("string"), F.lit(" x "), half_up(F.col("height")).cast("string"))
+    return infos.select("doc_id", F.concat_ws("\n", F.concat(F.lit("pages: "), F.col("page_count").cast("string")), F.concat(F.lit("size: "), size), F.concat(F.lit("title: "), "title")).alias("info"))
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """(doc_id, json): the other columns as an object; null ones are left out."""
+    return rows.select("doc_id", F.to_json(F.struct(*(c for c in rows.columns if c != "doc_id"))).alias("json"))
+
+
+def first_of_all(hits: DataFrame, most: int = 501) -> DataFrame:
+    """The first hits of all documents together, in order; each task hands on its own first ones only."""
+    return hits.orderBy("doc_id", "page", "line_no").limit(most)
+
+
 def holds(text: Column, query: str, case_sensitive: bool = False) -> Column:
     return F.contains(text, F.lit(query)) if case_sensitive else F.contains(F.lower(text), F.lit(query.lower()))
 

@@ -266,13 +266,13 @@ def coverage_join(spark, sf_dir):
     return redact.coverage_by(rows, redact.find_rects(rows, "license").drop("line_no"))
 
 
-@query(f"WITH {LINES} SELECT doc_id, page, string_agg(text, chr(10) ORDER BY line_no) AS text FROM lines WHERE NOT contains(lower(text), 'license') GROUP BY doc_id, page")
+@query(f"WITH {LINES} SELECT doc_id, page, coalesce(string_agg(text, chr(10) ORDER BY line_no) FILTER (NOT contains(lower(text), 'license')), '') AS text FROM lines GROUP BY doc_id, page")
 def redact_find(spark, sf_dir):
     """RW5."""
     return redact.redacted_pages(redact.find_or_rects(src.lines(docs(spark, sf_dir)), "license", []))
 
 
-@query(f"WITH {COVER_SQL} SELECT doc_id, page, string_agg(text, chr(10) ORDER BY line_no) AS text FROM marked WHERE coverage <> 'full' GROUP BY doc_id, page")
+@query(f"WITH {COVER_SQL} SELECT doc_id, page, coalesce(string_agg(text, chr(10) ORDER BY line_no) FILTER (coverage <> 'full'), '') AS text FROM marked GROUP BY doc_id, page")
 def redact_rect(spark, sf_dir):
     """RW6, partly covered lines left."""
     return redact.redacted_pages(redact.coverage(src.lines(docs(spark, sf_dir)), RECTS))
@@ -296,7 +296,7 @@ def scrub_metadata(spark, sf_dir):
 # Lines with a needle are taken out of their documents, but for every third document, whose output still has them.
 GATE_SQL = f"""{LINES}, marked AS (SELECT doc_id, page, line_no, text, contains(lower(text), 'license') AS hit FROM lines),
 covered AS (SELECT DISTINCT doc_id, trim(text, ' ') AS covered FROM marked WHERE hit AND trim(text, ' ') <> ''),
-output AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page, line_no) AS text FROM marked WHERE NOT hit OR doc_id % 3 = 0 GROUP BY doc_id),
+output AS (SELECT doc_id, coalesce(string_agg(text, chr(10) ORDER BY page, line_no) FILTER (NOT hit OR doc_id % 3 = 0), '') AS text FROM marked GROUP BY doc_id),
 checks AS (SELECT doc_id, covered, contains(coalesce(text, ''), covered) AS found,
   contains(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), ' '), trim(regexp_replace(covered, '\\s+', ' ', 'g'), ' ')) AS seen FROM covered LEFT JOIN output USING (doc_id)),
 verdicts AS (SELECT doc_id, count(*) AS strings, bool_or(found) AS b, bool_or(seen) AS e FROM checks GROUP BY doc_id)"""
@@ -305,9 +305,9 @@ verdicts AS (SELECT doc_id, count(*) AS strings, bool_or(found) AS b, bool_or(se
 def _gate(spark, sf_dir):
     marked = redact.find_or_rects(src.lines(docs(spark, sf_dir)), "license", [])
     faulty = marked.withColumn("coverage", F.when(F.col("doc_id") % 3 == 0, "none").otherwise(F.col("coverage")))
-    lines = F.array_sort(F.collect_list(F.struct("page", "line_no", "text")))
-    output = faulty.where("coverage <> 'full'").groupBy("doc_id").agg(F.array_join(F.transform(lines, lambda s: s["text"]), "\n").alias("text"))
-    return output, redact.verify(output, redact.covered_strings(marked))
+    lines = F.array_sort(F.collect_list(F.when(F.col("coverage") != "full", F.struct("page", "line_no", "text"))))
+    output = faulty.groupBy("doc_id").agg(F.array_join(F.transform(lines, lambda s: s["text"]), "\n").alias("text"))
+    return output, redact.verify(output, redact.covered_strings(marked)), marked
 
 
 @query(f"""WITH {GATE_SQL} SELECT doc_id, covered, CASE WHEN length(covered) > 160 THEN substr(covered, 1, 160) || '…' ELSE covered END AS shown, found AS utf8, false AS utf16be, false AS utf16be_bom,
@@ -325,8 +325,45 @@ def verify_documents(spark, sf_dir):
 @query(f"WITH {GATE_SQL} SELECT doc_id, text FROM output WHERE doc_id NOT IN (SELECT doc_id FROM verdicts WHERE b OR e)")
 def redact_gate(spark, sf_dir):
     """RW18."""
-    output, checks = _gate(spark, sf_dir)
-    return redact.gate(output, redact.verification(checks))
+    output, checks, marked = _gate(spark, sf_dir)
+    return redact.gate(output, redact.verification(checks), redact.covered_report(marked))
+
+
+@query(f"""WITH {GATE_SQL}, r AS (SELECT DISTINCT doc_id, trim(regexp_replace(covered, '\\s+', ' ', 'g'), ' ') AS covered FROM covered)
+SELECT doc_id, covered, contains(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), covered) AS recoverable FROM r JOIN output USING (doc_id)""")
+def verify_recoverable(spark, sf_dir):
+    """RW17: every byte form, hexadecimal digits and escapes; text documents hold a string as text or not at all."""
+    output, _, marked = _gate(spark, sf_dir)
+    return redact.recoverable(output, redact.covered_strings(marked))
+
+
+FEATURES_SQL = f"""{COVER_SQL}, k AS (SELECT doc_id, page, count(*) FILTER (coverage = 'full') AS covered_lines FROM marked GROUP BY doc_id, page),
+f AS (SELECT *, (doc_id * 7 + page) % 19 AS f FROM k),
+r AS (SELECT doc_id, page, f <> 1 AND f IN (2, 3, 4, 5, 6, 7, 8, 9, 10) AS unprovable, CASE WHEN f = 1 THEN '{redact.NO_CONTENT}' WHEN f = 2 THEN replace('{redact.REFUSALS["bad_fonts"]}', '{{}}', 'F1, F2') WHEN f = 3 THEN '{redact.REFUSALS["inline_images"]}'
+  WHEN f = 4 THEN '{redact.REFUSALS["patterns"]}' WHEN f IN (5, 6) THEN '{redact.REFUSALS["unrecognized"]}' WHEN f = 7 THEN '{redact.REFUSALS["nested_images"]}' WHEN f = 8 THEN replace('{redact.REFUSALS["image_problem"]}', '{{}}', 'no decoder')
+  WHEN f IN (9, 10) THEN '{redact.REFUSALS["form_problem"]}' WHEN covered_lines = 0 THEN '{redact.NO_COVERAGE}' END AS reason FROM f)"""
+
+
+def _refusals(spark, sf_dir):
+    marked = redact.coverage(src.lines(docs(spark, sf_dir)), RECTS)
+    covered = marked.groupBy("doc_id", "page").agg(F.count_if(F.col("coverage") == "full").alias("covered_lines"))
+    return marked, redact.page_refusals(fixtures.page_features(covered.select("doc_id", "page")), covered)
+
+
+@query(f"WITH {FEATURES_SQL} SELECT doc_id, page, reason, unprovable FROM r WHERE reason IS NOT NULL")
+def redact_refusals(spark, sf_dir):
+    """RW7 and RW13: seven ordered stages per page; an unknown feature refuses."""
+    return _refusals(spark, sf_dir)[1]
+
+
+@query(f"""WITH {FEATURES_SQL}, c AS (SELECT doc_id, count(*) FILTER (coverage = 'full') AS covered_lines, count(*) FILTER (coverage = 'partial') AS partial_lines FROM marked GROUP BY doc_id),
+b AS (SELECT doc_id, arg_min(reason, page) AS why FROM r WHERE unprovable GROUP BY doc_id)
+SELECT doc_id, covered_lines, partial_lines, CASE WHEN why IS NOT NULL OR partial_lines > 0 THEN 3 WHEN covered_lines = 0 THEN 2 ELSE 0 END AS exit_code, why IS NULL AND partial_lines = 0 AND covered_lines > 0 AS pass,
+  coalesce(why, CASE WHEN partial_lines > 0 THEN partial_lines || ' line(s) only partly covered' END) AS refusal FROM c LEFT JOIN b USING (doc_id)""")
+def redact_report_refused(spark, sf_dir):
+    """RW7: an unprovable page refuses its whole document."""
+    marked, refusals = _refusals(spark, sf_dir)
+    return redact.refused_report(redact.covered_report(marked), refusals).drop("pages")
 
 
 EDIT_SQL = f"""{LINES}, m AS (SELECT doc_id, (page - 1) * 25 + line_no AS k, text, contains(lower(text), 'license') AS hit FROM lines),
@@ -576,3 +613,6 @@ SELECT conv_id AS doc_id, k AS pos, 'p' || k AS page_id, CASE WHEN k = 1 THEN 90
 def model_replay(spark, sf_dir):
     """2.10: opens, edits that are undone, a rotation, an undo of it and a redo."""
     return model.replay(fixtures.actions(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+from . import object_queries  # noqa: E402, F401  registers more queries

@@ -35,6 +35,17 @@ def ocr_words(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page", F.transform("items", word).alias("items"))
 
 
+def page_features(pages: DataFrame) -> DataFrame:
+    """What a parser would say of each page: every nineteenth page each has one of the things that redaction refuses, or does
+    not know it (null)."""
+    f = (F.col("doc_id") * 7 + F.col("page")) % 19
+    known = lambda k: f == k
+    return pages.select(
+        "doc_id", "page", (f != 1).alias("has_content"), F.when(known(2), "F1, F2").alias("bad_fonts"), known(3).alias("inline_images"), known(4).alias("patterns"), F.when(f != 6, known(5)).alias("unrecognized"),
+        known(7).alias("nested_images"), F.when(known(8), "no decoder").alias("image_problem"), F.when(f != 10, known(9)).alias("form_problem"),
+    )
+
+
 def pdf_items(lines: DataFrame) -> DataFrame:
     """Lines as text items with a text matrix."""
     size = F.col("size")

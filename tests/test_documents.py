@@ -12,7 +12,7 @@ from quire.functions.ranges import bad_part, order_list, parse_ranges, parse_rec
 from quire.functions.strings import collapse, expand_tokens, half_up
 from quire.operators import annots, diff, edit, grouping, leaks, pages, redact, text
 from quire.operators.model import Model
-from quire.schema import OCR_WORDS, TEXT_ITEMS
+from quire.schema import LINES, OCR_WORDS, TEXT_ITEMS
 from quire.sources import text_documents as src
 from quire.sources.paths import resolve_within, split_name
 
@@ -111,7 +111,25 @@ def test_verifier_catches_planted_leaks(spark):
     assert not got[3].present_in_bytes and got[3].present_in_extraction
     assert not got[4].present_in_bytes  # no output at all
     verdict = redact.verification(redact.verify(out, covered))
-    assert {r.doc_id for r in redact.gate(out, verdict).collect()} == {1}
+    report = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 0), (5, 2), (6, 3), (7, 0)], "doc_id bigint, exit_code int")
+    more = out.unionByName(spark.createDataFrame([(5, "a"), (6, "b"), (7, "c"), (8, "d")], out.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")).select(out.columns))
+    # 6 was refused, 7 has no verdict, 8 no report.
+    assert {r.doc_id for r in redact.gate(more, verdict, report).collect()} == {1, 5}
+
+
+def test_recoverable_strings(spark):
+    covered = spark.createDataFrame([(k, "hunter2") for k in range(6)] + [(6, "ab"), (7, "ab"), (8, "ab"), (9, "se cret")], "doc_id bigint, covered string")
+    texts = ["hun ter2", "68756E74657232", "h\\unter2", "gone", None, "hunter2", "cab abc", "x ab.", "(ab)", "se  cret"]
+    got = {r.doc_id: r.recoverable for r in redact.recoverable(docs(spark, *texts), covered).collect()}
+    assert got == {0: True, 1: True, 2: True, 3: False, 4: True, 5: True, 6: False, 7: True, 8: True, 9: True}
+
+
+def test_redaction_fails_closed(spark):
+    lines = spark.createDataFrame([(0, 1, 1, "a", None, 700.0, 50.0, 14.0), (0, 1, 2, "b", 50.0, 600.0, 50.0, 14.0), (0, 2, 1, "c", 50.0, 700.0, 50.0, 14.0)], LINES)
+    rects = spark.createDataFrame([(0, 1, 40.0, 690.0, 100.0, 30.0)], "doc_id bigint, page bigint, rx double, ry double, rw double, rh double")
+    assert {(r.page, r.line_no): r.coverage for r in redact.coverage_by(lines, rects).collect()} == {(1, 1): "full", (1, 2): "none", (2, 1): "none"}
+    marked = redact.coverage(lines, [(2, 40.0, 690.0, 100.0, 30.0)])
+    assert {r.page: r.text for r in redact.redacted_pages(marked).collect()} == {1: "a\nb", 2: ""}
 
 
 def items(spark, rows):
