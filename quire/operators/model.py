@@ -1,24 +1,38 @@
-"""Replay of a document's edit log: pages in order, with undo and redo.
+"""Replay of a document's edit log: pages in order and the annotations on them, with undo and redo.
 
 The log of one document is a fold over its own actions; documents are independent groups."""
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..schema import ACTIONS, MODEL_PAGES
+from ..schema import ACTIONS, MODEL_ANNOTATIONS, MODEL_PAGES
 
 #: Undo steps that are kept.
 DEPTH = 80
-Page = tuple[str, int, int, bool]  # page_id, rot, flip, blank
+Page = tuple[str, int, int, bool, float, float]  # page_id, rot, flip, blank, w, h
+#: Size of an opened page, in points, and of a blank one for which none is given.
+SIZE = (600.0, 800.0)
+
+
+class Annotation(dict):
+    """ann_id, page_id, x, y, w, h, text; missing ones are null."""
+
+    def mirrored(self, bit: int, w: float, h: float) -> Annotation:
+        """Where it is seen at the same place of a page that was mirrored left to right (1) or top to bottom (2)."""
+        at, size, whole = ("x", "w", w) if bit == 1 else ("y", "h", h)
+        return self if self.get(at) is None else Annotation(self, **{at: whole - self[at] - (self.get(size) or 0.0)})
 
 
 class Model:
-    """State: the pages, and the page lists before and after the current one."""
+    """State: the pages and annotations, and the states before and after the current one."""
 
-    def __init__(self, pages: tuple[Page, ...] = (), past: tuple = (), future: tuple = ()):
-        self.pages, self.past, self.future = pages, past, future
+    def __init__(self, pages: tuple[Page, ...] = (), anns: tuple[Annotation, ...] = (), past: tuple = (), future: tuple = ()):
+        self.pages, self.anns, self.past, self.future = pages, anns, past, future
 
     def _index(self, page_id: str | None) -> int:
         return next((k for k, p in enumerate(self.pages) if p[0] == page_id), -1)
@@ -27,20 +41,25 @@ class Model:
         """Where a page after the given one goes; the end without one."""
         return len(self.pages) if not page_id else self._index(page_id) + 1
 
-    def _to(self, pages) -> Model:
-        return Model(tuple(pages), (*self.past, self.pages)[-DEPTH:], ())
+    def _to(self, pages=None, anns=None) -> Model:
+        pages, anns = (now if new is None else tuple(new) for new, now in ((pages, self.pages), (anns, self.anns)))
+        return Model(pages, anns, (*self.past, (self.pages, self.anns))[-DEPTH:], ())
 
-    def _edit(self, page_id: str, change) -> Model:
-        return self._to(change(p) if p[0] == page_id else p for p in self.pages)
+    def _edit(self, page_id: str, change) -> list[Page]:
+        return [change(p) if p[0] == page_id else p for p in self.pages]
 
-    def step(self, seq: int, kind: str, target: str | None, other: str | None, amount: int | None, ids: list[str] | None) -> Model:
-        """The model after one action. New pages are named by the action's number, so that replays agree."""
+    def step(self, seq: int, kind: str, target: str | None, other: str | None, amount: int | None, ids: list[str] | None, payload: str | None = None) -> Model:
+        """The model after one action. New pages are named by the action's number, so that replays agree.
+
+        payload is JSON: the fields of an annotation that is added or changed (annAdd, annUpd; target is its id for annUpd
+        and annDel), or w and h of a blank page. What the model does not know leaves it as it is."""
         pages, at = self.pages, self._index(target)
+        given = json.loads(payload) if payload else {}
         if kind == "open":
-            return Model(tuple((i, 0, 0, False) for i in ids or ()))
+            return Model(tuple((i, 0, 0, False, *SIZE) for i in ids or ()))
         if kind == "merge":
             spot = self._after(target) if not target or at >= 0 else len(pages)
-            return self if not ids else self._to((*pages[:spot], *((i, 0, 0, False) for i in ids), *pages[spot:]))
+            return self if not ids else self._to((*pages[:spot], *((i, 0, 0, False, *SIZE) for i in ids), *pages[spot:]))
         if kind == "reorder":
             to = self._index(other)
             if at < 0 or to < 0 or at == to:
@@ -49,34 +68,68 @@ class Model:
             left.insert(to, pages[at])
             return self._to(left)
         if kind == "rotate":
-            return self._edit(target, lambda p: (p[0], (p[1] + (amount or 0)) % 360, *p[2:]))
+            return self._to(self._edit(target, lambda p: (p[0], (p[1] + (amount or 0)) % 360, *p[2:])))
         if kind == "flip":
-            return self._edit(target, lambda p: (*p[:2], (p[2] ^ (amount or 0)) & 3, p[3]))
+            bits = (amount or 0) & 3
+            anns = self.anns
+            for bit in (1, 2):
+                if at >= 0 and bits & bit:
+                    anns = [a.mirrored(bit, *pages[at][4:]) if a.get("page_id") == target else a for a in anns]
+            return self._to(self._edit(target, lambda p: (*p[:2], p[2] ^ bits, *p[3:])), anns)
         if kind == "setRots":
             chosen = set(ids or ())
             return self._to((p[0], (amount or 0) % 360, *p[2:]) if p[0] in chosen else p for p in pages)
         if kind == "delete":
-            return self._to(p for p in pages if p[0] != target)
+            return self._to([p for p in pages if p[0] != target], [a for a in self.anns if a.get("page_id") != target])
         if kind == "duplicate":
             return self if at < 0 else self._to((*pages[: at + 1], (f"{target}+{seq}", *pages[at][1:]), *pages[at + 1 :]))
         if kind == "blank":
             spot = self._after(target)
-            return self._to((*pages[:spot], (f"blank{seq}", 0, 0, True), *pages[spot:]))
+            size = (float(given.get("w", SIZE[0])), float(given.get("h", SIZE[1])))
+            return self._to((*pages[:spot], (f"blank{seq}", 0, 0, True, *size), *pages[spot:]))
+        if kind == "annAdd":
+            return self._to(anns=(*self.anns, Annotation({"ann_id": f"a{seq}", "page_id": target} | given)))
+        if kind == "annUpd":
+            return self._to(anns=[Annotation(a | given) if a["ann_id"] == target else a for a in self.anns])
+        if kind == "annDel":
+            return self._to(anns=[a for a in self.anns if a["ann_id"] != target])
+        now = (pages, self.anns)
         if kind == "undo":
-            return self if not self.past else Model(self.past[-1], self.past[:-1], (pages, *self.future))
+            return self if not self.past else Model(*self.past[-1], self.past[:-1], (now, *self.future))
         if kind == "redo":
-            return self if not self.future else Model(self.future[0], (*self.past, pages), self.future[1:])
+            return self if not self.future else Model(*self.future[0], (*self.past, now), self.future[1:])
         return self
 
 
+def fold(pdf: pd.DataFrame, m: Model | None = None) -> Model:
+    """The model m (an empty one) after actions of its document."""
+    m = m or Model()
+    for a in pdf.sort_values("seq", kind="stable").itertuples():
+        ids = None if a.ids is None else list(a.ids)
+        m = m.step(int(a.seq), a.type, a.target, a.other, None if pd.isna(a.amount) else int(a.amount), ids, a.payload)
+    return m
+
+
+def _actions(actions: DataFrame) -> DataFrame:
+    names = ACTIONS.fieldNames()
+    return actions.select(*(c if c in actions.columns else F.lit(None).cast("string").alias(c) for c in names)).groupBy("doc_id")
+
+
 def replay(actions: DataFrame) -> DataFrame:
-    """(doc_id, pos, page_id, rot, flip, blank): each document's pages after all its actions, by seq."""
+    """(doc_id, pos, page_id, rot, flip, blank, w, h): each document's pages after all its actions, by seq."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], k, *p) for k, p in enumerate(fold(pdf).pages, 1)], columns=MODEL_PAGES.fieldNames())
+
+    return _actions(actions).applyInPandas(run, MODEL_PAGES)
+
+
+def annotations(actions: DataFrame) -> DataFrame:
+    """(doc_id, z, ann_id, page_id, x, y, w, h, text): each document's annotations after all its actions, in order."""
+    fields = MODEL_ANNOTATIONS.fieldNames()[2:]
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = Model()
-        for a in pdf.sort_values("seq", kind="stable").itertuples():
-            ids = None if a.ids is None else list(a.ids)
-            m = m.step(int(a.seq), a.type, a.target, a.other, None if pd.isna(a.amount) else int(a.amount), ids)
-        return pd.DataFrame([(key[0], k, *p) for k, p in enumerate(m.pages, 1)], columns=MODEL_PAGES.fieldNames())
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(key[0], k, *(a.get(f) for f in fields)) for k, a in enumerate(fold(pdf).anns, 1)]
+        return pd.DataFrame(rows, columns=MODEL_ANNOTATIONS.fieldNames())
 
-    return actions.select(*ACTIONS.fieldNames()).groupBy("doc_id").applyInPandas(fold, MODEL_PAGES)
+    return _actions(actions).applyInPandas(run, MODEL_ANNOTATIONS)

@@ -608,11 +608,20 @@ def fill_fields(spark, sf_dir):
     return annots.fill_fields(fields, values)
 
 
-@query("""WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id), p AS (SELECT conv_id, unnest(range(1, n + 1)) AS k, n FROM c)
-SELECT conv_id AS doc_id, k AS pos, 'p' || k AS page_id, CASE WHEN k = 1 THEN 90 ELSE 0 END AS rot, 0 AS flip, false AS blank FROM p""")
+@query("""WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id), p AS (SELECT conv_id, unnest(range(2, n + 1)) AS k FROM c),
+a AS (SELECT conv_id, unnest([1, 2, 3]) AS pos, unnest(['q2', 'p1', 'blank18']) AS page_id, unnest([180, 90, 0]) AS rot, unnest([0, 1, 0]) AS flip, unnest([600.0, 600.0, 300.0])::DOUBLE AS w, unnest([800.0, 800.0, 400.0])::DOUBLE AS h FROM c
+  UNION ALL SELECT conv_id, k + 2, 'p' || k, 0, 0, 600.0, 800.0 FROM p)
+SELECT conv_id AS doc_id, CAST(pos AS BIGINT) AS pos, page_id, rot, flip, page_id = 'blank18' AS blank, w, h FROM a""")
 def model_replay(spark, sf_dir):
-    """2.10: opens, edits that are undone, a rotation, an undo of it and a redo."""
+    """2.10: opens, merges, moves, turns, flips, blank pages; edits that are undone and redone."""
     return model.replay(fixtures.actions(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+@query("""WITH c AS (SELECT DISTINCT conv_id FROM conversations), a(z, ann_id, x, y, w, h, text) AS (VALUES (1, 'a10', 560.0, 20.0, 30.0, 40.0, 'uno'), (2, 'a11', 495.0, 200.0, 5.0, 6.0, 'two'))
+SELECT conv_id AS doc_id, CAST(z AS BIGINT) AS z, ann_id, 'p1' AS page_id, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w, h::DOUBLE AS h, text FROM c, a WHERE z = 1 OR conv_id % 3 = 0""")
+def model_annotations(spark, sf_dir):
+    """Annotations added, changed, mirrored, deleted, gone with their page, brought back."""
+    return model.annotations(fixtures.actions(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 from . import object_queries  # noqa: E402, F401  registers more queries

@@ -15,9 +15,6 @@ def _struct(spec: str) -> T.StructType:
 
 #: A positioned text line; page and line_no count from 1.
 LINES = _struct("doc_id bigint, page bigint, line_no bigint, text string, x double, y double, w double, size double")
-#: A working page: src and src_page are null for a blank one, pos orders the pages of a document.
-PAGES = _struct("doc_id bigint, pos bigint, page_id string, src bigint, src_page bigint, w double, h double, rot int, flip int")
-RECTS = _struct("page bigint, x double, y double, w double, h double")
 #: A run of glyphs as extracted; seq is the input order that greedy grouping depends on.
 TEXT_ITEMS = _struct("doc_id bigint, page bigint, seq bigint, str string, x double, y double, w double, size double")
 OCR_WORDS = _struct("doc_id bigint, page bigint, seq bigint, text string, x0 double, x1 double, y0 double, y1 double, confidence double")
@@ -29,10 +26,8 @@ RASTERS = _struct("doc_id bigint, page bigint, width int, height int, data binar
 BOXES = _struct("doc_id bigint, page bigint, box int, x int, y int, w int, h int, solidity double")
 #: A text run in device space: baseline origin, advance vector, glyph height.
 RUNS = _struct("doc_id bigint, page bigint, seq bigint, text string, x double, y double, dx double, dy double, height double")
-LEAKS = _struct("doc_id bigint, page bigint, seq bigint, box int, text string, frac double, luma double")
 DIFF_ROWS = _struct("left_doc bigint, right_doc bigint, seq bigint, op string, left_line bigint, right_line bigint, text string")
 #: One step of a document's edit log; the payload's fields are used as the type needs them.
-ACTIONS = _struct("doc_id bigint, seq bigint, type string, target string, other string, amount int, ids array<string>")
-MODEL_PAGES = _struct("doc_id bigint, pos bigint, page_id string, rot int, flip int, blank boolean")
-SHOW_SEGMENTS = _struct("path string, page int, seq int, font string, size double, x double, y double, op string, text string")
-FORM_FIELDS = _struct("doc_id bigint, name string, kind string, page bigint, x double, y double, w double, h double, value string")
+ACTIONS = _struct("doc_id bigint, seq bigint, type string, target string, other string, amount int, ids array<string>, payload string")
+MODEL_PAGES = _struct("doc_id bigint, pos bigint, page_id string, rot int, flip int, blank boolean, w double, h double")
+MODEL_ANNOTATIONS = _struct("doc_id bigint, z bigint, ann_id string, page_id string, x double, y double, w double, h double, text string")

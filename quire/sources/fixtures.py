@@ -106,9 +106,22 @@ def form_fields(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def actions(conversations: DataFrame) -> DataFrame:
-    """A log per conversation: opens as many pages as it has turns, deletes and duplicates and takes both back, turns
-    the first page, undoes and redoes that."""
+    """A log per conversation, one page a turn: page edits that are taken back and done again, annotations that are added, changed,
+    mirrored and deleted with and without their page, a merge, a move, a blank page; every third takes its last step back."""
     ids = F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda k: F.concat(F.lit("p"), k.cast("string")))
-    step = lambda s, t, target=None, amount=None, own=False: F.struct(F.lit(s).cast("bigint").alias("seq"), F.lit(t).alias("type"), F.lit(target).cast("string").alias("target"), F.lit(None).cast("string").alias("other"), F.lit(amount).cast("int").alias("amount"), (ids if own else F.lit(None).cast("array<string>")).alias("ids"))
-    log = F.array(step(1, "open", own=True), step(2, "delete", "p1"), step(3, "duplicate", "p2"), step(4, "undo"), step(5, "undo"), step(6, "rotate", "p1", 90), step(7, "undo"), step(8, "redo"), step(9, "redo"))
-    return conversations.groupBy(F.col("conv_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).select("doc_id", F.inline(log))
+    own = lambda v, kind: F.lit(v).cast(kind)
+    log = [
+        ("open", None, None, None, ids, None), ("delete", "p1"), ("duplicate", "p2"), ("undo",), ("undo",), ("rotate", "p1", None, 90), ("undo",), ("redo",), ("redo",),
+        ("annAdd", "p1", None, None, None, '{"x": 10, "y": 20, "w": 30, "h": 40, "text": "one"}'), ("annAdd", "p1", None, None, None, '{"x": 100, "y": 200, "w": 5, "h": 6, "text": "two"}'),
+        ("annUpd", "a10", None, None, None, '{"text": "uno"}'), ("flip", "p1", None, 1), ("merge", "p1", None, None, F.array(F.lit("q1"), F.lit("q2"))), ("annAdd", "q1", None, None, None, '{"x": 1, "y": 2, "text": "gone"}'),
+        ("reorder", "p1", "q2"), ("setRots", None, None, 180, F.array(F.lit("q2"))), ("blank", "p1", None, None, None, '{"w": 300, "h": 400}'), ("delete", "q1"), ("annDel", "a11"),
+    ]
+    steps = []
+    for seq, step in enumerate(log, 1):
+        kind, target, other, amount, pages, payload = (*step, *[None] * (6 - len(step)))
+        pages = pages if pages is not None else own(None, "array<string>")
+        steps.append(F.struct(F.lit(seq).cast("bigint").alias("seq"), F.lit(kind).alias("type"), own(target, "string").alias("target"), own(other, "string").alias("other"), own(amount, "int").alias("amount"), pages.alias("ids"), own(payload, "string").alias("payload")))
+    nothing = own(None, "string")
+    last = F.when(F.col("doc_id") % 3 == 0, "undo").otherwise("redo")
+    steps.append(F.struct(F.lit(len(log) + 1).cast("bigint").alias("seq"), last.alias("type"), nothing.alias("target"), nothing.alias("other"), own(None, "int").alias("amount"), own(None, "array<string>").alias("ids"), nothing.alias("payload")))
+    return conversations.groupBy(F.col("conv_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).select("doc_id", F.inline(F.array(*steps)))

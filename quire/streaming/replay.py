@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,31 +10,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.model import Model, Page
+from ..operators.model import Annotation, Model, fold
 from ..schema import ACTIONS, MODEL_PAGES
 
-_PAGE = T.ArrayType(T.StructType([T.StructField("page_id", T.StringType()), T.StructField("rot", T.IntegerType()), T.StructField("flip", T.IntegerType()), T.StructField("blank", T.BooleanType())]))
-STATE = T.StructType([T.StructField("pages", _PAGE), T.StructField("past", T.ArrayType(_PAGE)), T.StructField("future", T.ArrayType(_PAGE))])
+STATE = T.StructType([T.StructField("model", T.StringType())])
 #: Every batch of a document's actions gives its pages anew, marked with the last action.
 OUTPUT = T.StructType([*MODEL_PAGES.fields, T.StructField("as_of", T.LongType())])
 
 
-def _pages(rows) -> tuple[Page, ...]:
-    return tuple((r[0], r[1], r[2], r[3]) for r in rows)
+def dump(m: Model) -> str:
+    return json.dumps([(m.pages, m.anns), m.past, m.future])
+
+
+def load(text: str) -> Model:
+    held = lambda s: (tuple(map(tuple, s[0])), tuple(map(Annotation, s[1])))
+    now, past, future = json.loads(text)
+    return Model(*held(now), tuple(map(held, past)), tuple(map(held, future)))
 
 
 def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """One document's new actions, in order of seq within the micro-batch."""
-    m = Model()
-    if state.exists:
-        pages, past, future = state.get
-        m = Model(_pages(pages), tuple(map(_pages, past)), tuple(map(_pages, future)))
-    last = -1
-    for a in pd.concat(batches).sort_values("seq", kind="stable").itertuples():
-        m = m.step(int(a.seq), a.type, a.target, a.other, None if pd.isna(a.amount) else int(a.amount), None if a.ids is None else list(a.ids))
-        last = int(a.seq)
-    state.update((list(m.pages), [list(p) for p in m.past], [list(p) for p in m.future]))
-    yield pd.DataFrame([(key[0], k, *p, last) for k, p in enumerate(m.pages, 1)], columns=OUTPUT.fieldNames())
+    new = pd.concat(batches)
+    m = fold(new, load(state.get[0]) if state.exists else Model())
+    state.update((dump(m),))
+    yield pd.DataFrame([(key[0], k, *p, int(new["seq"].max())) for k, p in enumerate(m.pages, 1)], columns=OUTPUT.fieldNames())
 
 
 def replay_stream(actions: DataFrame) -> DataFrame:

@@ -242,6 +242,18 @@ def test_model():
     assert len(m.past) == 80
 
 
+def test_model_annotations():
+    m = Model().step(1, "open", None, None, None, ["a", "b"]).step(2, "annAdd", "a", None, None, None, '{"x": 10, "y": 20, "w": 30, "text": "t"}')
+    assert m.anns[0] == {"ann_id": "a2", "page_id": "a", "x": 10, "y": 20, "w": 30, "text": "t"}
+    assert m.step(3, "flip", "a", None, 3, None).anns[0] | {"x": 560.0, "y": 780.0} == m.step(3, "flip", "a", None, 3, None).anns[0]
+    assert m.step(3, "flip", "b", None, 1, None).anns == m.anns and m.step(3, "flip", "none", None, 1, None).anns == m.anns
+    gone = m.step(3, "delete", "a", None, None, None)
+    assert not gone.anns and gone.step(4, "undo", None, None, None, None).anns == m.anns
+    assert m.step(3, "annUpd", "a2", None, None, None, '{"text": "u"}').anns[0]["text"] == "u"
+    assert not m.step(3, "annDel", "a2", None, None, None).anns
+    assert m.step(3, "unknown", "a", None, None, None) is m
+
+
 def test_unique_names_and_values(spark):
     rows = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, "b")], "doc_id bigint, seq bigint, name string")
     assert [r.name for r in annots.unique_names(rows).orderBy("seq").collect()] == ["a", "a_2", "b"]

@@ -8,12 +8,12 @@ from quire.streaming.replay import replay_stream
 
 def test_stream_ends_where_the_batch_ends(spark, tmp_path):
     log = fixtures.actions(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").where("conv_id < 4")).select(*ACTIONS.fieldNames()).cache()
-    log.where("seq <= 5").coalesce(1).write.parquet(f"{tmp_path}/log")
-    log.where("seq > 5").coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    log.where("seq <= 12").coalesce(1).write.parquet(f"{tmp_path}/log")
+    log.where("seq > 12").coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
     stream = replay_stream(spark.readStream.schema(ACTIONS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log"))
     q = stream.writeStream.format("memory").queryName("replayed").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").start()
     q.processAllAvailable()
     q.stop()
-    got = spark.table("replayed").where(F.col("as_of") == 9).drop("as_of")
+    got = spark.table("replayed").where(F.col("as_of") == 21).drop("as_of")
     want = model.replay(log)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
