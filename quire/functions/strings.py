@@ -37,9 +37,14 @@ def literal_pattern(text: str) -> str:
 def occurrences(text: Column, needle: str) -> Column:
     """0-based positions of the needle's non-overlapping occurrences, from left to right."""
     parts = F.split(text, literal_pattern(needle), -1)
-    n = len(needle)
-    at = lambda k: F.aggregate(F.slice(parts, F.lit(1), k), F.lit(0), lambda a, p: a + F.length(p)) + (k - 1) * n
-    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), at)).otherwise(F.array().cast("array<int>"))
+    # One pass: each piece but the last ends where an occurrence starts.
+    blank = F.struct(F.lit(-len(needle)).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        at = acc["at"] + len(needle) + F.length(piece)
+        return F.struct(at.alias("at"), F.array_append(acc["out"], at).alias("out"))
+
+    return F.aggregate(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), blank, step, lambda acc: acc["out"])
 
 
 def keywords(text: Column) -> Column:

@@ -4,6 +4,7 @@ A pair of versions is one row; its two line arrays are compared within the task
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,19 +21,34 @@ def align(a: list[str], b: list[str]) -> list[tuple[str, int | None, int | None]
     ids = {t: k for k, t in enumerate(dict.fromkeys([*a, *b]))}
     x, y = np.array([ids[t] for t in a], np.int64), np.array([ids[t] for t in b], np.int64)
     n, m = len(x), len(y)
-    # best[i][j]: common lines of a[i:] and b[j:]. A row is the running maximum, from the right, of the row below
-    # and of one more than the entry diagonally below it where the lines are equal.
-    best = np.zeros((n + 1, m + 1), np.int32 if max(n, m) > 30_000 else np.int16)
+
+    def above(i: int, below: np.ndarray) -> np.ndarray:
+        """Row i of the table of common lines of a[i:] and b[j:], from row i + 1: the running maximum, from the right, of the row
+        below and of one more than the entry diagonally below it where the lines are equal."""
+        row = np.zeros(m + 1, np.int32)
+        row[:m] = np.maximum.accumulate(np.maximum(below[:m], np.where(y == x[i], below[1:] + 1, 0))[::-1])[::-1]
+        return row
+
+    # Every band-th row is kept, and the rows of a band are worked out again when the walk comes to it: 2 * sqrt(n) rows.
+    band = max(1, math.isqrt(n))
+    kept, row = {n: np.zeros(m + 1, np.int32)}, np.zeros(m + 1, np.int32)
     for i in range(n - 1, -1, -1):
-        gain = np.where(y == x[i], best[i + 1, 1:] + 1, 0)
-        best[i, :m] = np.maximum.accumulate(np.maximum(best[i + 1, :m], gain)[::-1])[::-1]
+        row = above(i, row)
+        if i % band == 0:
+            kept[i] = row
     out: list[tuple[str, int | None, int | None]] = []
     i = j = 0
+    rows: dict[int, np.ndarray] = {}
     while i < n and j < m:
+        if i + 1 not in rows:
+            top, end = i - i % band, min(n, i - i % band + band)
+            rows = {end: kept[end]}
+            for k in range(end - 1, top - 1, -1):
+                rows[k] = above(k, rows[k + 1])
         if x[i] == y[j]:
             out.append(("same", i, j))
             i, j = i + 1, j + 1
-        elif best[i + 1, j] >= best[i, j + 1]:
+        elif rows[i + 1][j] >= rows[i][j + 1]:
             out.append(("del", i, None))
             i += 1
         else:
@@ -43,12 +59,12 @@ def align(a: list[str], b: list[str]) -> list[tuple[str, int | None, int | None]
     return out
 
 
-def versions(docs: DataFrame, prefix: int = 60) -> DataFrame:
-    """(left_doc, right_doc, a, b): each document with the first document that starts with the same characters.
+def versions(docs: DataFrame) -> DataFrame:
+    """(left_doc, right_doc, a, b): each document with the first document that has the same first line.
 
-    The first is found by a pre-aggregated minimum, so a start that a third of all documents share costs one row per
+    The first is found by a pre-aggregated minimum, so a line that a third of all documents start with costs one row per
     document, never pairs of all with all."""
-    head = docs.where(F.length("text") >= prefix).select("doc_id", "text", F.substring("text", 1, prefix).alias("head"))
+    head = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.substring_index("text", "\n", 1).alias("head"))
     first = head.groupBy("head").agg(F.min("doc_id").alias("left_doc"))
     pairs = head.join(first, "head").where(F.col("doc_id") != F.col("left_doc")).select("left_doc", F.col("doc_id").alias("right_doc"), F.col("text").alias("b"))
     return pairs.join(docs.select(F.col("doc_id").alias("left_doc"), F.col("text").alias("a")), "left_doc").select("left_doc", "right_doc", "a", "b")

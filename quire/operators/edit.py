@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import literal_pattern
+from ..sources.text_documents import PAGE_LINES
 from .text import holds
 
 
-def replacements(docs: DataFrame, find: str, replace: str, every: bool = False, case_sensitive: bool = False) -> DataFrame:
-    """(doc_id, text, replaced): the edited texts of documents with the search text and how many lines changed.
+def replacements(docs: DataFrame, find: str, replace: str, every: bool = False, case_sensitive: bool = False, pages: list[int] | None = None) -> DataFrame:
+    """(doc_id, text, replaced, skipped): the edited texts of documents with the search text on the wanted pages (all),
+    how many lines changed, and how many such lines on those pages were left as they are.
 
     Without `every` the first matching line of the document changes, else every one; within a line all
     occurrences do. It is one pass: a replacement that holds the search text is not edited again. An empty
@@ -21,15 +23,19 @@ def replacements(docs: DataFrame, find: str, replace: str, every: bool = False,
         raise ValueError("edit: search text must be within a line")
     pattern = ("" if case_sensitive else "(?iu)") + literal_pattern(find)
     new = replace.replace("\\", "\\\\").replace("$", "\\$")
-    hit = lambda t: t.rlike(pattern)
+    if pages is not None and not pages:
+        raise ValueError("edit: no pages selected")
+    here = lambda k: F.lit(True) if pages is None else (F.floor(k / PAGE_LINES) + 1).isin(sorted(set(pages)))
+    hit = lambda t, k: t.rlike(pattern) & here(k)
     change = lambda t: F.regexp_replace(t, pattern, new)
     cut = F.split("text", "\n")
-    matching = F.filter(cut, hit)
+    matching = F.size(F.filter(F.transform(cut, hit), lambda h: h))
     first = F.array_position(F.transform(cut, hit), F.lit(True)) - 1
-    edited = F.transform(cut, change) if every else F.transform(cut, lambda t, k: F.when(k == first, change(t)).otherwise(t))
-    count = F.size(matching) if every else F.least(F.size(matching), F.lit(1))
+    edited = F.transform(cut, lambda t, k: F.when(hit(t, k), change(t)).otherwise(t)) if every else F.transform(cut, lambda t, k: F.when(k == first, change(t)).otherwise(t))
+    count = matching if every else F.least(matching, F.lit(1))
     found = docs.where(holds(F.col("text"), find, case_sensitive))
-    return found.select("doc_id", F.array_join(edited, "\n").alias("text"), count.cast("bigint").alias("replaced"))
+    out = found.select("doc_id", F.array_join(edited, "\n").alias("text"), count.cast("bigint").alias("replaced"), (matching - count).cast("bigint").alias("skipped"))
+    return out if pages is None else out.where("replaced > 0")
 
 
 def apply(docs: DataFrame, find: str, replace: str, every: bool = False, case_sensitive: bool = False) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import geometry as g
-from ..schema import BOXES, RASTERS
+from ..schema import BOXES, LEAKS, RASTERS
 
 DARK, OPAQUE, LEAST_SIDE, MOST_AREA, LEAST_SOLID, HIDDEN = 80, 200, 8, 0.6, 0.85, 110
 
@@ -82,16 +84,21 @@ def solid_boxes(rasters: DataFrame) -> DataFrame:
     return rasters.select(*RASTERS.fieldNames()).mapInPandas(run, BOXES)
 
 
-@F.pandas_udf(T.DoubleType())
-def mean_luminance(width: pd.Series, height: pd.Series, data: pd.Series, x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
-    """Mean luminance under a rectangle, clipped to the raster; 255 if nothing is left of it."""
+class Luminance:
+    """Sums of a raster's luminance over rectangles, from one table of running sums."""
 
-    def one(iw: int, ih: int, d: bytes, rx: float, ry: float, rw: float, rh: float) -> float:
-        x0, y0 = max(0, int(np.floor(rx))), max(0, int(np.floor(ry)))
-        x1, y1 = min(iw, int(np.ceil(rx + rw))), min(ih, int(np.ceil(ry + rh)))
-        return 255.0 if x1 <= x0 or y1 <= y0 else float(_pixels(iw, ih, d)[0][y0:y1, x0:x1].mean())
+    def __init__(self, width: int, height: int, data: bytes):
+        self.width, self.height = width, height
+        self.sums = np.pad(_pixels(width, height, data)[0].cumsum(0).cumsum(1), ((1, 0), (1, 0)))
 
-    return pd.Series([one(*v) for v in zip(width, height, data, x, y, w, h, strict=True)], dtype=float)
+    def mean(self, x: float, y: float, w: float, h: float) -> float:
+        """Mean luminance under a rectangle, clipped to the raster; 255 if nothing is left of it."""
+        x0, y0 = max(0, math.floor(x)), max(0, math.floor(y))
+        x1, y1 = min(self.width, math.ceil(x + w)), min(self.height, math.ceil(y + h))
+        if x1 <= x0 or y1 <= y0:
+            return 255.0
+        s = self.sums
+        return float(s[y1, x1] - s[y0, x1] - s[y1, x0] + s[y0, x0]) / ((x1 - x0) * (y1 - y0))
 
 
 def covered_runs(runs: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -103,10 +110,27 @@ def covered_runs(runs: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def leaks(runs: DataFrame, boxes: DataFrame, rasters: DataFrame) -> DataFrame:
-    """Covered text whose place is dark: painted over and still in the file. Light text printed on a box is none."""
-    found = covered_runs(runs, boxes).join(rasters, ["doc_id", "page"])
-    luma = mean_luminance("width", "height", "data", *(F.col(f"span.rect.{c}") for c in "xywh"))
-    return found.select("doc_id", "page", "seq", "box", "text", F.col("span.frac").alias("frac"), luma.alias("luma")).where(F.col("luma") <= HIDDEN)
+    """Covered text whose place is dark: painted over and still in the file. Light text printed on a box is none.
+
+    A page's covered runs are gathered and meet its raster once, which is read once for all of them."""
+    fields = ["seq", "box", "text", "frac", "x", "y", "w", "h"]
+    found = covered_runs(runs, boxes).select("doc_id", "page", "seq", "box", "text", F.col("span.frac").alias("frac"), "span.rect.*")
+    pages = rasters.join(found.groupBy("doc_id", "page").agg(F.collect_list(F.struct(*fields)).alias("runs")), ["doc_id", "page"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, page, width, height, data, covered in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                light = Luminance(width, height, data)
+                for r in covered:
+                    luma = light.mean(r["x"], r["y"], r["w"], r["h"])
+                    if luma <= HIDDEN:
+                        rows.append((doc, page, r["seq"], r["box"], r["text"], r["frac"], luma))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+    kinds = to_arrow_schema(LEAKS)
+    return pages.select("doc_id", "page", "width", "height", "data", "runs").mapInArrow(run, LEAKS)
 
 
 def verdicts(pages: DataFrame, boxes: DataFrame, found: DataFrame) -> DataFrame:

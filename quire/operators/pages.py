@@ -55,6 +55,16 @@ def rotate(pages: DataFrame, angle: int, spec: str = "") -> DataFrame:
     return with_count(pages).withColumn("rot", F.when(selected(F.col("page"), F.col("n"), spec), turned).otherwise(F.col("rot"))).drop("n")
 
 
+def selection_errors(pages: DataFrame, spec: str, deleting: bool = False) -> DataFrame:
+    """(doc_id, error): documents in which a selection takes no page or, if it is to be deleted, every page; nothing is
+    to be written for them."""
+    n = F.max("page").alias("n")
+    taken = pages.groupBy("doc_id").agg(n).select("doc_id", "n", F.size(parse_ranges(F.lit(spec), F.col("n"))).alias("taken"))
+    wrong = F.when(F.col("taken") == 0, "no pages selected")
+    wrong = wrong.when(F.col("taken") == F.col("n"), "cannot delete every page") if deleting else wrong
+    return taken.select("doc_id", wrong.alias("error")).where(F.col("error").isNotNull())
+
+
 def of_sources(pages: DataFrame, sources: DataFrame) -> DataFrame:
     """pages with the columns of their source (doc_id, src, ...); pages of a source that is not there are left out."""
     return pages.join(sources, ["doc_id", "src"])

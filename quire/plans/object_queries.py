@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import annots, objects, pages, text
+from ..operators import annots, leaks, objects, pages, text
+from ..sources import fixtures
 from ..sources import object_fixtures as made
 from ..sources import text_documents as src
 from .queries import LINES, N_SQL, PAGES, docs, page_rows, query
@@ -141,6 +142,18 @@ def pages_of_sources(spark, sf_dir):
     return pages.of_sources(rows.withColumn("src", F.col("page")), sources).select("doc_id", "page", "name")
 
 
+@query(f"WITH {PAGES} SELECT doc_id, 'no pages selected' AS error FROM counts WHERE n < 2")
+def empty_selections(spark, sf_dir):
+    """PRJ3, SET2 and SET4: a selection without a page is an error of its document."""
+    return pages.selection_errors(page_rows(spark, sf_dir), "2-3")
+
+
+@query(f"WITH {PAGES} SELECT doc_id, 'cannot delete every page' AS error FROM counts WHERE n <= 3")
+def delete_everything(spark, sf_dir):
+    """SET4: what would delete all pages is an error of its document."""
+    return pages.selection_errors(page_rows(spark, sf_dir), "1-3", deleting=True)
+
+
 @query(f"WITH {PAGES} SELECT doc_id, page, 'doc-' || doc_id || '-p' || lpad(page::VARCHAR, CAST(greatest(3, length(page::VARCHAR)) AS INTEGER), '0') || '.pdf' AS file, 1::BIGINT AS pos FROM pages")
 def one_file_per_page(spark, sf_dir):
     """SET8."""
@@ -171,6 +184,15 @@ def info_json(spark, sf_dir):
     return text.as_json(text.info(docs(spark, sf_dir)).drop("title"))
 
 
+@query("""SELECT doc_id, CAST(json_object('boxes', CAST(doc_id % 4 <> 0 AS BIGINT), 'leaked', CAST(doc_id % 4 <> 0 AND doc_id % 3 <> 0 AS BIGINT), 'pages_with_leaks', CASE WHEN doc_id % 4 <> 0 AND doc_id % 3 <> 0 THEN '1' ELSE '' END,
+  'verdict', CASE WHEN doc_id % 4 = 0 THEN 'no-boxes' WHEN doc_id % 3 <> 0 THEN 'leaks' ELSE 'clean' END) AS VARCHAR) AS json FROM documents WHERE text IS NOT NULL""")
+def checker_json(spark, sf_dir):
+    """SNK6."""
+    rasters = fixtures.rasters(docs(spark, sf_dir))
+    found = leaks.solid_boxes(rasters)
+    return text.as_json(leaks.verdicts(rasters, found, leaks.leaks(fixtures.raster_runs(docs(spark, sf_dir)), found, rasters)))
+
+
 @query(f"""WITH {LINES}, l AS (SELECT doc_id, page, line_no, 40 + 7.0::DOUBLE * (line_no % 3) AS x0, 100.0::DOUBLE + line_no * 20 AS y0, w, line_no % 5 * 12.0::DOUBLE + 1 AS h, text FROM lines WHERE text <> ''),
 c AS (SELECT doc_id, page, line_no, x0 / 2 AS x, greatest(0, 800 - (y0 + h) / 2) AS y, w / 2 AS cw, h / 2 AS ch, text FROM l),
 d AS (SELECT *, least(600 - x, cw) AS bw, least(800 - y, ch) AS bh FROM c)

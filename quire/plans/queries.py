@@ -370,22 +370,29 @@ EDIT_SQL = f"""{LINES}, m AS (SELECT doc_id, (page - 1) * 25 + line_no AS k, tex
 f AS (SELECT doc_id, min(k) AS k0, count(*) AS n FROM m WHERE hit GROUP BY doc_id)"""
 
 
-@query(f"WITH {EDIT_SQL} SELECT doc_id, string_agg(CASE WHEN k = k0 THEN regexp_replace(text, '(?i)license', 'permit $1', 'g') ELSE text END, chr(10) ORDER BY k) AS text, CAST(1 AS BIGINT) AS replaced FROM m JOIN f USING (doc_id) GROUP BY doc_id")
+@query(f"WITH {EDIT_SQL} SELECT doc_id, string_agg(CASE WHEN k = k0 THEN regexp_replace(text, '(?i)license', 'permit $1', 'g') ELSE text END, chr(10) ORDER BY k) AS text, CAST(1 AS BIGINT) AS replaced, any_value(n) - 1 AS skipped FROM m JOIN f USING (doc_id) GROUP BY doc_id")
 def edit_first(spark, sf_dir):
     """RW1: the first matching line of a document."""
     return edit.replacements(docs(spark, sf_dir), "license", "permit $1")
 
 
-@query(f"WITH {EDIT_SQL} SELECT doc_id, string_agg(regexp_replace(text, '(?i)license', 'permit', 'g'), chr(10) ORDER BY k) AS text, any_value(n) AS replaced FROM m JOIN f USING (doc_id) GROUP BY doc_id")
+@query(f"WITH {EDIT_SQL} SELECT doc_id, string_agg(regexp_replace(text, '(?i)license', 'permit', 'g'), chr(10) ORDER BY k) AS text, any_value(n) AS replaced, CAST(0 AS BIGINT) AS skipped FROM m JOIN f USING (doc_id) GROUP BY doc_id")
 def edit_all(spark, sf_dir):
     return edit.replacements(docs(spark, sf_dir), "license", "permit", every=True)
 
 
-@query(f"WITH {EDIT_SQL} SELECT doc_id, string_agg(regexp_replace(text, '(?i)license', '', 'g'), chr(10) ORDER BY k) AS text, any_value(n) AS replaced FROM m JOIN f USING (doc_id) GROUP BY doc_id")
+@query(f"WITH {EDIT_SQL} SELECT doc_id, string_agg(regexp_replace(text, '(?i)license', '', 'g'), chr(10) ORDER BY k) AS text, any_value(n) AS replaced, CAST(0 AS BIGINT) AS skipped FROM m JOIN f USING (doc_id) GROUP BY doc_id")
 def edit_delete(spark, sf_dir):
     return edit.replacements(docs(spark, sf_dir), "license", "", every=True)
 
 
+@query(f"""WITH {LINES}, m AS (SELECT doc_id, (page - 1) * 25 + line_no AS k, text, contains(lower(text), 'the') AND page IN (1, 3) AS hit FROM lines), f AS (SELECT doc_id, min(k) AS k0, count(*) AS n FROM m WHERE hit GROUP BY doc_id)
+SELECT doc_id, string_agg(CASE WHEN k = k0 THEN regexp_replace(text, '(?i)the', 'a', 'g') ELSE text END, chr(10) ORDER BY k) AS text, CAST(1 AS BIGINT) AS replaced, any_value(n) - 1 AS skipped FROM m JOIN f USING (doc_id) GROUP BY doc_id""")
+def edit_pages(spark, sf_dir):
+    """RW1 with a page selection: the first matching line of those pages."""
+    return edit.replacements(docs(spark, sf_dir), "the", "a", pages=[3, 1])
+
+
 @query("SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda t: contains(t, 'the'))) AS BIGINT) AS lines_changed FROM documents WHERE contains(text, 'the')")
 def edit_report(spark, sf_dir):
     """AGG15."""
@@ -453,7 +460,7 @@ def diff_lines(spark, sf_dir):
     return diff.diff(diff.versions(docs(spark, sf_dir)))
 
 
-@query("""WITH h AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, substr(text, 1, 60) AS head FROM documents WHERE length(text) >= 60),
+@query("""WITH h AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, string_split(text, chr(10))[1] AS head FROM documents WHERE text IS NOT NULL),
 f AS (SELECT *, min(doc_id) OVER (PARTITION BY head) AS left_doc FROM h)
 SELECT f.left_doc, f.doc_id AS right_doc, CAST(f.n AS BIGINT) AS right_lines, CAST(l.n AS BIGINT) AS left_lines FROM f JOIN h l ON f.left_doc = l.doc_id WHERE f.doc_id <> f.left_doc""")
 def diff_sizes(spark, sf_dir):
@@ -537,11 +544,12 @@ def solid_boxes(spark, sf_dir):
     return leaks.solid_boxes(fixtures.rasters(docs(spark, sf_dir)))
 
 
-@query()
+@query("""SELECT doc_id, CAST(1 AS BIGINT) AS page, CAST(7 AS BIGINT) AS seq, CAST(0 AS INTEGER) AS box, coalesce(nullif(regexp_replace(text, '\\s+', '_', 'g'), ''), 'empty') AS text, 1.0::DOUBLE AS frac, round(10 * (0.2126::DOUBLE + 0.7152::DOUBLE + 0.0722::DOUBLE), 6) AS luma
+FROM documents WHERE text IS NOT NULL AND doc_id % 4 <> 0 AND doc_id % 3 <> 0""")
 def find_leaks(spark, sf_dir):
     """RW20."""
     rasters = fixtures.rasters(docs(spark, sf_dir))
-    return leaks.leaks(fixtures.raster_runs(docs(spark, sf_dir)), leaks.solid_boxes(rasters), rasters)
+    return leaks.leaks(fixtures.raster_runs(docs(spark, sf_dir)), leaks.solid_boxes(rasters), rasters).withColumn("luma", F.round("luma", 6))
 
 
 @query("""SELECT doc_id, CAST(doc_id % 4 <> 0 AS BIGINT) AS boxes, CAST(doc_id % 4 <> 0 AND doc_id % 3 <> 0 AS BIGINT) AS leaked, CASE WHEN doc_id % 4 <> 0 AND doc_id % 3 <> 0 THEN '1' ELSE '' END AS pages_with_leaks,
@@ -557,7 +565,7 @@ def _anns(spark, sf_dir):
     return fixtures.annotations(src.lines(docs(spark, sf_dir)))
 
 
-ANN_SQL = f"""{LINES}, anns AS (SELECT doc_id, page, page * 100 + line_no AS ann_id, line_no AS z, ['text', 'highlight', 'arrow', 'ink', 'formfield'][line_no % 5 + 1] AS type, x, y, w, size AS h, x + w AS x2, y - 5 AS y2 FROM lines WHERE line_no <= 8)"""
+ANN_SQL = f"""{LINES}, anns AS (SELECT doc_id, page, page * 100 + line_no AS ann_id, line_no AS z, ['text', 'highlight', 'arrow', 'ink', 'formfield'][line_no % 5 + 1] AS type, x, y, w, size AS h, x + w AS x2, y - 5 AS y2 FROM lines)"""
 
 
 @query(f"""WITH {ANN_SQL} SELECT doc_id, page, ann_id, CASE WHEN type = 'ink' THEN x - 1 ELSE x END AS x0, CASE type WHEN 'arrow' THEN y - 5 WHEN 'ink' THEN y ELSE y END AS y0,
@@ -598,7 +606,7 @@ def annotations_redacted(spark, sf_dir):
     return annots.surviving(rows, rects, 600.0, 800.0).select("doc_id", "page", "ann_id")
 
 
-@query("""WITH f AS (SELECT doc_id, unnest(['name', 'agree', 'choice']) AS name, unnest(['text', 'checkbox', 'dropdown']) AS kind, unnest([left(text, 10), 'false', 'a']) AS value FROM documents WHERE text IS NOT NULL),
+@query("""WITH f AS (SELECT doc_id, unnest(['name', 'agree', 'choice']) AS name, unnest(['text', 'checkbox', 'dropdown']) AS kind, unnest([text, 'false', 'a']) AS value FROM documents WHERE text IS NOT NULL),
 v AS (SELECT doc_id, name, CASE name WHEN 'name' THEN 'doc ' || doc_id WHEN 'agree' THEN CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'maybe' END ELSE CASE WHEN doc_id % 3 = 0 THEN 'b' ELSE 'z' END END AS new_value FROM f WHERE doc_id % 5 <> 0),
 j AS (SELECT f.*, new_value, new_value IS NOT NULL AND (f.name = 'agree' AND new_value = 'maybe' OR f.name = 'choice' AND new_value = 'z') AS bad FROM f LEFT JOIN v ON f.doc_id = v.doc_id AND f.name = v.name)
 SELECT doc_id, name, kind, CASE WHEN bad OR new_value IS NULL THEN value ELSE new_value END AS value, CASE WHEN bad THEN 'not a value of ' || name END AS error FROM j""")

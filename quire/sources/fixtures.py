@@ -76,17 +76,17 @@ def rasters(docs: DataFrame) -> DataFrame:
 
 def raster_runs(docs: DataFrame) -> DataFrame:
     """A run of text through the place of the box, one below it."""
-    word = F.coalesce(F.nullif(F.substring(F.regexp_replace("text", r"\s+", "_"), 1, 12), F.lit("")), F.lit("empty"))
+    word = F.coalesce(F.nullif(F.regexp_replace("text", r"\s+", "_"), F.lit("")), F.lit("empty"))
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.lit(1).cast("bigint").alias("page"), F.explode(F.array(F.lit(7.0), F.lit(34.0))).alias("y"), word.alias("text"))
     return rows.select("doc_id", "page", F.col("y").cast("bigint").alias("seq"), "text", F.lit(10.0).alias("x"), "y", F.lit(24.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(6.0).alias("height"))
 
 
 def annotations(lines: DataFrame) -> DataFrame:
-    """An annotation on each of the first eight lines of a page; types take turns."""
+    """An annotation on each line of a page; types take turns."""
     kinds = F.array(*map(F.lit, ("text", "highlight", "arrow", "ink", "formfield")))
     kind = F.element_at(kinds, (F.col("line_no") % 5 + 1).cast("int"))
     point = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
-    return lines.where("line_no <= 8").select(
+    return lines.select(
         "doc_id", "page", (F.col("page") * 100 + F.col("line_no")).alias("ann_id"), F.col("line_no").alias("z"), kind.alias("type"), "x", "y", "w", F.col("size").alias("h"),
         (F.col("x") + F.col("w")).alias("x2"), (F.col("y") - 5).alias("y2"), F.array(point(0.0, 0.0), point(9.0, 4.0), point(-1.0, 2.0)).alias("pts"),
     )
@@ -95,7 +95,7 @@ def annotations(lines: DataFrame) -> DataFrame:
 def form_fields(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Three fields per document, and values for four documents of five, some of which a field cannot take."""
     field = lambda n, k, v: F.struct(F.lit(n).alias("name"), F.lit(k).alias("kind"), v.alias("value"))
-    three = F.array(field("name", "text", F.substring("text", 1, 10)), field("agree", "checkbox", F.lit("false")), field("choice", "dropdown", F.lit("a")))
+    three = F.array(field("name", "text", F.col("text")), field("agree", "checkbox", F.lit("false")), field("choice", "dropdown", F.lit("a")))
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.inline(three)).withColumn("options", F.array(F.lit("a"), F.lit("b")))
     new = (
         F.when(F.col("name") == "name", F.concat(F.lit("doc "), F.col("doc_id").cast("string")))
