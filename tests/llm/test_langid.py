@@ -67,3 +67,40 @@ def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert langid.held_out_report(df, PATH).first().lang_pred == "und"
     assert langid.held_out_report(df.limit(0), PATH).count() == 0
+
+
+def test_only_letters_count(spark):
+    train = [(k, "the house and the garden" if k % 2 else "das haus und der garten", "en" if k % 2 else "de") for k in range(40)]
+    odd = ["½", "²", "Ⅷ", "①", "٣ 12", "_", "½²Ⅷ①"]
+    df = spark.createDataFrame([*train, *((1000 + k, t, None) for k, t in enumerate(odd)), (2000, "haus²garten Ⅷ", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.held_out_report(df, PATH).collect()}
+    assert all(got[1000 + k].lang_pred == "und" and got[1000 + k].score == 0 for k in range(len(odd)))
+    assert got[2000].lang_pred == "de"
+    assert langid.words("x²y Straße") == ["x", "y", "straße"] and langid.words("ªb") == ["ªb"]
+
+
+def test_long_words_by_chunks(lat, monkeypatch):
+    rng = np.random.default_rng(3)
+    probs = rng.random((lat.size + 2, 3)) ** 4
+    probs[lat.none] = 0
+    probs /= probs.sum(0)
+    word = "".join(rng.choice(list("abcdefghijklmnoprstuwzäé漢"), 700))
+    want, counts, got = lat.likelihoods([word], probs)[0], np.zeros((lat.size + 2, 1)), np.zeros((lat.size + 2, 1))
+    lat.expectations([word], np.ones((1, 1)), counts)
+    for chunk in (7, 64, 5_000):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        assert np.allclose(lat.long_likelihood(word, probs), want)
+        got[:] = 0
+        lat.long_expectations(word, np.ones(1), got)
+        assert np.allclose(got, counts)
+
+
+def test_a_word_of_a_million_letters(lat):
+    import tracemalloc
+
+    probs = np.full((lat.size + 2, 2), 1.0 / lat.size)
+    probs[lat.none] = 0
+    tracemalloc.start()
+    assert np.isfinite(lat.likelihoods(["thehouse" * 125_000], probs)).all()
+    assert tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()

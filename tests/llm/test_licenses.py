@@ -58,3 +58,26 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
 def test_sql(spark, sf):
     assert_same(QUERIES["op1_license_scan"](spark, sf), ORACLE_SQL["op1_license_scan"], sf)
+
+
+@pytest.mark.parametrize("text, label", [("SPDX-License-Identifier: GPL-1.0-only", "gpl-1.0"), ("SPDX-License-Identifier: GPL", "gpl"), ("the zero-clause BSD license", "0bsd")])
+def test_short_identifiers(spark, text, label):
+    r = licenses.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert label in r["labels"].split(",") and r.score > 0
+
+
+def test_no_gate_stops_a_rules_own_match():
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    def check(rule):
+        @settings(max_examples=25, deadline=None, database=None, suppress_health_check=list(HealthCheck))
+        @given(st.from_regex(re.compile(rule["re"]), fullmatch=True))
+        def passes(s):
+            if re.fullmatch(r"(?: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ )+", s):  # in the normal form
+                assert any(k in s for k in rule["keys"]) and any(r in s for r in licenses.ROOTS), (rule["label"], s)
+
+        passes()
+
+    for rule in licenses.rules():
+        check(rule)

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from quire.llm import components as components_module
 from quire.llm import probminhash
 from quire.llm.common import checkpoint_dir
 from quire.llm.components import components
@@ -84,10 +85,13 @@ def test_sketch_estimates_probability_jaccard():
     assert (s[0] == s[2]).all() and (s[3] == 0).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("last", [16_384, 20, 0])
+def test_components(spark, monkeypatch, last):
+    monkeypatch.setattr(components_module, "LAST", last)
     checkpoint_dir(spark)
     rng = random.Random(2)
-    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(300 + k, 301 + k) for k in range(9)] + [(9, 9)]
+    chain = rng.sample(range(400, 500), 40)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(300 + k, 301 + k) for k in range(9)] + [(9, 9), *zip(chain, chain[1:], strict=False)]
     got = {r.v: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     parent = {v: v for e in edges for v in e}
 
@@ -113,3 +117,33 @@ def test_copies_that_repeat_a_line_more_often(spark):
     assert all(want[2 * k + 1] == 2 * k for k in range(120))
     got = {r.doc_id: r.class_id for r in probminhash.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert got == want
+
+
+def test_recall_in_a_large_loose_family(spark, monkeypatch):
+    """800 texts of one template, from hardly alike to near copies: families of several blocks that fall apart into many
+    classes. The share of brute force's links between different texts that end up within a class."""
+    monkeypatch.setattr(probminhash, "BLOCK", 128)
+    rng = random.Random(11)
+    base = [f"t{k}" for k in range(120)]
+    rows = []
+    for k in range(200):
+        w = [f"s{k}x{i}" if rng.random() < 0.04 else x for i, x in enumerate(base)]
+        for c in range(4):
+            v = list(w)
+            v[rng.randrange(len(v))] = f"c{k}y{c}"
+            rows.append((4 * k + c, " ".join(v)))
+    sets = [shingle_set(t) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    got = {r.doc_id: r.class_id for r in probminhash.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(links) > 400 and len(set(got.values())) > 20
+    assert sum(got[i] == got[j] for i, j in links) >= 0.99 * len(links)
+    want = brute(rows)
+    assert all(want[i] <= got[i] for i in want)  # nothing is linked that brute force keeps apart
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    text = " ".join(f"w{rng.randrange(100_000)}" for _ in range(60_000))
+    rows = [(1, text), (2, text + " more"), (3, text[: len(text) // 3]), (4, "same " * 100_000), (5, "same " * 90_000)]
+    got = {r.doc_id: r.class_id for r in probminhash.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}

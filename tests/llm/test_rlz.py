@@ -42,12 +42,17 @@ def planted(seed, n=60, vocabulary=400):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_exact(spark, seed):
-    rows = planted(seed, vocabulary=400 if seed < 3 else 3)
+@pytest.mark.parametrize("seed, block, width", [(1, 64, 20), (2, 2, 20), (3, 64, 20), (3, 1, 20), (4, 64, 100), (4, 3, 7), (5, 64, 200)])
+def test_exact(spark, monkeypatch, seed, block, width):
+    """block: how many different segments are compared with each other; beyond that windows are looked up."""
+    monkeypatch.setattr(rlz, "BLOCK", block)
+    rows = planted(seed, vocabulary=3 if seed == 3 else 400)
+    if width >= 100:
+        long = " ".join(f"z{k}" for k in range(400))
+        rows += [(2000, long), (2001, long + " x"), (2002, "y " + long)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    want = brute(rows)
-    got = {r.doc_id: r for r in rlz.digests(df).collect()}
+    want = brute(rows, width)
+    got = {r.doc_id: r for r in rlz.digests(df, width).collect()}
     for i, kept in want.items():
         assert got[i].kept_sha256 == hashlib.sha256(b" ".join(kept)).hexdigest(), i
     assert len(got) == len(rows)
@@ -66,3 +71,23 @@ def test_general_interface(spark):
 def test_sql(spark):
     sf = "/root/testdata/sf0.001"
     assert_same(QUERIES["op5_rlz_substrings"](spark, sf), ORACLE_SQL["op5_rlz_substrings"], sf)
+
+
+def test_widths_that_do_not_fit(spark):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for width, gram in ((5, 6), (6 + (1 << 16), 6), (20, 0)):
+        with pytest.raises(ValueError):
+            rlz.digests(df, width, gram)
+
+
+def test_factors_are_longest_matches():
+    """Three segments of a block: the second copies the first's right part, the third both in two overlapping factors."""
+    import numpy as np
+
+    slots = np.arange(1, 35, dtype=np.uint64)
+    other = slots + np.uint64(100)
+    a, b, c = slots.copy(), slots.copy(), slots.copy()
+    a[27:] = other[27:]  # agrees with c in slots 0 to 26
+    b[:7] = other[:7]  # agrees with c in slots 7 to 33, with a in 7 to 26
+    who, first, end = rlz.parse(np.array([5, 5, 5]), np.stack([a, b, c]), np.array([[0, 14]] * 3), 6, 20)
+    assert sorted(zip(who.tolist(), first.tolist(), end.tolist(), strict=True)) == [(1, 7, 27), (2, 0, 27), (2, 8, 34)]

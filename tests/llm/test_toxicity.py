@@ -85,3 +85,70 @@ def test_long_tokens_are_restored():
     assert {"moron", "idiot"} <= restore.words("m0r0n-" * 80 + "1d10t")
     assert len(toxicity.lattice("m" + "0" * 500 + "r0n", False)) == 5
     assert len(restore.words("ab1c" * 50_000)) >= 1
+
+
+def char_model():
+    grams = {}
+    words = {w: 3 for w in WORDS} | {w: 40 for w in BAD}
+    batch = toxicity.trigrams(words)
+    for g, c in zip(batch["gram"].to_pylist(), batch["count"].to_pylist(), strict=True):
+        grams[g] = grams.get(g, 0) + c
+    return toxicity.CharModel(grams)
+
+
+def test_viterbi_finds_the_best_of_all_readings():
+    """Every path through a lattice is scored by itself."""
+    from itertools import product
+
+    model = char_model()
+
+    def cost(letters):
+        s, at = 0.0, "  "
+        for x in letters:
+            y = toxicity.shape(x)
+            if y == " " and at[1] == " ":
+                return None
+            s += model.log(at + y)
+            at = at[1] + y if y != " " else "  "
+        return s + (model.log(at + " ") if at[1] != " " else 0.0)
+
+    for token, spaced in (("m0r0n", False), ("1d10t", False), ("stt*pid", False), ("tr4sh!", False), ("mmoorrron", False), ("moron", True), ("1d1", True)):
+        paths = []
+        for path in product(*toxicity.lattice(token, spaced)):
+            s = cost("".join(p[0] for p in path))
+            if s is not None:
+                paths.append((s - sum(p[1] for p in path), "".join(p[0] for p in path)))
+        best = max(paths)[0]
+        got = toxicity.decode(token, model, spaced)
+        assert any(abs(s - best) < 1e-9 and text == got for s, text in paths), token
+
+
+def test_words_are_those_of_pieces():
+    restore = toxicity.Restorer(char_model())
+    cases = {
+        '"m.o.r.o.n"': "moron", '"s-t-u-p-i-d"': "stupid", '"s t u p i d"': "stupid", "(i d i o t)": "idiot", "(m.o.r.o.n)": "moron", "[m0r0n]": "moron", "i.d.i.o.t!!": "idiot", "m  o  r  o  n": "moron",
+        "well—m.o.r.o.n": "moron", "-m-o-r-o-n-": "moron", "m" + "o" * 300 + "ron": "moron", "he is t r a s h, really": "trash",
+    }
+    for text, word in cases.items():
+        words = restore.words(text)
+        assert word in words, text
+        assert words == {w for _, read in restore.pieces(text) for w in read}, text
+    assert any(w.startswith("moron") and len(w) == 75 for w in restore.words("m0r0n" + "abcdefg" * 10))
+
+
+def test_repeated_documents_and_labels_of_absent_ones(spark):
+    docs, labels = corpus(300)
+    d = spark.createDataFrame([*docs, *docs[:80]], "doc_id long, text string, lang string")
+    l = spark.createDataFrame([*labels, *((70_000 + k, 1) for k in range(500))], "doc_id long, toxic int")
+    model = toxicity.fit(d, l, held=None)
+    assert {w for w in BAD if w in model.weights} == set(BAD)
+    assert sum((model.score(t) >= toxicity.THRESHOLD) == bool(y) for (_, t, _), (_, y) in zip(docs, labels, strict=True)) >= 0.99 * len(docs)
+
+
+def test_all_telling_features_are_kept(spark):
+    names = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(60)]
+    texts = [" ".join(a + j + b for a in start for j in "abcdefghij" for b in names) for start in ("xv", "qz")]
+    rows = [(k, texts[k % 2]) for k in range(208)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    l = spark.createDataFrame([(k, k % 2) for k in range(208)], "doc_id long, toxic int")
+    assert len(toxicity.fit(d, l, held=None).weights) > 2_000
