@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import geometry as g
-from ..schema import BOXES, LEAKS, RASTERS
+from ..schema import BOXES, CANVASES, LEAKS, RASTERS
 
 DARK, OPAQUE, LEAST_SIDE, MOST_AREA, LEAST_SOLID, HIDDEN = 80, 200, 8, 0.6, 0.85, 110
 
@@ -101,6 +101,21 @@ class Luminance:
         return float(s[y1, x1] - s[y0, x1] - s[y1, x0] + s[y0, x0]) / ((x1 - x0) * (y1 - y0))
 
 
+def canvases(rasters: DataFrame) -> DataFrame:
+    """(doc_id, page, blank, r, g, b): is a raster of one colour all over, and its mean colour. An empty raster is blank and
+    white."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                p = np.frombuffer(r.data, np.uint8)[: r.width * r.height * 4].reshape(-1, 4)[:, :3]
+                rows.append((r.doc_id, r.page, bool((p == p[:1]).all()), *(p.mean(0).tolist() if len(p) else [255.0] * 3)))
+            yield pd.DataFrame(rows, columns=CANVASES.fieldNames())
+
+    return rasters.select(*RASTERS.fieldNames()).mapInPandas(run, CANVASES)
+
+
 def covered_runs(runs: DataFrame, boxes: DataFrame) -> DataFrame:
     """Runs with a part under a box: (doc_id, page, seq, box, text, span). Joined by page, boxes being few per page."""
     b = boxes.select("doc_id", "page", "box", *(F.col(c).cast("double").alias(f"b{c}") for c in "xywh"))

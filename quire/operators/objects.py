@@ -159,6 +159,16 @@ def features(resources: DataFrame) -> DataFrame:
     return resources.groupBy(*PAGE).agg(has("image").alias("has_images"), has("form").alias("has_forms"), has("pattern").alias("has_patterns"), has("inline").alias("has_inline_images"))
 
 
+def vector_plan(lines: DataFrame, spans: DataFrame, sections: DataFrame, forms: DataFrame) -> DataFrame:
+    """(doc_id, page, lines, spans, ok): what a page's redaction takes out, and whether it may. lines: covered lines, spans: paint
+    spans under rectangles, each as rows of a page; sections: clear_sections' rows, forms: nested_forms' rows. A page of
+    which one of the two is not ok may not be written; a page without anything to take out has no row."""
+    n = lambda rows, name: rows.groupBy(*PAGE).agg(F.count(F.lit(1)).alias(name))
+    out = n(lines, "lines").join(n(spans, "spans"), PAGE, "full").fillna(0, ["lines", "spans"])
+    bad = sections.where(~F.coalesce("ok", F.lit(False))).select(*PAGE).unionByName(forms.where(~F.coalesce("ok", F.lit(False))).select(*PAGE)).distinct().withColumn("_bad", F.lit(True))
+    return out.join(bad, PAGE, "left").select(*PAGE, "lines", "spans", F.col("_bad").isNull().alias("ok"))
+
+
 #: The passes over a page's content, in order; the first that fails leaves the page to be drawn as a picture.
 PASSES = ("widgets", "annotations", "structure", "vectors", "edits")
 

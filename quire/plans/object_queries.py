@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import annots, leaks, objects, pages, text
+from ..operators import annots, leaks, objects, pages, redact, text
 from ..sources import fixtures
 from ..sources import object_fixtures as made
 from ..sources import text_documents as src
@@ -74,6 +74,29 @@ def nested_forms(spark, sf_dir):
     return objects.nested_forms(made.form_uses(page_rows(spark, sf_dir)))
 
 
+@query(f"""WITH {BOXES_SQL}, s AS (SELECT doc_id, page, count(*) AS spans FROM boxes b WHERE EXISTS (SELECT 1 FROM rects r WHERE r.page = b.page AND CASE WHEN x0 IS NULL THEN true ELSE {HIT_SQL} END) GROUP BY doc_id, page),
+l AS (SELECT doc_id, page, count(*) AS lines FROM lines WHERE contains(lower(text), 'license') GROUP BY doc_id, page),
+k AS (SELECT doc_id, page, max(line_no) AS n FROM lines GROUP BY doc_id, page),
+b AS (SELECT doc_id, page, (doc_id + page) % 11 >= 8 OR doc_id % 7 = 3 AND (doc_id + page) % 11 < 8 OR doc_id % 5 = 1 OR n >= 2 AS bad FROM k)
+SELECT doc_id, page, coalesce(lines, 0) AS lines, coalesce(spans, 0) AS spans, NOT bad AS ok FROM l FULL JOIN s USING (doc_id, page) JOIN b USING (doc_id, page)""")
+def vector_plans(spark, sf_dir):
+    """RW9: covered lines, paint spans, marked sections and nested forms put together. Every page of two lines or more has a
+    section that keeps its secret."""
+    rows = src.lines(docs(spark, sf_dir))
+    covered = redact.find_rects(rows, "license")
+    spans = objects.under(made.boxes(rows), _rects(spark, sf_dir))
+    return objects.vector_plan(covered, spans, objects.clear_sections(*made.sections(rows)), objects.nested_forms(made.form_uses(page_rows(spark, sf_dir))))
+
+
+@query("""WITH n AS (SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN (60 + doc_id % 7) * 20 ELSE 0 END AS box, CASE WHEN doc_id % 4 <> 0 AND doc_id % 3 = 0 THEN 90 ELSE 0 END AS light FROM documents WHERE text IS NOT NULL),
+m AS (SELECT doc_id, round((255 * (96 * 48 - 43 - box) + 10 * (box - light) + 250 * light)::DOUBLE / (96 * 48), 6) AS v FROM n)
+SELECT doc_id, CAST(1 AS BIGINT) AS page, false AS blank, v AS r, v AS g, v AS b FROM m""")
+def canvas_colours(spark, sf_dir):
+    """PRD7 and AGG14."""
+    out = leaks.canvases(fixtures.rasters(docs(spark, sf_dir)))
+    return out.select("doc_id", "page", "blank", *(F.round(c, 6).alias(c) for c in "rgb"))
+
+
 @query("SELECT doc_id, 'o' || i AS node FROM (SELECT doc_id, unnest(range(doc_id % 8 + 1)) AS i FROM documents WHERE text IS NOT NULL) WHERE i < 2")
 def purge_objects(spark, sf_dir):
     """What the third object refers to goes with it."""

@@ -26,6 +26,7 @@ RASTERS = _struct("doc_id bigint, page bigint, width int, height int, data binar
 BOXES = _struct("doc_id bigint, page bigint, box int, x int, y int, w int, h int, solidity double")
 #: A text run in device space: baseline origin, advance vector, glyph height.
 RUNS = _struct("doc_id bigint, page bigint, seq bigint, text string, x double, y double, dx double, dy double, height double")
+CANVASES = _struct("doc_id bigint, page bigint, blank boolean, r double, g double, b double")
 LEAKS = _struct("doc_id bigint, page bigint, seq bigint, box int, text string, frac double, luma double")
 DIFF_ROWS = _struct("left_doc bigint, right_doc bigint, seq bigint, op string, left_line bigint, right_line bigint, text string")
 #: One step of a document's edit log; the payload's fields are used as the type needs them.
