@@ -5,6 +5,11 @@ of each group of near-duplicates stays, duplicate passages are cut, sources are
 taken several times is that many rows), and the rest is encoded. All but the last return the columns of documents.
 
 The classifier learns from the rows of labels whose documents are among the input; nothing else depends on labels.
+
+Defined results: null and empty texts pass the first stage, are copies of each other in the second (one stays), lose nothing in
+the third and are taken 0 times in the fourth; rows with one doc_id and different texts are different documents, equal
+rows are copies of each other; a null doc_id is an id like any other, first in order; further columns of documents go through to
+the last stage's input; empty tables give no rows. A stage's folder goes once the next stage is written.
 """
 
 from __future__ import annotations
@@ -58,9 +63,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over sf_dir's documents, each written to the shared folder and read again by the next."""
     checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), ""
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         docs.write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{before}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = name
     return docs
