@@ -632,4 +632,4 @@ def model_annotations(spark, sf_dir):
     return model.annotations(fixtures.actions(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
-from . import object_queries  # noqa: E402, F401  registers more queries
+from . import function_queries, object_queries  # noqa: E402, F401  they register more queries
