@@ -414,13 +414,15 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
 
 
-def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 500) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
+def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 500, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches of up to `most` rows and about `chars` characters of text."""
+    held, size = [], 0
     for row in rows:
         held.append(row)
-        if len(held) == most:
+        size += sum(len(x) for x in row if isinstance(x, str))
+        if len(held) == most or size >= chars:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-            held = []
+            held, size = [], 0
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 

@@ -57,13 +57,15 @@ def unit(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(*parts)), 1, 13), 16, 10).cast("long").cast("double") / float(1 << 52)
 
 
-def mix(docs: DataFrame, seed: int = 20, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, salt_digits: int = SALT_DIGITS, text: str = "text") -> DataFrame:
-    """docs with _size, _source_size, _target and _copies (how often the mix emits the row).
-
-    docs has doc_id and source, and the text or, where the caller has counted them already, its words in _size."""
-    sized = docs if "_size" in docs.columns else docs.withColumn("_size", words(F.col(text)))
-    sized = sized.withColumn("_salt", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, salt_digits))
-    sized = sized.withColumn("_src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))  # never null, so all joins below are plain
+def _mixed(docs: DataFrame, size: Column, seed: int, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, salt_digits: int = SALT_DIGITS) -> DataFrame:
+    """(_doc, _size, _source_size, _target, _copies): each row of docs as a struct, so that no name of its columns matters, and how
+    often the mix emits it."""
+    column = lambda c: F.col(f"`{c}`")
+    sized = docs.select(
+        F.struct(*map(column, docs.columns)).alias("_doc"), column("doc_id").alias("_id"), size.alias("_size"),
+        F.coalesce(F.concat(F.lit("s"), column("source")), F.lit("n")).alias("_src"),  # never null, so all joins below are plain
+        F.substring(F.md5(F.coalesce(column("doc_id").cast("string"), F.lit(""))), 1, salt_digits).alias("_salt"),
+    )
     counts = sized.groupBy("_src", "_size", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     per_size = counts.groupBy("_src", "_size").agg(F.sum("_n").alias("_n"))
     totals = per_size.groupBy("_src").agg(F.sum(F.col("_n") * F.col("_size")).alias("source_size"))
@@ -75,23 +77,24 @@ def mix(docs: DataFrame, seed: int = 20, weights: tuple[int, ...] = (1, 2, 3), m
     salted = Window.partitionBy("_src", "_size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_src", "_size", "_salt", F.coalesce(F.sum("_n").over(salted), F.lit(0)).alias("_salted"))
     starts = starts.join(sizes, ["_src", "_size"]).join(shares, "_src").withColumn("_start", F.col("_before") + F.col("_salted")).drop("_before", "_salted")
-    ties = F.xxhash64(*[F.col(f"`{c}`") for c in sorted({"text", "lang", "doc_id"} & set(docs.columns))])
-    in_salt = Window.partitionBy("_src", "_size", "_salt").orderBy(F.col("doc_id").asc_nulls_first(), ties)
+    ties = F.xxhash64(*[F.col(f"_doc.`{c}`") for c in sorted({"text", "lang", "doc_id"} & set(docs.columns))])
+    in_salt = Window.partitionBy("_src", "_size", "_salt").orderBy(F.col("_id").asc_nulls_first(), ties)
     joined = sized.withColumn("_row", F.row_number().over(in_salt)).join(starts, ["_src", "_size", "_salt"])
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
     offset = unit(F.lit(f"{seed}|"), F.col("_src"))
     place = F.col("_start") + F.col("_row")
     copies = F.floor(place * rate + offset) - F.floor((place - 1) * rate + offset)
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns if c != "_size"), "_size", "_source_size", "_target", copies.cast("long").alias("_copies"))
+    return joined.select("_doc", "_size", "_source_size", "_target", copies.cast("long").alias("_copies"))
 
 
-def sample(docs: DataFrame, seed: int = 20) -> DataFrame:
-    """The mix itself: docs with each row as often as it is emitted."""
+def sample(docs: DataFrame, seed: int = 20, text: str = "text") -> DataFrame:
+    """The mix itself: docs (doc_id, source, text and any others) with each row as often as it is emitted."""
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
-    return mix(docs, seed).where(F.col("_copies") > 0).withColumn("_copy", copies).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return _mixed(docs, words(F.col(text)), seed).where(F.col("_copies") > 0).select("_doc", copies.alias("_copy")).select("_doc.*")
 
 
 def taken(docs: DataFrame, seed: int = 20) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
-    narrow = docs.select("doc_id", "source", words(F.col("text")).alias("_size"))
-    return mix(narrow, seed).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
+    narrow = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
+    out = _mixed(narrow, F.col("size"), seed)
+    return out.select("_doc.doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))

@@ -67,6 +67,12 @@ def test_rows(spark):
     assert chat.digests(df.limit(0)).count() == 0
 
 
+def test_other_columns_are_not_read(spark):
+    df = spark.createDataFrame([(1, 1, "user", "a", 7, "x", 0), (1, 2, "assistant", "b" * 3_000_000, 8, "y", 1)], "conv_id long, turn long, role string, text string, n_turns int, loss string, part int")
+    own = df.select("conv_id", "turn", "role", "text")
+    assert chat.digests(df).collect() == chat.digests(own).collect() and chat.render(df).collect() == chat.render(own).collect()
+
+
 def test_sql(spark):
     sf = "/root/testdata/sf0.001"
     assert_same(QUERIES["op2_chat_template"](spark, sf), ORACLE_SQL["op2_chat_template"], sf)

@@ -47,6 +47,10 @@ def test_rows(spark):
     assert mixed.columns == ["doc_id", "source", "text", "extra"]
     assert mixed.select(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0] == sum(r.taken for r in first)
     assert mixing.taken(df.limit(0)).count() == 0
+    # Names that the mix uses itself.
+    odd = df.withColumns({c: F.lit(f"{c}!") for c in ("_size", "_row", "_start", "_copies", "_src", "_doc", "_salt", "a.b")})
+    again = mixing.sample(odd)
+    assert again.columns == odd.columns and again.where("_row = '_row!' AND _doc = '_doc!' AND _size = '_size!'").count() == mixed.count()
 
 
 def test_sql(spark):
