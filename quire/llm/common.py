@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,23 +23,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the checkpoint folder that the cluster names; set one only where none is set (tests on one machine)."""
+    """Use the checkpoint folder that the cluster names; a folder of this machine only where there is no other (tests)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            import tempfile
 
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-ckpt-")
+        sc.setCheckpointDir(folder)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Cuts record batches so that each holds about SLICE_BYTES of the column's text (at least one row)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts record batches so that each holds about `limit` bytes of the column (at least one row)."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
         n = len(col)
         if not n:
             continue
         sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
-        group = np.cumsum(sizes) // SLICE_BYTES
+        group = np.cumsum(sizes) // limit
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         for a, b in zip(starts, [*starts[1:], n], strict=True):
             yield batch.slice(a, b - a)
@@ -47,7 +53,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
 class HashCache(dict):
     """bytes -> 64-bit xxhash, remembered up to a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -56,6 +62,10 @@ class HashCache(dict):
         return h
 
 
+#: A worker process keeps one for all operators, since it outlives their stages.
+HASHES = HashCache()
+
+
 def mix(z: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser on a uint64 array."""
     z = (z ^ (z >> U64(30))) * U64(0xBF58476D1CE4E5B9)

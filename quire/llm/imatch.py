@@ -41,7 +41,7 @@ SEEDS, LEVELS = 24, (2, 4, 6, 8, 10, 12)
 #: The most terms that a lexicon may have, to be held in every worker.
 LEXICON = 4_000_000
 #: Distinct terms that a worker counts before it hands on what it has.
-CACHE = 1_000_000
+CACHE = 250_000
 #: Ranges of documents, and the most of them that a range should have.
 RANGES, RANGE_ROWS = 4096, 4096
 _TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -39,19 +39,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, HashCache, checkpoint_dir, grams, many_to_one, mix, numbered, signed, slices
+from .common import HASHES, U64, checkpoint_dir, grams, many_to_one, mix, numbered, signed, slices
 
 WIDTH, GRAM = 20, 6
 #: Different segments of a block that are compared with each other.
 BLOCK = 64
 #: Bits for the windows that follow a segment's first one.
 FOLLOW = 16
-_HASHES = HashCache()
+#: Bytes of deflated text that a worker turns into arrays at once.
+PACKED_BYTES = 400_000
 _PLACE = (1 << 30) - 1  # a text holds fewer words
 
 
 def hashes(words: list[list[bytes]]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(words)), U64, sum(map(len, words)))
+    return np.fromiter(map(HASHES.__getitem__, chain.from_iterable(words)), U64, sum(map(len, words)))
 
 
 def ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -130,7 +131,7 @@ def _words(z: bytes) -> np.ndarray:
 def _segment_rows(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterator[pa.RecordBatch]:
     """(anchor, row, at, left, words): the segments (anchor, at) of (row, z, wanted) with the hashes of their words; left: how many
     of these stand before the anchor."""
-    for batch in slices(batches, "z"):
+    for batch in slices(batches, "z", PACKED_BYTES):
         out: list[tuple] = []
         for i, z, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             h = _words(z)
@@ -159,7 +160,7 @@ def parse(block: np.ndarray, words: np.ndarray, windows: np.ndarray, gram: int,
     lo = 0
     upto = np.cumsum(place)
     while lo < len(block):  # a bounded number of pairs at a time
-        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + 100_000, "right")))
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + 25_000, "right")))
         s = np.repeat(np.arange(lo, hi), place[lo:hi])
         t = ranges(np.arange(lo, hi) - place[lo:hi], place[lo:hi])
         a = words[s]
@@ -212,7 +213,7 @@ def _parsed(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterato
 
 def _window_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """(key, key2, row, start): the windows of the segments (anchor, at) of (row, z, wanted), hashed twice from the texts."""
-    for batch in slices(batches, "z"):
+    for batch in slices(batches, "z", PACKED_BYTES):
         keys, keys2, ids, starts = [], [], [], []
         for i, z, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             h = _words(z)
@@ -293,7 +294,7 @@ def _cut(rows: DataFrame, unique: bool, width: int, gram: int, kinds: pa.Schema,
     listed = runs.groupBy("row").agg(F.collect_list("r").alias("runs"))  # within one document
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "z"):
+        for batch in slices(batches, "z", PACKED_BYTES):
             rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
             yield pa.RecordBatch.from_pylist([{"row": i} | make(None if z is None else zlib.decompress(z), merged(r or [], width)) for i, z, r in rows], schema=kinds)
 

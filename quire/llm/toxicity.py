@@ -35,7 +35,8 @@ SAMPLE = 20_000
 SUPPORT = 4
 #: A feature's log likelihood ratio is above the logarithm of the number of features by this much, at least.
 CHANCE = 1.0
-CACHE = 300_000
+#: Readings that a worker remembers.
+CACHE = 80_000
 #: In counts of features: all documents. No word is empty.
 ALL = ""
 

@@ -42,3 +42,21 @@ def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_odd_rows_go_through_all_stages(spark, tmp_path):
+    """Null ids, repeated rows, null and empty texts, more columns."""
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, text, "a", 1), (1, text + " x", "a", 2), (1, text + " x", "a", 2), (1, "another text of the same id altogether", None, 3), (2, None, "b", 4), (3, "", "b", 5), (4, "short", "b", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row int").withColumn("lang", F.lit("en")).withColumn("n_chars", F.length("text").cast("long"))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0), (4, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    counts = []
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        assert docs.columns == ["doc_id", "text", "source", "row", "lang", "n_chars"]
+        counts.append(docs.count())
+    assert counts[:3] == [7, 4, 4]  # the long text, the other of its id, one of the empty ones, the short one
+    out = cp.run(spark, str(tmp_path))
+    assert out.count() == counts[3] and {"doc_id", "n_tokens"} <= set(out.columns)
