@@ -24,7 +24,7 @@ read; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -44,13 +44,13 @@ LEXICON = 4_000_000
 CACHE = 250_000
 #: Ranges of documents, and the most of them that a range should have.
 RANGES, RANGE_ROWS = 4096, 4096
-_TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: Bytes of UTF-8: A-Z lower-cased, other signs of ASCII but digits and letters as blanks.
+_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _NONE = "...."
 
 
-def terms(text: str) -> set[str]:
-    return set(_TERM.findall(text.translate(_LOWER)))
+def terms(text: str) -> set[bytes]:
+    return set(text.encode("utf-8", "surrogatepass").translate(_BYTES).split())
 
 
 def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -58,7 +58,7 @@ def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(counts, pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "df"])
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "df"])
         for batch in slices(batches, "text"):
             for t in batch.column(0).to_pylist():
                 if t:
@@ -86,14 +86,14 @@ def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAN
     return sorted(found)
 
 
-def levels(term: str) -> np.ndarray:
+def levels(term: bytes) -> list[int]:
     """The highest of LEVELS that a term reaches in each numbering, as a count of levels."""
-    out = np.zeros(SEEDS, np.int8)
-    for seed in range(SEEDS):
-        bits = int(hashlib.md5(f"{seed} {term}".encode()).hexdigest()[:13], 16)
-        zeros = 52 - bits.bit_length()
-        out[seed] = sum(zeros >= level for level in LEVELS)
-    return out
+    bits = [int.from_bytes(hashlib.md5(b"%d %b" % (seed, term)).digest()[:7]) >> 4 for seed in range(SEEDS)]
+    return [bisect_right(LEVELS, 52 - b.bit_length()) for b in bits]
+
+
+#: A fingerprint's digests as numbers, for comparison: that of all terms, and of each sub-lexicon (-1: no terms).
+Mark = tuple[str, np.ndarray]
 
 
 class Lexicon:
@@ -105,42 +105,45 @@ class Lexicon:
     def __getstate__(self) -> dict:
         return {"terms": self.terms, "_at": None, "_levels": None}
 
-    def fingerprint(self, text: str) -> str:
-        """The digest of all terms, then the digests of the sub-lexicons' terms, level by level."""
+    def mark(self, text: str) -> Mark:
         if self._at is None:
-            self._at = {t: k for k, t in enumerate(self.terms)}
-            self._levels = np.full((len(self.terms), SEEDS), -1, np.int8)
-        at = self._at
-        found = sorted(at[t] for t in terms(text) if t in at)
-        digest = lambda words: hashlib.md5(" ".join(words).encode()).hexdigest()
-        if not found:
-            return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()[:16] + _NONE * (SEEDS * len(LEVELS))
-        for k in found:
-            if self._levels[k, 0] < 0:
-                self._levels[k] = levels(self.terms[k])
-        words, reached = [self.terms[k] for k in found], self._levels[found]
-        out = [digest(words)[:16]]
-        for level in range(1, len(LEVELS) + 1):
-            seed, term = np.nonzero(reached.T >= level)
-            caught: list[list[str]] = [[] for _ in range(SEEDS)]
-            for s, t in zip(seed.tolist(), term.tolist(), strict=True):
-                caught[s].append(words[t])
-            out += [digest(c)[:4] if c else _NONE for c in caught]
-        return "".join(out)
-
-
-def likeness(a: str, b: str) -> float:
-    if a[:16] == b[:16]:
+            self._at = {t.encode(): k for k, t in enumerate(self.terms)}
+            self._levels = np.full((SEEDS, len(self.terms)), -1, np.int8)
+        numbers = np.full((len(LEVELS), SEEDS), -1, np.int32)
+        words = sorted(terms(text) & self._at.keys())  # bytes of UTF-8 are in order of code points
+        if not words:
+            return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()[:16], numbers
+        found = [self._at[w] for w in words]
+        reached = self._levels[:, found]
+        for k in np.flatnonzero(reached[0] < 0).tolist():
+            self._levels[:, found[k]] = reached[:, k] = levels(words[k])
+        md5, held = hashlib.md5, np.array(words, object)
+        for level in range(len(LEVELS)):
+            seed, term = np.nonzero(reached > level)
+            if not len(seed):
+                break
+            caught, ends = held[term].tolist(), np.searchsorted(seed, np.arange(SEEDS + 1)).tolist()
+            numbers[level] = [int.from_bytes(md5(b" ".join(caught[a:b])).digest()[:2]) if a < b else -1 for a, b in zip(ends, ends[1:], strict=False)]
+        return md5(b" ".join(words)).hexdigest()[:16], numbers
+
+    def fingerprint(self, text: str) -> str:
+        return written(self.mark(text))
+
+
+def written(mark: Mark) -> str:
+    """A fingerprint: the digest of all terms, then the digests of the sub-lexicons' terms, level by level."""
+    return mark[0] + "".join([_NONE if x < 0 else f"{x:04x}" for x in mark[1].ravel().tolist()])
+
+
+def likeness(a: Mark, b: Mark) -> float:
+    if a[0] == b[0]:
         return 1.0
-    share = 0.0
-    for level in range(len(LEVELS)):
-        at = range(16 + 4 * SEEDS * level, 16 + 4 * SEEDS * (level + 1), 4)
-        pairs = [(a[i : i + 4], b[i : i + 4]) for i in at]
-        some = sum(x != _NONE or y != _NONE for x, y in pairs)
-        if level and 2 * some < SEEDS:
-            break
-        share = sum(x == y != _NONE for x, y in pairs) / some if some else 0.0
-    return share
+    x, y = a[1], b[1]
+    some = ((x >= 0) | (y >= 0)).sum(1)
+    equal = ((x == y) & (x >= 0)).sum(1)
+    few = np.flatnonzero(2 * some[1:] < SEEDS)
+    level = int(few[0]) if len(few) else len(LEVELS) - 1  # the last one before the first that too few catch
+    return float(equal[level] / some[level]) if some[level] else 0.0
 
 
 def _range_of(value: Column, bounds: list[int]) -> Column:
@@ -207,11 +210,11 @@ def edit_report(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             out = []
             for i, t, at, tail in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                mark = lex.fingerprint(t)
+                mark = lex.mark(t)
                 if held and held[2] == at:
                     e = edited(held[1], t)
-                    changed = held[3] if e == held[1] else lex.fingerprint(e)
-                    out.append((held[0], len(held[1]), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), held[3], changed, likeness(held[3], changed), likeness(held[3], mark)))
+                    changed = held[3] if e == held[1] else lex.mark(e)
+                    out.append((held[0], len(held[1]), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), written(held[3]), written(changed), likeness(held[3], changed), likeness(held[3], mark)))
                 held = None if tail else (i, t, at, mark)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))

@@ -110,7 +110,7 @@ def test_one_word_more_changes_little():
     for n in (3, 4, 5, 12):
         lex = imatch.Lexicon([f"t{k}" for k in range(60)])
         a, b = " ".join([*common, *(f"t{k}" for k in range(n))]), " ".join([*common, *(f"t{k}" for k in range(n + 1))])
-        assert imatch.likeness(lex.fingerprint(a), lex.fingerprint(b)) > 0.4
+        assert imatch.likeness(lex.mark(a), lex.mark(b)) > 0.4
 
 
 def test_long_text_and_fingerprint_column(spark):
