@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, imatch, langid, licenses, mixing, probminhash, rlz, threshold, toxicity
+from . import bpe, chat, imatch, langid, licenses, mixing, probminhash, rlz, threshold, token_counts, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,8 @@ SELECT doc_id, n_words, n_words - len(kept) AS n_removed, sha256(coalesce(array_
 @query
 def op6_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.report(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
