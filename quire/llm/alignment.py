@@ -26,6 +26,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -72,18 +73,43 @@ class Units:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         byte = _byte_level()
         spelt = [self.a.id_to_token(i) for i in range(self.a.get_vocab_size())]
-        self.a_bytes = [bytes(byte[c] for c in t) if t and all(c in byte for c in t) else (t or "").encode() for t in spelt]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.a_len, self.b_len = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
+        a_bytes = [bytes(byte[c] for c in t) if t and all(c in byte for c in t) else (t or "").encode() for t in spelt]
+        b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.bytes = [pa.array(x, pa.large_binary()) for x in (a_bytes, b_bytes)]
+        self.sizes = [np.array([len(x) for x in y], np.int64) for y in (a_bytes, b_bytes)]
         self.cuts = not any(re.search("[^▁]▁|\n", p) for i, p in enumerate(pieces) if not self.b.is_byte(i))
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.chars = 0
-        self.ids: tuple[list, list] = ([], [])
-        self.good: list[bool] = []
+        none = np.empty(0, np.int64)
+        self.tables = [(none.astype(np.int32), none, none)] * 2  # ids of all units, where a unit's begin, how many it has
+        self.good = np.empty(0, bool)
+
+    def _spelt(self, raw: list[bytes], side: int, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """For each unit whether its tokens spell it out; compared in one piece where all do."""
+        spelt, size = self.bytes[side], self.sizes[side]
+        ends = np.cumsum(np.r_[0, size[flat]])[np.r_[0, np.cumsum(counts)]]
+        want = np.fromiter(map(len, raw), np.int64, len(raw))
+        col = spelt.take(pa.array(flat)) if len(flat) else pa.array([], pa.large_binary())
+        data = bytes(memoryview(col.buffers()[2] or b"")[: int(size[flat].sum())])
+        if (np.diff(ends) == want).all() and data == b"".join(raw):
+            return np.ones(len(raw), bool)
+        return np.array([data[x:y] == r for x, y, r in zip(ends[:-1].tolist(), ends[1:].tolist(), raw, strict=True)], bool)
+
+    def _learn(self, new: list[str]) -> None:
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        self.chars += sum(map(len, new))
+        raw, good = [u.encode() for u in new], np.ones(len(new), bool)
+        for side, rows in enumerate(([e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)], self._b_ids(new))):
+            n = np.fromiter(map(len, rows), np.int64, len(rows))
+            ids = np.fromiter(chain.from_iterable(rows), np.int32, int(n.sum()))
+            good &= self._spelt(raw, side, ids, n)
+            flat, starts, counts = self.tables[side]
+            self.tables[side] = (np.concatenate([flat, ids]), np.concatenate([starts, len(flat) + np.cumsum(n) - n]), np.concatenate([counts, n]))
+        self.good = np.concatenate([self.good, good])
 
     def _b_ids(self, units: list[str]) -> list[list[int]]:
         """A line end behind keeps a blank at the end, and is a token of its own. The library puts a blank in front: of a
@@ -100,19 +126,7 @@ class Units:
             self.forget()
             new = list(set(flat))
         if new:
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-            self.chars += sum(map(len, new))
-            a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
-            b = self._b_ids(new)
-            for u, x, y in zip(new, a, b, strict=True):
-                raw = u.encode()
-                self.good.append(b"".join(map(self.a_bytes.__getitem__, x)) == raw == b"".join(map(self.b_bytes.__getitem__, y)))
-            self.ids[0].extend(a)
-            self.ids[1].extend(b)
-            self.tables = []
-            for rows in self.ids:
-                n = np.fromiter(map(len, rows), np.int64, len(rows))
-                self.tables.append((np.fromiter((i for r in rows for i in r), np.int32, int(n.sum())), np.cumsum(n) - n, n))
+            self._learn(new)
         return np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat)), np.fromiter(map(len, words), np.int64, len(words))
 
 
@@ -140,18 +154,14 @@ class Slice:
         rows = [i for i, t in enumerate(texts) if t and "▁" not in t]
         of, n = units.numbers([f" {texts[i]}" for i in rows])
         text = np.repeat(np.array(rows, np.int64), n)
-        good = np.array(units.good, bool)
-        bad = np.unique(text[~good[of]]) if len(of) else text
+        bad = np.unique(text[~units.good[of]])
         if len(bad):
             stays = ~np.isin(text, bad)
             of, text = of[stays], text[stays]
         self.sides = []
-        for (flat, starts, counts), size in zip(units.tables if len(of) else [], (units.a_len, units.b_len), strict=False):
+        for (flat, starts, counts), size in zip(units.tables, units.sizes, strict=True):
             ids = _ragged(flat, starts, counts, of)
             self.sides.append((ids, np.cumsum(size[ids]), np.bincount(text, counts[of], len(texts)).astype(np.int64)))
-        if not self.sides:
-            none = np.empty(0, np.int64)
-            self.sides = [(none.astype(np.int32), none, np.zeros(len(texts), np.int64))] * 2
         (self.a, a_ends, self.n_a), (self.b, b_ends, self.n_b) = self.sides
         # Texts stand one behind the other; each ends in a gap that nothing spans.
         self.b_last = np.flatnonzero(unspanned(a_ends, b_ends))

@@ -40,6 +40,8 @@ LIMIT = 2048
 WORDS = 400_000
 #: Longer words are not remembered.
 LONGEST = 100
+#: Words in one call of the library.
+BATCH = 2000
 _BLANKS = "".join(map(chr, WHITE_SPACE))
 _SCHEMA = "version string, digest binary, n_tokens long"
 
@@ -73,39 +75,50 @@ def version(path: str) -> str:
         return hashlib.sha256(f.read() + f"|{library}|{'blanks' if drops_blanks(path) else 'whole'}".encode()).hexdigest()[:32]
 
 
-class WordCounts(dict):
+class WordCounts:
     """word -> number of tokens, asked of the library for many words at once; a word is the whole text where white space counts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.known: dict[str, int] = {}
+        self.words = re.compile(f"[^{_BLANKS}]+" if drops_blanks(path) else r"(?s).+").findall
         if path.endswith(".model"):
             import sentencepiece
 
             sp = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.ask = lambda words: map(len, sp.encode(words, num_threads=1))
-        else:
-            from tokenizers import Tokenizer
-
-            t = Tokenizer.from_file(path)
-            t.no_truncation()
-            t.no_padding()
-            self.ask = lambda words: map(len, t.encode_batch_fast(words, add_special_tokens=False))
-        self.words = re.compile(f"[^{_BLANKS}]+" if drops_blanks(path) else r"(?s).+").findall
+            self.ask = lambda texts: map(len, sp.encode(texts, num_threads=1))
+            return
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.ask = self._lines if drops_blanks(path) else lambda texts: [len(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _lines(self, words: list[str]) -> list[int]:
+        """Words as one text, a line each: a call costs as much as some twenty words. Tokens belong to words by their place."""
+        out: list[int] = []
+        for k in range(0, len(words), BATCH):
+            some = words[k : k + BATCH]
+            ends = np.cumsum([len(w) + 1 for w in some])
+            at = np.array([a for a, _ in self.library.encode("\n".join(some), add_special_tokens=False).offsets], np.int64)
+            out += np.bincount(np.searchsorted(ends, at, "right"), minlength=len(some)).tolist()
+        return out
 
     def total(self, text: str) -> int:
-        words = self.words(text)
+        words, known = self.words(text), self.known
         seen = set(words)
-        new = seen.difference(self)
-        if len(self) + len(new) > WORDS:
-            self.clear()
+        new = seen.difference(known)
+        if len(known) + len(new) > WORDS:
+            known.clear()
             new = seen
         if new:
             new = list(new)
-            self.update(zip(new, self.ask(new), strict=True))
-        n = int(np.fromiter(map(self.__getitem__, words), np.int64, len(words)).sum())
+            known.update(zip(new, self.ask(new), strict=True))
+        n = sum(map(known.__getitem__, words))
         for w in new:  # long ones are rarely met again
             if len(w) > LONGEST:
-                del self[w]
+                del known[w]
         return n
 
 
@@ -120,8 +133,8 @@ def encoded(texts: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, last = _counter(path), (None, 0)
         for batch in slices(batches, "text"):
-            n, digests = [], batch.column(0).to_pylist()
-            for digest, text in zip(digests, batch.column(1).to_pylist(), strict=True):
+            n = []
+            for digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if digest != last[0]:
                     last = (digest, counter.total(text))
                 n.append(last[1])
