@@ -1,7 +1,7 @@
 """Joins and closures over what a document parser finds: paint spans, images, widgets, structure, marked sections, nested forms.
 
-Range joins are equi-joins on (document, page) with the ranges as residue. Closures follow references in a bounded number of
-rounds within one plan; a path array tells cycles. What cannot be compared counts as hit: everything fails closed."""
+Range joins are equi-joins on (document, page) with the ranges as residue. Closures follow references to their end (reach). What
+cannot be compared counts as hit: everything fails closed."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from .reach import reached
 
 PAGE = ["doc_id", "page"]
 
@@ -46,28 +47,16 @@ def image_pixels(images: DataFrame, rects: DataFrame) -> DataFrame:
     )
 
 
-def closure(edges: DataFrame, seeds: DataFrame, key: list[str], most: int) -> DataFrame:
-    """(*key, root, node, depth, path, cycle) of what can be reached from seeds (*key, node) along edges (*key, parent, child) in
-    up to `most` steps; a way that comes back to a node of its own path is marked and ends there. One plan of `most` joins."""
-    here = seeds.select(*key, F.col("node").alias("root"), "node", F.lit(0).alias("depth"), F.array("node").alias("path"), F.lit(False).alias("cycle")).distinct()
-    out = here
-    for depth in range(1, most + 1):
-        step = here.where(~F.col("cycle")).join(edges.select(*key, F.col("parent").alias("node"), "child"), [*key, "node"])
-        here = step.select(*key, "root", F.col("child").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array("child")).alias("path"), F.array_contains("path", F.col("child")).alias("cycle")).distinct()
-        out = out.unionByName(here)
-    return out
-
-
-#: Nested forms are followed this deep; fields and structure this deep.
-FORM_DEPTH, FIELD_DEPTH = 8, 8
+#: Forms may be nested this deep, the page's own being at 0 (a fixed value).
+FORM_DEPTH = 8
 
 
 def clear_fields(widgets: DataFrame, fields: DataFrame, rects: DataFrame) -> DataFrame:
     """fields (doc_id, field, parent, value, default_value) with the column cleared: the values of the fields whose widgets (doc_id,
-    page, field, box) lie under a rectangle are gone, and those of all fields above them."""
+    page, field, box) lie under a rectangle are gone, and those of all fields above them, however many."""
     hit = under(widgets, rects).select("doc_id", F.col("field").alias("node")).distinct()
-    above = closure(fields.where("parent IS NOT NULL").select("doc_id", F.col("field").alias("parent"), F.col("parent").alias("child")), hit, ["doc_id"], FIELD_DEPTH)
-    gone = above.select("doc_id", F.col("node").alias("field")).distinct().withColumn("_gone", F.lit(True))
+    above = reached(fields.select("doc_id", F.col("field").alias("parent"), F.col("parent").alias("child")), hit, ["doc_id"])
+    gone = above.select("doc_id", F.col("node").alias("field")).withColumn("_gone", F.lit(True))
     both = fields.join(gone, ["doc_id", "field"], "left").withColumn("cleared", F.col("_gone").isNotNull())
     keep = lambda c: F.when(~F.col("cleared"), F.col(c)).alias(c)
     return both.select("doc_id", "field", "parent", keep("value"), keep("default_value"), "cleared")
@@ -96,29 +85,28 @@ def clear_sections(sections: DataFrame, parts: DataFrame) -> DataFrame:
 
 def nested_forms(uses: DataFrame, most: int = FORM_DEPTH) -> DataFrame:
     """(doc_id, page, forms, deepest, images_within, ok) of each page that uses an object. uses: (doc_id, page, parent, child, kind);
-    parent null: the page itself; kind: form or image. ok: no cycle, nothing deeper than `most`, no image within a form."""
+    parent null: the page itself; kind: form or image. deepest: the most uses that lie between the page and a form, null if
+    that is not known, as with a cycle. ok: it is known and at most `most`, and no form uses an image."""
     forms = uses.where("kind = 'form'")
-    top = forms.where("parent IS NULL").select(*PAGE, F.col("child").alias("node")).distinct()
-    reached = closure(forms.where("parent IS NOT NULL"), top, PAGE, most)
+    top = forms.where("parent IS NULL").select(*PAGE, F.col("child").alias("node"))
+    found = reached(forms, top, PAGE)
     within = uses.where("kind = 'image' AND parent IS NOT NULL").select(*PAGE, F.col("parent").alias("node")).distinct().withColumn("_image", F.lit(True))
-    each = reached.join(within, [*PAGE, "node"], "left").groupBy(*PAGE).agg(
-        F.count_distinct("node").alias("forms"), F.max("depth").cast("bigint").alias("deepest"), F.count_distinct(F.when(F.col("_image"), F.col("node"))).alias("images_within"),
-        (F.bool_or("cycle") | (F.max("depth") >= most)).alias("_bad"),
+    each = found.join(within, [*PAGE, "node"], "left").groupBy(*PAGE).agg(
+        F.count(F.lit(1)).alias("forms"), F.when(F.bool_and(F.col("deepest").isNotNull()), F.max("deepest")).alias("deepest"), F.count_if(F.col("_image")).alias("images_within"), F.lit(True).alias("_any"),
     )
-    both = uses.select(*PAGE).distinct().join(each, PAGE, "left").fillna(0, ["forms", "deepest", "images_within"])
-    return both.select(*PAGE, "forms", "deepest", "images_within", (~F.coalesce("_bad", F.lit(False)) & (F.col("images_within") == 0)).alias("ok"))
+    both = uses.select(*PAGE).distinct().join(each, PAGE, "left").fillna(0, ["forms", "images_within"])
+    deepest = F.when(F.col("_any"), F.col("deepest")).otherwise(0)
+    return both.select(*PAGE, "forms", deepest.alias("deepest"), "images_within", (F.coalesce(deepest <= most, F.lit(False)) & (F.col("images_within") == 0)).alias("ok"))
 
 
-def purge(objects: DataFrame, edges: DataFrame, roots: DataFrame, most: int = FORM_DEPTH) -> DataFrame:
-    """objects (doc_id, node, ...) without the roots (doc_id, node) and all that they refer to, `most` references deep."""
-    gone = closure(edges, roots, ["doc_id"], most).select("doc_id", "node").distinct()
-    return objects.join(gone, ["doc_id", "node"], "left_anti")
+def purge(objects: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """objects (doc_id, node, ...) without the roots (doc_id, node) and all that they refer to."""
+    return objects.join(reached(edges, roots, ["doc_id"]).select("doc_id", "node"), ["doc_id", "node"], "left_anti")
 
 
-def rebuilt(objects: DataFrame, edges: DataFrame, roots: DataFrame, most: int = FORM_DEPTH) -> DataFrame:
-    """objects that a root refers to, `most` references deep: a document written anew has no orphans."""
-    kept = closure(edges, roots, ["doc_id"], most).select("doc_id", "node").distinct()
-    return objects.join(kept, ["doc_id", "node"], "left_semi")
+def rebuilt(objects: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """The roots among objects and all that they refer to: a document written anew has no orphans."""
+    return objects.join(reached(edges, roots, ["doc_id"]).select("doc_id", "node"), ["doc_id", "node"], "left_semi")
 
 
 def fonts_of(segments: DataFrame, fonts: DataFrame) -> DataFrame:

@@ -45,9 +45,11 @@ def coverage(lines: DataFrame, rects: list[Rect]) -> DataFrame:
     return lines.withColumn("coverage", F.when(full, "full").when(touch, "partial").otherwise("none"))
 
 
-def coverage_by(lines: DataFrame, rects: DataFrame) -> DataFrame:
+def coverage_by(lines: DataFrame, rects: DataFrame, own: list[str] | None = None) -> DataFrame:
     """The same against a table of rectangles (doc_id, page, rx, ry, rw, rh): an equi-join on the page with the
-    ranges as its residue, then the strongest class of each line. What cannot be compared counts as covered."""
+    ranges as its residue, then the strongest class of each line, which the columns `own` (line_no) tell from others of
+    its page. What cannot be compared counts as covered."""
+    own = own or ["line_no"]
     here = lines.join(rects.withColumn("_there", F.lit(True)), ["doc_id", "page"], "left")
     left, right = F.col("x"), F.col("x") + F.col("w")
     low, high = F.col("y") - F.col("size") * 0.25, F.col("y") + F.col("size") * 0.85
@@ -56,8 +58,8 @@ def coverage_by(lines: DataFrame, rects: DataFrame) -> DataFrame:
     touch = F.col("_there").isNotNull() & sure((left < x1) & (right > x0) & (low < y1) & (high > y0))
     full = touch & sure((left >= x0 - SLACK) & (right <= x1 + SLACK) & (low >= y0 - SLACK) & (high <= y1 + SLACK))
     strength = F.when(full, 2).when(touch, 1).otherwise(0)
-    best = here.groupBy("doc_id", "page", "line_no").agg(F.max(strength).alias("s"))
-    return best.select("doc_id", "page", "line_no", F.element_at(F.array(F.lit("none"), F.lit("partial"), F.lit("full")), F.col("s") + 1).alias("coverage"))
+    best = here.groupBy("doc_id", "page", *own).agg(F.max(strength).alias("s"))
+    return best.select("doc_id", "page", *own, F.element_at(F.array(F.lit("none"), F.lit("partial"), F.lit("full")), F.col("s") + 1).alias("coverage"))
 
 
 def covered_report(marked: DataFrame, on_partial: str = "refuse") -> DataFrame:

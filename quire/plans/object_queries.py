@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import annots, leaks, objects, pages, redact, text
+from ..operators import annots, forms, leaks, objects, pages, redact, text
 from ..sources import fixtures
 from ..sources import object_fixtures as made
 from ..sources import text_documents as src
@@ -41,10 +41,13 @@ def image_pixels(spark, sf_dir):
     return objects.image_pixels(made.images(rows), made.rects(rows, IMAGE_RECTS))
 
 
-@query("""WITH f AS (SELECT doc_id, unnest(['form', 'form.name', 'form.name.0', 'other']) AS field, unnest([NULL, 'form', 'form.name', NULL]) AS parent, unnest(['all', 'secret', NULL, 'kept']) AS value FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, field, parent, CASE WHEN field = 'other' THEN value END AS value, CASE WHEN field = 'other' THEN value END AS default_value, field <> 'other' AS cleared FROM f""")
+@query(f"""WITH RECURSIVE {BOXES_SQL}, f AS (SELECT doc_id, page * 25 + line_no - 25 AS field, text, CASE WHEN page * 25 + line_no - 26 - length(text) % 3 > 0 THEN page * 25 + line_no - 26 - length(text) % 3 END AS parent FROM lines),
+up AS (SELECT doc_id, page * 25 + line_no - 25 AS field FROM boxes b WHERE EXISTS (SELECT 1 FROM rects r WHERE r.page = b.page AND CASE WHEN x0 IS NULL THEN true ELSE {HIT_SQL} END)
+  UNION SELECT f.doc_id, f.parent FROM up JOIN f ON f.doc_id = up.doc_id AND f.field = up.field WHERE f.parent IS NOT NULL)
+SELECT f.doc_id, f.field, parent, CASE WHEN up.field IS NULL THEN text END AS value, CASE WHEN up.field IS NULL THEN 'default ' || text END AS default_value, up.field IS NOT NULL AS cleared
+FROM f LEFT JOIN up ON f.doc_id = up.doc_id AND f.field = up.field""")
 def clear_fields(spark, sf_dir):
-    """A hit widget's field and all fields above it lose their values."""
+    """A hit widget's field and all fields above it, a page's worth and more, lose their values."""
     fields, widgets = made.form_tree(docs(spark, sf_dir).where("text IS NOT NULL"))
     return objects.clear_fields(widgets, fields, _rects(spark, sf_dir))
 
@@ -57,8 +60,8 @@ def clear_structure(spark, sf_dir):
     return objects.clear_structure(made.structure(src.lines(docs(spark, sf_dir))), _rects(spark, sf_dir))
 
 
-@query(f"""WITH {LINES}, s AS (SELECT doc_id, page, line_no AS section, line_no * 100 AS a, line_no * 100 + 60 AS b, CASE WHEN line_no % 2 = 0 THEN 'secret ' || line_no END AS secret FROM lines),
-p AS (SELECT doc_id, page, line_no * 100 + 10 AS a, line_no * 100 + 110 AS b, line_no % 4 IN (0, 3) AS removed FROM lines),
+@query(f"""WITH {LINES}, s AS (SELECT doc_id, page, line_no AS section, line_no * 100 AS a, line_no * 100 + 60 AS b, CASE WHEN length(text) % 5 = 0 THEN 'secret ' || text END AS secret FROM lines),
+p AS (SELECT doc_id, page, line_no * 100 + 10 AS a, line_no * 100 + 110 AS b, contains(text, 'e') AS removed FROM lines),
 o AS (SELECT s.*, secret IS NULL OR NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id = s.doc_id AND p.page = s.page AND p.a < s.b AND p.b > s.a AND NOT removed) AS ok FROM s)
 SELECT doc_id, page, section, CASE WHEN NOT ok THEN secret END AS secret, ok FROM o""")
 def clear_sections(spark, sf_dir):
@@ -66,26 +69,74 @@ def clear_sections(spark, sf_dir):
     return objects.clear_sections(*made.sections(src.lines(docs(spark, sf_dir))))
 
 
-@query(f"""WITH {PAGES}, k AS (SELECT doc_id, page, (doc_id + page) % 11 AS k, doc_id % 7 = 3 AS back, doc_id % 5 = 1 AS image FROM pages),
-d AS (SELECT *, CASE WHEN back AND k + 1 <= 8 THEN k + 1 ELSE least(k, 8) END AS deepest FROM k)
-SELECT doc_id, page, least(k + 1, 9) AS forms, deepest, CASE WHEN image THEN 1 ELSE 0 END AS images_within, NOT (back AND k + 1 <= 8) AND deepest < 8 AND NOT image AS ok FROM d""")
+# Walks over a page's forms by their number of steps; with 25 forms, one of 25 steps comes back to a form.
+FORMS_SQL = """fl AS (SELECT doc_id, page, line_no AS k, text, max(line_no) OVER (PARTITION BY doc_id, page) AS n FROM lines),
+fe AS (SELECT doc_id, page, k AS parent, k + 1 AS child FROM fl WHERE k < n AND k % 7 <> 0 AND text <> '' UNION ALL SELECT doc_id, page, k, k + 2 FROM fl WHERE k + 2 <= n AND contains(text, 'z')
+  UNION ALL SELECT doc_id, page, k, k - 2 FROM fl WHERE contains(text, 'Z') AND k > 2),
+fw AS (SELECT doc_id, page, k AS node, 0 AS steps FROM fl WHERE k % 7 = 1 UNION SELECT fe.doc_id, fe.page, child, steps + 1 FROM fw JOIN fe ON fe.doc_id = fw.doc_id AND fe.page = fw.page AND fe.parent = fw.node WHERE steps < 25),
+nested AS (SELECT fw.doc_id, fw.page, count(DISTINCT node) AS forms, CASE WHEN max(steps) < 25 THEN CAST(max(steps) AS BIGINT) END AS deepest, count(DISTINCT node) FILTER (regexp_matches(text, '[0-9]')) AS images_within,
+  max(steps) <= 8 AND NOT bool_or(regexp_matches(text, '[0-9]')) AS ok FROM fw JOIN fl ON fl.doc_id = fw.doc_id AND fl.page = fw.page AND fl.k = fw.node GROUP BY fw.doc_id, fw.page)"""
+
+
+@query(f"WITH RECURSIVE {LINES}, {FORMS_SQL} SELECT * FROM nested")
 def nested_forms(spark, sf_dir):
-    """J12, J13 and RW10's test: forms within forms, cycles, depth, images within."""
-    return objects.nested_forms(made.form_uses(page_rows(spark, sf_dir)))
+    """Forms within forms, shared ones, cycles, depth, images within."""
+    return objects.nested_forms(made.form_uses(docs(spark, sf_dir)))
+
+
+SECTIONS_SQL = """s AS (SELECT doc_id, page, line_no AS section, line_no * 100 AS a, line_no * 100 + 60 AS b, CASE WHEN length(text) % 5 = 0 THEN 'secret ' || text END AS secret FROM lines),
+p AS (SELECT doc_id, page, line_no * 100 + 10 AS a, line_no * 100 + 110 AS b, contains(text, 'e') AS removed FROM lines),
+o AS (SELECT s.*, secret IS NULL OR NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id = s.doc_id AND p.page = s.page AND p.a < s.b AND p.b > s.a AND NOT removed) AS ok FROM s)"""
 
 
-@query(f"""WITH {BOXES_SQL}, s AS (SELECT doc_id, page, count(*) AS spans FROM boxes b WHERE EXISTS (SELECT 1 FROM rects r WHERE r.page = b.page AND CASE WHEN x0 IS NULL THEN true ELSE {HIT_SQL} END) GROUP BY doc_id, page),
+@query(f"""WITH RECURSIVE {BOXES_SQL}, {FORMS_SQL}, {SECTIONS_SQL}, sp AS (SELECT doc_id, page, count(*) AS spans FROM boxes b WHERE EXISTS (SELECT 1 FROM rects r WHERE r.page = b.page AND CASE WHEN x0 IS NULL THEN true ELSE {HIT_SQL} END) GROUP BY doc_id, page),
 l AS (SELECT doc_id, page, count(*) AS lines FROM lines WHERE contains(lower(text), 'license') GROUP BY doc_id, page),
-k AS (SELECT doc_id, page, max(line_no) AS n FROM lines GROUP BY doc_id, page),
-b AS (SELECT doc_id, page, (doc_id + page) % 11 >= 8 OR doc_id % 7 = 3 AND (doc_id + page) % 11 < 8 OR doc_id % 5 = 1 OR n >= 2 AS bad FROM k)
-SELECT doc_id, page, coalesce(lines, 0) AS lines, coalesce(spans, 0) AS spans, NOT bad AS ok FROM l FULL JOIN s USING (doc_id, page) JOIN b USING (doc_id, page)""")
+g AS (SELECT doc_id, page, bool_and(ok) AS fine FROM (SELECT doc_id, page, ok FROM nested UNION ALL SELECT doc_id, page, ok FROM o) GROUP BY doc_id, page)
+SELECT doc_id, page, coalesce(lines, 0) AS lines, coalesce(spans, 0) AS spans, fine AS ok FROM l FULL JOIN sp USING (doc_id, page) JOIN g USING (doc_id, page)""")
 def vector_plans(spark, sf_dir):
-    """RW9: covered lines, paint spans, marked sections and nested forms put together. Every page of two lines or more has a
-    section that keeps its secret."""
+    """RW9: covered lines, paint spans, marked sections and nested forms put together."""
     rows = src.lines(docs(spark, sf_dir))
     covered = redact.find_rects(rows, "license")
     spans = objects.under(made.boxes(rows), _rects(spark, sf_dir))
-    return objects.vector_plan(covered, spans, objects.clear_sections(*made.sections(rows)), objects.nested_forms(made.form_uses(page_rows(spark, sf_dir))))
+    return objects.vector_plan(covered, spans, objects.clear_sections(*made.sections(rows)), objects.nested_forms(made.form_uses(docs(spark, sf_dir))))
+
+
+# Uses of shared forms: only shifts, so a use is placed by its sum of them.
+CLONES_SQL = f"""{{LINES}}, t AS (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents WHERE text IS NOT NULL),
+d AS (SELECT doc_id, t, least(len(t), 12) AS n, CAST(ceil(len(t) / 25.0) AS BIGINT) AS pages FROM t),
+fm AS (SELECT doc_id, n, unnest(range(1, n + 1)) AS k, unnest(t[1:n]) AS text FROM d),
+inner_use AS (SELECT doc_id, 'f' || k AS parent, 'next' AS name, 'f' || (k + 1) AS child, 20.0::DOUBLE AS dy FROM fm WHERE k + 1 <= n AND text <> '' AND k % 4 <> 0
+  UNION ALL SELECT doc_id, 'f' || k, 'over', 'f' || (k + 2), 40.0::DOUBLE FROM fm WHERE k + 2 <= n AND contains(text, 'e')),
+pg AS (SELECT doc_id, n, unnest(range(1, pages + 1)) AS page FROM d),
+page_use AS (SELECT doc_id, page, 'top' AS name, 'f1' AS child, 680.0::DOUBLE AS dy FROM pg UNION ALL SELECT doc_id, page, 'low', 'f' || (page % 5 + 1), 480.0::DOUBLE + page FROM pg WHERE page % 5 + 1 <= n),
+rc(page, rx, ry, rw, rh) AS (VALUES {", ".join(f"({p}, {x}::DOUBLE, {y}::DOUBLE, {w}::DOUBLE, {h}::DOUBLE)" for p, x, y, w, h in RECT_SHAPES)}),
+w AS (SELECT doc_id, page, name AS path, child AS form, dy, 0 AS depth FROM page_use WHERE page IN (SELECT page FROM rc)
+  UNION ALL SELECT w.doc_id, w.page, w.path || '/' || i.name, i.child, w.dy + i.dy, depth + 1 FROM w JOIN inner_use i ON i.doc_id = w.doc_id AND i.parent = w.form WHERE depth <= 8),
+bad AS (SELECT DISTINCT doc_id, page FROM w WHERE depth > 8),
+u AS (SELECT w.*, fm.text, 50.0::DOUBLE AS x, w.dy + 10 AS y, 7.0::DOUBLE * length(fm.text) AS wd FROM w JOIN fm ON fm.doc_id = w.doc_id AND 'f' || fm.k = w.form ANTI JOIN bad ON bad.doc_id = w.doc_id AND bad.page = w.page),
+m AS (SELECT *, EXISTS (SELECT 1 FROM rc WHERE rc.page = u.page AND x < rx + rw AND x + wd > rx AND y - 3.5 < ry + rh AND y + 11.9 > ry AND x >= rx - 0.5 AND x + wd <= rx + rw + 0.5 AND y - 3.5 >= ry - 0.5 AND y + 11.9 <= ry + rh + 0.5) AS gone FROM u),
+c AS (SELECT * FROM m WHERE EXISTS (SELECT 1 FROM m z WHERE z.gone AND z.doc_id = m.doc_id AND z.page = m.page AND (z.path = m.path OR starts_with(z.path, m.path || '/'))))"""
+
+
+def _clones(spark, sf_dir):
+    rows = docs(spark, sf_dir).where("text IS NOT NULL")
+    return forms.clone_on_write(*made.shared_forms(rows), _rects(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {CLONES_SQL.replace("{LINES}", LINES)},
+e AS (SELECT c.doc_id, c.page, 'p' || c.page || ':' || c.path AS parent, i.name, c.path || '/' || i.name AS path, i.child FROM c JOIN inner_use i ON i.doc_id = c.doc_id AND i.parent = c.form
+  UNION ALL SELECT doc_id, page, NULL, name, name, child FROM page_use)
+SELECT e.doc_id, e.page, e.parent, e.name, CASE WHEN c.path IS NULL THEN e.child ELSE 'p' || c.page || ':' || c.path END AS target FROM e LEFT JOIN c ON c.doc_id = e.doc_id AND c.page = e.page AND c.path = e.path
+UNION ALL SELECT doc_id, NULL, parent, name, child FROM inner_use""")
+def clone_edges(spark, sf_dir):
+    """RW10: uses of forms after a redaction of two pages; copies are used only where something was covered."""
+    return _clones(spark, sf_dir).edges
+
+
+@query(f"WITH RECURSIVE {CLONES_SQL.replace('{LINES}', LINES)} SELECT doc_id, 'p' || page || ':' || path AS form, 1 AS seq, text FROM c WHERE NOT gone")
+def clone_segments(spark, sf_dir):
+    """RW10: what is left of the copied forms' texts."""
+    return _clones(spark, sf_dir).segments
 
 
 @query("""WITH n AS (SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN (60 + doc_id % 7) * 20 ELSE 0 END AS box, CASE WHEN doc_id % 4 <> 0 AND doc_id % 3 = 0 THEN 90 ELSE 0 END AS light FROM documents WHERE text IS NOT NULL),
@@ -97,18 +148,23 @@ def canvas_colours(spark, sf_dir):
     return out.select("doc_id", "page", "blank", *(F.round(c, 6).alias(c) for c in "rgb"))
 
 
-@query("SELECT doc_id, 'o' || i AS node FROM (SELECT doc_id, unnest(range(doc_id % 8 + 1)) AS i FROM documents WHERE text IS NOT NULL) WHERE i < 2")
+OBJECTS_SQL = """l AS (SELECT doc_id, unnest(range(len(t))) AS node, unnest(t) AS text, len(t) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents WHERE text IS NOT NULL)),
+e AS (SELECT doc_id, node AS parent, node + 1 AS child FROM l WHERE length(text) % 8 <> 0 AND node + 1 < n UNION ALL SELECT doc_id, node, length(text) % n FROM l WHERE contains(text, 'the')),
+r AS (SELECT doc_id, node FROM l WHERE {} UNION SELECT e.doc_id, e.child FROM r JOIN e ON e.doc_id = r.doc_id AND e.parent = r.node)"""
+
+
+@query(f"WITH RECURSIVE {OBJECTS_SQL.format("contains(text, 'q')")} SELECT doc_id, node, text FROM l ANTI JOIN r ON r.doc_id = l.doc_id AND r.node = l.node")
 def purge_objects(spark, sf_dir):
-    """What the third object refers to goes with it."""
+    """What lines with a q refer to goes with them."""
     rows, refs = made.objects(docs(spark, sf_dir).where("text IS NOT NULL"))
-    return objects.purge(rows, refs, rows.where("node = 'o2'"))
+    return objects.purge(rows, refs, rows.where(F.contains("text", F.lit("q"))))
 
 
-@query("SELECT doc_id, 'o' || i AS node FROM (SELECT doc_id, unnest(range(doc_id % 8 + 1)) AS i FROM documents WHERE text IS NOT NULL) WHERE i >= 2")
+@query(f"WITH RECURSIVE {OBJECTS_SQL.format('node = 0')} SELECT doc_id, node, text FROM l SEMI JOIN r ON r.doc_id = l.doc_id AND r.node = l.node")
 def rebuild_clean(spark, sf_dir):
-    """RW15: only what is referred to is written anew."""
+    """RW15: only what the first object leads to is written anew."""
     rows, refs = made.objects(docs(spark, sf_dir).where("text IS NOT NULL"))
-    return objects.rebuilt(rows, refs, rows.where("node = 'o2'"))
+    return objects.rebuilt(rows, refs, rows.where("node = 0"))
 
 
 @query(f"WITH {LINES} SELECT doc_id, page, line_no, CASE line_no % 3 WHEN 0 THEN 'Helvetica' WHEN 1 THEN 'Times' END AS base_font, line_no % 3 = 2 AS undecodable FROM lines")

@@ -3,9 +3,11 @@ closures. Names and numbers follow from doc_id, page and line, so that every cas
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .text_documents import PAGE_LINES, lines
+
 
 def boxes(lines: DataFrame) -> DataFrame:
     """A box around each line; every thirteenth line's has no left edge."""
@@ -28,12 +30,13 @@ def images(pages: DataFrame) -> DataFrame:
 
 
 def form_tree(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(fields, widgets): a field within a field within a form, one beside it; every fifth document's inner widget has no place."""
-    field = lambda n, p, v: F.struct(F.lit(n).alias("field"), F.lit(p).cast("string").alias("parent"), F.lit(v).cast("string").alias("value"), F.lit(v).cast("string").alias("default_value"))
-    fields = docs.select("doc_id", F.inline(F.array(field("form", None, "all"), field("form.name", "form", "secret"), field("form.name.0", "form.name", None), field("other", None, "kept"))))
-    box = lambda n, y: F.struct(F.lit(n).alias("field"), F.lit(50.0).alias("x0"), F.lit(y).alias("y0"), F.lit(150.0).alias("x1"), F.lit(y + 20).alias("y1"))
-    widgets = docs.select("doc_id", F.lit(1).cast("bigint").alias("page"), F.inline(F.array(box("form.name.0", 720.0), box("other", 100.0))))
-    return fields, widgets.withColumn("x0", F.when((F.col("doc_id") % 5 != 0) | (F.col("field") == "other"), F.col("x0")))
+    """(fields, widgets): a field for each line of a document, within the one that stands one to three lines further up, as the line's
+    length has it; its widget is the line's box."""
+    rows = lines(docs)
+    k = F.col("page") * PAGE_LINES + F.col("line_no") - PAGE_LINES
+    up = k - 1 - F.length("text") % 3
+    fields = rows.select("doc_id", k.alias("field"), F.when(up > 0, up).alias("parent"), F.col("text").alias("value"), F.concat(F.lit("default "), "text").alias("default_value"))
+    return fields, boxes(rows).select("doc_id", "page", (F.col("page") * PAGE_LINES + F.col("line_no") - PAGE_LINES).alias("field"), "x0", "y0", "x1", "y1")
 
 
 def structure(lines: DataFrame) -> DataFrame:
@@ -44,31 +47,57 @@ def structure(lines: DataFrame) -> DataFrame:
 
 
 def sections(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sections, parts): a marked section for each line, every second with a secret, and parts that reach into the next section; two
-    of four are removed."""
+    """(sections, parts): a marked section for each line, with a secret if the line's length is a multiple of five, and parts that reach
+    into the next section; those of lines with an e are removed."""
     at = F.col("line_no") * 100
-    marked = lines.select("doc_id", "page", F.col("line_no").alias("section"), at.alias("start"), (at + 60).alias("stop"), F.when(F.col("line_no") % 2 == 0, F.concat(F.lit("secret "), F.col("line_no").cast("string"))).alias("secret"))
-    return marked, lines.select("doc_id", "page", (at + 10).alias("start"), (at + 110).alias("stop"), (F.col("line_no") % 4).isin(0, 3).alias("removed"))
-
-
-def chain_length() -> Column:
-    return (F.col("doc_id") + F.col("page")) % 11
+    marked = lines.select("doc_id", "page", F.col("line_no").alias("section"), at.alias("start"), (at + 60).alias("stop"), F.when(F.length("text") % 5 == 0, F.concat(F.lit("secret "), "text")).alias("secret"))
+    return marked, lines.select("doc_id", "page", (at + 10).alias("start"), (at + 110).alias("stop"), F.contains("text", F.lit("e")).alias("removed"))
 
 
-def form_uses(pages: DataFrame) -> DataFrame:
-    """Forms within forms, up to ten deep; every seventh page's last one uses the first again, every fifth's first an image."""
-    k = chain_length().cast("int")
-    name = lambda n: F.concat(F.lit("f"), n.cast("string"))
-    use = lambda p, c, kind: F.struct(p.cast("string").alias("parent"), c.alias("child"), F.lit(kind).alias("kind"))
-    chain = F.transform(F.sequence(F.lit(0), k), lambda i: use(F.when(i > 0, name(i - 1)), name(i), "form"))
-    back = F.when(F.col("doc_id") % 7 == 3, F.array(use(name(k), F.lit("f0"), "form"))).otherwise(F.array().cast("array<struct<parent:string,child:string,kind:string>>"))
-    image = F.when(F.col("doc_id") % 5 == 1, F.array(use(F.lit("f0"), F.lit("i"), "image"))).otherwise(F.array(use(F.lit(None), F.lit("i"), "image")))
-    return pages.select("doc_id", "page", F.inline(F.concat(chain, back, image)))
+def form_uses(docs: DataFrame) -> DataFrame:
+    """A form for each line of a page. The page uses the forms of lines 1, 8, 15 and 22; a form uses the next one but for lines 7, 14
+    and 21 and blank ones, the one two lines down, too, if its line has a z, and an earlier one, which is a cycle, if it has a
+    capital Z; it draws an image if it has a digit. Pages draw one themselves."""
+    rows = lines(docs)
+    rows = rows.withColumn("n", F.max("line_no").over(Window.partitionBy("doc_id", "page")))
+    k, n, has = F.col("line_no"), F.col("n"), lambda c: F.contains("text", F.lit(c))
+    use = lambda p, c, kind: F.struct(p.cast("bigint").alias("parent"), c.cast("bigint").alias("child"), F.lit(kind).alias("kind"))
+    found = F.array_compact(F.array(
+        F.when(k % 7 == 1, use(F.lit(None), k, "form")), F.when(k == 1, use(F.lit(None), F.lit(1000), "image")), F.when((k < n) & (k % 7 != 0) & (F.col("text") != ""), use(k, k + 1, "form")),
+        F.when((k + 2 <= n) & has("z"), use(k, k + 2, "form")), F.when(has("Z") & (k > 2), use(k, k - 2, "form")), F.when(F.col("text").rlike("[0-9]"), use(k, F.lit(1000), "image")),
+    ))
+    return rows.select("doc_id", "page", F.inline(found))
 
 
 def objects(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(objects, references): a chain of up to eight objects a document."""
-    k = (F.col("doc_id") % 8).cast("int")
-    name = lambda n: F.concat(F.lit("o"), n.cast("string"))
-    rows = docs.select("doc_id", F.explode(F.sequence(F.lit(0), k)).alias("i"))
-    return rows.select("doc_id", name(F.col("i")).alias("node")), rows.where("i > 0").select("doc_id", name(F.col("i") - 1).alias("parent"), name(F.col("i")).alias("child"))
+    """(objects, references): an object for each line. It refers to the next one, unless its length is a multiple of eight, and, if it holds 'the', to the one
+    whose number is its length modulo the number of lines, so that references are shared and come back."""
+    cut = docs.select("doc_id", F.split("text", "\n").alias("t")).select("doc_id", F.size("t").alias("n"), F.posexplode("t").alias("node", "text")).withColumn("node", F.col("node").cast("bigint"))
+    refs = F.array_compact(F.array(F.when((F.length("text") % 8 != 0) & (F.col("node") + 1 < F.col("n")), F.col("node") + 1), F.when(F.contains("text", F.lit("the")), F.length("text") % F.col("n"))))
+    return cut.select("doc_id", "node", "text"), cut.select("doc_id", F.col("node").alias("parent"), F.explode(refs).alias("child"))
+
+
+#: Forms of a document, at most.
+FORMS = 12
+
+
+def shared_forms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(uses, segments): the first lines of a document are forms of one text each; a form uses the next one, twenty points further up, if
+    its line is not blank and not a fourth one, and the one after that, forty points up, if its line holds an e. Every page uses the
+    first form at its top and the one with the page's number modulo five lower down."""
+    cut = docs.select("doc_id", F.split("text", "\n").alias("t")).select("doc_id", F.least(F.size("t"), F.lit(FORMS)).alias("n"), F.ceil(F.size("t") / PAGE_LINES).alias("pages"), "t")
+    form = lambda k: F.concat(F.lit("f"), k.cast("string"))
+    at = lambda x, y: F.array(*(F.lit(float(v)) for v in (1, 0, 0, 1)), *(v.cast("double") for v in (x, y)))
+    use = lambda page, parent, name, child, m: F.struct(page.cast("bigint").alias("page"), parent.cast("string").alias("parent"), F.lit(name).alias("name"), child.alias("child"), F.lit("form").alias("kind"), m.alias("m"))
+    rows = cut.select("doc_id", "n", F.posexplode(F.slice("t", 1, FORMS)).alias("k", "text")).withColumn("k", F.col("k") + 1)
+    k, none, lit = F.col("k"), F.lit(None), F.lit
+    inner = F.array_compact(F.array(
+        F.when((k + 1 <= F.col("n")) & (F.col("text") != "") & (k % 4 != 0), use(none, form(k), "next", form(k + 1), at(lit(0), lit(20)))),
+        F.when((k + 2 <= F.col("n")) & F.contains("text", lit("e")), use(none, form(k), "over", form(k + 2), at(lit(0), lit(40)))),
+    ))
+    pages = cut.select("doc_id", "n", F.explode(F.sequence(F.lit(1), F.col("pages").cast("int"))).alias("p"))
+    p = F.col("p")
+    outer = F.array_compact(F.array(use(p, none, "top", form(lit(1)), at(lit(50), lit(680))), F.when(p % 5 + 1 <= F.col("n"), use(p, none, "low", form(p % 5 + 1), at(lit(50), 480 + p)))))
+    uses = rows.select("doc_id", F.inline(inner)).unionByName(pages.select("doc_id", F.inline(outer)))
+    segments = rows.select("doc_id", form(k).alias("form"), F.lit(1).alias("seq"), "text", F.lit(0.0).alias("x"), F.lit(10.0).alias("y"), (F.length("text") * 7.0).alias("w"), F.lit(14.0).alias("size"))
+    return uses, segments
