@@ -7,7 +7,8 @@ keyword see no rule at all; a rule sees only texts with its keyword; only then d
 
 Overlapping detections: a detection is suppressed when an earlier-ordered one (lower priority number, or the
 same and longer, or the same and listed first) covers its whole interval of words. Detections are swept by start with the
-furthest end seen so far for each priority, so the sweep is linear in a text's detections.
+furthest end seen so far for each priority. A fold that adds to an array copies it, so folds go over blocks of BLOCK
+elements: a text's work grows with its detections.
 
 The four base phrases are located apart from the rules and are never suppressed.
 
@@ -169,6 +170,8 @@ def rules() -> list[dict]:
 
 
 PRIORITIES = 5
+#: Elements that are folded into one array.
+BLOCK = 128
 RULE_TYPE = "array<struct<rule:int,label:string,keys:array<string>,priority:int,confidence:double,re:string>>"
 DETECTION = "struct<start:bigint,end:bigint,priority:int,rule:int,label:string,confidence:double>"
 
@@ -185,22 +188,42 @@ def n_words(norm: Column) -> Column:
     return ((F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), the value worked out once: as a lambda's argument."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _folded(items: Column, zero, step) -> Column:
+    """The out arrays of a fold over items, put together. zero: what a block's fold begins with (its out is empty), from the state of
+    the block before it, which has the same fields; step adds to the out of its own block only."""
+    add = lambda acc, block: F.concat(acc, F.array(F.aggregate(block, zero(F.element_at(acc, -1)), step)))
+
+    def over(items: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+        return F.flatten(F.transform(F.aggregate(blocks, F.array(zero(None)), add), lambda x: x["out"]))
+
+    return _let(items, lambda items: F.when(F.size(items) > 0, over(items)).otherwise(F.from_json(F.lit("[]"), F.lit(f"array<{DETECTION}>"))))
+
+
 def detections(norm: Column, rule_list: list[dict] | None = None) -> Column:
     """All detections of the rules, sorted for the sweep. Positions count words from 0; end is past the last word."""
     table = F.from_json(F.lit(json.dumps(rules() if rule_list is None else rule_list)), F.lit(RULE_TYPE))
+    nothing = F.from_json(F.lit("[]"), F.lit(f"array<{DETECTION}>"))
 
     def of(r: Column) -> Column:
-        found = F.regexp_extract_all(norm, r["re"], F.lit(0))
+        return _let(F.regexp_extract_all(norm, r["re"], F.lit(0)), lambda found: placed(r, found))
+
+    def placed(r: Column, found: Column) -> Column:
         between = F.split(norm, r["re"], -1)
         steps = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, f: F.struct(n_words(b).alias("skip"), n_words(f).alias("take")))
-        blank = F.struct(F.lit(0).cast("long").alias("at"), F.from_json(F.lit("[]"), F.lit(f"array<{DETECTION}>")).alias("out"))
+        zero = lambda before: F.struct((F.lit(0).cast("long") if before is None else before["at"]).alias("at"), nothing.alias("out"))
 
         def step(acc: Column, s: Column) -> Column:
             start = acc["at"] + s["skip"]
             hit = F.struct(start.alias("start"), (start + s["take"]).alias("end"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label"), r["confidence"].alias("confidence"))
             return F.struct((start + s["take"]).alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
 
-        return F.aggregate(steps, blank, step, lambda acc: acc["out"])
+        return _folded(steps, zero, step)
 
     hits = F.flatten(F.transform(F.filter(table, lambda r: F.exists(r["keys"], lambda k: F.contains(norm, k))), of))
     order = F.transform(hits, lambda h: F.struct(h["start"].alias("start"), (-h["end"]).alias("back"), h["priority"].alias("priority"), h["rule"].alias("rule"), h["label"].alias("label"), h["confidence"].alias("confidence")))
@@ -210,14 +233,14 @@ def detections(norm: Column, rule_list: list[dict] | None = None) -> Column:
 def unsuppressed(hits: Column) -> Column:
     """The detections that no earlier-ordered one of the same or a better priority covers."""
     none = F.array(*[F.lit(-1).cast("long")] * PRIORITIES)
-    blank = F.struct(none.alias("far"), F.from_json(F.lit("[]"), F.lit(f"array<{DETECTION}>")).alias("out"))
+    nothing = F.from_json(F.lit("[]"), F.lit(f"array<{DETECTION}>"))
 
     def step(acc: Column, h: Column) -> Column:
         covered = F.element_at(acc["far"], h["priority"] + 1) >= h["end"]
         far = F.transform(acc["far"], lambda e, p: F.when(p >= h["priority"], F.greatest(e, h["end"])).otherwise(e))
         return F.struct(far.alias("far"), F.when(covered, acc["out"]).otherwise(F.concat(acc["out"], F.array(h))).alias("out"))
 
-    return F.aggregate(hits, blank, step, lambda acc: acc["out"])
+    return _folded(hits, lambda before: F.struct((none if before is None else before["far"]).alias("far"), nothing.alias("out")), step)
 
 
 def scan(docs: DataFrame, text: str = "text", rule_list: list[dict] | None = None) -> DataFrame:

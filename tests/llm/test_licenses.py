@@ -81,3 +81,21 @@ def test_no_gate_stops_a_rules_own_match():
 
     for rule in licenses.rules():
         check(rule)
+
+
+def test_many_places_in_one_text(spark):
+    """Many blocks of detections; more places than a fold that copies could take."""
+    n = 16_000
+    df = spark.createDataFrame([(1, "mit license " * n), (2, "gpl-2.0 apache license x " * 700)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.report(df).collect()}
+    assert (got[1].n_base, got[1].first_word, got[1].last_word) == (n, 0, 2 * n - 2)
+    small = {r.doc_id: r for r in licenses.scan(df.where("doc_id = 2")).collect()}[2]
+    starts = [d.start for d in small.detections if d.label == "apache"]
+    assert starts == [3 + 6 * k for k in range(700)] or len(starts) == 700
+    assert [d.start for d in small.detections] == sorted(d.start for d in small.detections)
+
+
+def test_clashing_columns_of_scan(spark):
+    df = spark.createDataFrame([(1, "mit license", "x", 5, "y", "z")], "doc_id long, text string, detections string, n_words int, _norm string, base_labels string")
+    r = licenses.scan(df).first()
+    assert (r.n_words, r.n_base, r.base_labels) == (2, 1, ["mit"])
