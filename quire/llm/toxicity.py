@@ -52,8 +52,14 @@ _SIGNS = re.escape("".join(LOOKS))
 _LETTER = r"[^\W\d_]"
 #: A stretched letter, or a sign that a letter stands next to.
 _ODD = re.compile(rf"({_LETTER})\1\1|{_LETTER}[{_SIGNS}]+{_LETTER}|^[{_SIGNS}]+{_LETTER}|{_LETTER}[{_SIGNS}]+$|({_LETTER})\2.*\d")
-#: Four or more single signs or letters with the same gap. Brackets and exclamation marks may stand around them.
-_SPACED = re.compile(rf"(?<![\w@$€¢£])[\w{_SIGNS}](?P<gap>[ .\-_*~]{{1,3}})(?:[\w{_SIGNS}](?P=gap)){{2,}}[\w{_SIGNS}](?![.\-_*~]?[\w@$€¢£])")
+_SIGN = rf"[\w{_SIGNS}]"
+#: What may stand between spaced letters besides white space: any sign that is no letter's look-alike, and four that people use so.
+_BETWEEN = rf"(?:[^\w\s{_SIGNS}]|[._*~\-])"
+#: Four or more single signs or letters with white space between all of them, however much, or with runs of one sign, blanks around
+#: them or not, or with the same short mixed gap. Brackets and exclamation marks may stand around them.
+_SPACED = re.compile(
+    rf"(?<![\w@$€¢£]){_SIGN}(?:(?:\s+{_SIGN}){{3,}}|\s*(?P<by>{_BETWEEN})(?P=by)*\s*{_SIGN}(?:\s*(?P=by)+\s*{_SIGN}){{2,}}|(?P<gap>[ .\-_*~]{{1,3}})(?:{_SIGN}(?P=gap)){{2,}}{_SIGN})(?!{_BETWEEN}?[\w@$€¢£])"
+)
 _TRIPLE = re.compile(rf"({_LETTER})\1\1")
 _TRIPLES = tuple(c * 3 for c in "abcdefghijklmnopqrstuvwxyz")
 _WORDS = re.compile(rf"{_LETTER}+")
@@ -203,7 +209,7 @@ class Restorer:
         """Each token of the lower-cased text, or run of spaced letters, with the words that it is read as."""
         low, at = text.lower(), 0
         for m in _SPACED.finditer(low):
-            letters = m[0][:: 1 + len(m["gap"])]
+            letters = m[0][:: 1 + len(m["gap"])] if m["gap"] else "".join(m[0].replace(m["by"] or " ", " ").split())
             if sum(map(str.isalpha, letters)) * 2 >= len(letters):
                 yield from ((t, self.token(t)) for t in low[at : m.start()].split())
                 apart, whole = decode(letters, self.model, spaced=True).split(), decode(letters, self.model)
@@ -226,18 +232,16 @@ class Restorer:
 
     def words(self, text: str | None) -> set[str]:
         """Distinct words of a text as they are read, those of pieces(). Plain words, nearly all, are told by cheap string
-        methods; only the others are looked at closely. Letters spaced by blanks have two single signs in a row among
-        them, whatever stands around the first and the last; letters spaced by other signs are within a token."""
+        methods; only the others are looked at closely, and texts with spaced letters."""
         if not text:
             return set()
         low = text.lower()
-        parts = low.split()
         out: set[str] = set()
-        sizes = list(map(len, parts))
-        if sizes.count(1) >= 2 and 1 in map(mul, sizes, sizes[1:]) and _SPACED.search(low):
+        if _SPACED.search(low):
             for _, read in self.pieces(text):
                 out.update(read)
             return out
+        parts = low.split()
         stretched = any(t in low for t in _TRIPLES) or not low.isascii() and _TRIPLE.search(low) is not None
         for t in set(parts):
             word = t if t.isalpha() else t.strip(_AROUND)

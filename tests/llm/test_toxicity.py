@@ -69,12 +69,13 @@ def restorer():
 
 def test_spaced_words_are_found_wherever_they_stand():
     forms = ['he is s c u m, really', "s c u m.", '"m o r o n"', '"m.o.r.o.n"', "well\u2014m.o.r.o.n", "-m-o-r-o-n-", "[m_o_r_o_n]", "m*o*r*o*n,", "s.c.u.m", "well s~c~u~m, is", "[s c u m]"]
+    forms += ["m    o    r    o    n", "well m\to\tr\to\tn", "s\nc\nu\nm", "m/o/r/o/n", "m, o, r, o, n", "s·c·u·m", "m o  r   o n", "m -- o -- r -- o -- n", "s,c,u,m", "m____o____r____o____n", "s\u2003c\u2003u\u2003m"]
     restore = restorer()
     for text in forms:
         assert {"scum", "moron"} & restore.words(text), text
     rng = random.Random(8)
-    signs = "amo1!*._-~,\"( \u2014\u00e9"
-    for text in [*forms, *("".join(rng.choices(signs, [3, 3, 3, 1, 1, 1, 3, 1, 2, 1, 1, 1, 1, 9, 1, 1], k=rng.randint(1, 30))) for _ in range(20_000))]:
+    signs = "amo1!*._-~,\"( \u2014\u00e9\n/"
+    for text in [*forms, *("".join(rng.choices(signs, [3, 3, 3, 1, 1, 1, 3, 1, 2, 1, 1, 1, 1, 9, 1, 1, 2, 2], k=rng.randint(1, 30))) for _ in range(20_000))]:
         assert restore.words(text) == {w for _, read in restore.pieces(text) for w in read}, text
 
 
