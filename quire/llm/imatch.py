@@ -14,7 +14,8 @@ Likeness: 1 for equal sets of lexicon terms; else the share of equal digests amo
 catch a term of either document: the highest level at which half of the sub-lexicons or more do so, or else the first.
 
 Driver and broadcast hold the lexicon: at most (mean number of distinct terms in a document) / (lower share) terms, whatever
-the corpus's size. It is counted before it is fetched, and refused beyond LEXICON terms.
+the corpus's size. It is counted before it is fetched; beyond LEXICON terms it stays a table, to which the texts' distinct terms are
+joined, and what is left of them goes back to the texts: the same fingerprints.
 
 Defined results: a null text is empty; documents stand in order of doc_id (nulls first), then of a digest of their text; a
 single document is its own next one; repeated rows stand next to each other as rows of their own; other columns are not
@@ -26,20 +27,22 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import numbered, slices
+from .common import checkpoint_dir, numbered, slices
 
 #: The band: shares of all documents that a term is in, at least and at most.
 BAND = (0.0005, 0.05)
 SEEDS, LEVELS = 24, (2, 4, 6, 8, 10, 12)
-#: The most terms that a lexicon may have, to be held in every worker.
-LEXICON = 4_000_000
+#: The most terms of a lexicon that every worker holds; a larger one is joined.
+LEXICON = 1_000_000
 #: Distinct terms that a worker counts before it hands on what it has.
 CACHE = 250_000
 #: Ranges of documents, and the most of them that a range should have.
@@ -72,18 +75,14 @@ def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAND) -> list[str]:
-    """The terms within the band, sorted."""
+def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAND) -> list[str] | DataFrame:
+    """The terms within the band, sorted; more than LEXICON of them as a written table (term)."""
     n = docs.count()
     df = F.col("df")
-    rows = frequencies(docs, text).where((df >= band[0] * n) & (df <= band[1] * n) & (df > 1)).select("term").persist()
-    size = rows.count()
-    if size > LEXICON:
-        rows.unpersist()
-        raise ValueError(f"{size} terms are within {band}, more than {LEXICON}: raise the lower share")
-    found = rows.toArrow()["term"].to_pylist()
-    rows.unpersist()
-    return sorted(found)
+    checkpoint_dir(docs.sparkSession)
+    seen = Observation()
+    rows = frequencies(docs, text).where((df >= band[0] * n) & (df <= band[1] * n) & (df > 1)).select("term").observe(seen, F.count(F.lit(1)).alias("n")).checkpoint()
+    return rows if seen.get["n"] > LEXICON else sorted(rows.toArrow()["term"].to_pylist())
 
 
 def levels(term: bytes) -> list[int]:
@@ -96,6 +95,25 @@ def levels(term: bytes) -> list[int]:
 Mark = tuple[str, np.ndarray]
 
 
+def digest(text: str) -> str:
+    return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()[:16]
+
+
+def marked(words: list[bytes], reached: np.ndarray, whole: str) -> Mark:
+    """The mark of a text's sorted lexicon terms, with the levels that they reach; whole: a digest of the text."""
+    numbers = np.full((len(LEVELS), SEEDS), -1, np.int32)
+    if not words:
+        return whole, numbers
+    md5, held = hashlib.md5, np.array(words, object)
+    for level in range(len(LEVELS)):
+        seed, term = np.nonzero(reached > level)
+        if not len(seed):
+            break
+        caught, ends = held[term].tolist(), np.searchsorted(seed, np.arange(SEEDS + 1)).tolist()
+        numbers[level] = [int.from_bytes(md5(b" ".join(caught[a:b])).digest()[:2]) if a < b else -1 for a, b in zip(ends, ends[1:], strict=False)]
+    return md5(b" ".join(words)).hexdigest()[:16], numbers
+
+
 class Lexicon:
     """Numbers and levels of the terms; levels are worked out where they are first asked for."""
 
@@ -109,22 +127,12 @@ class Lexicon:
         if self._at is None:
             self._at = {t.encode(): k for k, t in enumerate(self.terms)}
             self._levels = np.full((SEEDS, len(self.terms)), -1, np.int8)
-        numbers = np.full((len(LEVELS), SEEDS), -1, np.int32)
         words = sorted(terms(text) & self._at.keys())  # bytes of UTF-8 are in order of code points
-        if not words:
-            return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()[:16], numbers
         found = [self._at[w] for w in words]
         reached = self._levels[:, found]
         for k in np.flatnonzero(reached[0] < 0).tolist():
             self._levels[:, found[k]] = reached[:, k] = levels(words[k])
-        md5, held = hashlib.md5, np.array(words, object)
-        for level in range(len(LEVELS)):
-            seed, term = np.nonzero(reached > level)
-            if not len(seed):
-                break
-            caught, ends = held[term].tolist(), np.searchsorted(seed, np.arange(SEEDS + 1)).tolist()
-            numbers[level] = [int.from_bytes(md5(b" ".join(caught[a:b])).digest()[:2]) if a < b else -1 for a, b in zip(ends, ends[1:], strict=False)]
-        return md5(b" ".join(words)).hexdigest()[:16], numbers
+        return marked(words, reached, digest(text))
 
     def fingerprint(self, text: str) -> str:
         return written(self.mark(text))
@@ -186,11 +194,14 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def fingerprints(docs: DataFrame, lex: list[str], text: str = "text", out: str = "fingerprint") -> DataFrame:
+def fingerprints(docs: DataFrame, lex: list[str] | DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """docs with the column `out`, each text's fingerprint. A column of that name is replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(Lexicon(lex))
     names = [c for c in docs.columns if c != out]
     rows = docs.select(*(F.col(f"`{c}`") for c in names))
+    if isinstance(lex, DataFrame):
+        held = rows.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.array(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("texts"))
+        return _joined_marks(held, lex, lambda marks: (written(marks[0]),), {out: pa.string()}).select("row.*", out)
+    shared = docs.sparkSession.sparkContext.broadcast(Lexicon(lex))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
@@ -200,26 +211,81 @@ def fingerprints(docs: DataFrame, lex: list[str], text: str = "text", out: str =
     return rows.mapInArrow(run, rows.withColumn(out, F.lit("")).schema)
 
 
-def edit_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    shared = docs.sparkSession.sparkContext.broadcast(Lexicon(lexicon(docs)))
-    kinds = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
+def _joined_marks(rows: DataFrame, lex: DataFrame, report: Callable[[list[Mark]], tuple], kinds: dict[str, pa.DataType]) -> DataFrame:
+    """(row, *kinds) of rows (row, texts): report's values for the marks of each row's texts, with a lexicon (term) that is joined.
+
+    Rows are numbered and written without their texts; a term that many texts hold is in at most the band's share of them."""
+    checkpoint_dir(rows.sparkSession)
+    own = rows.schema["row"].dataType
+    numbered_schema = T.StructType([T.StructField("row", own), T.StructField("no", T.LongType()), T.StructField("wholes", T.ArrayType(T.StringType())), T.StructField("terms", T.ArrayType(T.ArrayType(T.StringType())))])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for k in range(batch.num_rows):
+                texts = batch.column(1)[k].as_py()
+                found = [[w.decode("utf-8", "surrogatepass") for w in sorted(terms(t))] for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([no]), pa.array([[digest(t) for t in texts]], pa.list_(pa.string())), pa.array([found], pa.list_(pa.list_(pa.string())))], names=numbered_schema.fieldNames())
+                no += 1
+
+    held = rows.select("row", "texts").mapInArrow(split, numbered_schema).checkpoint()
+    each = held.select("no", F.posexplode("terms").alias("of", "terms")).select("no", "of", F.explode("terms").alias("term"))
+    known = each.join(lex, "term").groupBy("no").agg(F.collect_list(F.struct("of", "term")).alias("known"))
+    schema = T.StructType([T.StructField("row", own), *(T.StructField(n, T.DoubleType() if k == pa.float64() else T.StringType()) for n, k in kinds.items())])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for wholes, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                words: list[list[bytes]] = [[] for _ in wholes]
+                for x in known or ():
+                    words[x["of"]].append(x["term"].encode())
+                out.append(report([marked(w, np.array([levels(x) for x in w], np.int8).T, d) for w, d in zip(map(sorted, words), wholes, strict=True)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * len(kinds), kinds.values(), strict=True))], names=schema.fieldNames())
+
+    return held.select("no", "row", "wholes").join(known, "no", "left").select("row", "wholes", "known").mapInArrow(join, schema)
+
+
+def _in_order(docs: DataFrame, take: Callable, schema: str) -> DataFrame:
+    """take(id, text, text of the next document) for each document, as rows of a schema."""
+    names, types = zip(*(f.split(":") for f in schema.split(", ")), strict=True)
+    arrow = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "array<string>": pa.list_(pa.string())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, held = shared.value, None  # a row waits for the next one
+        held = None  # a row waits for the next one
         for batch in slices(batches, "text"):
             out = []
             for i, t, at, tail in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                mark = lex.mark(t)
                 if held and held[2] == at:
-                    e = edited(held[1], t)
-                    changed = held[3] if e == held[1] else lex.mark(e)
-                    out.append((held[0], len(held[1]), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), written(held[3]), written(changed), likeness(held[3], changed), likeness(held[3], mark)))
-                held = None if tail else (i, t, at, mark)
+                    out.append(take(held[0], held[1], t))
+                held = None if tail else (i, t, at)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
+                yield pa.RecordBatch.from_arrays([pa.array(c, arrow[k]) for c, k in zip(zip(*out, strict=True), types, strict=True)], names=list(names))
+
+    return in_ranges(docs).mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, types, strict=True)))
+
+
+def edit_report(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    lex = lexicon(docs)
+    sha = lambda t: hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest()
+    if isinstance(lex, DataFrame):
+        rows = _in_order(docs, lambda i, t, after: (i, len(t), sha(edited(t, after)), [t, edited(t, after), after]), "doc_id:long, n_chars:long, edited_sha256:string, texts:array<string>")
+        report = lambda m: (written(m[0]), written(m[1]), likeness(m[0], m[1]), likeness(m[0], m[2]))
+        kinds = {"fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
+        return _joined_marks(rows.select(F.struct("doc_id", "n_chars", "edited_sha256").alias("row"), "texts"), lex, report, kinds).select("row.*", *kinds)
+    shared = docs.sparkSession.sparkContext.broadcast(Lexicon(lex))
+    last: list = [None, None]  # the text that came last as a next one, and its mark
+
+    def take(i: int, t: str, after: str) -> tuple:
+        lex = shared.value
+        mark = last[1] if last[0] == t else lex.mark(t)
+        last[:] = after, lex.mark(after)
+        e = edited(t, after)
+        changed = mark if e == t else lex.mark(e)
+        return i, len(t), sha(e), written(mark), written(changed), likeness(mark, changed), likeness(mark, last[1])
 
-    return in_ranges(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return _in_order(docs, take, "doc_id:long, n_chars:long, edited_sha256:string, fingerprint:string, edited_fingerprint:string, near_edited:double, near_next:double")
 
 
 def oracle_sql() -> str:

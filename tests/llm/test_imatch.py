@@ -2,7 +2,6 @@ import hashlib
 import random
 import re
 
-import pytest
 from oracle import assert_same
 
 from quire.llm import imatch
@@ -100,8 +99,7 @@ def test_lexicon_is_a_band(spark, monkeypatch):
     df = spark.createDataFrame([(k, f"the {'rare' if k < 2 else 'x'} W{k % 10}") for k in range(100)], "doc_id long, text string")
     assert imatch.lexicon(df, band=(0.05, 0.2)) == sorted(f"w{k}" for k in range(10))
     monkeypatch.setattr(imatch, "LEXICON", 9)
-    with pytest.raises(ValueError):
-        imatch.lexicon(df, band=(0.05, 0.2))
+    assert sorted(r.term for r in imatch.lexicon(df, band=(0.05, 0.2)).collect()) == sorted(f"w{k}" for k in range(10))
 
 
 def test_one_word_more_changes_little():
@@ -117,3 +115,16 @@ def test_long_text_and_fingerprint_column(spark):
     df = spark.createDataFrame([(1, "a b c", "old"), (2, "a b " * 400_000, "old")], "doc_id long, text string, fingerprint string")
     out = imatch.fingerprints(df, imatch.lexicon(df, band=(0.0, 1.0))).collect()
     assert all(r.fingerprint != "old" for r in out) and {r.doc_id: len(r.text) for r in out} == {1: 5, 2: 1_600_000}
+
+
+def test_a_lexicon_that_is_joined(spark, monkeypatch):
+    """Beyond LEXICON terms everything is as before."""
+    df = spark.createDataFrame([*table(80), (None, "a b c", 9), (3, "again " * 3, 9), (3, "again " * 3, 9)], "doc_id long, text string, n int").repartition(3)
+    reports = [sorted(map(str, imatch.edit_report(df).collect()))]
+    marks = [sorted(map(str, imatch.fingerprints(df, imatch.lexicon(df)).collect()))]
+    monkeypatch.setattr(imatch, "LEXICON", 3)
+    reports.append(sorted(map(str, imatch.edit_report(df).collect())))
+    marks.append(sorted(map(str, imatch.fingerprints(df, imatch.lexicon(df)).collect())))
+    assert reports[0] == reports[1] and len(reports[0]) == 83
+    assert marks[0] == marks[1]
+    assert imatch.edit_report(df.limit(0)).count() == 0
