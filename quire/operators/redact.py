@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.strings import ENCODINGS, collapse, encoded, shortened
+from ..functions.strings import collapse, shortened
+from .scan import FORMS, scanned
 from .text import holds
 
 Rect = tuple[int, float, float, float, float]
@@ -94,21 +95,17 @@ def covered_strings(marked: DataFrame, partial_too: bool = False) -> DataFrame:
     return marked.where(wanted).select("doc_id", F.trim("text").alias("covered")).where(F.col("covered") != "").distinct()
 
 
-def verify(output: DataFrame, covered: DataFrame, encodings: tuple[str, ...] = ENCODINGS[:5]) -> DataFrame:
+def verify(output: DataFrame, covered: DataFrame, encodings: tuple[str, ...] = FORMS[:5]) -> DataFrame:
     """A row per covered string: in which byte forms it is still in the document's output, and in its extracted text.
 
-    output: (doc_id, text). A document without output is looked through as an empty one; an unreadable one (null text)
-    cannot be proved clean and counts as present."""
-    both = covered.join(output.withColumn("_there", F.lit(True)), "doc_id", "left")
-    body = F.when(F.col("_there").isNull(), F.lit("")).otherwise(F.col("text"))
-    hay = F.encode(body, "UTF-8")
-    forms = encoded(F.col("covered"))
-    found = {k: F.coalesce(F.contains(hay, forms[k]), body.isNull()) for k in encodings}
-    in_text = F.coalesce(F.contains(collapse(body), collapse(F.col("covered"))), F.lit(True))
+    output: (doc_id, text), and content, if the file's bytes are not the text's. A document without output is looked through as an
+    empty one; an unreadable one cannot be proved clean and counts as present."""
+    rows = scanned(output, covered)
+    has = lambda what: ~F.col("readable") | F.array_contains("found", what)
     any_bytes = F.lit(False)
-    for c in found.values():
-        any_bytes = any_bytes | c
-    return both.select("doc_id", F.col("covered"), shortened(F.col("covered")).alias("shown"), *(c.alias(k.replace("-", "_")) for k, c in found.items()), any_bytes.alias("present_in_bytes"), in_text.alias("present_in_extraction"))
+    for k in encodings:
+        any_bytes = any_bytes | has(k)
+    return rows.select("doc_id", "covered", shortened(F.col("covered")).alias("shown"), *(has(k).alias(k.replace("-", "_")) for k in encodings), any_bytes.alias("present_in_bytes"), has("text").alias("present_in_extraction"))
 
 
 def verification(checks: DataFrame) -> DataFrame:
@@ -127,25 +124,14 @@ def gate(output: DataFrame, verdicts: DataFrame, report: DataFrame) -> DataFrame
 
 
 def recoverable(output: DataFrame, covered: DataFrame) -> DataFrame:
-    """(doc_id, covered, recoverable): is a covered string still to be found in a document's output (doc_id, text)?
+    """(doc_id, covered, recoverable): is a covered string still to be found in a document's output (doc_id, text; content)?
 
     Strings are compared with white space collapsed. One of four characters or more counts wherever it stands: in the
     text, in it without blanks or collapsed, in any byte form, in a form's hexadecimal digits, or behind backslash escapes. A
     shorter one counts as a whole word or as a whole string of the file, '(...)' or '<...>'. A missing document
     is empty, an unreadable one is no proof."""
-    strings = covered.select("doc_id", collapse(F.col("covered")).alias("covered")).where(F.col("covered") != "").distinct()
-    both = strings.join(output.withColumn("_there", F.lit(True)), "doc_id", "left")
-    body, s = F.when(F.col("_there").isNull(), F.lit("")).otherwise(F.col("text")), F.col("covered")
-    plain, hay = collapse(body), F.encode(body, "UTF-8")
-    digits = F.lower(body)
-    unescaped = F.regexp_replace(F.regexp_replace(body, r"\\\r?\n", ""), r"\\(.)", "$1")
-    long = F.contains(body, s) | F.contains(plain, s) | F.contains(F.regexp_replace(body, r"\s+", ""), s) | F.contains(unescaped, s)
-    for form in encoded(s).values():
-        long = long | F.coalesce(F.contains(hay, form) | F.contains(digits, F.lower(F.hex(form))), F.lit(False))
-    word = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), s, F.lit(r"\E(?![\p{L}\p{N}_])"))
-    short = F.regexp_count(body, word) + F.regexp_count(plain, word) > 0
-    short = short | F.contains(body, F.concat(F.lit("("), s, F.lit(")"))) | F.contains(digits, F.concat(F.lit("<"), F.lower(F.hex(F.encode(s, "UTF-8"))), F.lit(">")))
-    return both.select("doc_id", "covered", F.coalesce(F.when(F.length(s) >= 4, long).otherwise(short), F.lit(True)).alias("recoverable"))
+    strings = covered.select("doc_id", collapse(F.col("covered")).alias("covered")).where(F.col("covered") != "")
+    return scanned(output, strings).select("doc_id", "covered", (~F.col("readable") | F.array_contains("found", "recoverable")).alias("recoverable"))
 
 
 # Why a page is refused. Three of them name what was met.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.ranges import order_list, parse_ranges
-from ..functions.strings import keywords
+from ..functions.strings import collapse, keywords
 from ..operators import annots, diff, edit, grouping, leaks, model, pages, redact, text
 from ..sources import fixtures
 from ..sources import text_documents as src
@@ -337,6 +337,25 @@ def verify_recoverable(spark, sf_dir):
     return redact.recoverable(output, redact.covered_strings(marked))
 
 
+# A document's first covered string, planted in one of six forms in front of what is left, and a short one in one of four.
+PLANTED_SQL = f"""{LINES}, marked AS (SELECT doc_id, page, line_no, text, contains(lower(text), 'license') AS hit FROM lines),
+covered AS (SELECT DISTINCT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS covered FROM marked WHERE hit),
+output AS (SELECT doc_id, coalesce(string_agg(text, chr(10) ORDER BY page, line_no) FILTER (NOT hit), '') AS text FROM marked GROUP BY doc_id),
+planted AS (SELECT doc_id, min(covered) AS planted FROM covered GROUP BY doc_id)"""
+
+
+@query(f"""WITH {PLANTED_SQL}, long AS (SELECT doc_id, covered, doc_id % 7 <> 0 AND contains(planted, covered) AND (doc_id % 7 <> 6 OR NOT regexp_matches(planted, '[^\\x00-\\xFF]')) AS recoverable FROM covered JOIN planted USING (doc_id)),
+short AS (SELECT doc_id, 'k' || doc_id % 10 AS covered, doc_id % 5 IN (1, 3, 4) OR regexp_matches(text, '(^|[^\\pL\\pN_])k' || doc_id % 10 || '([^\\pL\\pN_]|$)') OR contains(text, '(k' || doc_id % 10 || ')') AS recoverable FROM output JOIN planted USING (doc_id))
+SELECT * FROM long UNION ALL SELECT * FROM short""")
+def verify_planted(spark, sf_dir):
+    """RW17 and J17: strings planted as UTF-8, UTF-16 of either order, Latin-1, hexadecimal digits and escapes; short ones as words, within
+    words, and as strings of the file."""
+    lines = src.lines(docs(spark, sf_dir))
+    marked = redact.find_or_rects(lines, "license", [])
+    covered = redact.covered_strings(marked).select("doc_id", collapse(F.col("covered")).alias("covered"))
+    return redact.recoverable(*fixtures.planted(redact.redacted_pages(marked), covered))
+
+
 FEATURES_SQL = f"""{COVER_SQL}, k AS (SELECT doc_id, page, count(*) FILTER (coverage = 'full') AS covered_lines FROM marked GROUP BY doc_id, page),
 f AS (SELECT *, (doc_id * 7 + page) % 19 AS f FROM k),
 r AS (SELECT doc_id, page, f <> 1 AND f IN (2, 3, 4, 5, 6, 7, 8, 9, 10) AS unprovable, CASE WHEN f = 1 THEN '{redact.NO_CONTENT}' WHEN f = 2 THEN replace('{redact.REFUSALS["bad_fonts"]}', '{{}}', 'F1, F2') WHEN f = 3 THEN '{redact.REFUSALS["inline_images"]}'

@@ -125,3 +125,20 @@ def actions(conversations: DataFrame) -> DataFrame:
     last = F.when(F.col("doc_id") % 3 == 0, "undo").otherwise("redo")
     steps.append(F.struct(F.lit(len(log) + 1).cast("bigint").alias("seq"), last.alias("type"), nothing.alias("target"), nothing.alias("other"), own(None, "int").alias("amount"), own(None, "array<string>").alias("ids"), nothing.alias("payload")))
     return conversations.groupBy(F.col("conv_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).select("doc_id", F.inline(F.array(*steps)))
+
+
+def planted(pages: DataFrame, covered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(output, covered): each document's pages as one text, and as content, before which its first covered string stands in a form that
+    follows from doc_id; and a short string, which is covered, too."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n")
+    kept = pages.groupBy("doc_id").agg(text.alias("text"))
+    both = covered.groupBy("doc_id").agg(F.min("covered").alias("s")).join(kept, "doc_id")
+    s, form = F.col("s"), F.col("doc_id") % 7
+    utf8 = lambda c: F.encode(c, "UTF-8")
+    latin1 = F.when(s.rlike("^[\\x00-\\xff]*$"), F.encode(s, "ISO-8859-1")).otherwise(F.encode(F.lit(""), "UTF-8"))
+    forms = F.when(form == 1, utf8(s)).when(form == 2, F.encode(s, "UTF-16BE")).when(form == 3, F.encode(s, "UTF-16LE")).when(form == 4, utf8(F.hex(utf8(s)))).when(form == 5, utf8(F.regexp_replace(s, "(.)", "\\\\$1"))).when(form == 6, latin1).otherwise(utf8(F.lit("")))
+    word = F.concat(F.lit("k"), (F.col("doc_id") % 10).cast("string"))
+    way = F.col("doc_id") % 5
+    short = F.when(way == 1, F.concat(F.lit(" "), word, F.lit(" "))).when(way == 2, F.concat(F.lit("x"), word, F.lit("x"))).when(way == 3, F.concat(F.lit("("), word, F.lit(")"))).when(way == 4, F.concat(F.lit("<"), F.hex(utf8(word)), F.lit(">"))).otherwise("")
+    content = F.concat(forms, utf8(F.concat(F.lit("\n"), short, F.lit("\n"))), utf8(F.col("text")))
+    return both.select("doc_id", "text", content.alias("content")), covered.unionByName(both.select("doc_id", word.alias("covered")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import geometry as g
 from quire.functions.ranges import bad_part, order_list, parse_ranges, parse_rect
 from quire.functions.strings import collapse, expand_tokens, half_up
-from quire.operators import annots, diff, edit, grouping, leaks, pages, redact, text
+from quire.operators import annots, diff, edit, grouping, leaks, pages, redact, scan, text
 from quire.operators.model import Model
 from quire.schema import LINES, OCR_WORDS, TEXT_ITEMS
 from quire.sources import text_documents as src
@@ -124,6 +124,36 @@ def test_recoverable_strings(spark):
     assert got == {0: True, 1: True, 2: True, 3: False, 4: True, 5: True, 6: False, 7: True, 8: True, 9: True}
 
 
+def test_strings_with_pattern_signs_are_found(spark):
+    signs = ["\\E[", "a.*b(", "$1 \\Q x", "(paren)", "x\\y z", "[a-z]+", "\\E"]
+    covered = spark.createDataFrame([(k, s) for k, s in enumerate(signs)] + [(100 + k, s) for k, s in enumerate(signs)], "doc_id bigint, covered string")
+    out = spark.createDataFrame([(k, f"so {s} it is") for k, s in enumerate(signs)] + [(100 + k, "nothing") for k in range(len(signs))], "doc_id bigint, text string")
+    assert {r.doc_id: r.recoverable for r in redact.recoverable(out, covered).collect()} == {k: k < 100 for k in (*range(7), *range(100, 107))}
+    assert {r.doc_id: r.utf8 for r in redact.verify(out, covered).collect()} == {k: k < 100 for k in (*range(7), *range(100, 107))}
+
+
+def test_byte_forms_are_found():
+    s = "Zürich 12"
+    for content, found in (
+        (s.encode(), {"utf8", "recoverable"}), (s.encode("utf-16-be"), {"utf16be", "recoverable"}), (b"\xfe\xff" + s.encode("utf-16-be"), {"utf16be", "utf16be-bom", "recoverable"}),
+        (b"\xff\xfe" + s.encode("utf-16-le"), {"utf16le", "utf16le-bom", "recoverable"}), (s.encode("latin-1"), {"latin1", "recoverable"}), (s.encode("latin-1").hex().upper().encode(), {"recoverable"}),
+        (s.encode("utf-16-le").hex().encode(), {"recoverable"}), ("\\Z\\ürich\\\n 1\\2".encode("latin-1"), {"recoverable"}), (b"Zurich 12", set()),
+    ):
+        got = scan.found_in([s, "other"], content, "")
+        assert got[0] - {"utf16be", "utf16le"} == found - {"utf16be", "utf16le"} and found <= got[0] and not got[1]
+    assert scan.found_in([s], b"", "at Z ü r i c h 1 2")[0] == {"recoverable"}
+    assert scan.found_in([s], b"", "Zürich \n 12")[0] == {"text", "recoverable"}
+    # Short strings: whole words and whole strings of a file only.
+    for content, is_there in ((b"an ok,", True), ("äokä".encode(), False), (b"tokyo", False), (b"(ok)", True), (b"<6F6b>", True), (b"<feff006f006b>", True), (b"6f6b", False)):
+        assert ("recoverable" in scan.found_in(["ok"], content, "")[0]) == is_there, content
+
+
+def test_many_strings_in_one_pass():
+    strings = [f"secret number {k}" for k in range(5000)]
+    got = scan.found_in(strings, b"secret number 42 and more " * 20_000, "")
+    assert sum("recoverable" in g for g in got) == 2  # 4 and 42
+
+
 def test_redaction_fails_closed(spark):
     lines = spark.createDataFrame([(0, 1, 1, "a", None, 700.0, 50.0, 14.0), (0, 1, 2, "b", 50.0, 600.0, 50.0, 14.0), (0, 2, 1, "c", 50.0, 700.0, 50.0, 14.0)], LINES)
     rects = spark.createDataFrame([(0, 1, 40.0, 690.0, 100.0, 30.0)], "doc_id bigint, page bigint, rx double, ry double, rw double, rh double")
