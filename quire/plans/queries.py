@@ -476,7 +476,7 @@ def recurring_columns(spark, sf_dir):
 @query()
 def diff_lines(spark, sf_dir):
     """J19 and RW30."""
-    return diff.diff(diff.versions(docs(spark, sf_dir)))
+    return diff.compare(docs(spark, sf_dir))
 
 
 @query("""WITH h AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, string_split(text, chr(10))[1] AS head FROM documents WHERE text IS NOT NULL),
@@ -484,14 +484,32 @@ f AS (SELECT *, min(doc_id) OVER (PARTITION BY head) AS left_doc FROM h)
 SELECT f.left_doc, f.doc_id AS right_doc, CAST(f.n AS BIGINT) AS right_lines, CAST(l.n AS BIGINT) AS left_lines FROM f JOIN h l ON f.left_doc = l.doc_id WHERE f.doc_id <> f.left_doc""")
 def diff_sizes(spark, sf_dir):
     """What every alignment must add up to: added + same lines on the right, removed + same on the left."""
-    s = diff.summary(diff.diff(diff.versions(docs(spark, sf_dir))))
+    s = diff.summary(diff.compare(docs(spark, sf_dir)))
     return s.select("left_doc", "right_doc", (F.col("added") + F.col("same")).alias("right_lines"), (F.col("removed") + F.col("same")).alias("left_lines"))
 
 
 @query()
 def diff_summary(spark, sf_dir):
     """AGG1."""
-    return diff.summary(diff.diff(diff.versions(docs(spark, sf_dir))))
+    return diff.summary(diff.compare(docs(spark, sf_dir)))
+
+
+# Every seventh line is taken out and every eleventh of the rest replaced by one that stands nowhere else, so the longest alignment
+# is that of the lines that stay.
+EDITED_SQL = """t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents WHERE text IS NOT NULL)"""
+
+
+@query(f"""WITH {EDITED_SQL} SELECT doc_id AS left_doc, doc_id AS right_doc, count(*) FILTER (k % 7 <> 3 AND k % 11 <> 5) AS same, true AS valid FROM t GROUP BY doc_id""")
+def diff_checked(spark, sf_dir):
+    """Alignments of texts with edited ones lead through all lines of both, in order, and are as long as can be."""
+    pairs = fixtures.edited_versions(docs(spark, sf_dir))
+    return diff.checked(diff.diff(pairs), pairs)
+
+
+@query(f"""WITH {EDITED_SQL} SELECT doc_id AS left_doc, doc_id AS right_doc, count(*) FILTER (k % 7 <> 3 AND k % 11 = 5) AS added, count(*) FILTER (k % 7 = 3 OR k % 11 = 5) AS removed, count(*) FILTER (k % 7 <> 3 AND k % 11 <> 5) AS same FROM t GROUP BY doc_id""")
+def diff_counts(spark, sf_dir):
+    """AGG1 on texts and edited ones."""
+    return diff.summary(diff.diff(fixtures.edited_versions(docs(spark, sf_dir))))
 
 
 @query(f"""WITH {PAGES} SELECT l.doc_id, l.page, l.line_no,

@@ -142,3 +142,9 @@ def planted(pages: DataFrame, covered: DataFrame) -> tuple[DataFrame, DataFrame]
     short = F.when(way == 1, F.concat(F.lit(" "), word, F.lit(" "))).when(way == 2, F.concat(F.lit("x"), word, F.lit("x"))).when(way == 3, F.concat(F.lit("("), word, F.lit(")"))).when(way == 4, F.concat(F.lit("<"), F.hex(utf8(word)), F.lit(">"))).otherwise("")
     content = F.concat(forms, utf8(F.concat(F.lit("\n"), short, F.lit("\n"))), utf8(F.col("text")))
     return both.select("doc_id", "text", content.alias("content")), covered.unionByName(both.select("doc_id", word.alias("covered")))
+
+
+def edited_versions(docs: DataFrame) -> DataFrame:
+    """(left_doc, right_doc, a, b): each text and itself without every seventh line, every eleventh replaced."""
+    kept = F.array_compact(F.transform(F.split("text", "\n", -1), lambda t, k: F.when(k % 7 != 3, F.when(k % 11 == 5, F.concat(F.lit("\u0001"), k.cast("string"))).otherwise(t))))
+    return docs.where("text IS NOT NULL").select(F.col("doc_id").alias("left_doc"), F.col("doc_id").alias("right_doc"), F.col("text").alias("a"), F.array_join(kept, "\n").alias("b"))

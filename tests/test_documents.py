@@ -1,6 +1,7 @@
 """Assertions on small literal tables."""
 
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -204,17 +205,66 @@ def test_diff(spark):
     assert diff.diff(pairs, only_changes=True).count() == 3
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=12))
-def test_diff_is_a_longest_alignment(a, b):
-    rows = diff.align(a, b)
-    assert [a[i] for op, i, _ in rows if op != "add"] == a
-    assert [b[j] for op, _, j in rows if op == "add" or op == "same"] == b
+def by_table(a, b):
+    """The walk over the whole table: equal lines go together, else a deletion comes first where it does as well."""
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
             table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
-    assert sum(op == "same" for op, *_ in rows) == table[0][0]
+    out, i, j = [], 0, 0
+    while i < len(a) or j < len(b):
+        if i < len(a) and j < len(b) and a[i] == b[j]:
+            out.append(("same", i, j))
+            i, j = i + 1, j + 1
+        elif i < len(a) and (j == len(b) or table[i + 1][j] >= table[i][j + 1]):
+            out.append(("del", i, None))
+            i += 1
+        else:
+            out.append(("add", None, j))
+            j += 1
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from("abcdex"), max_size=14), st.lists(st.sampled_from("abcdfy"), max_size=14))
+def test_diff_is_a_longest_alignment(a, b):
+    want = by_table(a, b)
+    for most in (None, -1, 10**6, 3):
+        assert diff.align(a, b, most) == want
+
+
+def test_diff_of_long_texts():
+    rng = random.Random(1)
+    a = [f"line {rng.randrange(50_000)}" for _ in range(200_000)]
+    b = list(a)
+    for k in range(300):
+        at = rng.randrange(len(b))
+        b[at : at + rng.randrange(3)] = [f"line {rng.randrange(50_000)}"] * rng.randrange(3)
+    rows = diff.align(a, b)
+    assert [a[i] for op, i, _ in rows if op != "add"] == a and [b[j] for op, _, j in rows if op != "del"] == b
+    assert sum(op == "same" for op, *_ in rows) > 199_000
+    small, other = a[:700], [x for k, x in enumerate(a[:700]) if k % 5] + a[5000:5100]
+    assert diff.align(small, other) == diff.align(small, other, -1) == by_table(small, other)
+    assert len(diff.align([f"a{k}" for k in range(100_000)], [f"b{k}" for k in range(100_000)])) == 200_000
+
+
+def test_versions_of_a_hot_line_are_dealt_out(spark):
+    d = spark.range(0, 400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 != 0, F.concat(F.lit("hot\n"), F.col("id").cast("string"), F.lit("\nend"))).otherwise(F.concat(F.lit("own "), F.col("id").cast("string"))).alias("text"))
+    rows = diff.compare(d)
+    got = {(r.left_doc, r.right_doc, r.op, r.left_line, r.right_line) for r in rows.collect()}
+    pairs = diff.versions(d).join(d.select(F.col("doc_id").alias("left_doc"), F.col("text").alias("a")), "left_doc").join(d.select(F.col("doc_id").alias("right_doc"), F.col("text").alias("b")), "right_doc")
+    assert got == {(r.left_doc, r.right_doc, r.op, r.left_line, r.right_line) for r in diff.diff(pairs).collect()} and len(got) == 299 * 4
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "1")
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "1.0")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1k")
+    try:
+        found = diff.versions(d.repartition(8))
+        found.collect()
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in ("autoBroadcastJoinThreshold", "adaptive.skewJoin.skewedPartitionThresholdInBytes", "adaptive.skewJoin.skewedPartitionFactor", "adaptive.advisoryPartitionSizeInBytes"):
+            spark.conf.unset(f"spark.sql.{name}")
 
 
 def test_viewport_and_inverse(spark):
