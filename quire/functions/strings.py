@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .folds import folded, let
+
 #: White space as the browser's regular expressions have it (a fixed value).
 WHITE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
@@ -34,22 +36,28 @@ def literal_pattern(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def occurrences(text: Column, needle: str) -> Column:
-    """0-based positions of the needle's non-overlapping occurrences, from left to right."""
-    parts = F.split(text, literal_pattern(needle), -1)
-    # One pass: each piece but the last ends where an occurrence starts.
-    blank = F.struct(F.lit(-len(needle)).alias("at"), F.array().cast("array<int>").alias("out"))
+def occurrences(text: Column, needle: str, case_sensitive: bool = True) -> Column:
+    """0-based positions of the needle's non-overlapping occurrences, from left to right. They are found in the text itself: a
+    lower-cased copy can have other positions."""
+    empty = F.array().cast("array<int>")
+    zero = lambda before: F.struct((F.lit(-len(needle)) if before is None else before["at"]).alias("at"), empty.alias("out"))
 
     def step(acc: Column, piece: Column) -> Column:
         at = acc["at"] + len(needle) + F.length(piece)
         return F.struct(at.alias("at"), F.array_append(acc["out"], at).alias("out"))
 
-    return F.aggregate(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), blank, step, lambda acc: acc["out"])
+    # Each piece but the last ends where an occurrence starts.
+    parts = F.split(text, ("" if case_sensitive else "(?iu)") + literal_pattern(needle), -1)
+    return let(parts, lambda parts: folded(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), zero, step, empty))
+
+
+def keywords(text: Column, between: str = "[,\n]") -> Column:
+    """Entries between commas or line ends (or what else the pattern says, WORDS for white space), trimmed, empty ones left out."""
+    return F.filter(F.transform(F.split(text, between), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def keywords(text: Column) -> Column:
-    """Entries between commas or line ends, trimmed, empty ones left out."""
-    return F.filter(F.transform(F.split(text, "[,\n]"), lambda x: F.trim(x)), lambda x: x != "")
+#: For keywords: entries between commas or any white space.
+WORDS = WHITE.replace("]", ",]") + "+"
 
 
 def expand_tokens(template: str, page: Column, pages: Column, date: str, title: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,11 +47,30 @@ def apply(docs: DataFrame, find: str, replace: str, every: bool = False, case_se
     return docs.join(done, "doc_id", "left").withColumn("text", F.coalesce("_new", "text")).drop("_new")
 
 
-def splice(text: str, edits: list[tuple[int, int, str]]) -> str:
-    """Spans [start, end) replaced from left to right; a span that overlaps one before it is skipped."""
-    out, at = [], 0
-    for start, end, new in sorted(edits, key=lambda e: (e[0], e[1])):
-        if start >= at:
+def splice(text: str, edits: list[tuple[int, int, str]]) -> tuple[str, int]:
+    """Spans [start, end) replaced from left to right, and how many; a span that overlaps one before it is skipped, as is one beyond
+    the text's ends or that ends before it starts."""
+    out, at, done = [], 0, 0
+    for start, end, new in edits:
+        if at <= start <= end <= len(text):
             out += [text[at:start], new]
-            at = end
-    return "".join([*out, text[at:]])
+            at, done = end, done + 1
+    return "".join([*out, text[at:]]), done
+
+
+def splices(docs: DataFrame, edits: DataFrame) -> DataFrame:
+    """(doc_id, text, applied, skipped) of the documents that have edits (doc_id, start, end, new), in characters from 0. Edits are taken
+    by start, end and new text; a null one is skipped."""
+    at = F.when(F.col("start").isNull() | F.col("end").isNull() | F.col("new").isNull(), F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit("").alias("new")))
+    each = F.coalesce(at, F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("new").alias("new")))
+    held = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(each)).alias("edits"))
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(held, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                edits = [tuple(e.values()) for e in batch.column(2)[k].as_py()]
+                text, done = splice(batch.column(1)[k].as_py(), edits)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([text]), pa.array([done], pa.int64()), pa.array([len(edits) - done], pa.int64())], names=["doc_id", "text", "applied", "skipped"])
+
+    return rows.select("doc_id", "text", "edits").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text string, applied bigint, skipped bigint")

@@ -10,12 +10,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.strings import collapse, half_up
+from ..functions.strings import collapse
 from ..schema import CELLS, GROUPED_LINES, OCR_LINES
 
 
@@ -31,13 +32,31 @@ def _pages(items: DataFrame) -> DataFrame:
 
 
 def compare_lines(items: DataFrame) -> DataFrame:
-    """(doc_id, page, y, text): items whose baselines round to the same even number, left to right, joined by a blank."""
-    level = lambda i: (half_up(i["y"] / 2) * 2).cast("bigint")
-    usable = F.filter("items", lambda i: (F.trim(i["str"]) != "") & (i["w"] > 0))
-    rows = _pages(items).select("doc_id", "page", usable.alias("i")).withColumn("y", F.explode(F.array_distinct(F.transform("i", level))))
-    own = F.array_sort(F.transform(F.filter("i", lambda i: level(i) == F.col("y")), lambda i: F.struct(i["x"].alias("x"), i["seq"].alias("seq"), i["str"].alias("str"))))
-    text = collapse(F.array_join(F.transform(own, lambda s: s["str"]), " "))
-    return rows.select("doc_id", "page", "y", text.alias("text")).where(F.col("text") != "")
+    """(doc_id, page, y, text): items whose baselines round to the same even number, left to right, joined by a blank. All pages of a
+    batch are sorted at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            ends, flat = np.asarray(lists.offsets), lists.values
+            of = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            flat = flat.slice(int(ends[0]), len(of))
+            field = lambda n: flat.field(n)  # noqa: B023, E731
+            x, y, w = (pc.fill_null(field(n).cast(pa.float64()), np.nan).to_numpy() for n in ("x", "y", "w"))
+            use = np.flatnonzero(pc.fill_null(pc.not_equal(pc.utf8_trim(field("str"), " "), ""), False).to_numpy(zero_copy_only=False) & (w > 0) & np.isfinite(y))
+            level = (np.floor(y[use] / 2 + 0.5) * 2).astype(np.int64)
+            order = np.lexsort((field("seq").to_numpy()[use], x[use], level, of[use]))
+            use, level = use[order], level[order]
+            page = of[use]
+            opens = np.flatnonzero(np.r_[True, (page[1:] != page[:-1]) | (level[1:] != level[:-1])]) if len(use) else use
+            words = pa.ListArray.from_arrays(pa.array(np.r_[opens, len(use)].astype(np.int32)), field("str").take(pa.array(use)))
+            at = pa.array(page[opens])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(level[opens]), pc.binary_join(words, " ")], names=["doc_id", "page", "y", "text"])
+
+    pages = _pages(items)
+    kinds = dict(pages.dtypes)
+    rows = pages.mapInArrow(run, f"doc_id {kinds['doc_id']}, page {kinds['page']}, y bigint, text string")
+    return rows.withColumn("text", collapse(F.col("text"))).where(F.col("text") != "")
 
 
 Arrays = dict[str, np.ndarray]

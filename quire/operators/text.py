@@ -106,7 +106,7 @@ def search_occurrences(docs: DataFrame, query: str, around: int = 16) -> DataFra
     The query is trimmed and case-folded; one of fewer than two characters finds nothing."""
     q = query.strip().lower()
     rows = src.lines(docs.where(holds(F.col("text"), q))).where(F.lit(len(q) >= 2) & holds(F.col("text"), q))
-    found = rows.select("*", F.posexplode(occurrences(F.lower("text"), q)).alias("k", "at"))
+    found = rows.select("*", F.posexplode(occurrences(F.col("text"), q, case_sensitive=False)).alias("k", "at"))
     n = F.length("text")
     start = F.greatest(F.col("at") - around, F.lit(0))
     return found.select(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.ranges import order_list, parse_ranges
-from ..functions.strings import collapse, keywords
+from ..functions.strings import WORDS, collapse, keywords
 from ..operators import annots, diff, edit, grouping, leaks, model, pages, redact, text
 from ..sources import fixtures
 from ..sources import text_documents as src
@@ -423,6 +423,25 @@ def keyword_lists(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", keywords(F.col("text")).alias("k")).where(F.size("k") > 0).select("doc_id", F.array_join("k", "|").alias("kw"))
 
 
+@query("""WITH RECURSIVE t AS (SELECT doc_id, text, string_split(text, chr(10)) AS t FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, unnest(range(len(t))) AS k, length(unnest(t)) AS n FROM t),
+p AS (SELECT *, coalesce(sum(n + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM l),
+e AS (SELECT doc_id, a AS s, a + least(n, 3) AS f, '[' || k || ']' AS new FROM p UNION ALL SELECT doc_id, a + 2, a + 5, 'never' FROM p WHERE n > 6 UNION ALL SELECT doc_id, a + n - 1, a + n + 2, '|' FROM p WHERE n > 0 AND n % 4 = 0),
+o AS (SELECT e.*, row_number() OVER (PARTITION BY e.doc_id ORDER BY s, f, new) AS i, length(text) AS size FROM e JOIN t ON t.doc_id = e.doc_id), c AS (SELECT doc_id, count(*) AS c FROM o GROUP BY doc_id),
+w AS (SELECT doc_id, 0::BIGINT AS i, 0::HUGEINT AS at, '' AS done, 0::BIGINT AS applied FROM c
+  UNION ALL SELECT w.doc_id, o.i, CASE WHEN o.s >= w.at AND o.f <= size THEN o.f ELSE w.at END, CASE WHEN o.s >= w.at AND o.f <= size THEN done || substr(t.text, (w.at + 1)::BIGINT, (o.s - w.at)::BIGINT) || o.new ELSE done END,
+    applied + CAST(o.s >= w.at AND o.f <= size AS BIGINT) FROM w JOIN o ON o.doc_id = w.doc_id AND o.i = w.i + 1 JOIN t ON t.doc_id = w.doc_id)
+SELECT w.doc_id, done || substr(t.text, (w.at + 1)::BIGINT) AS text, applied, c - applied AS skipped FROM w JOIN c ON c.doc_id = w.doc_id AND w.i = c.c JOIN t ON t.doc_id = w.doc_id""")
+def splice_lines(spark, sf_dir):
+    """WIN12: spans replaced from left to right, those that overlap one before them skipped."""
+    return edit.splices(docs(spark, sf_dir), fixtures.line_edits(docs(spark, sf_dir)))
+
+
+@query("""SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '[\\s,]+'), lambda x: x <> ''), '|') AS kw FROM documents WHERE len(list_filter(regexp_split_to_array(text, '[\\s,]+'), lambda x: x <> '')) > 0""")
+def keyword_words(spark, sf_dir):
+    """FN7 between commas and any white space."""
+    return docs(spark, sf_dir).select("doc_id", keywords(F.col("text"), WORDS).alias("k")).where(F.size("k") > 0).select("doc_id", F.array_join("k", "|").alias("kw"))
+
+
 # ---- grouping, diff, geometry --------------------------------------------------------------------------------------
 
 

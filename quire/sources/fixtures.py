@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import RASTERS
@@ -148,3 +148,17 @@ def edited_versions(docs: DataFrame) -> DataFrame:
     """(left_doc, right_doc, a, b): each text and itself without every seventh line, every eleventh replaced."""
     kept = F.array_compact(F.transform(F.split("text", "\n", -1), lambda t, k: F.when(k % 7 != 3, F.when(k % 11 == 5, F.concat(F.lit("\u0001"), k.cast("string"))).otherwise(t))))
     return docs.where("text IS NOT NULL").select(F.col("doc_id").alias("left_doc"), F.col("doc_id").alias("right_doc"), F.col("text").alias("a"), F.array_join(kept, "\n").alias("b"))
+
+
+def line_edits(docs: DataFrame) -> DataFrame:
+    """Edits (doc_id, start, end, new): each line's first three characters become its number; spans that reach into that one, and over
+    the line's end into the next line's, are there, too."""
+    cut = F.split("text", "\n", -1)
+    rows = docs.where("text IS NOT NULL").select("doc_id", F.posexplode(F.transform(cut, lambda t: F.length(t))).alias("k", "n"))
+    start = F.sum(F.col("n") + 1).over(Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("at", F.coalesce(start, F.lit(0)))
+    at, n = F.col("at"), F.col("n")
+    edit = lambda a, b, new: F.struct(a.cast("bigint").alias("start"), b.cast("bigint").alias("end"), new.alias("new"))
+    number = F.concat(F.lit("["), F.col("k").cast("string"), F.lit("]"))
+    found = F.array_compact(F.array(edit(at, at + F.least(n, F.lit(3)), number), F.when(n > 6, edit(at + 2, at + 5, F.lit("never"))), F.when((n > 0) & (n % 4 == 0), edit(at + n - 1, at + n + 2, F.lit("|")))))
+    return rows.select("doc_id", F.inline(found))

@@ -55,6 +55,14 @@ def test_search(spark):
         text.search_lines(d, "")
 
 
+def test_occurrences_are_where_they_stand(spark):
+    d = docs(spark, "\u0130\u0130 abc", "aXbx" * 3 + "xx", "the " * 40_000)
+    assert [r.char_at for r in text.search_occurrences(d.where("doc_id = 0"), "abc").collect()] == [3]
+    assert [r.char_at for r in text.search_occurrences(d.where("doc_id = 1"), "bX").collect()] == [2, 6, 10]
+    many = text.search_occurrences(d.where("doc_id = 2"), "the")
+    assert many.agg(F.count(F.lit(1)), F.max("char_at"), F.count_if(F.col("char_at") == (F.col("occurrence") - 1) * 4)).first()[:] == (40_000, 159_996, 40_000)
+
+
 def test_snippet_is_cut(spark):
     hit = text.search_lines(docs(spark, "a" * 200), "a").first()
     assert len(hit.snippet) == 160 and hit.snippet.endswith("...")
@@ -83,7 +91,8 @@ def test_edit(spark):
     assert (every.text, every.replaced) == ("x bar\nx baz x", 2)
     assert edit.replacements(d, "delete ", "").first().text == "me\nkeep me"
     assert {r.doc_id: r.text for r in edit.apply(d, "foo", "x").collect()}[2] == "none"
-    assert edit.splice("abcdef", [(0, 2, "X"), (1, 3, "Y"), (4, 5, "")]) == "Xcdf"
+    assert edit.splice("abcdef", [(0, 2, "X"), (1, 3, "Y"), (4, 5, "")]) == ("Xcdf", 2)
+    assert edit.splice("ab", [(0, 0, "x"), (1, 5, "no"), (2, 1, "no"), (2, 2, "y")]) == ("xaby", 2)
 
 
 def test_redaction(spark):
