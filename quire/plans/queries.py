@@ -4,6 +4,7 @@ The canonical input is the text-document adapter: documents are cut into lines a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions.ranges import order_list, parse_ranges
 from ..functions.strings import WORDS, collapse, keywords
-from ..operators import annots, diff, edit, grouping, leaks, model, pages, redact, text
+from ..operators import annots, diff, edit, grouping, leaks, model, pages, publish, redact, text
+from ..operators.joins import shared_folder
 from ..sources import fixtures
 from ..sources import text_documents as src
 
@@ -329,6 +331,15 @@ def redact_gate(spark, sf_dir):
     return redact.gate(output, redact.verification(checks), redact.covered_report(marked))
 
 
+@query(f"WITH {GATE_SQL} SELECT doc_id, text FROM output WHERE doc_id NOT IN (SELECT doc_id FROM verdicts WHERE b OR e)")
+def redact_published(spark, sf_dir):
+    """RW18, SNK2 and SNK5: the same through the writer, which reads what it has written before anyone else can."""
+    output, _, marked = _gate(spark, sf_dir)
+    target = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    publish.publish(output, redact.covered_strings(marked), redact.covered_report(marked), target, on_failure="leave out")
+    return spark.read.parquet(target).select("doc_id", "text")
+
+
 @query(f"""WITH {GATE_SQL}, r AS (SELECT DISTINCT doc_id, trim(regexp_replace(covered, '\\s+', ' ', 'g'), ' ') AS covered FROM covered)
 SELECT doc_id, covered, contains(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), covered) AS recoverable FROM r JOIN output USING (doc_id)""")
 def verify_recoverable(spark, sf_dir):
