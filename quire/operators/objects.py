@@ -125,14 +125,15 @@ def targets(uses: DataFrame, resources: DataFrame) -> DataFrame:
     return both.withColumn("outcome", F.when(F.col("_there").isNull(), "ignored").when(F.col("ref").isNull(), "direct").otherwise("reference")).drop("_there")
 
 
-def best_lines(hits: DataFrame, lines: DataFrame, least: float = 1.2) -> DataFrame:
+def best_lines(hits: DataFrame, lines: DataFrame, least: float = 1.2, bag: bool = True) -> DataFrame:
     """(doc_id, page, hit, line_no, score): for each hit (hit, htext, hx, hy) the line of its page that is most like it; the first of
     equals, none below `least`. Equal texts count 2, one within the other 1.4, else 0.8 times the share of common words;
-    nearness within 60 points counts up to 1."""
+    nearness within 60 points counts up to 1. bag: repeated words count each time, so that a long hit can be more like a short
+    line than like itself; else each word counts once. The numbers are fixed values."""
     norm = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
     a, b = F.col("_a"), F.col("_b")
     at, bt = F.split(a, " "), F.split(b, " ")
-    common = F.size(F.filter(bt, lambda t: F.array_contains(F.col("_at"), t)))  # a bag: repeated words count each time
+    common = F.size(F.filter(bt, lambda t: F.array_contains(F.col("_at"), t))) if bag else F.size(F.array_intersect(bt, F.col("_at")))
     alike = F.when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), 0.7).otherwise(0.4 * (common / F.greatest(F.lit(1), F.least(F.size("_at"), F.size(bt)))))
     near = F.greatest(F.lit(0.0), 1 - F.hypot(F.col("x") - F.col("hx"), F.col("y") - F.col("hy")) / 60)
     both = hits.withColumn("_b", norm(F.col("htext"))).join(lines.withColumn("_a", norm(F.col("text"))).withColumn("_at", at), PAGE).where((a != "") & (b != ""))
@@ -155,18 +156,3 @@ def vector_plan(lines: DataFrame, spans: DataFrame, sections: DataFrame, forms:
     out = n(lines, "lines").join(n(spans, "spans"), PAGE, "full").fillna(0, ["lines", "spans"])
     bad = sections.where(~F.coalesce("ok", F.lit(False))).select(*PAGE).unionByName(forms.where(~F.coalesce("ok", F.lit(False))).select(*PAGE)).distinct().withColumn("_bad", F.lit(True))
     return out.join(bad, PAGE, "left").select(*PAGE, "lines", "spans", F.col("_bad").isNull().alias("ok"))
-
-
-#: The passes over a page's content, in order; the first that fails leaves the page to be drawn as a picture.
-PASSES = ("widgets", "annotations", "structure", "vectors", "edits")
-
-
-def content_passes(pages: DataFrame) -> DataFrame:
-    """(doc_id, page, passes, needs_raster): which passes a page takes, from a boolean column ok_<pass> each (null: failed). A page
-    without rectangles or edits takes none."""
-    ok = [F.coalesce(F.col(f"ok_{p}"), F.lit(False)) for p in PASSES]
-    taken, good = F.array().cast("array<string>"), F.lit(True)
-    for p, o in zip(PASSES, ok, strict=True):
-        taken = F.when(good & o, F.concat(taken, F.array(F.lit(p)))).otherwise(taken)
-        good = good & o
-    return pages.select(*PAGE, F.when(F.col("touched"), F.array_join(taken, ",")).otherwise("").alias("passes"), (F.col("touched") & ~good).alias("needs_raster"))

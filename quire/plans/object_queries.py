@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import annots, forms, leaks, objects, pages, redact, text
+from ..operators import annots, export, forms, leaks, objects, pages, redact, text
 from ..sources import fixtures
 from ..sources import object_fixtures as made
 from ..sources import text_documents as src
@@ -204,13 +204,37 @@ def page_features(spark, sf_dir):
     return objects.features(page_rows(spark, sf_dir).select("doc_id", "page", F.explode(kinds).alias("kind")))
 
 
-@query(f"""WITH {PAGES}, p AS (SELECT doc_id, page, page % 4 <> 0 AS touched, (doc_id + page) % 6 AS k FROM pages)
-SELECT doc_id, page, CASE WHEN NOT touched THEN '' ELSE array_to_string(['widgets', 'annotations', 'structure', 'vectors', 'edits'][1:k], ',') END AS passes, touched AND k < 5 AS needs_raster FROM p""")
-def content_passes(spark, sf_dir):
-    """RW22, RW23 and RW24: five passes in order; the first that fails leaves the page to be drawn."""
-    k = (F.col("doc_id") + F.col("page")) % 6
-    ok = {f"ok_{p}": F.when(k != i, k > i) for i, p in enumerate(objects.PASSES)}  # null where the pass is not known to have worked
-    return objects.content_passes(page_rows(spark, sf_dir).withColumns(ok | {"touched": F.col("page") % 4 != 0}))
+EXPORT_SQL = f"""{LINES}, a AS (
+  SELECT doc_id, page, line_no, 'redact' AS type, x, round(y - 4.2::DOUBLE, 6) AS y, w, 16.8::DOUBLE AS h FROM lines WHERE contains(lower(text), 'license')
+  UNION ALL SELECT doc_id, page, line_no, 'redact', x, round(y - 4.2::DOUBLE, 6), w / 2, 16.8::DOUBLE FROM lines WHERE line_no % 5 = 0 AND contains(text, 'z') AND length(text) > 4
+  UNION ALL SELECT doc_id, page, line_no, 'text', x, y, 70, 14 FROM lines WHERE line_no % 6 = 1 UNION ALL SELECT doc_id, page, line_no, 'formfield', x, y, 90, 14 FROM lines WHERE line_no % 9 = 2
+  UNION ALL SELECT doc_id, page, line_no, 'edit', x, y, w, 14 FROM lines WHERE line_no % 4 = 0 AND contains(text, 'the')),
+rc AS (SELECT doc_id, page, x AS rx, y AS ry, w AS rw, h AS rh FROM a WHERE type = 'redact'),
+m AS (SELECT l.doc_id, l.page, l.line_no, l.text, max(CASE WHEN rx IS NULL THEN 0 WHEN x >= rx - 0.5 AND x + w <= rx + rw + 0.5 AND y - 3.5 >= ry - 0.5 AND y + 11.9 <= ry + rh + 0.5 THEN 2 ELSE 1 END) AS cov
+  FROM lines l LEFT JOIN rc ON rc.doc_id = l.doc_id AND rc.page = l.page AND x < rx + rw AND x + w > rx AND y - 3.5 < ry + rh AND y + 11.9 > ry GROUP BY ALL),
+t AS (SELECT doc_id, page, coalesce(string_agg(CASE WHEN line_no % 4 = 0 AND contains(text, 'the') THEN 'EDITED' ELSE text END, chr(10) ORDER BY line_no) FILTER (cov < 2), '') AS text, count(*) FILTER (cov = 1) AS partial,
+  bool_or(line_no = 3 AND length(text) % 13 = 0) AS bad_w, bool_or(line_no = 7 AND length(text) % 13 = 1) AS bad_a, bool_or(line_no % 3 = 0 AND length(text) % 29 = 0) AS bad_s FROM m GROUP BY doc_id, page),
+g AS (SELECT doc_id, page, count(*) AS regions FROM rc GROUP BY doc_id, page),
+d AS (SELECT * FROM a WHERE type = 'redact' OR NOT EXISTS (SELECT 1 FROM rc WHERE rc.doc_id = a.doc_id AND rc.page = a.page AND a.x < rx + rw AND a.x + a.w > rx AND a.y < ry + rh AND a.y + a.h > ry)),
+c AS (SELECT doc_id, page, count(*) FILTER (type <> 'formfield') AS "all", count(*) FILTER (type NOT IN ('formfield', 'edit')) AS rest, count(*) FILTER (type = 'formfield') AS widgets FROM d GROUP BY doc_id, page),
+q AS (SELECT t.*, coalesce(regions, 0) AS regions, coalesce("all", 0) AS "all", coalesce(rest, 0) AS rest, coalesce(widgets, 0) AS widgets, t.page % 9 <> 0 AS own FROM t LEFT JOIN g USING (doc_id, page) LEFT JOIN c USING (doc_id, page) WHERE t.page <= 6 OR t.page % 9 = 0),
+f AS (SELECT *, CASE WHEN own AND regions > 0 THEN CASE WHEN bad_w THEN 'widgets' WHEN bad_a THEN 'annotations' WHEN bad_s THEN 'structure' WHEN partial > 0 THEN 'vectors' END END AS failed FROM q),
+r AS (SELECT *, CASE WHEN NOT own THEN 'blank' WHEN failed IS NOT NULL THEN CASE WHEN page % 2 = 1 THEN 'raster' ELSE 'refused' END WHEN page % 5 = 0 AND page % 4 <> 0 THEN 'mirror' WHEN regions > 0 THEN 'vector' ELSE 'copy' END AS route FROM f)"""
+
+
+@query(f"""WITH {EXPORT_SQL} SELECT doc_id, page, route, CASE WHEN NOT own THEN '' WHEN regions = 0 THEN 'edits' WHEN failed = 'widgets' THEN '' WHEN failed = 'annotations' THEN 'widgets' WHEN failed = 'structure' THEN 'widgets,annotations'
+  WHEN failed = 'vectors' THEN 'widgets,annotations,structure' ELSE 'widgets,annotations,structure,vectors,edits' END AS passes, failed, regions,
+  CAST(CASE WHEN route IN ('copy', 'mirror', 'vector') THEN (CASE WHEN page % 2 = 0 THEN 90 ELSE 0 END + (page - 1) * 90) % 360 ELSE 0 END AS INTEGER) AS rotation,
+  CASE WHEN route IN ('copy', 'mirror', 'vector') THEN text END AS text, CASE WHEN route IN ('copy', 'mirror', 'vector') THEN rest ELSE "all" END AS drawn, widgets FROM r""")
+def export_pages(spark, sf_dir):
+    """RW22, RW23, RW24 and J2: five passes over the rows of each page; the first that fails sends it to be drawn."""
+    return export.export_plan(**made.edited_pages(docs(spark, sf_dir)))
+
+
+@query(f"WITH {EXPORT_SQL} SELECT doc_id, min(page) AS page, 'page ' || min(page) || ' could not be securely redacted' AS reason FROM r WHERE route = 'refused' GROUP BY doc_id")
+def export_refusals(spark, sf_dir):
+    """RW22: a page with neither way refuses its document."""
+    return export.export_refusals(export.export_plan(**made.edited_pages(docs(spark, sf_dir))))
 
 
 @query(f"WITH {PAGES} SELECT doc_id, page, 'file ' || page AS name FROM pages WHERE page <= 3")

@@ -101,3 +101,32 @@ def shared_forms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     uses = rows.select("doc_id", F.inline(inner)).unionByName(pages.select("doc_id", F.inline(outer)))
     segments = rows.select("doc_id", form(k).alias("form"), F.lit(1).alias("seq"), "text", F.lit(0.0).alias("x"), F.lit(10.0).alias("y"), (F.length("text") * 7.0).alias("w"), F.lit(14.0).alias("size"))
     return uses, segments
+
+
+def edited_pages(docs: DataFrame) -> dict[str, DataFrame]:
+    """What export_plan takes, from the lines of documents: redactions over lines about licenses, and over the left half of every fifth line
+    with a z; notes, form fields and edits on other lines; widgets and structure elements of which some have no place. Sources hold
+    six pages, pictures the odd ones; every ninth page of a document is blank."""
+    rows = lines(docs)
+    k, n, has = F.col("line_no"), F.length("text"), lambda c: F.contains("text", F.lit(c))
+    ann = lambda kind, w, h, orig, text: F.struct(F.lit(kind).alias("type"), w.alias("w"), h.alias("h"), orig.cast("string").alias("orig_text"), F.lit(text).cast("string").alias("text2"))
+    lit, none = (lambda v: F.lit(float(v))), F.lit(None)
+    kinds = F.array_compact(F.array(
+        F.when(F.contains(F.lower("text"), F.lit("license")), ann("redact", F.col("w"), lit(16.8), none, None)), F.when((k % 5 == 0) & has("z") & (n > 4), ann("redact", F.col("w") / 2, lit(16.8), none, None)),
+        F.when(k % 6 == 1, ann("text", lit(70), lit(14), none, "note")), F.when(k % 9 == 2, ann("formfield", lit(90), lit(14), none, None)), F.when((k % 4 == 0) & has("the"), ann("edit", F.col("w"), lit(14), F.col("text"), "EDITED")),
+    ))
+    found = rows.select("doc_id", "page", "line_no", "x", "y", F.posexplode(kinds).alias("i", "a"))
+    redacts = F.col("a.type") == "redact"
+    anns = found.select(
+        "doc_id", "page", (F.col("page") * 1000 + F.col("line_no") * 10 + F.col("i")).alias("ann_id"), F.col("line_no").alias("z"), F.col("a.type").alias("type"), "x",
+        F.when(redacts, F.round(F.col("y") - 4.2, 6)).otherwise(F.col("y")).alias("y"), F.col("a.w").alias("w"), F.col("a.h").alias("h"), F.lit(None).cast("double").alias("x2"), F.lit(None).cast("double").alias("y2"),
+        F.lit(None).cast("array<struct<x:double,y:double>>").alias("pts"), F.col("a.orig_text").alias("orig_text"), F.col("a.text2").alias("text"),
+    )
+    box = lambda where, known: rows.where(where).select("doc_id", "page", F.when(known, F.col("x")).alias("x0"), (F.col("y") - 3).alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + 11).alias("y1"), F.col("text").alias("alt"))
+    pages = rows.groupBy("doc_id", "page").agg(F.first(F.lit(1))).select("doc_id", "page")
+    p = F.col("page")
+    return {
+        "pages": pages.select("doc_id", "page", F.when(p % 9 != 0, "main").alias("src"), ((p - 1) * 90 % 360).cast("int").alias("rot"), F.when(p % 5 == 0, (p % 4).cast("int")).otherwise(0).alias("flip")),
+        "sources": pages.where("page <= 6").select("doc_id", F.lit("main").alias("src"), "page", F.when(p % 2 == 0, 90).otherwise(0).alias("intrinsic")),
+        "lines": rows, "anns": anns, "widgets": box(k == 3, n % 13 != 0), "source_anns": box(k == 7, n % 13 != 1), "elements": box(k % 3 == 0, n % 29 != 0), "rasters": pages.where("page % 2 = 1"),
+    }
