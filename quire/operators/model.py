@@ -28,8 +28,32 @@ class Annotation(dict):
         return self if self.get(at) is None else Annotation(self, **{at: whole - self[at] - (self.get(size) or 0.0)})
 
 
+#: What an edit changed in a list: from where on, the rows that went, those that came.
+Delta = tuple[int, tuple, tuple]
+
+
+def delta(old: tuple, new: tuple) -> Delta:
+    """What differs between two lists, without what they have in common at either end."""
+    if old is new:
+        return 0, (), ()
+    a, most = 0, min(len(old), len(new))
+    while a < most and old[a] == new[a]:
+        a += 1
+    b = 0
+    while b < most - a and old[-1 - b] == new[-1 - b]:
+        b += 1
+    return a, old[a : len(old) - b], new[a : len(new) - b]
+
+
+def changed(rows: tuple, d: Delta, back: bool = False) -> tuple:
+    """A list after what d says, or before it."""
+    at, gone, come = d if not back else (d[0], d[2], d[1])
+    return (*rows[:at], *come, *rows[at + len(gone) :])
+
+
 class Model:
-    """State: the pages and annotations, and the states before and after the current one."""
+    """State: the pages and annotations, and what the last edits changed (past) and those that were undone (future), as differences of
+    both lists: no earlier list is kept whole."""
 
     def __init__(self, pages: tuple[Page, ...] = (), anns: tuple[Annotation, ...] = (), past: tuple = (), future: tuple = ()):
         self.pages, self.anns, self.past, self.future = pages, anns, past, future
@@ -43,7 +67,10 @@ class Model:
 
     def _to(self, pages=None, anns=None) -> Model:
         pages, anns = (now if new is None else tuple(new) for new, now in ((pages, self.pages), (anns, self.anns)))
-        return Model(pages, anns, (*self.past, (self.pages, self.anns))[-DEPTH:], ())
+        return Model(pages, anns, (*self.past, (delta(self.pages, pages), delta(self.anns, anns)))[-DEPTH:], ())
+
+    def _moved(self, change: tuple[Delta, Delta], back: bool, past: tuple, future: tuple) -> Model:
+        return Model(changed(self.pages, change[0], back), changed(self.anns, change[1], back), past, future)
 
     def _edit(self, page_id: str, change) -> list[Page]:
         return [change(p) if p[0] == page_id else p for p in self.pages]
@@ -93,11 +120,10 @@ class Model:
             return self._to(anns=[Annotation(a | given) if a["ann_id"] == target else a for a in self.anns])
         if kind == "annDel":
             return self._to(anns=[a for a in self.anns if a["ann_id"] != target])
-        now = (pages, self.anns)
-        if kind == "undo":
-            return self if not self.past else Model(*self.past[-1], self.past[:-1], (now, *self.future))
-        if kind == "redo":
-            return self if not self.future else Model(*self.future[0], (*self.past, now), self.future[1:])
+        if kind == "undo" and self.past:
+            return self._moved(self.past[-1], True, self.past[:-1], (self.past[-1], *self.future))
+        if kind == "redo" and self.future:
+            return self._moved(self.future[0], False, (*self.past, self.future[0]), self.future[1:])
         return self
 
 
