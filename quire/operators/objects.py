@@ -1,6 +1,6 @@
 """Joins and closures over what a document parser finds: paint spans, images, widgets, structure, marked sections, nested forms.
 
-Range joins are equi-joins on (document, page) with the ranges as residue. Closures follow references to their end (reach). What
+Ranges are compared within the cells of a page's grid (grid). Closures follow references to their end (reach). What
 cannot be compared counts as hit: everything fails closed."""
 
 from __future__ import annotations
@@ -9,24 +9,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from .grid import meeting, that_meet
 from .reach import reached
 
 PAGE = ["doc_id", "page"]
 
 
-def _hit(rects: str = "r") -> Column:
-    """Does a box x0, y0, x1, y1 (corners in any order) share more than an edge with a rectangle rx, ry, rw, rh?"""
-    x0, x1, y0, y1 = F.least("x0", "x1"), F.greatest("x0", "x1"), F.least("y0", "y1"), F.greatest("y0", "y1")
-    r = [F.col(f"{rects}{c}") for c in "xywh"]
-    known = F.col("x0").isNotNull() & F.col("x1").isNotNull() & F.col("y0").isNotNull() & F.col("y1").isNotNull()
-    return F.coalesce(F.when(known, (x0 < r[0] + r[2]) & (x1 > r[0]) & (y0 < r[1] + r[3]) & (y1 > r[1])), F.lit(True))
-
-
 def under(boxes: DataFrame, rects: DataFrame) -> DataFrame:
-    """The boxes (doc_id, page, x0, y0, x1, y1, ...) under a rectangle (doc_id, page, rx, ry, rw, rh): a semi join, so a box
-    under several rectangles is there once."""
-    r = rects.select(*(F.col(c).alias(f"_{c}") for c in PAGE), "rx", "ry", "rw", "rh")
-    return boxes.join(r, [boxes[c] == r[f"_{c}"] for c in PAGE] + [_hit()], "left_semi")
+    """The boxes (doc_id, page, x0, y0, x1, y1, ...; corners in any order) under a rectangle (doc_id, page, rx, ry, rw, rh), that is,
+    sharing more than an edge with it: a semi join, so a box under several rectangles is there once. A box with a missing
+    coordinate counts as hit wherever its page has a rectangle."""
+    known = F.col("x0").isNotNull() & F.col("x1").isNotNull() & F.col("y0").isNotNull() & F.col("y1").isNotNull()
+    end = lambda pick, a, b: F.when(known, pick(a, b))
+    box = [(end(F.least, f"{c}0", f"{c}1"), end(F.greatest, f"{c}0", f"{c}1")) for c in "xy"]
+    r = rects.select(*PAGE, "rx", "ry", "rw", "rh").distinct()
+    return that_meet(boxes, r, PAGE, box, [(F.col("rx"), F.col("rx") + F.col("rw")), (F.col("ry"), F.col("ry") + F.col("rh"))])
 
 
 def image_pixels(images: DataFrame, rects: DataFrame) -> DataFrame:
@@ -76,9 +73,10 @@ def clear_structure(elements: DataFrame, rects: DataFrame) -> DataFrame:
 def clear_sections(sections: DataFrame, parts: DataFrame) -> DataFrame:
     """(doc_id, page, section, secret, ok): marked sections (start, stop, secret) without their secrets, if all parts of the page
     (start, stop, removed) that overlap them were removed; else the section is not ok and keeps it."""
-    p = parts.select(*PAGE, F.col("start").alias("_a"), F.col("stop").alias("_b"), "removed")
-    overlap = F.coalesce((F.col("_a") < F.col("stop")) & (F.col("_b") > F.col("start")), F.lit(True))
-    left = sections.where(F.col("secret").isNotNull()).join(p.where(~F.coalesce("removed", F.lit(False))), PAGE).where(overlap).select(*PAGE, "section").distinct().withColumn("_left", F.lit(True))
+    stays = parts.where(~F.coalesce("removed", F.lit(False))).select(*PAGE, F.col("start").alias("_a"), F.col("stop").alias("_b")).distinct()
+    told = sections.where(F.col("secret").isNotNull()).select(*PAGE, "section", "start", "stop").distinct()
+    pairs = meeting(told, stays, PAGE, [(F.col("start"), F.col("stop"))], [(F.col("_a"), F.col("_b"))], side=1024.0)
+    left = pairs.select(*(F.col(f"a.{c}") for c in (*PAGE, "section"))).distinct().withColumn("_left", F.lit(True))
     both = sections.join(left, [*PAGE, "section"], "left")
     return both.select(*PAGE, "section", F.when(F.col("_left").isNotNull(), F.col("secret")).alias("secret"), F.col("_left").isNull().alias("ok"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import collapse, shortened
+from .grid import meeting
 from .scan import FORMS, scanned
 from .text import holds
 
@@ -47,20 +48,21 @@ def coverage(lines: DataFrame, rects: list[Rect]) -> DataFrame:
 
 
 def coverage_by(lines: DataFrame, rects: DataFrame, own: list[str] | None = None) -> DataFrame:
-    """The same against a table of rectangles (doc_id, page, rx, ry, rw, rh): an equi-join on the page with the
-    ranges as its residue, then the strongest class of each line, which the columns `own` (line_no) tell from others of
-    its page. What cannot be compared counts as covered."""
+    """The same against a table of rectangles (doc_id, page, rx, ry, rw, rh), compared within the cells of the page, then the
+    strongest class of each line, which the columns `own` (line_no) tell from others of its page. What cannot be compared counts as covered."""
     own = own or ["line_no"]
-    here = lines.join(rects.withColumn("_there", F.lit(True)), ["doc_id", "page"], "left")
+    names = ["doc_id", "page", *own]
     left, right = F.col("x"), F.col("x") + F.col("w")
     low, high = F.col("y") - F.col("size") * 0.25, F.col("y") + F.col("size") * 0.85
     x0, y0, x1, y1 = F.col("rx"), F.col("ry"), F.col("rx") + F.col("rw"), F.col("ry") + F.col("rh")
+    at = lines.select(*names, left.alias("_l"), right.alias("_r"), low.alias("_low"), high.alias("_high"))
+    r = rects.select("doc_id", "page", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")).distinct()
+    pairs = meeting(at, r, ["doc_id", "page"], [(F.col("_l"), F.col("_r")), (F.col("_low"), F.col("_high"))], [(F.col("x0"), F.col("x1")), (F.col("y0"), F.col("y1"))])
     sure = lambda c: F.coalesce(c, F.lit(True))
-    touch = F.col("_there").isNotNull() & sure((left < x1) & (right > x0) & (low < y1) & (high > y0))
-    full = touch & sure((left >= x0 - SLACK) & (right <= x1 + SLACK) & (low >= y0 - SLACK) & (high <= y1 + SLACK))
-    strength = F.when(full, 2).when(touch, 1).otherwise(0)
-    best = here.groupBy("doc_id", "page", *own).agg(F.max(strength).alias("s"))
-    return best.select("doc_id", "page", *own, F.element_at(F.array(F.lit("none"), F.lit("partial"), F.lit("full")), F.col("s") + 1).alias("coverage"))
+    full = sure((F.col("a._l") >= F.col("b.x0") - SLACK) & (F.col("a._r") <= F.col("b.x1") + SLACK) & (F.col("a._low") >= F.col("b.y0") - SLACK) & (F.col("a._high") <= F.col("b.y1") + SLACK))
+    seen = pairs.select(*(F.col(f"a.{c}").alias(c) for c in names), F.when(full, 2).otherwise(1).alias("s"))
+    best = seen.unionByName(lines.select(*names, F.lit(0).alias("s"))).groupBy(*names).agg(F.max("s").alias("s"))
+    return best.select(*names, F.element_at(F.array(F.lit("none"), F.lit("partial"), F.lit("full")), F.col("s") + 1).alias("coverage"))
 
 
 def covered_report(marked: DataFrame, on_partial: str = "refuse") -> DataFrame:
