@@ -83,24 +83,27 @@ def rgb(colour: Column) -> Column:
     return F.struct(part(2).alias("r"), part(4).alias("g"), part(6).alias("b"))
 
 
+def _extent(middle: Column, half: Column, length: Column) -> tuple[Column, Column]:
+    """The part of [0, length] within half of the middle."""
+    return F.greatest(F.lit(0.0), middle - half), F.least(length, middle + half)
+
+
 def covered(text: Column, x: Column, y: Column, dx: Column, dy: Column, height: Column, bx: Column, by: Column, bw: Column, bh: Column, least_band: float = 0.45, least_share: float = 0.02) -> Column:
     """What a box covers of a text run: struct(start, end, frac, rect), null if too little.
 
-    The box's corners are measured along the run (s) and across it (t), in the run's own frame, so turned pages need no
-    special case. Characters are taken to be of equal width."""
+    A box reaches as far from its middle along any direction as half its sides' shares in that direction; so its extent along the run
+    and across it needs no corners, and turned pages no special case. Characters are taken to be of equal width."""
     n = F.hypot(dx, dy)
-    ux, uy = dx / n, dy / n
-    corners = [(bx, by), (bx + bw, by), (bx, by + bh), (bx + bw, by + bh)]
-    along = [(cx - x) * ux + (cy - y) * uy for cx, cy in corners]
-    across = [(cy - y) * ux - (cx - x) * uy for cx, cy in corners]
-    zero = F.lit(0.0)
-    s0, s1 = F.greatest(zero, F.least(*along)), F.least(n, F.greatest(*along))
-    t0, t1 = F.greatest(zero, F.least(*across)), F.least(height, F.greatest(*across))
-    band, share = (t1 - t0) / height, (s1 - s0) / n
+    c, s = dx / n, dy / n
+    mx, my = bx + bw / 2 - x, by + bh / 2 - y
+    a0, a1 = _extent(mx * c + my * s, (F.abs(c) * bw + F.abs(s) * bh) / 2, n)
+    t0, t1 = _extent(my * c - mx * s, (F.abs(s) * bw + F.abs(c) * bh) / 2, height)
     chars = F.length(text)
-    start, end = F.floor(s0 / n * chars), F.least(chars, F.ceil(s1 / n * chars))
-    xs = [x + ux * s for s in (s0, s1)] + [x + ux * s - uy * height for s in (s0, s1)]
-    ys = [y + uy * s for s in (s0, s1)] + [y + uy * s + ux * height for s in (s0, s1)]
-    rect = F.struct(F.least(*xs).alias("x"), F.least(*ys).alias("y"), (F.greatest(*xs) - F.least(*xs)).alias("w"), (F.greatest(*ys) - F.least(*ys)).alias("h"))
-    seen = (height > 0) & (n > 0) & (s1 > s0) & (t1 > t0) & (band >= least_band) & (share >= least_share) & (end > start)
-    return F.when(seen, F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), share.alias("frac"), rect.alias("rect")))
+    first, last = F.floor(chars * a0 / n), F.least(chars, F.ceil(chars * a1 / n))
+    # The covered part of the run's band as an upright rectangle, from its middle.
+    long, wide = a1 - a0, height
+    px, py = x + c * (a0 + a1) / 2 - s * height / 2, y + s * (a0 + a1) / 2 + c * height / 2
+    rw, rh = F.abs(c) * long + F.abs(s) * wide, F.abs(s) * long + F.abs(c) * wide
+    rect = F.struct((px - rw / 2).alias("x"), (py - rh / 2).alias("y"), rw.alias("w"), rh.alias("h"))
+    enough = (n > 0) & (height > 0) & (a1 > a0) & (t1 > t0) & (t1 - t0 >= height * least_band) & (long >= n * least_share) & (last > first)
+    return F.when(enough, F.struct(first.cast("int").alias("start"), last.cast("int").alias("end"), (long / n).alias("frac"), rect.alias("rect")))

@@ -101,100 +101,89 @@ def baseline_lines(items: DataFrame) -> DataFrame:
     return _by_page(items, make, GROUPED_LINES)
 
 
-# Fixed values of the table grouping, in points or shares of the text's size.
+# Fixed values of the table grouping, in points or shares of the text's size: how near baselines of a row are; how far a run may begin
+# before the end of those to its left; gaps that part cells, and those that part them at a column's start; gaps that are a blank, a
+# blank's width, the most blanks; how far a cut moves to a blank.
 ROW, BACK, WIDE, COLUMN, BLANK, STEP, LEAST_GAP, MOST_BLANKS, SNAP = 0.45, (0.25, 2.0), 1.6, 0.9, 0.12, 0.3, 8.0, 4, 4
 
 
-def _start(x: np.ndarray) -> np.ndarray:
-    """Column starts are compared in half points."""
+def _half_points(x: np.ndarray) -> np.ndarray:
     return np.floor(x * 2 + 0.5) / 2
 
 
-def _rows(a: Arrays) -> np.ndarray:
-    """The number of each run's row, for runs from left to right. A row that a run fits is about on its baseline and does not
-    reach far beyond its start; of several the one that reaches furthest takes it."""
-    y, size, reach = np.empty(0), np.empty(0), np.empty(0)
-    out = np.empty(len(a["x"]), np.int64)
-    for k, (x1, y1, s1, r1) in enumerate(zip(a["x"], a["y"], a["size"], a["x"] + a["w"], strict=True)):
-        fits = (np.abs(y - y1) < np.maximum(2, np.maximum(size, s1) * ROW)) & (x1 >= reach - np.maximum(max(2, s1 * BACK[1]), reach * BACK[0]))
-        if fits.any():
-            at = out[k] = int(np.where(fits, reach, -np.inf).argmax())
-            y[at], size[at], reach[at] = (y[at] + y1) / 2, max(size[at], s1), max(reach[at], r1)
-        else:
-            out[k] = len(y)
-            y, size, reach = np.append(y, y1), np.append(size, s1), np.append(reach, r1)
+def _bands(a: Arrays) -> np.ndarray:
+    """A number for each item: its baseline's band, from the top down. Each baseline takes up some room above and below itself; bands are
+    what these intervals cover together."""
+    room = np.maximum(1.0, a["size"] * ROW / 2)
+    top, bottom = -(a["y"] + room), -(a["y"] - room)  # downwards
+    order = np.argsort(top, kind="stable")
+    reach = np.maximum.accumulate(bottom[order])
+    band = np.empty(len(order), np.int64)
+    band[order] = np.cumsum(np.r_[False, top[order][1:] >= reach[:-1]])
+    return band
+
+
+def _layers(x: np.ndarray, right: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Runs of one band, from left to right, dealt to as few rows as keep runs from lying on top of each other: a run goes to the first
+    row that ends before it begins, or that it laps over by a quarter of the row's width or two sizes at most."""
+    begin, end, out = [], [], np.empty(len(x), np.int64)
+    for k in range(len(x)):
+        row = next((n for n in range(len(end)) if x[k] >= end[n] - max(2.0, size[k] * BACK[1], (end[n] - begin[n]) * BACK[0])), len(end))
+        if row == len(end):
+            begin.append(x[k])
+            end.append(right[k])
+        out[k], end[row] = row, max(end[row], right[k])
     return out
 
 
-def _cut_at(text: str, x: float, w: float, column: float) -> int | None:
-    """Where a run that reaches over a column's start is cut: by the share of the width, or at the nearest blank within SNAP
-    characters of that; None if the column is at an edge or a side would be blank."""
-    if not x + 0.5 < column < x + w - 0.5 or len(text) < 2:
-        return None
-    last = len(text) - 1
-    middle = int(np.clip(np.floor(len(text) * (column - x) / w + 0.5), 1, last))
-    blanks = [(abs(p - middle), p) for p in range(max(0, middle - SNAP), min(last, middle + SNAP) + 1) if text[p] == " "]
-    at = max(1, min(blanks)[1]) if blanks else middle
-    return at if text[:at].rstrip(" ") and text[at:].lstrip(" ") else None
-
-
-def _pieces(text: str, x: float, y: float, w: float, size: float, columns: np.ndarray) -> list[tuple]:
-    """(text, x, y, w, size, is a piece) of a run, cut at the columns that it reaches over."""
-    todo, out = [(text, x, w, False)], []
-    while todo:
-        t, x0, w0, piece = todo.pop()
-        cut = next(((c, at) for c in columns if (at := _cut_at(t, x0, w0, c)) is not None), None)
-        if cut is None:
-            out.append((t, x0, y, w0, size, piece))
-        else:
-            c, at = cut
-            todo += [(t[at:].lstrip(" "), c, max(1.0, x0 + w0 - c), True), (t[:at].rstrip(" "), x0, max(1.0, c - x0), True)]
-    return out
-
-
-def _cell_text(text: np.ndarray, x: np.ndarray, right: np.ndarray, size: np.ndarray) -> str:
-    """Adjoining runs as one text; gaps become one to four blanks."""
-    edge = np.maximum(np.r_[x.min(), np.maximum.accumulate(right)[:-1]], x.min())
-    gap = x - edge
-    blanks = np.clip(np.floor(gap / np.maximum(1, size * STEP) + 0.5), 1, MOST_BLANKS).astype(int)
-    blanks[gap <= np.maximum(1, size * BLANK)] = 0
-    return "".join(" " * b * bool(k) + t for k, (b, t) in enumerate(zip(blanks.tolist(), text, strict=True)))
+def _cut(text: str, x: float, right: float, columns: np.ndarray) -> list[tuple[str, float, float]]:
+    """(text, x, right) of the parts of a run between the columns that it reaches over. Characters count as equally wide; a cut moves to the
+    nearest blank. A column that would leave a part without text does not cut."""
+    inside = columns[(columns > x + 0.5) & (columns < right - 0.5)]
+    parts, begin, at = [], x, 0
+    for c in inside.tolist():
+        cut = int(np.clip(np.floor(len(text) * (c - x) / (right - x) + 0.5), 1, max(1, len(text) - 1)))
+        near = [(abs(p - cut), p) for p in range(cut - SNAP, cut + SNAP + 1) if 0 < p < len(text) and text[p] == " "]
+        cut = min(near)[1] if near else cut
+        if cut > at and text[at:cut].strip(" ") and text[cut:].strip(" "):
+            parts.append((text[at:cut].strip(" ") if at else text[:cut].rstrip(" "), begin, c))
+            begin, at = c, cut
+    return [*parts, (text[at:].lstrip(" ") if at else text, begin, max(right, begin + 1.0))]
 
 
 def _cells(a: Arrays) -> list[tuple]:
-    a = _take(a, np.array([bool(s.strip()) for s in a["str"]], bool) & (a["w"] > 0))
-    a = _take(a, np.argsort(a["x"], kind="stable"))
+    a = _take(a, np.flatnonzero(np.array([bool(s.strip()) for s in a["str"]], bool) & (a["w"] > 0)))
     if not len(a["x"]):
         return []
-    row = _rows(a)
-    starts = _start(a["x"])
-    keys, counts = np.unique(np.unique(np.stack([starts, row], 1), axis=0)[:, 0], return_counts=True)
-    columns = keys[counts >= (3 if row.max() >= 2 else 2)]
+    a["right"] = a["x"] + a["w"]
+    band, n = _bands(a), 0
+    row = np.empty(len(band), np.int64)
+    order = np.lexsort((a["x"], band))
+    for own in np.split(order, np.flatnonzero(np.diff(band[order])) + 1):
+        row[own] = n + _layers(a["x"][own], a["right"][own], a["size"][own])
+        n = int(row[own].max()) + 1
+    starts = _half_points(a["x"])
+    seen, rows = np.unique(np.unique(np.stack([starts, row], 1), axis=0)[:, 0], return_counts=True)
+    columns = seen[rows >= (3 if n >= 3 else 2)]
     out = []
-    for n in range(int(row.max()) + 1):
-        own = np.flatnonzero(row == n)
+    order = np.lexsort((a["x"], row))
+    for line, own in enumerate(np.split(order, np.flatnonzero(np.diff(row[order])) + 1), 1):
         here = np.intersect1d(columns, starts[own])
-        parts = [p for k in own for p in _pieces(*(a[c][k] for c in ("str", "x", "y", "w", "size")), here)]
+        parts = [(*p, a["y"][k], a["size"][k], len(cut) > 1) for k in own for cut in [_cut(a["str"][k], a["x"][k], a["right"][k], here)] for p in cut]
         parts.sort(key=lambda p: p[1])
-        text, (x, y, w, size) = np.array([p[0] for p in parts], object), np.array([p[1:5] for p in parts], float).T
-        piece, right = np.array([p[5] for p in parts], bool), x + w
-        known = np.isin(_start(x), columns) | piece
-        breaks, gaps, edge = [0], [0.0], right[0]
-        for k in range(1, len(parts)):
-            gap = x[k] - edge
-            near = max(LEAST_GAP, size[k] * WIDE)
-            if gap > near or known[k] and gap > max(LEAST_GAP, size[k] * COLUMN) or (piece[k] or piece[k - 1]) and gap < near:
-                breaks.append(k)
-                gaps.append(max(0.0, gap))
-                edge = right[k]
-            else:
-                edge = max(edge, right[k])
-        least = lambda v: np.minimum.reduceat(v, breaks)
-        most = lambda v: np.maximum.reduceat(v, breaks)
-        x0, tall = least(x), most(size)
-        boxes = np.stack([x0, least(y) - tall * 0.3, most(right) - x0, tall * 1.2, tall], 1).tolist()
-        for k, (lo, hi) in enumerate(zip(breaks, [*breaks[1:], len(parts)], strict=True)):
-            out.append((n + 1, k + 1, _cell_text(text[lo:hi], x[lo:hi], right[lo:hi], size[lo:hi]), *boxes[k], bool(k and known[lo]), float(gaps[k])))
+        text, x, right, y, size, piece = (np.array(v) for v in zip(*parts, strict=True))
+        known = np.isin(_half_points(x), columns) | piece
+        reach = np.r_[x[0], np.maximum.accumulate(right)[:-1]]
+        gap = x - reach
+        # A cell begins behind a gap, which may be narrower at a column's start, and at either edge of a cut run's part.
+        opens = np.flatnonzero(np.r_[True, (gap > np.maximum(LEAST_GAP, size * np.where(known, COLUMN, WIDE)))[1:] | piece[1:] | piece[:-1]])
+        blanks = np.where(gap > np.maximum(1.0, size * BLANK), np.clip(np.floor(gap / np.maximum(1.0, size * STEP) + 0.5), 1, MOST_BLANKS), 0).astype(int)
+        blanks[opens] = 0
+        shown = [" " * b + t for b, t in zip(blanks.tolist(), text.tolist(), strict=True)]
+        tall, left = np.maximum.reduceat(size, opens), np.minimum.reduceat(x, opens)
+        boxes = np.stack([left, np.minimum.reduceat(y, opens) - tall * 0.3, np.maximum.reduceat(right, opens) - left, tall * 1.2, tall], 1).tolist()
+        for k, (lo, hi) in enumerate(zip(opens, [*opens[1:], len(parts)], strict=True)):
+            out.append((line, k + 1, "".join(shown[lo:hi]), *boxes[k], bool(k and known[lo]), float(max(0.0, gap[lo])) if k else 0.0))
     return out
 
 

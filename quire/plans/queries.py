@@ -473,19 +473,19 @@ WORDS_SQL = f"""{LINES}, q AS (SELECT doc_id, page, line_no, y, string_split(tex
 words AS (SELECT doc_id, page, line_no, k, y, str, 7.0::DOUBLE * length(str) AS w, 50.0::DOUBLE + 7.0::DOUBLE * (CASE WHEN k = 0 THEN 0 ELSE length(array_to_string(parts[1:k], ' ')) + 1 END) AS x FROM k WHERE str <> '')"""
 
 
-@query(f"""WITH {WORDS_SQL}, starts AS (SELECT doc_id, page, x FROM words GROUP BY doc_id, page, x
-  HAVING count(DISTINCT line_no) >= (SELECT CASE WHEN count(DISTINCT v.line_no) >= 3 THEN 3 ELSE 2 END FROM words v WHERE v.doc_id = words.doc_id AND v.page = words.page)),
-a AS (SELECT w.*, s.x IS NOT NULL AS known, w.x - lag(w.x + w.w) OVER l AS gap, min(w.x) OVER (PARTITION BY w.doc_id, w.page, w.line_no) AS least
-  FROM words w LEFT JOIN starts s ON w.doc_id = s.doc_id AND w.page = s.page AND w.x = s.x WINDOW l AS (PARTITION BY w.doc_id, w.page, w.line_no ORDER BY w.k)),
+@query(f"""WITH {WORDS_SQL}, ws AS (SELECT * REPLACE (x + CASE WHEN k >= 4 THEN 47.0::DOUBLE WHEN k >= 2 THEN 40.0::DOUBLE ELSE 0.0::DOUBLE END AS x) FROM words), starts AS (SELECT doc_id, page, x FROM ws GROUP BY doc_id, page, x
+  HAVING count(DISTINCT line_no) >= (SELECT CASE WHEN count(DISTINCT v.line_no) >= 3 THEN 3 ELSE 2 END FROM ws v WHERE v.doc_id = ws.doc_id AND v.page = ws.page)),
+a AS (SELECT w.*, s.x IS NOT NULL AS known, w.x - lag(w.x + w.w) OVER l AS gap
+  FROM ws w LEFT JOIN starts s ON w.doc_id = s.doc_id AND w.page = s.page AND w.x = s.x WINDOW l AS (PARTITION BY w.doc_id, w.page, w.line_no ORDER BY w.k)),
 b AS (SELECT *, CAST(gap IS NULL OR gap > 22.4::DOUBLE OR known AND gap > 12.6::DOUBLE AS INTEGER) AS opens FROM a),
-c AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, page, line_no ORDER BY k) AS cell_seq, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY least, line_no) AS row_seq FROM b)
+c AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, page, line_no ORDER BY k) AS cell_seq, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS row_seq FROM b)
 SELECT doc_id, page, row_seq, CAST(cell_seq AS BIGINT) AS cell_seq, string_agg(CASE WHEN opens = 1 THEN '' ELSE repeat(' ', least(4, CAST(floor(gap / 4.2::DOUBLE + 0.5::DOUBLE) AS INTEGER))) END || str, '' ORDER BY k) AS text,
   min(x) AS x, any_value(y) - 14.0::DOUBLE * 0.3::DOUBLE AS y, max(x + w) - min(x) AS w, 14.0::DOUBLE * 1.2::DOUBLE AS h, 14.0::DOUBLE AS size,
   arg_min(known, k) AND cell_seq > 1 AS cell, CASE WHEN cell_seq > 1 THEN arg_min(gap, k) ELSE 0.0::DOUBLE END AS gap_before
 FROM c GROUP BY doc_id, page, row_seq, cell_seq""")
 def group_cells(spark, sf_dir):
     """WIN4, WIN5 and WIN7: cells start at wide gaps, and past a gap of 0.9 sizes at columns that recur."""
-    return grouping.table_cells(src.page_words(docs(spark, sf_dir)))
+    return grouping.table_cells(fixtures.spread(src.page_words(docs(spark, sf_dir))))
 
 
 @query(f"""WITH {WORDS_SQL}, o AS (SELECT *, (line_no * 4294967296 + k) % 17 = 0 AS unsure, (k % 3)::DOUBLE AS bump FROM words),
