@@ -55,6 +55,14 @@ def rotated_rect(x: Column, y: Column, w: Column, h: Column, pw: Column, ph: Col
     return cx + mx - w / 2, cy + my - h / 2, w, h
 
 
+def turned_rect(x: Column, y: Column, w: Column, h: Column, pw: Column, ph: Column, degrees: Column) -> tuple[Column, Column, Column, Column]:
+    """Bounds of a rectangle after a turn by any angle about the middle of a page of pw by ph."""
+    c, s = F.cos(F.radians(degrees)), F.sin(F.radians(degrees))
+    mx, my = x + w / 2 - pw / 2, y + h / 2 - ph / 2
+    tw, th = F.abs(c) * w + F.abs(s) * h, F.abs(s) * w + F.abs(c) * h
+    return pw / 2 + mx * c - my * s - tw / 2, ph / 2 + mx * s + my * c - th / 2, tw, th
+
+
 def overlaps(ax: Column, ay: Column, aw: Column, ah: Column, bx: Column, by: Column, bw: Column, bh: Column) -> Column:
     """Do two rectangles share more than an edge?"""
     return (ax < bx + bw) & (ax + aw > bx) & (ay < by + bh) & (ay + ah > by)

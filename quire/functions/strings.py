@@ -82,3 +82,12 @@ def encoded(text: Column) -> dict[str, Column]:
         "utf8": utf8, "utf16be": be, "utf16be-bom": F.concat(F.unhex(F.lit("FEFF")), be), "utf16le": le, "utf16le-bom": F.concat(F.unhex(F.lit("FFFE")), le),
         "latin1": F.when(text.rlike("^[\\x00-\\xff]*$"), F.encode(text, "ISO-8859-1")), "hex": F.encode(F.hex(utf8), "UTF-8"),
     }
+
+
+def iso_date(text: Column) -> Column:
+    """A document's date (D:YYYYMMDDHHmmSS and Z or +HH'mm', all but the year optional) as UTC in ISO form; null for what is none."""
+    part = lambda k: F.regexp_extract(text, r"^(?:D:)?(\d{4})(\d\d)?(\d\d)?(\d\d)?(\d\d)?(\d\d)?(?:[Zz].*|([+-])(\d\d)'?(\d\d)?'?)?$", k)
+    or_ = lambda k, default: F.when(part(k) == "", default).otherwise(part(k))
+    known = F.concat(part(1), or_(2, "01"), or_(3, "01"), or_(4, "00"), or_(5, "00"), or_(6, "00"), or_(7, "+"), or_(8, "00"), F.lit(":"), or_(9, "00"))
+    at = F.to_utc_timestamp(F.try_to_timestamp(F.when(part(1) != "", known), F.lit("yyyyMMddHHmmssXXX")), F.current_timezone())
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

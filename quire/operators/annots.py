@@ -58,6 +58,28 @@ def to_display(anns: DataFrame, ph: float, scale: float) -> DataFrame:
     return anns.select("doc_id", "page", "ann_id", "type", (F.col("x") * s).alias("x"), ((top - F.col("y") - tall) * s).alias("y"), (F.col("w") * s).alias("w"), (F.col("h") * s).alias("h"), (F.col("x2") * s).alias("x2"), ((top - F.col("y2")) * s).alias("y2"), pts.alias("pts"))
 
 
+def to_turned_display(anns: DataFrame, pages: DataFrame) -> DataFrame:
+    """Boxes, ends and points of annotations on the page as it is shown, y up: turned by its rotation and mirrored (flip: 1 left to right, 2
+    top to bottom). pages: (doc_id, page, bx, by, bw, bh, rot, flip)."""
+    box = [F.col(c) for c in ("bx", "by", "bw", "bh")]
+    m, width, height = g.viewport(*box, 1.0, F.coalesce("rot", F.lit(0)))
+    rows = anns.join(pages.select("doc_id", "page", m.alias("_m"), width.alias("_w"), height.alias("_h"), F.coalesce("flip", F.lit(0)).alias("_flip")), ["doc_id", "page"])
+
+    def to(x: Column, y: Column) -> tuple[Column, Column]:
+        dx, dy = g.flipped(*g.apply(F.col("_m"), x, y), F.col("_w"), F.col("_h"), F.col("_flip"))
+        return dx, F.col("_h") - dy
+
+    x, y, w, h, x2, y2 = (F.col(c) for c in ("x", "y", "w", "h", "x2", "y2"))
+    line, plain = F.col("type").isin(*LINES_), F.col("type") == "text"  # a text is placed by its point only
+    a, b, e = to(x, y), to(x + w, y + h), to(x2, y2)
+    point = line | plain | w.isNull() | h.isNull()
+    pts = F.transform("pts", lambda p: (lambda q: F.struct(q[0].alias("x"), q[1].alias("y")))(to(p["x"], p["y"])))
+    return rows.select(
+        "doc_id", "page", "ann_id", "type", F.when(point, a[0]).otherwise(F.least(a[0], b[0])).alias("x"), F.when(point, a[1]).otherwise(F.least(a[1], b[1])).alias("y"),
+        F.when(point, w).otherwise(F.abs(b[0] - a[0])).alias("w"), F.when(point, h).otherwise(F.abs(b[1] - a[1])).alias("h"), e[0].alias("x2"), e[1].alias("y2"), pts.alias("pts"),
+    )
+
+
 def flip(anns: DataFrame, pw: float, ph: float, mode: str) -> DataFrame:
     """Annotations of a mirrored page, h left to right, v top to bottom, so that they stay where they are seen."""
     if mode == "h":

@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import geometry as g
@@ -84,6 +85,38 @@ def solid_boxes(rasters: DataFrame) -> DataFrame:
     return rasters.select(*RASTERS.fieldNames()).mapInPandas(run, BOXES)
 
 
+#: Pixels by which a range to be blackened grows on every side.
+GROWN = 1
+
+
+def blackened(rasters: DataFrame, ranges: DataFrame) -> DataFrame:
+    """rasters with (doc_id, page, px0, py0, px1, py1) of them, ends excluded and grown by a pixel, painted an opaque black, and the
+    column ok. Where a range has a null (objects.image_pixels: no inverse) or data is too short, the page is not ok and its data is
+    null: a picture of which nobody knows what is covered. Rasters without ranges stay as they are."""
+    wanted = ranges.groupBy("doc_id", "page").agg(F.collect_set(F.struct("px0", "py0", "px1", "py1")).alias("ranges"))
+    kinds = to_arrow_schema(T.StructType([*RASTERS.fields, T.StructField("ok", T.BooleanType())]))
+
+    def painted(width: int, height: int, data: bytes | None, ranges: list[dict] | None) -> bytes | None:
+        if data is None or not ranges:
+            return data
+        if len(data) < width * height * 4 or any(v is None for r in ranges for v in r.values()):
+            return None
+        p = np.frombuffer(data, np.uint8).copy()
+        frame = p[: width * height * 4].reshape(height, width, 4)
+        for r in ranges:
+            frame[max(0, r["py0"] - GROWN) : max(0, r["py1"] + GROWN), max(0, r["px0"] - GROWN) : max(0, r["px1"] + GROWN)] = (0, 0, 0, 255)
+        return p.tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # a raster at a time
+                data = painted(*(batch.column(c)[k].as_py() for c in range(2, 6)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in range(4)), pa.array([data], pa.binary()), pa.array([data is not None])], schema=kinds)
+
+    rows = rasters.join(wanted, ["doc_id", "page"], "left").select(*RASTERS.fieldNames(), "ranges")
+    return rows.mapInArrow(run, T.StructType([*RASTERS.fields, T.StructField("ok", T.BooleanType())]))
+
+
 class Luminance:
     """Sums of a raster's luminance over rectangles, from one table of running sums."""
 

@@ -61,6 +61,14 @@ def as_json(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.to_json(F.struct(*(c for c in rows.columns if c != "doc_id"))).alias("json"))
 
 
+def as_pretty_json(rows: DataFrame) -> DataFrame:
+    """(doc_id, json): the other columns as an object, a line each, indented by two blanks; null ones are null."""
+    value = lambda c: F.coalesce(F.expr(f"substring(to_json(struct(`{c}` AS v)), 6, length(to_json(struct(`{c}` AS v))) - 6)"), F.lit("null"))
+    shown = lambda c: F.when(F.col(f"`{c}`").isNull(), F.lit("null")).otherwise(value(c))
+    fields = [F.concat(F.lit(f'  "{c}": '), shown(c)) for c in rows.columns if c != "doc_id"]
+    return rows.select("doc_id", F.concat(F.lit("{\n"), F.concat_ws(",\n", *fields), F.lit("\n}")).alias("json"))
+
+
 def first_of_all(hits: DataFrame, most: int = 501) -> DataFrame:
     """The first hits of all documents together, in order; each task hands on its own first ones only."""
     return hits.orderBy("doc_id", "page", "line_no").limit(most)

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.ranges import bad_part, parse_rect, strict_ranges
-from ..functions.strings import encoded, file_name
-from ..operators import annots, grouping, redact
+from ..functions.strings import encoded, file_name, iso_date
+from ..operators import annots, grouping, leaks, redact, text
 from ..sources import files, fixtures
 from ..sources import text_documents as src
-from .queries import COVER_SQL, LINES, PAGES, RECTS, WORDS_SQL, docs, page_rows, query
+from .queries import ANN_SQL, COVER_SQL, LINES, N_SQL, PAGES, RECTS, WORDS_SQL, docs, page_rows, query
 
 THIRD = "doc_id % 3"
 
@@ -108,3 +108,64 @@ def shown_rotations(spark, sf_dir):
     own = rows.select("doc_id", "page", F.col("rot").alias("own"))
     user = rows.select("doc_id", "page", (90 * (F.col("page") % 3)).cast("int").alias("turned"))
     return user.join(own, ["doc_id", "page"], "left").select("doc_id", "page", F.pmod(F.col("own") + F.col("turned"), F.lit(360)).cast("int").alias("rot"))
+
+
+PIXELS_SQL = """n AS (SELECT doc_id, length(text) AS n, CASE WHEN doc_id % 4 <> 0 THEN (60 + doc_id % 7) * 20 ELSE 0 END AS box, CASE WHEN doc_id % 4 <> 0 AND doc_id % 3 = 0 THEN 90 ELSE 0 END AS light FROM documents WHERE text IS NOT NULL),
+p AS (SELECT *, 20 + n % 30 AS px0, 12 + n % 20 AS w FROM n)"""
+
+
+@query(f"""WITH {PIXELS_SQL} SELECT doc_id, CAST(1 AS BIGINT) AS page, n % 11 <> 0 AS ok, CASE WHEN n % 11 <> 0 THEN round((255 * (96 * 48 - 43 - box - w * 15) + 10 * (box - light) + 250 * light)::DOUBLE / (96 * 48), 6) END AS mean FROM p""")
+def redact_pixels(spark, sf_dir):
+    """RW12: ranges of pixels made black, grown by one; a range that is not known refuses its page."""
+    rows = docs(spark, sf_dir)
+    out = leaks.blackened(fixtures.rasters(rows), fixtures.pixel_ranges(rows))
+    means = leaks.canvases(out.where("ok")).select("doc_id", "page", F.round("r", 6).alias("mean"))
+    return out.select("doc_id", "page", "ok").join(means, ["doc_id", "page"], "left")
+
+
+@query(f"""WITH {PIXELS_SQL} SELECT doc_id, CAST(1 AS BIGINT) AS page, CAST(doc_id % 4 <> 0 AS INTEGER) AS box, CAST(px0 - 1 AS INTEGER) AS x, 33 AS y, CAST(w AS INTEGER) AS w, 15 AS h FROM p WHERE n % 11 <> 0""")
+def redacted_boxes(spark, sf_dir):
+    """RW12 and RW19: what was made black is found again as solid boxes."""
+    rows = docs(spark, sf_dir)
+    out = leaks.blackened(fixtures.rasters(rows), fixtures.pixel_ranges(rows)).where("ok")
+    return leaks.solid_boxes(out).where("y > 24").select("doc_id", "page", "box", "x", "y", "w", "h")
+
+
+@query("""WITH d AS (SELECT doc_id, length(text) AS n, make_timestamp(2000 + n_chars % 30, 1 + length(text) % 12, 1 + length(text) % 28, length(text) % 24, length(text) % 60, 0) AS t, (length(text) % 5) * 60 + 30 AS off FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN n % 3 = 0 THEN strftime(t - to_minutes(off), '%Y-%m-%dT%H:%M:%S') || '.000Z' WHEN n % 3 = 1 THEN strftime(date_trunc('month', t), '%Y-%m-%dT%H:%M:%S') || '.000Z' END AS iso FROM d""")
+def iso_dates(spark, sf_dir):
+    """FN26: dates of metadata with an offset, cut short, and none."""
+    n, two = F.length("text"), lambda c: F.lpad(c.cast("string"), 2, "0")
+    month = F.concat(F.lit("D:"), (2000 + F.col("n_chars") % 30).cast("string"), two(1 + n % 12))
+    whole = F.concat(month, two(1 + n % 28), two(n % 24), two(n % 60), F.lit("00+"), two(n % 5), F.lit("'30'"))
+    return docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", iso_date(F.when(n % 3 == 0, whole).when(n % 3 == 1, month).otherwise(F.concat(month, F.lit("32")))).alias("iso"))
+
+
+@query(f"""WITH {LINES}, a AS (SELECT *, cos(radians(line_no * 7.0::DOUBLE)) AS c, sin(radians(line_no * 7.0::DOUBLE)) AS s FROM lines),
+q AS (SELECT doc_id, page, line_no, unnest([x, x + w, x, x + w]) - 300 AS px, unnest([y, y, y + 16.8::DOUBLE, y + 16.8::DOUBLE]) - 400 AS py, c, s FROM a)
+SELECT doc_id, page, line_no, round(min(300 + px * c - py * s), 6) AS rx, round(min(400 + px * s + py * c), 6) AS ry, round(max(px * c - py * s) - min(px * c - py * s), 6) AS rw, round(max(px * s + py * c) - min(px * s + py * c), 6) AS rh FROM q GROUP BY doc_id, page, line_no""")
+def turned_rects(spark, sf_dir):
+    """FN16: a line's box after a turn by seven degrees for each line above it, and its own."""
+    rows = src.lines(docs(spark, sf_dir))
+    out = g.turned_rect(F.col("x"), F.col("y"), F.col("w"), F.lit(16.8), F.lit(600.0), F.lit(800.0), F.col("line_no") * 7.0)
+    return rows.select("doc_id", "page", "line_no", *(F.round(c, 6).alias(n) for c, n in zip(out, ("rx", "ry", "rw", "rh"), strict=True)))
+
+
+@query(f"""WITH {ANN_SQL}, t AS (SELECT *, (page - 1) * 90 % 360 AS rot, line_no_of % 4 AS flip FROM (SELECT *, ann_id % 100 AS line_no_of FROM anns)),
+d AS (SELECT *, CASE rot WHEN 0 THEN x - 10 WHEN 90 THEN y - 20 WHEN 180 THEN 610 - x ELSE 820 - y END AS u, CASE rot WHEN 0 THEN 820 - y WHEN 90 THEN x - 10 WHEN 180 THEN y - 20 ELSE 610 - x END AS v,
+  CASE WHEN rot IN (0, 180) THEN 600 ELSE 800 END AS pw, CASE WHEN rot IN (0, 180) THEN 800 ELSE 600 END AS ph FROM t),
+f AS (SELECT *, CASE WHEN page % 4 IN (1, 3) THEN pw - u ELSE u END AS fu, CASE WHEN page % 4 IN (2, 3) THEN ph - v ELSE v END AS fv FROM d)
+SELECT doc_id, page, ann_id, round(fu, 6) AS x, round(ph - fv, 6) AS y FROM f WHERE type IN ('text', 'arrow')""")
+def anns_on_turned_pages(spark, sf_dir):
+    """FN18 and FN19: points of annotations on pages that are turned, mirrored and do not begin at the origin."""
+    rows = fixtures.annotations(src.lines(docs(spark, sf_dir)))
+    p = F.col("page")
+    pages = page_rows(spark, sf_dir).select("doc_id", "page", F.lit(10.0).alias("bx"), F.lit(20.0).alias("by"), F.lit(600.0).alias("bw"), F.lit(800.0).alias("bh"), "rot", (p % 4).cast("int").alias("flip"))
+    out = annots.to_turned_display(rows, pages).where("type IN ('text', 'arrow')")
+    return out.select("doc_id", "page", "ann_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(f"""SELECT doc_id, '{{' || chr(10) || '  "page_count": ' || {N_SQL} || ',' || chr(10) || '  "n_lines": ' || len(string_split(text, chr(10))) || ',' || chr(10) || '  "width": 600.0,' || chr(10) || '  "height": 800.0' || chr(10) || '}}' AS json FROM documents WHERE text IS NOT NULL""")
+def info_json_pretty(spark, sf_dir):
+    """FN8: a field a line."""
+    return text.as_pretty_json(text.info(docs(spark, sf_dir)).drop("title"))

@@ -168,3 +168,11 @@ def line_edits(docs: DataFrame) -> DataFrame:
     number = F.concat(F.lit("["), F.col("k").cast("string"), F.lit("]"))
     found = F.array_compact(F.array(edit(at, at + F.least(n, F.lit(3)), number), F.when(n > 6, edit(at + 2, at + 5, F.lit("never"))), F.when((n > 0) & (n % 4 == 0), edit(at + n - 1, at + n + 2, F.lit("|")))))
     return rows.select("doc_id", F.inline(found))
+
+
+def pixel_ranges(docs: DataFrame) -> DataFrame:
+    """(doc_id, page, px0, py0, px1, py1): a range below each raster's box, as far right and as wide as the text's length has it; of every
+    eleventh length it is not known."""
+    n = F.length("text")
+    px0 = F.when(n % 11 != 0, 20 + n % 30)
+    return docs.where("text IS NOT NULL").select("doc_id", F.lit(1).cast("bigint").alias("page"), px0.cast("bigint").alias("px0"), F.lit(34).cast("bigint").alias("py0"), (px0 + 10 + n % 20).cast("bigint").alias("px1"), F.lit(47).cast("bigint").alias("py1"))
