@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..functions.strings import expand_tokens
+from ..functions.strings import collapse, expand_tokens
 
 LINES_ = ("arrow", "line")
 #: Types that are drawn; a form field becomes a widget instead.
@@ -104,6 +104,72 @@ def draw_ops(anns: DataFrame) -> DataFrame:
     return shown.select("doc_id", "page", F.row_number().over(order).cast("bigint").alias("step"), "ann_id", "op", "b.x0", "b.y0", "b.x1", "b.y1")
 
 
+# Fixed values of what is painted: a bar's thickness and place in its box, the least thickness; an arrow head's length, its share of the
+# stroke, and half its angle; how much of a fill shows; the smallest text; where an edit's text stands in its box; a note's side,
+# folded corner and how much darker that is.
+BAR, BAR_AT, LEAST_BAR = 0.16, {"underline": 0.06, "strike": 0.45}, 1.0
+HEAD, HEAD_STROKES, HEAD_ANGLE, FILLED, LEAST_TEXT, EDIT_AT = 8.0, 4.0, 3.141592653589793 / 7, 0.35, 4.0, 0.18
+NOTE, FOLD, DARKER = 8.0, 0.34, 0.18
+REDACTED, PAPER = "#101014", "#ffffff"
+
+
+def _step(op: str, x0: Column, y0: Column, x1: Column, y1: Column, colour: Column, opacity: Column | None = None, stroke: Column | None = None, size: Column | None = None, text: Column | None = None) -> Column:
+    num = lambda c: (F.lit(None) if c is None else c).cast("double")
+    names = [("x0", x0), ("y0", y0), ("x1", x1), ("y1", y1), ("r", colour["r"]), ("g", colour["g"]), ("b", colour["b"]), ("opacity", F.lit(1.0) if opacity is None else opacity), ("stroke", stroke), ("size", size)]
+    return F.struct(F.lit(op).alias("op"), *(num(c).alias(n) for n, c in names), (F.lit(None) if text is None else text).cast("string").alias("text"))
+
+
+def paint(anns: DataFrame) -> DataFrame:
+    """(doc_id, page, step, ann_id, op, x0, y0, x1, y1, r, g, b, opacity, stroke, size, text): what is painted for each annotation, in z order.
+
+    op: fill or oval (a box), border or ring (its outline), line (between two points), text (at a point), image. Annotations have
+    colour, fill and bg as #rrggbb, opacity, width (of strokes), size and text besides their place, n for notes."""
+    x, y, w, h, x2, y2 = (F.col(c) for c in ("x", "y", "w", "h", "x2", "y2"))
+    kind, given = F.col("type"), lambda c, default: F.coalesce(F.col(c), F.lit(default))
+    colour, opacity, width = g.rgb(given("colour", "#000000")), given("opacity", 1.0), given("width", 1.0)
+    box = lambda op, c, o=None, s=None: _step(op, x, y, x + w, y + h, c, o, s)
+
+    def bar(name: str) -> Column:
+        low = y + h * BAR_AT[name]
+        return F.array(_step("fill", x, low, x + w, low + F.greatest(F.lit(LEAST_BAR), h * BAR), colour, opacity))
+
+    line = lambda ax, ay, bx, by: _step("line", ax, ay, bx, by, colour, opacity, width)
+    angle, head = F.atan2(y2 - y, x2 - x), F.greatest(F.lit(HEAD), width * HEAD_STROKES)
+    barbs = [line(x2, y2, x2 - head * F.cos(angle + t), y2 - head * F.sin(angle + t)) for t in (-HEAD_ANGLE, HEAD_ANGLE)]
+    pts = F.col("pts")
+    strokes = F.transform(F.sequence(F.lit(2), F.size(pts)), lambda k: line(F.element_at(pts, k - 1)["x"], F.element_at(pts, k - 1)["y"], F.element_at(pts, k)["x"], F.element_at(pts, k)["y"]))
+    none = F.slice(F.array(box("fill", colour)), 1, 0)
+    words, size = collapse(given("text", "")), F.greatest(F.lit(LEAST_TEXT), given("size", LEAST_TEXT))
+    said = lambda up: F.when(words != "", F.array(_step("text", x, y + up, x, y + up, colour, None, None, size, words))).otherwise(none)
+    lined = lambda fill, edge: F.concat(F.when(F.col("fill").isNotNull(), F.array(box(fill, g.rgb(F.col("fill")), opacity * FILLED))).otherwise(none), F.array(box(edge, colour, opacity, width)))
+    side = F.greatest(F.lit(NOTE), given("w", 16.0))
+    tall, fold, shade = F.coalesce(h, side), side * FOLD, F.struct(*(F.greatest(F.lit(0.0), colour[c] - DARKER).alias(c) for c in "rgb"))
+    label, white = F.col("n").cast("string"), g.rgb(F.lit(PAPER))
+    note = F.array(
+        _step("fill", x, y, x + side, y + tall, colour), _step("fill", x + side - fold, y + side - fold, x + side, y + side, shade),
+        _step("text", x + side * 0.5 - F.length(label) * 1.7, y + tall * 0.5 - 3.2, x, y, white, None, None, side * 0.5, label),
+    )
+    steps = F.when(kind == "highlight", F.array(box("fill", colour, opacity))).when(kind == "underline", bar("underline")).when(kind == "strike", bar("strike"))
+    steps = steps.when(kind == "redact", F.array(box("fill", g.rgb(given("colour", REDACTED))))).when(kind == "whiteout", F.array(box("fill", colour))).when(kind == "line", F.array(line(x, y, x2, y2)))
+    steps = steps.when(kind == "arrow", F.array(line(x, y, x2, y2), *barbs)).when(kind == "rect", lined("fill", "border")).when(kind == "ellipse", lined("oval", "ring")).when((kind == "ink") & (F.size(pts) > 1), strokes)
+    steps = steps.when(kind == "text", said(F.lit(0.0))).when(kind == "edit", F.concat(F.array(box("fill", g.rgb(given("bg", PAPER)))), said(h * EDIT_AT))).when(kind == "note", note).when(kind.isin("image", "signature"), F.array(box("image", colour))).otherwise(none)
+    wanted = {"colour": "string", "fill": "string", "bg": "string", "opacity": "double", "width": "double", "size": "double", "text": "string", "n": "int"}
+    rows = anns.withColumns({c: F.lit(None).cast(t) for c, t in wanted.items() if c not in anns.columns}).select("*", F.posexplode(steps).alias("_k", "_step"))
+    order = Window.partitionBy("doc_id", "page").orderBy("z", "ann_id", "_k")
+    return rows.select("doc_id", "page", F.row_number().over(order).cast("bigint").alias("step"), "ann_id", "_step.*")
+
+
+def fields_on_pages(fields: DataFrame, widgets: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, name, kind, value, page, x, y, w, h): fields (doc_id, field, name, kind, value) that can be filled in, with the place of each
+    of their widgets (doc_id, field, page, x0, y0, x1, y1) within its page's box (bx, by); the first page where none is named. Fields of
+    other kinds, and widgets without a place, are left out."""
+    own = fields.where(F.col("kind").isin("text", "checkbox", "radio", "dropdown"))
+    known = widgets.where("x0 IS NOT NULL AND y0 IS NOT NULL AND x1 IS NOT NULL AND y1 IS NOT NULL").withColumn("page", F.coalesce("page", F.lit(1).cast("bigint")))
+    rows = own.join(known, ["doc_id", "field"]).join(pages.select("doc_id", "page", "bx", "by"), ["doc_id", "page"])
+    x, y = F.least("x0", "x1"), F.least("y0", "y1")
+    return rows.select("doc_id", "name", "kind", "value", "page", (x - F.col("bx")).alias("x"), (y - F.col("by")).alias("y"), F.abs(F.col("x1") - F.col("x0")).alias("w"), F.abs(F.col("y1") - F.col("y0")).alias("h"))
+
+
 def stamps(pages: DataFrame, template: str, date: str, start: int = 1, skip_first: bool = False) -> DataFrame:
     """(doc_id, page, stamp): the text stamped on each page; numbers go from `start`, over the pages in order."""
     n = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))

@@ -169,3 +169,61 @@ def anns_on_turned_pages(spark, sf_dir):
 def info_json_pretty(spark, sf_dir):
     """FN8: a field a line."""
     return text.as_pretty_json(text.info(docs(spark, sf_dir)).drop("title"))
+
+
+@query(f"""WITH {PAGES}, f AS (SELECT doc_id, substr(string_agg('[page ' || page || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY page), 1, 50000) AS t FROM pages GROUP BY doc_id)
+SELECT doc_id, '{text.UNTRUSTED}' || chr(10) || '<document-text>' || chr(10) || t || chr(10) || '</document-text>' AS text FROM f""")
+def delimited_text(spark, sf_dir):
+    """PRJ5: capped text between marks that say it is data."""
+    return text.delimited(text.framed(docs(spark, sf_dir), "[page {}]", 50_000))
+
+
+@query("""SELECT doc_id, CAST(greatest(1, floor((n_chars + 1)::DOUBLE * least(3.0::DOUBLE, 1500.0::DOUBLE / greatest(n_chars + 1, 700)))) AS INTEGER) AS w, CAST(greatest(1, floor(700.0::DOUBLE * least(3.0::DOUBLE, 1500.0::DOUBLE / greatest(n_chars + 1, 700)))) AS INTEGER) AS h, 0.7::DOUBLE AS quality,
+  CASE WHEN n_chars > 0 THEN round(length(text)::DOUBLE / 2 / n_chars, 9) ELSE 1.0::DOUBLE END AS ratio FROM documents WHERE text IS NOT NULL""")
+def compression_plans(spark, sf_dir):
+    """SNK9: a preset's pixels for a page, and what is left of the size."""
+    rows = docs(spark, sf_dir).where("text IS NOT NULL")
+    w, h, quality = files.compressed_size((F.col("n_chars") + 1).cast("double"), F.lit(700.0), "medium")
+    return rows.select("doc_id", w.alias("w"), h.alias("h"), quality.alias("quality"), F.round(files.saved(F.col("n_chars"), F.length("text") / 2), 9).alias("ratio"))
+
+
+@query("""SELECT doc_id, CAST(n_chars AS INTEGER) AS width, CAST(length(text) AS INTEGER) AS height FROM documents WHERE text IS NOT NULL AND doc_id % 3 = 0
+UNION ALL SELECT doc_id, CAST(n_chars % 65536 AS INTEGER), CAST(length(text) % 65536 AS INTEGER) FROM documents WHERE text IS NOT NULL AND doc_id % 3 = 1 UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE text IS NOT NULL AND doc_id % 3 = 2""")
+def image_sizes(spark, sf_dir):
+    """SRC7: sizes from the headers of PNG and JPEG files, none from others."""
+    return fixtures.image_files(docs(spark, sf_dir)).select("doc_id", files.image_size(F.col("content")).alias("s")).select("doc_id", "s.width", "s.height")
+
+
+@query(f"""WITH {ANN_SQL}, c AS (SELECT *, (ann_id % 7) / 10.0::DOUBLE AS opacity, 1.0::DOUBLE + page % 3 AS width, atan2(y2 - y, x2 - x) AS t FROM anns WHERE type <> 'formfield'),
+h AS (SELECT *, greatest(8.0::DOUBLE, width * 4) AS head FROM c),
+s AS (SELECT doc_id, page, ann_id, z, 0 AS k, 'fill' AS op, x AS x0, y AS y0, x + w AS x1, y + h AS y1, opacity, NULL::DOUBLE AS stroke, NULL::DOUBLE AS size, NULL AS text FROM h WHERE type = 'highlight'
+  UNION ALL SELECT doc_id, page, ann_id, z, 0, 'line', x, y, x2, y2, opacity, width, NULL, NULL FROM h WHERE type = 'arrow'
+  UNION ALL SELECT doc_id, page, ann_id, z, 1, 'line', x2, y2, x2 - head * cos(t - pi() / 7), y2 - head * sin(t - pi() / 7), opacity, width, NULL, NULL FROM h WHERE type = 'arrow'
+  UNION ALL SELECT doc_id, page, ann_id, z, 2, 'line', x2, y2, x2 - head * cos(t + pi() / 7), y2 - head * sin(t + pi() / 7), opacity, width, NULL, NULL FROM h WHERE type = 'arrow'
+  UNION ALL SELECT doc_id, page, ann_id, z, 0, 'line', x, y, x + 9, y + 4, opacity, width, NULL, NULL FROM h WHERE type = 'ink' UNION ALL SELECT doc_id, page, ann_id, z, 1, 'line', x + 9, y + 4, x - 1, y + 2, opacity, width, NULL, NULL FROM h WHERE type = 'ink'
+  UNION ALL SELECT doc_id, page, ann_id, z, 0, 'text', x, y, x, y, 1.0, NULL, 4.0::DOUBLE + page, 'note ' || ann_id FROM h WHERE type = 'text')
+SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY z, ann_id, k) AS step, ann_id, op, x0, y0, round(x1, 6) AS x1, round(y1, 6) AS y1, 1.0::DOUBLE AS r, round((ann_id % 256)::DOUBLE / 255, 9) AS g, 0.0::DOUBLE AS b, opacity, stroke, size, text FROM s""")
+def paint_steps(spark, sf_dir):
+    """RW25: what is painted for each annotation, with colour, opacity, stroke and text."""
+    anns = fixtures.annotations(src.lines(docs(spark, sf_dir)))
+    n = F.col("ann_id")
+    styled = anns.withColumns({
+        "colour": F.concat(F.lit("#ff"), F.lpad(F.lower(F.hex(n % 256)), 2, "0"), F.lit("00")), "opacity": n % 7 / F.lit(10.0), "width": 1.0 + F.col("page") % 3, "size": F.col("page") + 4.0, "text": F.concat(F.lit(" note  "), n.cast("string")),
+    })
+    rounded = {c: F.round(c, 6) for c in ("x1", "y1")} | {"g": F.round("g", 9)}
+    return annots.paint(styled).withColumns(rounded)
+
+
+@query(f"""WITH {LINES} SELECT doc_id, 'f' || line_no AS name, CASE line_no % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'checkbox' ELSE 'dropdown' END AS kind, text AS value, CASE WHEN line_no % 7 = 0 THEN 1 ELSE page END AS page,
+  x - 10 AS x, y - 23 AS y, w, 14.0::DOUBLE AS h FROM lines WHERE line_no % 4 <> 3 AND line_no % 13 <> 0""")
+def listed_fields(spark, sf_dir):
+    """SRC10: fields that can be filled in, with their pages and places within the page's box; those of no page are on the first."""
+    rows = src.lines(docs(spark, sf_dir))
+    k = F.col("line_no")
+    kind = F.when(k % 4 == 0, "text").when(k % 4 == 1, "checkbox").when(k % 4 == 2, "dropdown").otherwise("signature")
+    key = F.col("page") * 100 + k
+    fields = rows.select("doc_id", key.alias("field"), F.concat(F.lit("f"), k.cast("string")).alias("name"), kind.alias("kind"), F.col("text").alias("value"))
+    left = F.when(k % 13 != 0, F.col("x"))
+    widgets = rows.select("doc_id", key.alias("field"), F.when(k % 7 != 0, F.col("page")).alias("page"), (F.col("x") + F.col("w")).alias("x0"), (F.col("y") - 3).alias("y0"), left.alias("x1"), (F.col("y") + 11).alias("y1"))
+    pages = page_rows(spark, sf_dir).select("doc_id", "page", F.lit(10.0).alias("bx"), F.lit(20.0).alias("by"))
+    return annots.fields_on_pages(fields, widgets, pages)

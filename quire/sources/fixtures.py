@@ -176,3 +176,12 @@ def pixel_ranges(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     px0 = F.when(n % 11 != 0, 20 + n % 30)
     return docs.where("text IS NOT NULL").select("doc_id", F.lit(1).cast("bigint").alias("page"), px0.cast("bigint").alias("px0"), F.lit(34).cast("bigint").alias("py0"), (px0 + 10 + n % 20).cast("bigint").alias("px1"), F.lit(47).cast("bigint").alias("py1"))
+
+
+def image_files(docs: DataFrame) -> DataFrame:
+    """(doc_id, content): heads of PNG and JPEG files whose sizes follow from the text's, the latter behind two other segments, and texts."""
+    n, four, two = F.length("text"), lambda c: F.lpad(F.hex(c), 8, "0"), lambda c: F.lpad(F.hex(c % 65536), 4, "0")
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), four(F.col("n_chars")), four(n), F.lit("0806000000"))
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFDB0004ABCDFFC0001108"), two(n), two(F.col("n_chars")), F.lit("03012200"))
+    content = F.when(F.col("doc_id") % 3 == 0, F.unhex(png)).when(F.col("doc_id") % 3 == 1, F.unhex(jpeg)).otherwise(F.encode("text", "UTF-8"))
+    return docs.where("text IS NOT NULL").select("doc_id", content.alias("content"))
