@@ -9,7 +9,7 @@ The classifier learns from the rows of labels whose documents are among the inpu
 Defined results: null and empty texts pass the first stage, are copies of each other in the second (one stays), lose nothing in
 the third and are taken 0 times in the fourth; rows with one doc_id and different texts are different documents, equal
 rows are copies of each other; a null doc_id is an id like any other, first in order; further columns of documents go through to
-the last stage's input; empty tables give no rows. A stage's folder goes once the next stage is written.
+the last stage's input; empty tables give no rows. A stage's folder, and what it has checkpointed, go once the next stage is written.
 """
 
 from __future__ import annotations
@@ -62,14 +62,18 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over sf_dir's documents, each written to the shared folder and read again by the next."""
     checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    shared = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(shared).getFileSystem(spark._jsc.hadoopConfiguration())
+    held = lambda: {f.getPath().toString() for f in files.globStatus(path(f"{shared}/rdd-*")) or ()}
     docs, before = read(spark, sf_dir, "documents"), ""
     for name, stage in STAGES:
+        kept = held()
         docs = stage(spark, docs, sf_dir)
         docs.write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-        if before:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{before}")
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for done in [f"{folder}/{before}"] * bool(before) + sorted(held() - kept):  # nothing is read from these any more
+            files.delete(path(done), True)
         before = name
     return docs

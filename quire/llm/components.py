@@ -1,4 +1,7 @@
-"""Connected components of an edge table, by minimum labels and pointer jumping; nothing is collected."""
+"""Connected components of an edge table, by minimum labels and pointer jumping; nothing is collected.
+
+Defined results: repeated edges, loops and edges in either direction count once or not at all; a vertex whose only edges are loops has
+no row; an empty table gives none; vertices are longs and not null; further columns are not read."""
 
 from __future__ import annotations
 

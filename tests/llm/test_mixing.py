@@ -56,3 +56,10 @@ def test_rows(spark):
 def test_sql(spark):
     sf = "/root/testdata/sf0.001"
     assert_same(QUERIES["op4_source_mix"](spark, sf), ORACLE_SQL["op4_source_mix"], sf)
+
+
+def test_thousands_of_sources(spark):
+    df = spark.range(0, 12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 4000).cast("string")).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 9).cast("int")).alias("text"))
+    got = mixing.taken(df)
+    total = got.agg(F.sum("size"), F.sum("taken"), F.count_if(F.col("taken") > 3 * F.col("size"))).first()
+    assert got.count() == 12_000 and total[2] == 0 and abs(total[1] - total[0]) < 0.1 * total[0]

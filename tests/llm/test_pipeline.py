@@ -60,3 +60,25 @@ def test_odd_rows_go_through_all_stages(spark, tmp_path):
     assert counts[:3] == [7, 4, 4]  # the long text, the other of its id, one of the empty ones, the short one
     out = cp.run(spark, str(tmp_path))
     assert out.count() == counts[3] and {"doc_id", "n_tokens"} <= set(out.columns)
+
+
+def test_long_texts_and_checkpoints(spark, tmp_path):
+    """A text of a million words goes through; nothing but the last stage's folder is left of a run."""
+    import os
+
+    words = " ".join(f"w{k % 5003}x{k % 97}" for k in range(300_000))
+    rows = [(1, words, "a"), (2, "some other text that is short", "a"), (3, "and a third one of another source", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en")).withColumn("n_chars", F.length("text").cast("long"))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2, 0), (3, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = df
+    for _, stage in cp.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert docs.where("doc_id = 1").first().text == words
+    cp.checkpoint_dir(spark)
+    shared = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    before = set(os.listdir(shared))
+    out = cp.run(spark, str(tmp_path))
+    assert out.count() >= 1
+    (left,) = set(os.listdir(shared)) - before
+    assert left.startswith("pipeline-") and os.listdir(f"{shared}/{left}") == [cp.STAGES[-1][0]]
