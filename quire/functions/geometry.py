@@ -91,12 +91,16 @@ def rgb(colour: Column) -> Column:
     return F.struct(part(2).alias("r"), part(4).alias("g"), part(6).alias("b"))
 
 
+#: The shares of a run's height and length that count as covered, at least (fixed values).
+LEAST_BAND, LEAST_SHARE = 0.45, 0.02
+
+
 def _extent(middle: Column, half: Column, length: Column) -> tuple[Column, Column]:
     """The part of [0, length] within half of the middle."""
     return F.greatest(F.lit(0.0), middle - half), F.least(length, middle + half)
 
 
-def covered(text: Column, x: Column, y: Column, dx: Column, dy: Column, height: Column, bx: Column, by: Column, bw: Column, bh: Column, least_band: float = 0.45, least_share: float = 0.02) -> Column:
+def covered(text: Column, x: Column, y: Column, dx: Column, dy: Column, height: Column, bx: Column, by: Column, bw: Column, bh: Column, least_band: float = LEAST_BAND, least_share: float = LEAST_SHARE) -> Column:
     """What a box covers of a text run: struct(start, end, frac, rect), null if too little.
 
     A box reaches as far from its middle along any direction as half its sides' shares in that direction; so its extent along the run

@@ -189,6 +189,56 @@ def verdicts(pages: DataFrame, boxes: DataFrame, found: DataFrame) -> DataFrame:
     return out.withColumn("verdict", F.when(F.col("leaked") > 0, "leaks").when(F.col("boxes") > 0, "clean").otherwise("no-boxes"))
 
 
+def _under(run: dict, box: tuple) -> tuple[int, int, float, tuple[float, float, float, float]] | None:
+    """geometry.covered for one run and one box: (start, end, frac, rectangle), None if too little is covered."""
+    n, height, chars = math.hypot(run["dx"], run["dy"]), run["height"], len(run["text"])
+    if n <= 0 or height <= 0:
+        return None
+    c, s = run["dx"] / n, run["dy"] / n
+    bx, by, bw, bh = box[:4]
+    mx, my = bx + bw / 2 - run["x"], by + bh / 2 - run["y"]
+    along, across = mx * c + my * s, my * c - mx * s
+    half, thick = (abs(c) * bw + abs(s) * bh) / 2, (abs(s) * bw + abs(c) * bh) / 2
+    a0, a1 = max(0.0, along - half), min(n, along + half)
+    t0, t1 = max(0.0, across - thick), min(height, across + thick)
+    first, last = math.floor(chars * a0 / n), min(chars, math.ceil(chars * a1 / n))
+    if not (a1 > a0 and t1 > t0 and t1 - t0 >= height * g.LEAST_BAND and a1 - a0 >= n * g.LEAST_SHARE and last > first):
+        return None
+    long, middle = a1 - a0, (a0 + a1) / 2
+    rw, rh = abs(c) * long + abs(s) * height, abs(s) * long + abs(c) * height
+    px, py = run["x"] + c * middle - s * height / 2, run["y"] + s * middle + c * height / 2
+    return first, last, long / n, (px - rw / 2, py - rh / 2, rw, rh)
+
+
+def analysed(rasters: DataFrame, runs: DataFrame) -> DataFrame:
+    """(doc_id, page, boxes, leaks): how many solid boxes each page's raster has, and what leaks' rows are, as structs (seq, box, text, frac,
+    luma). A raster is read once; its runs come to it."""
+    kind = "doc_id bigint, page bigint, boxes bigint, leaks array<struct<seq:bigint,box:int,text:string,frac:double,luma:double>>"
+    said = runs.where(F.trim("text") != "").groupBy("doc_id", "page").agg(F.collect_list(F.struct("seq", "text", "x", "y", "dx", "dy", "height")).alias("runs"))
+    item = pa.struct([("seq", pa.int64()), ("box", pa.int32()), ("text", pa.string()), ("frac", pa.float64()), ("luma", pa.float64())])
+
+    def of(width: int, height: int, data: bytes, runs: list[dict]) -> tuple[int, list[dict]]:
+        boxes = boxes_of(width, height, data)
+        hits = [(r, k, got) for k, b in enumerate(boxes) for r in runs if (got := _under(r, b)) and r["text"][got[0] : got[1]].strip(" ")]
+        light = Luminance(width, height, data) if hits else None
+        rows = [{"seq": r["seq"], "box": k, "text": r["text"][a:b].strip(" "), "frac": frac, "luma": light.mean(*rect)} for r, k, (a, b, frac, rect) in hits]
+        return len(boxes), [r for r in rows if r["luma"] <= HIDDEN]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [of(*(batch.column(c)[k].as_py() for c in (2, 3, 4)), batch.column(5)[k].as_py() or []) for k in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([rows for _, rows in found], pa.list_(item))], names=["doc_id", "page", "boxes", "leaks"])
+
+    return rasters.join(said, ["doc_id", "page"], "left").select(*RASTERS.fieldNames(), "runs").mapInArrow(run, kind)
+
+
+def judged(pages: DataFrame) -> DataFrame:
+    """verdicts' rows from analysed ones."""
+    n = F.size("leaks")
+    out = pages.groupBy("doc_id").agg(F.sum("boxes").alias("boxes"), F.sum(n).cast("bigint").alias("leaked"), F.array_join(F.array_sort(F.collect_set(F.when(n > 0, F.col("page")))), ",").alias("pages_with_leaks"))
+    return out.withColumn("verdict", F.when(F.col("leaked") > 0, "leaks").when(F.col("boxes") > 0, "clean").otherwise("no-boxes"))
+
+
 def text_runs(items: DataFrame, viewport, scale: float) -> DataFrame:
     """Text items (doc_id, page, seq, str, transform, width) as device runs under a page's viewport matrix.
 

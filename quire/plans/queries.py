@@ -623,9 +623,8 @@ def find_leaks(spark, sf_dir):
   CASE WHEN doc_id % 4 = 0 THEN 'no-boxes' WHEN doc_id % 3 <> 0 THEN 'leaks' ELSE 'clean' END AS verdict FROM documents WHERE text IS NOT NULL""")
 def leak_verdict(spark, sf_dir):
     """AGG2, AGG3 and RW21: every third document has light text on its box, which is no leak."""
-    rasters = fixtures.rasters(docs(spark, sf_dir))
-    boxes = leaks.solid_boxes(rasters)
-    return leaks.verdicts(rasters, boxes, leaks.leaks(fixtures.raster_runs(docs(spark, sf_dir)), boxes, rasters))
+    rows = docs(spark, sf_dir)
+    return leaks.judged(leaks.analysed(fixtures.rasters(rows), fixtures.raster_runs(rows)))
 
 
 def _anns(spark, sf_dir):

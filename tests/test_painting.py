@@ -9,7 +9,7 @@ from quire.functions import geometry as g
 from quire.functions.strings import iso_date
 from quire.operators import annots, leaks, text
 from quire.schema import RASTERS
-from quire.sources import files
+from quire.sources import files, fixtures
 
 ANN = "doc_id long, page long, ann_id long, z int, type string, x double, y double, w double, h double, x2 double, y2 double, pts array<struct<x:double,y:double>>, colour string, fill string, bg string, opacity double, width double, size double, text string, n int"
 
@@ -78,3 +78,17 @@ def test_blackened(spark):
     data = bytes(got[1].data)
     black = {(k % 20, k // 20) for k in range(200) if data[4 * k : 4 * k + 4] == b"\0\0\0\xff"}
     assert black == {(x, y) for x in range(4, 9) for y in range(1, 5)} | {(x, y) for x in range(17, 20) for y in range(7, 10)}
+
+
+def test_one_look_at_a_raster_finds_the_same(spark):
+    """Boxes, leaks and verdicts of the separate steps and of the single pass."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rasters, runs = fixtures.rasters(docs), fixtures.raster_runs(docs)
+    turned = runs.withColumns({"dx": F.when(F.col("doc_id") % 5 == 1, 3.0).otherwise(F.col("dx")), "dy": F.when(F.col("doc_id") % 5 == 1, 8.0).otherwise(F.col("dy"))})
+    boxes = leaks.solid_boxes(rasters)
+    steps = leaks.leaks(turned, boxes, rasters)
+    pages = leaks.analysed(rasters, turned)
+    flat = pages.select("doc_id", "page", F.inline("leaks"))
+    key = lambda df: sorted((r.doc_id, r.page, r.seq, r.box, r.text, round(r.frac, 9), round(r.luma, 6)) for r in df.collect())
+    assert key(flat) == key(steps) != []
+    assert sorted(map(str, leaks.judged(pages).collect())) == sorted(map(str, leaks.verdicts(rasters, boxes, steps).collect()))
