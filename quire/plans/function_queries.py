@@ -12,28 +12,25 @@ from ..sources import files, fixtures
 from ..sources import text_documents as src
 from .queries import ANN_SQL, COVER_SQL, LINES, N_SQL, PAGES, RECTS, WORDS_SQL, docs, page_rows, query
 
-THIRD = "doc_id % 3"
-
-
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN 'x' WHEN 2 THEN '2-' END AS bad FROM documents")
+@query(r"""SELECT doc_id, list_filter(string_split('1-3,' || substr(text, 1, 3) || ',' || n_chars % 100, ','), lambda p: NOT regexp_matches(p, '^\s*(\d+)\s*(?:-\s*(\d+)\s*)?$'))[1] AS bad FROM documents WHERE text IS NOT NULL""")
 def bad_ranges(spark, sf_dir):
-    """SEL2: the part that a strict caller refuses."""
-    spec = F.when(F.expr(f"{THIRD} = 0"), "1-3, 5").when(F.expr(f"{THIRD} = 1"), "1,x,y").otherwise("1,2-,3")
-    return docs(spark, sf_dir).select("doc_id", bad_part(spec).alias("bad"))
+    """SEL2: the part that a strict caller refuses, here what texts begin with."""
+    spec = F.concat(F.lit("1-3,"), F.substring("text", 1, 3), F.lit(","), (F.col("n_chars") % 100).cast("string"))
+    return docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", bad_part(spec).alias("bad"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 + 1 >= 3 THEN '0,1,2' WHEN doc_id % 3 + 1 = 2 THEN '0,1' ELSE '0' END AS listed FROM documents")
+@query("SELECT doc_id, CASE length(text) % 3 WHEN 2 THEN '0,1,2' WHEN 1 THEN '0,1' ELSE '0' END AS listed FROM documents WHERE text IS NOT NULL")
 def strict_range_lists(spark, sf_dir):
     """SEL3: sorted and distinct, clipped to the document."""
-    return docs(spark, sf_dir).select("doc_id", F.array_join(strict_ranges(F.lit("3-1, 2"), F.col("doc_id") % 3 + 1), ",").alias("listed"))
+    return docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.array_join(strict_ranges(F.lit("3-1, 2"), F.length("text") % 3 + 1), ",").alias("listed"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 9 END AS page, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE -1.5::DOUBLE END AS x, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id::DOUBLE END AS w FROM documents")
+@query("SELECT doc_id, CASE WHEN n_chars % 3 <> 0 THEN length(text) % 9 END AS page, CASE WHEN n_chars % 3 <> 0 THEN -1.5::DOUBLE END AS x, CASE WHEN n_chars % 3 <> 0 THEN n_chars::DOUBLE END AS w FROM documents WHERE text IS NOT NULL")
 def rect_specs(spark, sf_dir):
-    """SEL5."""
-    spec = F.concat((F.col("doc_id") % 9).cast("string"), F.when(F.expr(f"{THIRD} = 0"), ":1,2").otherwise(F.concat(F.lit(": -1.5, 2,"), F.col("doc_id").cast("string"), F.lit(",4"))))
+    """SEL5: pages and widths from the texts' lengths; of every third length a number is missing."""
+    spec = F.concat((F.length("text") % 9).cast("string"), F.when(F.col("n_chars") % 3 == 0, ":1,2").otherwise(F.concat(F.lit(": -1.5, 2,"), F.col("n_chars").cast("string"), F.lit(",4"))))
     r = parse_rect(spec)
-    return docs(spark, sf_dir).select("doc_id", r["page"].alias("page"), r["x"].alias("x"), r["w"].alias("w"))
+    return docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", r["page"].alias("page"), r["x"].alias("x"), r["w"].alias("w"))
 
 
 @query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
@@ -58,10 +55,11 @@ def image_pages(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.round(w, 6).alias("w"), F.round(h, 6).alias("h"))
 
 
-@query("SELECT doc_id, 'a_b-' || doc_id || '_c.pdf' AS name FROM documents")
+@query("SELECT doc_id, regexp_replace(substr(text, 1, 24) || '(*)-' || doc_id || '.pdf', '[^A-Za-z0-9_.\\-]+', '_', 'g') AS name FROM documents WHERE text IS NOT NULL")
 def safe_names(spark, sf_dir):
-    """FN5."""
-    return docs(spark, sf_dir).select("doc_id", file_name(F.concat(F.lit("a /b-"), F.col("doc_id").cast("string"), F.lit("(*)c.pdf"))).alias("name"))
+    """FN5: names from what texts begin with."""
+    name = F.concat(F.substring("text", 1, 24), F.lit("(*)-"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    return docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", file_name(name).alias("name"))
 
 
 @query(f"WITH {LINES} SELECT doc_id, page, line_no, hex(encode(text)) AS utf8, CAST(length(text) * 2 AS BIGINT) AS utf16, CASE WHEN regexp_matches(text, '^[\\x00-\\xff]*$') THEN CAST(length(text) AS BIGINT) END AS latin1 FROM lines WHERE NOT regexp_matches(text, '[^\\x00-\\x{{ffff}}]')")
@@ -73,11 +71,11 @@ def byte_forms(spark, sf_dir):
     return rows.select("doc_id", "page", "line_no", F.decode(form["hex"], "UTF-8").alias("utf8"), size(form["utf16le"]).alias("utf16"), size(form["latin1"]).alias("latin1"))
 
 
-@query("SELECT doc_id, round((doc_id % 256)::DOUBLE / 255, 9) AS r, 1.0::DOUBLE AS g, 0.0::DOUBLE AS b, round(0.2126::DOUBLE * ((doc_id % 256)::DOUBLE / 255) + 0.7152::DOUBLE, 9) AS luma FROM documents")
+@query("SELECT doc_id, round((length(text) % 256)::DOUBLE / 255, 9) AS r, 1.0::DOUBLE AS g, 0.0::DOUBLE AS b, round(0.2126::DOUBLE * ((length(text) % 256)::DOUBLE / 255) + 0.7152::DOUBLE, 9) AS luma FROM documents WHERE text IS NOT NULL")
 def colours(spark, sf_dir):
     """FN23."""
-    c = g.rgb(F.concat(F.lit("#"), F.lpad(F.lower(F.hex(F.col("doc_id") % 256)), 2, "0"), F.lit("ff00")))
-    return docs(spark, sf_dir).select("doc_id", F.round(c["r"], 9).alias("r"), c["g"].alias("g"), c["b"].alias("b"), F.round(g.luminance(c["r"], c["g"], c["b"]), 9).alias("luma"))
+    c = g.rgb(F.concat(F.lit("#"), F.lpad(F.lower(F.hex(F.length("text") % 256)), 2, "0"), F.lit("ff00")))
+    return docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.round(c["r"], 9).alias("r"), c["g"].alias("g"), c["b"].alias("b"), F.round(g.luminance(c["r"], c["g"], c["b"]), 9).alias("luma"))
 
 
 @query(f"WITH {COVER_SQL} SELECT DISTINCT doc_id, trim(text, ' ') AS covered FROM marked WHERE coverage <> 'none' AND trim(text, ' ') <> ''")

@@ -167,18 +167,18 @@ def rebuild_clean(spark, sf_dir):
     return objects.rebuilt(rows, refs, rows.where("node = 0"))
 
 
-@query(f"WITH {LINES} SELECT doc_id, page, line_no, CASE line_no % 3 WHEN 0 THEN 'Helvetica' WHEN 1 THEN 'Times' END AS base_font, line_no % 3 = 2 AS undecodable FROM lines")
+@query(f"WITH {LINES} SELECT doc_id, page, line_no, CASE length(text) % 3 WHEN 0 THEN 'Helvetica' WHEN 1 THEN 'Times' END AS base_font, length(text) % 3 = 2 AS undecodable FROM lines")
 def segment_fonts(spark, sf_dir):
     """Fonts by name, with or without a slash; a miss is text that cannot be decoded."""
-    name = F.concat(F.when(F.col("line_no") % 2 == 0, "/F").otherwise("F"), (F.col("line_no") % 3).cast("string"))
+    name = F.concat(F.when(F.col("line_no") % 2 == 0, "/F").otherwise("F"), (F.length("text") % 3).cast("string"))
     fonts = page_rows(spark, sf_dir).select("doc_id", "page", F.inline(F.array(F.struct(F.lit("F0").alias("name"), F.lit("Helvetica").alias("base_font")), F.struct(F.lit("/F1").alias("name"), F.lit("Times").alias("base_font")))))
     return objects.fonts_of(src.lines(docs(spark, sf_dir)).select("doc_id", "page", "line_no", name.alias("font")), fonts).drop("font")
 
 
-@query(f"WITH {LINES} SELECT doc_id, page, line_no, CASE line_no % 3 WHEN 0 THEN 'reference' WHEN 1 THEN 'direct' ELSE 'ignored' END AS outcome FROM lines")
+@query(f"WITH {LINES} SELECT doc_id, page, line_no, CASE length(text) % 3 WHEN 0 THEN 'reference' WHEN 1 THEN 'direct' ELSE 'ignored' END AS outcome FROM lines")
 def use_targets(spark, sf_dir):
     """Three outcomes of a name."""
-    uses = src.lines(docs(spark, sf_dir)).select("doc_id", "page", "line_no", F.concat(F.lit("X"), (F.col("line_no") % 3).cast("string")).alias("name"))
+    uses = src.lines(docs(spark, sf_dir)).select("doc_id", "page", "line_no", F.concat(F.lit("X"), (F.length("text") % 3).cast("string")).alias("name"))
     resources = page_rows(spark, sf_dir).select("doc_id", "page", F.inline(F.array(F.struct(F.lit("X0").alias("name"), F.lit("5 0 R").alias("ref")), F.struct(F.lit("X1").alias("name"), F.lit(None).cast("string").alias("ref")))))
     return objects.targets(uses, resources).select("doc_id", "page", "line_no", "outcome")
 
@@ -197,11 +197,12 @@ def best_lines(spark, sf_dir):
     return objects.best_lines(hits, rows).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {PAGES} SELECT doc_id, page, page % 2 = 0 AS has_images, true AS has_forms, page % 3 = 0 AS has_patterns, false AS has_inline_images FROM pages")
+@query(f"WITH {PAGES} SELECT doc_id, page, contains(text, 'z') AS has_images, true AS has_forms, contains(text, 'q') AS has_patterns, contains(text, 'x') AS has_inline_images FROM pages")
 def page_features(spark, sf_dir):
-    """PRD8."""
-    kinds = F.array_compact(F.array(F.lit("form"), F.when(F.col("page") % 2 == 0, "image"), F.when(F.col("page") % 3 == 0, "pattern")))
-    return objects.features(page_rows(spark, sf_dir).select("doc_id", "page", F.explode(kinds).alias("kind")))
+    """PRD8: what a page's content uses, here told by letters in its text."""
+    has = lambda c, kind: F.when(F.contains("text", F.lit(c)), kind)
+    kinds = F.array_compact(F.array(F.lit("form"), has("z", "image"), has("q", "pattern"), has("x", "inline")))
+    return objects.features(src.page_texts(docs(spark, sf_dir)).select("doc_id", "page", F.explode(kinds).alias("kind")))
 
 
 EXPORT_SQL = f"""{LINES}, a AS (
