@@ -47,6 +47,13 @@ def test_tokenizers_that_keep_white_space(spark, name):
     assert [got[i] for i in range(len(texts))] == by_library(texts, path)
 
 
+def test_normalised_content(spark):
+    blanks = "".join(map(chr, token_counts.WHITE_SPACE))
+    texts = ["a b", " a  b\n", "a\tb", "a \u2003 b", f"{blanks}a{blanks}b{blanks}", "a\u00a0b", "a\n\n b"]
+    df = spark.createDataFrame([(t,) for t in [*texts, "ab", "", None, " \n"]], "t string")
+    assert [r.n for r in df.select(token_counts.normalised(F.col("t"), PATH).alias("n")).collect()] == ["a b"] * len(texts) + ["ab", "", "", ""]
+
+
 def test_rows_and_columns(spark):
     rows = [(1, "a b", "x"), (1, "a b", "x"), (1, "a  b ", "x"), (1, "c", "x"), (None, "c", "x"), (None, None, "x"), (2, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, digest string").withColumn("n_tokens", F.lit("z"))
