@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from oracle import assert_same
 
 from quire.llm import imatch
