@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,35 @@ def checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder)
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Gives what is free within this process back to the system: a worker outlives its tasks, and would else stay as large as
+    the largest of them made it while other stages run beside it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_LIBC, "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
+#: What a worker process keeps from task to task, by the use it is for.
+_KEPT: dict[str, Any] = {}
+
+
+def kept(use: str, make: Callable[[], Any] = dict) -> Any:
+    """What this process keeps for a use; what it kept for another one goes, so that the stages of a pipeline do not add up."""
+    got = _KEPT.get(use)
+    if got is None:
+        _KEPT.clear()
+        release()
+        got = _KEPT[use] = make()
+    return got
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts record batches so that each holds about `limit` bytes of the column (at least one row)."""
+    """Cuts record batches so that each holds about `limit` bytes of the column (at least one row). At both ends free memory is
+    released."""
+    release()
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
         n = len(col)
@@ -48,6 +77,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         for a, b in zip(starts, [*starts[1:], n], strict=True):
             yield batch.slice(a, b - a)
+    release()
 
 
 class HashCache(dict):
@@ -62,8 +92,9 @@ class HashCache(dict):
         return h
 
 
-#: A worker process keeps one for all operators, since it outlives their stages.
-HASHES = HashCache()
+def word_hashes() -> HashCache:
+    """The process's cache, one for all operators that hash words."""
+    return kept("hashes", HashCache)
 
 
 def mix(z: np.ndarray) -> np.ndarray:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .common import HASHES, U64, checkpoint_dir, grams, many_to_one, mix, numbered, signed, slices
+from .common import U64, checkpoint_dir, grams, many_to_one, mix, numbered, signed, slices, word_hashes
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -53,7 +53,7 @@ BLOCK, BLOCK_SHINGLES, LEADERS = 2048, 2_000_000, 4
 def shingles(text: str | None) -> np.ndarray:
     """Hashes of all shingles of a text, repeats included."""
     words = (text or "").lower().encode("utf-8", "surrogatepass").split()
-    h = np.fromiter(map(HASHES.__getitem__, words), U64, len(words))
+    h = np.fromiter(map(word_hashes().__getitem__, words), U64, len(words))
     return grams(h, min(SHINGLE, len(h))) if len(h) else h
 
 

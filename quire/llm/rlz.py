@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASHES, U64, checkpoint_dir, grams, many_to_one, mix, numbered, signed, slices
+from .common import U64, checkpoint_dir, grams, many_to_one, mix, numbered, signed, slices, word_hashes
 
 WIDTH, GRAM = 20, 6
 #: Different segments of a block that are compared with each other.
@@ -52,7 +52,7 @@ _PLACE = (1 << 30) - 1  # a text holds fewer words
 
 
 def hashes(words: list[list[bytes]]) -> np.ndarray:
-    return np.fromiter(map(HASHES.__getitem__, chain.from_iterable(words)), U64, sum(map(len, words)))
+    return np.fromiter(map(word_hashes().__getitem__, chain.from_iterable(words)), U64, sum(map(len, words)))
 
 
 def ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:

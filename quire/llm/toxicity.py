@@ -20,6 +20,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import batched
 from operator import mul
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import kept, slices
 
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE = 20_000
@@ -35,8 +36,10 @@ SAMPLE = 20_000
 SUPPORT = 4
 #: A feature's log likelihood ratio is above the logarithm of the number of features by this much, at least.
 CHANCE = 1.0
-#: Readings that a worker remembers.
+#: Readings that a worker remembers; words, or features, that it counts before it sends them.
 CACHE = 80_000
+#: Words that are cut into trigrams at once, documents whose features are sent at once.
+WORDS, ROWS = 10_000, 1_000
 #: In counts of features: all documents. No word is empty.
 ALL = ""
 
@@ -94,17 +97,20 @@ def trigrams(words: dict[str, int]) -> pa.RecordBatch:
 def char_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(gram, count): character trigrams within words, over all documents."""
 
+    def counted(tokens: Counter) -> Iterator[pa.RecordBatch]:
+        return (trigrams(dict(some)) for some in batched(tokens.items(), WORDS))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("toxicity")
         tokens: Counter = Counter()
         for batch in slices(batches, "text"):
             for t in batch.column(0).to_pylist():
                 if t:
                     tokens.update(_WORDS.findall(t.lower()))
             if len(tokens) > CACHE:
-                yield trigrams(tokens)
+                yield from counted(tokens)
                 tokens = Counter()
-        if tokens:
-            yield trigrams(tokens)
+        yield from counted(tokens)
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "gram string, count long").groupBy("gram").agg(F.sum("count").alias("count"))
 
@@ -300,18 +306,27 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int | None = 2
     ids = F.broadcast(spark.createDataFrame(pa.table({"doc_id": pa.array(list(picked), pa.int64())})))
     chosen = docs.select("doc_id", "text").join(ids, "doc_id")
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[set[str]]]]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, set[str]]]:
+        """One text at a time: the features of a slice take twenty times its size."""
+        kept("toxicity")
         restore = Restorer(CharModel(shared.value[0]))
         for batch in slices(batches, "text"):
-            yield [shared.value[1][i] for i in batch.column(0).to_pylist()], [{f for w in restore.words(t) for f in features(w)} for t in batch.column(1).to_pylist()]
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield shared.value[1][i], {f for w in restore.words(t) for f in features(w)}
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for toxic, sets in found(batches):
-            pos, neg = Counter({ALL: sum(toxic)}), Counter({ALL: len(toxic) - sum(toxic)})
-            for y, s in zip(toxic, sets, strict=True):
-                (pos if y else neg).update(s)
+        def counts() -> pa.RecordBatch:
             names = list(pos.keys() | neg.keys())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([pos[n] for n in names], pa.int64()), pa.array([neg[n] for n in names], pa.int64())], names=["f", "pos", "neg"])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([pos[n] for n in names], pa.int64()), pa.array([neg[n] for n in names], pa.int64())], names=["f", "pos", "neg"])
+
+        pos, neg = Counter(), Counter()
+        for y, s in found(batches):
+            (pos if y else neg).update([ALL, *s])
+            if len(pos) + len(neg) > CACHE:
+                yield counts()
+                pos, neg = Counter(), Counter()
+        if pos or neg:
+            yield counts()
 
     counted = chosen.mapInArrow(tally, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     counted = counted.where((F.col("pos") + F.col("neg") >= SUPPORT) | (F.col("f") == ALL)).persist()
@@ -334,8 +349,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int | None = 2
     at = spark.sparkContext.broadcast({f: k for k, f in enumerate(names)})
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for toxic, sets in found(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array([sorted(at.value[f] for f in s if f in at.value) for s in sets], pa.list_(pa.int32()))], names=["y", "x"])
+        rows = ((y, sorted(at.value[f] for f in s if f in at.value)) for y, s in found(batches))
+        for some in batched(rows, ROWS):
+            toxic, sets = zip(*some, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(sets, pa.list_(pa.int32()))], names=["y", "x"])
 
     rows = chosen.mapInArrow(encode, "y int, x array<int>").toArrow()
     rows = sorted(zip(rows["y"].to_pylist(), rows["x"].to_pylist(), strict=True))  # so that reruns add up in one order
@@ -366,6 +383,7 @@ def score(docs: DataFrame, model: Classifier, text: str = "text", out: str = "sc
     schema = docs.select(*(F.col(f"`{c}`") for c in names)).withColumn(out, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("toxicity")
         for batch in slices(batches, text):
             got = [shared.value.score(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*names, out])
