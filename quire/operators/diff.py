@@ -195,7 +195,7 @@ def compare(docs: DataFrame, only_changes: bool = False) -> DataFrame:
     blocks: there is one copy of it for BLOCK of them, not for each."""
     pairs, texts = versions(docs), docs.where(F.col("text").isNotNull()).select("doc_id", "text")
     blocks = F.ceil(F.col("of") / BLOCK).cast("int")
-    right = pairs.withColumn("block", F.pmod(F.xxhash64("right_doc"), blocks)).join(texts.withColumnRenamed("doc_id", "right_doc"), "right_doc").select("left_doc", "block", "right_doc", "text")
+    right = pairs.withColumn("block", F.pmod(F.xxhash64("right_doc"), blocks).cast("int")).join(texts.withColumnRenamed("doc_id", "right_doc"), "right_doc").select("left_doc", "block", "right_doc", "text")
     firsts = pairs.groupBy("left_doc").agg(F.max("of").alias("of")).select("left_doc", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
     left = many_to_one(firsts, texts.select(F.col("doc_id").alias("left_doc"), "text"), ["left_doc"]).select(F.col("left_doc").alias("first"), F.col("block").alias("part"), "text")
 
