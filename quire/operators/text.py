@@ -46,8 +46,9 @@ def framed(docs: DataFrame, head: str, most: int | None = None, blank: str = "")
 
 
 def plain(pages: DataFrame) -> DataFrame:
-    """(doc_id, page, text) of pages that hold their items: the items' texts in input order, joined by blanks."""
-    return pages.select("doc_id", "page", F.array_join(F.transform("items", lambda i: i["str"]), " ").alias("text"))
+    """(doc_id, page, text) of pages that hold their items: the items' texts in input order, joined by blanks; null for a page without any."""
+    joined = F.array_join(F.transform("items", lambda i: i["str"]), " ")
+    return pages.select("doc_id", "page", F.when(F.size("items") > 0, joined).alias("text"))
 
 
 #: What stands before a document's text that goes to a reader of instructions (our own words).
