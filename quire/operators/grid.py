@@ -1,11 +1,12 @@
 """Range joins within a page by grid cells, so that a page of many spans and many rectangles does not compare all with all.
 
-A row stands in every cell that its range meets; two rows are compared in the one cell where both of them have begun. Rows whose range
+Pages with a few rectangles, FEW at most, compare all with them: a row is not repeated for that. On others a row stands in every cell that its range meets; two rows are compared in the one cell where both of them have begun. Rows whose range
 is not known, or that would fill more than WIDE cells, are compared with all of their page instead: there is no limit to what is
 found. What cannot be compared counts as meeting."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: A cell's side, in the ranges' own unit, and the most cells that a row may stand in.
 SIDE, WIDE = 64.0, 256
+#: A key of which the right side has so many rows at most does not need cells.
+FEW = 32
 
 #: A dimension: the columns with the lower and upper end of a row's range.
 Range = tuple[Column, Column]
@@ -37,17 +40,34 @@ def _cells(rows: DataFrame, dims: int, name: str) -> DataFrame:
     return out
 
 
-def meeting(a: DataFrame, b: DataFrame, key: list[str], ranges_a: list[Range], ranges_b: list[Range], side: float = SIDE) -> DataFrame:
-    """(a, b): the pairs of rows, as structs, with the same key whose ranges meet in more than an end in every dimension; each once. The
-    ranges are columns over a's and over b's columns. Where an end is null, that dimension's comparison with it counts as true."""
+def crowded(b: DataFrame, key: list[str]) -> DataFrame | None:
+    """The keys of which b has more than FEW rows; None if there are none. To know that is an action, which counts rows by key."""
+    many = b.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW).select(*key)
+    return None if many.isEmpty() else many
+
+
+def _ends(rows: DataFrame, ranges: list[Range], name: str) -> DataFrame:
+    """rows with the ends of their ranges, as doubles."""
+    return rows.withColumns({f"_{name}{d}{e}": r[e].cast("double") for d, r in enumerate(ranges) for e in (0, 1)})
+
+
+def _meet(dims: int, at: Callable[[str], Column]) -> Column:
+    """Do the ranges of a and b meet? What cannot be compared counts as true."""
+    return reduce(and_, (F.coalesce((at(f"_a{d}0") < at(f"_b{d}1")) & (at(f"_a{d}1") > at(f"_b{d}0")), F.lit(True)) for d in range(dims)))
+
+
+def _beside(a: DataFrame, b: DataFrame, key: list[str], ranges_a: list[Range], ranges_b: list[Range], how: str) -> DataFrame:
+    """The pairs by comparing a's rows with all of b's of their key: one row of a stands once on its way there."""
+    side = lambda df, ranges, s: _ends(df, ranges, s).select(*(F.col(k).alias(f"_{s}_{k}") for k in key), F.struct(*df.columns).alias(s), *(f"_{s}{d}{e}" for d in range(len(ranges)) for e in (0, 1)))
+    page = reduce(and_, (F.col(f"_a_{k}") == F.col(f"_b_{k}") for k in key))
+    return side(a, ranges_a, "a").join(side(b, ranges_b, "b"), page & _meet(len(ranges_a), F.col), how)
+
+
+def _by_cells(a: DataFrame, b: DataFrame, key: list[str], ranges_a: list[Range], ranges_b: list[Range], side: float) -> DataFrame:
     dims = range(len(ranges_a))
-    name = lambda side_, d, end: f"_{side_}{d}{end}"
-    wide_a = a.withColumns({name("a", d, e): r[e].cast("double") for d, r in enumerate(ranges_a) for e in (0, 1)})
-    wide_b = b.withColumns({name("b", d, e): r[e].cast("double") for d, r in enumerate(ranges_b) for e in (0, 1)})
-    left = _in_cells(wide_a, [(F.col(name("a", d, 0)), F.col(name("a", d, 1))) for d in dims], side, "a")
-    right = _in_cells(wide_b, [(F.col(name("b", d, 0)), F.col(name("b", d, 1))) for d in dims], side, "b")
-    f = lambda s, d, e: F.col(f"{s}.{name(s, d, e)}")
-    meet = reduce(and_, (F.coalesce((f("a", d, 0) < f("b", d, 1)) & (f("a", d, 1) > f("b", d, 0)), F.lit(True)) for d in dims))
+    ends = lambda s: [(F.col(f"_{s}{d}0"), F.col(f"_{s}{d}1")) for d in dims]
+    left, right = _in_cells(_ends(a, ranges_a, "a"), ends("a"), side, "a"), _in_cells(_ends(b, ranges_b, "b"), ends("b"), side, "b")
+    meet = _meet(len(ranges_a), lambda c: F.col(f"{c[1]}.{c}"))
     page = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key]
     begun = [F.col(f"a_{d}") == F.greatest(F.col("a_first")[d], F.col("b_first")[d]) for d in dims]
     near = _cells(left, len(dims), "a").join(_cells(right, len(dims), "b"), page + [F.col(f"a_{d}") == F.col(f"b_{d}") for d in dims] + begun + [meet])
@@ -58,9 +78,28 @@ def meeting(a: DataFrame, b: DataFrame, key: list[str], ranges_a: list[Range], r
     return pairs.select(own("a", a), own("b", b))
 
 
-def that_meet(a: DataFrame, b: DataFrame, key: list[str], ranges_a: list[Range], ranges_b: list[Range], side: float = SIDE, but: Column | None = None) -> DataFrame:
-    """The rows of a that meet a row of b (or, with `but`, satisfying that condition on a and b): each as often as it is there."""
-    pairs = meeting(a, b, key, ranges_a, ranges_b, side)
-    hit = (pairs if but is None else pairs.where(but)).select("a.*").distinct()
-    other = hit.select(*(F.col(c).alias(f"_{c}") for c in a.columns))
-    return a.join(other, reduce(and_, (a[c].eqNullSafe(F.col(f"_{c}")) for c in a.columns)), "left_semi")
+def meeting(a: DataFrame, b: DataFrame, key: list[str], ranges_a: list[Range], ranges_b: list[Range], side: float = SIDE, how: str = "inner") -> DataFrame:
+    """(a, b): the pairs of rows, as structs, with the same key whose ranges meet in more than an end in every dimension; each once. The
+    ranges are columns over a's and over b's columns. Where an end is null, that dimension's comparison with it counts as true.
+    how: with left, a row of a that is in no pair stands there with a null b; others may, too."""
+    many = crowded(b, key)
+    if many is None:
+        return _beside(a, b, key, ranges_a, ranges_b, how).select("a", "b")
+    few = _beside(a, b.join(many, key, "left_anti"), key, ranges_a, ranges_b, how).select("a", "b")
+    return few.unionByName(_by_cells(a.join(many, key, "left_semi").select(*a.columns), b.join(many, key, "left_semi").select(*b.columns), key, ranges_a, ranges_b, side))
+
+
+def that_meet(a: DataFrame, b: DataFrame, key: list[str], ranges_a: list[Range], ranges_b: list[Range], side: float = SIDE) -> DataFrame:
+    """The rows of a that meet a row of b: each as often as it is there. What is compared in cells is keys and ranges without the other
+    columns."""
+    many = crowded(b, key)
+    if many is None:
+        return _beside(a, b, key, ranges_a, ranges_b, "left_semi").select("a.*")
+    few = _beside(a, b.join(many, key, "left_anti"), key, ranges_a, ranges_b, "left_semi").select("a.*")
+    crowd = _ends(a.join(many, key, "left_semi").select(*a.columns), ranges_a, "a")
+    names = [f"_a{d}{e}" for d in range(len(ranges_a)) for e in (0, 1)]
+    spans = crowd.select(*key, *names).distinct()
+    pairs = _by_cells(spans, b.join(many, key, "left_semi").select(*b.columns), key, [(F.col(f"_a{d}0"), F.col(f"_a{d}1")) for d in range(len(ranges_a))], ranges_b, side)
+    hit = pairs.select(*(F.col(f"a.{c}").alias(f"_hit_{c}") for c in (*key, *names))).distinct()
+    found = crowd.join(hit, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_hit_{c}")) for c in (*key, *names))), "left_semi")
+    return few.unionByName(found.select(*a.columns))

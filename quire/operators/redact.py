@@ -57,11 +57,11 @@ def coverage_by(lines: DataFrame, rects: DataFrame, own: list[str] | None = None
     x0, y0, x1, y1 = F.col("rx"), F.col("ry"), F.col("rx") + F.col("rw"), F.col("ry") + F.col("rh")
     at = lines.select(*names, left.alias("_l"), right.alias("_r"), low.alias("_low"), high.alias("_high"))
     r = rects.select("doc_id", "page", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")).distinct()
-    pairs = meeting(at, r, ["doc_id", "page"], [(F.col("_l"), F.col("_r")), (F.col("_low"), F.col("_high"))], [(F.col("x0"), F.col("x1")), (F.col("y0"), F.col("y1"))])
+    pairs = meeting(at, r, ["doc_id", "page"], [(F.col("_l"), F.col("_r")), (F.col("_low"), F.col("_high"))], [(F.col("x0"), F.col("x1")), (F.col("y0"), F.col("y1"))], how="left")
     sure = lambda c: F.coalesce(c, F.lit(True))
     full = sure((F.col("a._l") >= F.col("b.x0") - SLACK) & (F.col("a._r") <= F.col("b.x1") + SLACK) & (F.col("a._low") >= F.col("b.y0") - SLACK) & (F.col("a._high") <= F.col("b.y1") + SLACK))
-    seen = pairs.select(*(F.col(f"a.{c}").alias(c) for c in names), F.when(full, 2).otherwise(1).alias("s"))
-    best = seen.unionByName(lines.select(*names, F.lit(0).alias("s"))).groupBy(*names).agg(F.max("s").alias("s"))
+    seen = pairs.select(*(F.col(f"a.{c}").alias(c) for c in names), F.when(F.col("b").isNull(), 0).when(full, 2).otherwise(1).alias("s"))
+    best = seen.groupBy(*names).agg(F.max("s").alias("s"))
     return best.select(*names, F.element_at(F.array(F.lit("none"), F.lit("partial"), F.lit("full")), F.col("s") + 1).alias("coverage"))
 
 
