@@ -3,7 +3,7 @@ closures. Names and numbers follow from doc_id, page and line, so that every cas
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text_documents import PAGE_LINES, lines
@@ -58,8 +58,10 @@ def form_uses(docs: DataFrame) -> DataFrame:
     """A form for each line of a page. The page uses the forms of lines 1, 8, 15 and 22; a form uses the next one but for lines 7, 14
     and 21 and blank ones, the one two lines down, too, if its line has a z, and an earlier one, which is a cycle, if it has a
     capital Z; it draws an image if it has a digit. Pages draw one themselves."""
-    rows = lines(docs)
-    rows = rows.withColumn("n", F.max("line_no").over(Window.partitionBy("doc_id", "page")))
+    cut = F.split("text", "\n")
+    rows = docs.select("doc_id", F.size(cut).alias("all"), F.posexplode(cut).alias("pos", "text"))
+    rows = rows.select("doc_id", (F.floor(F.col("pos") / PAGE_LINES).cast("bigint") + 1).alias("page"), (F.col("pos") % PAGE_LINES + 1).cast("bigint").alias("line_no"), "text", "all")
+    rows = rows.withColumn("n", F.least(F.lit(PAGE_LINES), F.col("all") - (F.col("page") - 1) * PAGE_LINES))  # lines of the page
     k, n, has = F.col("line_no"), F.col("n"), lambda c: F.contains("text", F.lit(c))
     use = lambda p, c, kind: F.struct(p.cast("bigint").alias("parent"), c.cast("bigint").alias("child"), F.lit(kind).alias("kind"))
     found = F.array_compact(F.array(
