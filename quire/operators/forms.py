@@ -10,7 +10,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +28,9 @@ Use = tuple[int | None, str | None, str, str, str, list[float]]  # page, parent,
 
 def _compose(m: list[float], n: list[float]) -> list[float]:
     """First n, then m."""
-    to = lambda v: np.array([[v[0], v[2], v[4]], [v[1], v[3], v[5]], [0, 0, 1]], float)
-    (a, c, e), (b, d, f), _ = (to(m) @ to(n)).tolist()
-    return [a, b, c, d, e, f]
+    a, b, c, d, e, f = m
+    p, q, r, s, t, u = n
+    return [a * p + c * q, b * p + d * q, a * r + c * s, b * r + d * s, a * t + c * u + e, b * t + d * u + f]
 
 
 def list_uses(uses: list[Use]) -> list[tuple]:

@@ -132,12 +132,18 @@ def best_lines(hits: DataFrame, lines: DataFrame, least: float = 1.2, bag: bool
     a, b = F.col("_a"), F.col("_b")
     at, bt = F.split(a, " "), F.split(b, " ")
     common = F.size(F.filter(bt, lambda t: F.array_contains(F.col("_at"), t))) if bag else F.size(F.array_intersect(bt, F.col("_at")))
-    alike = F.when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), 0.7).otherwise(0.4 * (common / F.greatest(F.lit(1), F.least(F.size("_at"), F.size(bt)))))
     near = F.greatest(F.lit(0.0), 1 - F.hypot(F.col("x") - F.col("hx"), F.col("y") - F.col("hy")) / 60)
-    both = hits.withColumn("_b", norm(F.col("htext"))).join(lines.withColumn("_a", norm(F.col("text"))).withColumn("_at", at), PAGE).where((a != "") & (b != ""))
-    scored = both.select(*PAGE, "hit", "line_no", (alike * 2 + near).alias("score")).where(F.col("score") >= least)
-    best = F.max(F.struct("score", (-F.col("line_no")).alias("back")))
-    return scored.groupBy(*PAGE, "hit").agg(best.alias("b")).select(*PAGE, "hit", (-F.col("b.back")).alias("line_no"), F.col("b.score").alias("score"))
+    alike = F.when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), 0.7)
+    if not bag:  # the share is 1 at most: so far off, common words cannot make up for it
+        alike = alike.when(near < least - 0.801, 0.0)
+    alike = alike.otherwise(0.4 * (common / F.greatest(F.lit(1), F.least(F.size("_at"), F.size(bt)))))
+    # Texts are dealt out as they are; what is made of them is made where they are compared.
+    one = hits.select(*PAGE, "hit", "htext", "hx", "hy").repartition(*PAGE).select(*PAGE, "hit", "hx", "hy", norm(F.col("htext")).alias("_b"))
+    other = lines.select(*PAGE, "line_no", "text", "x", "y").repartition(*PAGE).select(*PAGE, "line_no", "x", "y", norm(F.col("text")).alias("_a")).withColumn("_at", at)
+    both = one.join(other, PAGE).where((a != "") & (b != ""))
+    scored = both.select(*PAGE, "hit", "line_no", (alike * 2 + near).alias("score"))
+    best = scored.groupBy(*PAGE, "hit").agg(F.max(F.struct("score", (-F.col("line_no")).alias("back"))).alias("b")).where(F.col("b.score") >= least)
+    return best.select(*PAGE, "hit", (-F.col("b.back")).alias("line_no"), F.col("b.score").alias("score"))
 
 
 def features(resources: DataFrame) -> DataFrame:
