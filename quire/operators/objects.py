@@ -140,9 +140,8 @@ def best_lines(hits: DataFrame, lines: DataFrame, least: float = 1.2, bag: bool
     # Texts are dealt out as they are; what is made of them is made where they are compared.
     one = hits.select(*PAGE, "hit", "htext", "hx", "hy").repartition(*PAGE).select(*PAGE, "hit", "hx", "hy", norm(F.col("htext")).alias("_b"))
     other = lines.select(*PAGE, "line_no", "text", "x", "y").repartition(*PAGE).select(*PAGE, "line_no", "x", "y", norm(F.col("text")).alias("_a")).withColumn("_at", at)
-    both = one.join(other, PAGE).where((a != "") & (b != ""))
-    scored = both.select(*PAGE, "hit", "line_no", (alike * 2 + near).alias("score"))
-    best = scored.groupBy(*PAGE, "hit").agg(F.max(F.struct("score", (-F.col("line_no")).alias("back"))).alias("b")).where(F.col("b.score") >= least)
+    pair = F.when((a != "") & (b != ""), F.struct((alike * 2 + near).alias("score"), (-F.col("line_no")).alias("back")))
+    best = one.join(other, PAGE).groupBy(*PAGE, "hit").agg(F.max(pair).alias("b")).where(F.col("b.score") >= least)
     return best.select(*PAGE, "hit", (-F.col("b.back")).alias("line_no"), F.col("b.score").alias("score"))
 
 
