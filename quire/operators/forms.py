@@ -20,6 +20,8 @@ from .redact import coverage_by
 
 #: A page with more uses of forms is refused: each would be looked at by itself.
 MOST_USES = 10_000
+#: Rows that go on together.
+OUT_ROWS = 8192
 #: Why a page is refused.
 DEEP, IMAGE, MANY = "forms nested too deep, or within themselves", "an image within a form", "too many uses of forms"
 
@@ -66,11 +68,16 @@ def form_instances(uses: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                found = list_uses([tuple(u.values()) for u in batch.column(1)[row].as_py()])
-                ids = batch.column(0).slice(row, 1).take(pa.array([0] * len(found), pa.int32()))
-                columns = zip(*found, strict=True) if found else [()] * 5
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", *names])
+            ids, rows = [], []
+            for row in range(batch.num_rows):  # a document at a time; what is found goes on in batches
+                uses = batch.column(1)[row].values
+                found = list_uses(list(zip(*(f.to_pylist() for f in uses.flatten()), strict=True)))
+                ids += [row] * len(found)
+                rows += found
+                if len(rows) >= OUT_ROWS or rows and row == batch.num_rows - 1:
+                    columns = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int32())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", *names])
+                    ids, rows = [], []
 
     rows = uses.groupBy("doc_id").agg(F.collect_list(F.struct("page", "parent", "name", "child", "kind", "m")).alias("uses"))
     return rows.select("doc_id", "uses").mapInArrow(run, kind)
@@ -97,18 +104,22 @@ def clone_on_write(uses: DataFrame, segments: DataFrame, rects: DataFrame) -> Cl
     placed = form_instances(uses).join(touched, PAGE, "left_semi")
     refused = placed.where("refusal IS NOT NULL").select(*PAGE, F.col("refusal").alias("reason"))
     own = placed.where("refusal IS NULL").select(*PAGE, "path", "form", "m")
+    place = F.struct("x", "y", "w", "size").alias("at")  # texts come last, to what is left of copies
     m = F.col("m")
     upright = (m[1] == 0) & (m[2] == 0)  # text at an angle is not compared with rectangles: it counts as covered
-    x, y = (F.when(upright, c) for c in g.apply(m, F.col("x"), F.col("y")))
-    lines = own.join(segments, ["doc_id", "form"]).select(
-        *PAGE, "path", "form", "seq", "text", x.alias("x"), y.alias("y"), (F.col("w") * F.hypot(m[0], m[1])).alias("w"), (F.col("size") * F.hypot(m[2], m[3])).alias("size"),
+    x, y = (F.when(upright, c) for c in g.apply(m, F.col("at.x"), F.col("at.y")))
+    lines = own.join(segments.select("doc_id", "form", "seq", place), ["doc_id", "form"]).select(
+        *PAGE, "path", "form", "seq", "at", x.alias("x"), y.alias("y"), (F.col("at.w") * F.hypot(m[0], m[1])).alias("w"), (F.col("at.size") * F.hypot(m[2], m[3])).alias("size"),
     )
-    marked = coverage_by(lines, rects, ["path", "form", "seq", "text"])
+    marked = coverage_by(lines, rects, ["path", "form", "seq", "at"])
     gone = marked.where("coverage = 'full'").select(*PAGE, "path").distinct()
     above = F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", F.lit(1), k))
     changed = gone.select(*PAGE, F.explode(above).alias("path")).distinct().withColumn("copy", _copy_name(F.col("path")))
     copies = own.join(changed, [*PAGE, "path"])
-    kept = marked.join(changed, [*PAGE, "path"]).where("coverage <> 'full'").select("doc_id", F.col("copy").alias("form"), "seq", "text")
+    left = marked.join(changed, [*PAGE, "path"]).where("coverage <> 'full'").select("doc_id", F.col("form").alias("_form"), F.col("seq").alias("_seq"), F.col("at").alias("_at"), F.col("copy"))
+    texts = segments.select("doc_id", F.col("form").alias("_form"), "seq", "text", place)
+    same = F.col("seq").eqNullSafe(F.col("_seq")) & F.col("at").eqNullSafe(F.col("_at"))
+    kept = left.join(texts, ["doc_id", "_form"]).where(same).select("doc_id", F.col("copy").alias("form"), "seq", "text").distinct()
     inner = uses.where("parent IS NOT NULL").select("doc_id", F.col("parent").alias("form"), "name", "child")
     to = changed.select(*PAGE, "path", F.col("copy").alias("_to"))
     of_copies = copies.join(inner, ["doc_id", "form"]).select(*PAGE, F.col("copy").alias("parent"), F.concat("path", F.array("name")).alias("path"), "name", "child")
