@@ -20,6 +20,8 @@ from .joins import many_to_one, shared_folder
 
 #: So many references of a document are walked within one task.
 TASK_EDGES = 1_000_000
+#: Rows that go on together.
+OUT_ROWS = 8192
 #: Rounds whose results are kept apart before they are written as one.
 ROUNDS = 16
 
@@ -63,12 +65,16 @@ def _within_rows(edges: DataFrame, seeds: DataFrame, key: list[str], schema: T.S
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):  # a document at a time
-                part = batch.slice(row, 1)
-                refs, roots = part.column(n)[0].values, part.column(n + 1)[0].values
+            at, out = [], []
+            for row in range(batch.num_rows):  # a document at a time; what is found goes on in batches
+                refs, roots = batch.column(n)[row].values, batch.column(n + 1)[row].values
                 found = walk(zip(refs.field(0).to_pylist(), refs.field(1).to_pylist(), strict=True) if refs is not None else (), roots.to_pylist())
-                keys = [c.take(pa.array([0] * len(found))) for c in part.columns[:n]]
-                yield pa.RecordBatch.from_arrays([*keys, *(pa.array(v, f.type) for v, f in zip(zip(*found, strict=True), list(arrow)[n:], strict=True))], schema=arrow)
+                at += [row] * len(found)
+                out += found
+                if len(out) >= OUT_ROWS or out and row == batch.num_rows - 1:
+                    keys = [c.take(pa.array(at, pa.int32())) for c in batch.columns[:n]]
+                    yield pa.RecordBatch.from_arrays([*keys, *(pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), list(arrow)[n:], strict=True))], schema=arrow)
+                    at, out = [], []
 
     return roots.join(refs, key, "left").select(*key, "refs", "roots").mapInArrow(run, schema)
 
