@@ -126,6 +126,9 @@ def _bands(a: Arrays) -> np.ndarray:
 def _layers(x: np.ndarray, right: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Runs of one band, from left to right, dealt to as few rows as keep runs from lying on top of each other: a run goes to the first
     row that ends before it begins, or that it laps over by a quarter of the row's width or two sizes at most."""
+    reach = np.maximum.accumulate(right)[:-1]
+    if (x[1:] >= reach - np.maximum(np.maximum(2.0, size[1:] * BACK[1]), (reach - x[0]) * BACK[0])).all():
+        return np.zeros(len(x), np.int64)  # all go to the first row
     begin, end, out = [], [], np.empty(len(x), np.int64)
     for k in range(len(x)):
         row = next((n for n in range(len(end)) if x[k] >= end[n] - max(2.0, size[k] * BACK[1], (end[n] - begin[n]) * BACK[0])), len(end))
@@ -165,24 +168,31 @@ def _cells(a: Arrays) -> list[tuple]:
     starts = _half_points(a["x"])
     seen, rows = np.unique(np.unique(np.stack([starts, row], 1), axis=0)[:, 0], return_counts=True)
     columns = seen[rows >= (3 if n >= 3 else 2)]
+    recurs = np.isin(starts, columns)
     out = []
     order = np.lexsort((a["x"], row))
     for line, own in enumerate(np.split(order, np.flatnonzero(np.diff(row[order])) + 1), 1):
-        here = np.intersect1d(columns, starts[own])
-        parts = [(*p, a["y"][k], a["size"][k], len(cut) > 1) for k in own for cut in [_cut(a["str"][k], a["x"][k], a["right"][k], here)] for p in cut]
-        parts.sort(key=lambda p: p[1])
-        text, x, right, y, size, piece = (np.array(v) for v in zip(*parts, strict=True))
-        known = np.isin(_half_points(x), columns) | piece
+        here = starts[own][recurs[own]]  # in order, as the runs are
+        text, x, right, y, size = (a[n][own] for n in ("str", "x", "right", "y", "size"))
+        crossed = np.searchsorted(here, x + 0.5, "right") < np.searchsorted(here, right - 0.5, "left")
+        if crossed.any():
+            parts = [(*p, b, c, len(cut) > 1) for t, u, v, b, c, over in zip(text, x, right, y, size, crossed, strict=True) for cut in [_cut(t, u, v, np.unique(here)) if over else [(t, u, max(v, u + 1.0))]] for p in cut]
+            parts.sort(key=lambda p: p[1])
+            text, x, right, y, size, piece = (np.array(v) for v in zip(*parts, strict=True))
+            known = np.isin(_half_points(x), columns) | piece
+        else:  # no column within a run: each is a part, from left to right as they are
+            right, piece = np.maximum(right, x + 1.0), np.zeros(len(x), bool)
+            known = recurs[own]
         reach = np.r_[x[0], np.maximum.accumulate(right)[:-1]]
         gap = x - reach
         # A cell begins behind a gap, which may be narrower at a column's start, and at either edge of a cut run's part.
         opens = np.flatnonzero(np.r_[True, (gap > np.maximum(LEAST_GAP, size * np.where(known, COLUMN, WIDE)))[1:] | piece[1:] | piece[:-1]])
         blanks = np.where(gap > np.maximum(1.0, size * BLANK), np.clip(np.floor(gap / np.maximum(1.0, size * STEP) + 0.5), 1, MOST_BLANKS), 0).astype(int)
         blanks[opens] = 0
-        shown = [" " * b + t for b, t in zip(blanks.tolist(), text.tolist(), strict=True)]
+        shown = [" " * b + t if b else t for b, t in zip(blanks.tolist(), text.tolist(), strict=True)]
         tall, left = np.maximum.reduceat(size, opens), np.minimum.reduceat(x, opens)
         boxes = np.stack([left, np.minimum.reduceat(y, opens) - tall * 0.3, np.maximum.reduceat(right, opens) - left, tall * 1.2, tall], 1).tolist()
-        for k, (lo, hi) in enumerate(zip(opens, [*opens[1:], len(parts)], strict=True)):
+        for k, (lo, hi) in enumerate(zip(opens, [*opens[1:], len(text)], strict=True)):
             out.append((line, k + 1, "".join(shown[lo:hi]), *boxes[k], bool(k and known[lo]), float(max(0.0, gap[lo])) if k else 0.0))
     return out
 
